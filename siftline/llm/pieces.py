@@ -15,9 +15,9 @@ each chunk is encoded on its own between two known states.
 """
 
 import re
-import sys
-from functools import cached_property
+from functools import cached_property, lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,21 +219,19 @@ class Pieces:
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    @cached_property
+    def _byte_values(self) -> dict[int, int]:
+        return {k: b for b, k in self.bytes_ids.items()}
+
+    @cached_property
+    def _marked(self) -> list[str]:
+        """Names, with bytes as characters of the private range U+10FF00 to U+10FFFF."""
+        return [chr(0x10FF00 + self._byte_values[k]) if k in self._byte_values else s for k, s in enumerate(self.names)]
+
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ids; bytes that are not UTF-8 become U+FFFD. first: drop the space that encoding put in front."""
-        out, held = [], bytearray()
-        values = {k: b for b, k in self.bytes_ids.items()}
-        for k in ids:
-            if k in values:
-                held.append(values[k])
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held.clear()
-            out.append(self.names[k])
-        if held:
-            out.append(held.decode(errors="replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = "".join(map(self._marked.__getitem__, ids))
+        text = re.sub("[\U0010FF00-\U0010FFFF]+", lambda m: bytes(ord(c) - 0x10FF00 for c in m[0]).decode(errors="replace"), text).replace(SPACE, " ")
         return text[1:] if first and text[:1] == " " else text
 
     def state(self, reach: int, piece: str) -> int:
@@ -351,8 +349,14 @@ def backtrace(matrices: list[dict], entry: int, leave: int) -> list[tuple[int, i
     return out[::-1]
 
 
-def _cached(model: Pieces):
-    known: dict[str, list[int]] = {}
+@lru_cache(2)
+def _loaded(path: str) -> tuple[Pieces, dict[str, list[int]]]:
+    """A model and the segments seen so far, kept by a worker for its later tasks."""
+    return Pieces(path), {}
+
+
+def _cached(path: str):
+    model, known = _loaded(path)
 
     def segment(s: str) -> list[int]:
         found = known.get(s)
@@ -361,10 +365,23 @@ def _cached(model: Pieces):
                 known.clear()
             found = model.segment(s)
             if len(s) <= 64:
-                known[sys.intern(s)] = found
+                known[s] = found
         return found
 
-    return segment
+    def encode_text(text: str) -> list[int]:
+        s = model.normal(text)
+        if model.splitter is None:
+            return segment(s) if s else []
+        parts = model.splitter.findall(s)
+        new = set(parts).difference(known)
+        if len(known) + len(new) > 1_000_000:
+            known.clear()
+            new = set(parts)
+        for x in new:
+            known[x] = model.segment(x)
+        return [i for x in parts for i in known[x]]
+
+    return model, segment, encode_text
 
 
 _MATRIX = "m array<struct<a:long,b:long,w:double>>"
@@ -384,25 +401,17 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
     Null and empty texts give one chunk without ids. row_id tells rows apart that share a doc_id (also a null
     one). A document's ids are its chunks' ids in order; a piece belongs to the chunk in which it begins.
     """
-    model = Pieces(model_path)
     longest = 64  # characters of context at each side; a piece must not be longer
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def whole(batches):
-        segment = _cached(model)
-        find = model.splitter
+        model, _, encode_text = _cached(model_path)
         if model.longest > longest:
             raise ValueError("a piece of the model is longer than the context of a chunk")
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                out = []
-                for t in part.column("text").to_pylist():
-                    s = model.normal(t)
-                    ids: list[int] = []
-                    for x in find.findall(s) if find else [s] if s else []:
-                        ids += segment(x)
-                    out.append(ids)
+                out = [encode_text(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_id"), pa.array([0] * len(out), pa.int64()), part.column("text"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "row_id", "chunk", "text", "ids"])
 
     out_schema = "doc_id long, row_id long, chunk long, text string, ids array<int>"
@@ -416,7 +425,7 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
     cut = cut.select("doc_id", "row_id", "chunk", (F.col("n") <= at - 1 + chunk_chars).alias("final"), piece(at, chunk_chars).alias("own"), piece(at + chunk_chars, longest).alias("after"), F.when(F.col("chunk") > 0, piece(F.greatest(at - longest, F.lit(1)), F.least(at - 1, F.lit(longest)).cast("int"))).otherwise("").alias("before"))
     cut = written(cut, "pieces-cut")
 
-    def texts(row) -> tuple[str, str, int]:
+    def texts(row, model: Pieces) -> tuple[str, str, int]:
         """context, chunk with what follows, and the chunk's length, in normal form."""
         norm = lambda t: t.replace(" ", SPACE)
         own = (SPACE if row["chunk"] == 0 else "") + norm(row["own"])
@@ -425,9 +434,10 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
         return context, own + ("" if row["final"] else norm(row["after"])[: model.longest - 1]), n
 
     def matrices(batches):
+        model, _, _ = _cached(model_path)
         for batch in batches:
             for row in batch.to_pylist():
-                context, s, n = texts(row)
+                context, s, n = texts(row, model)
                 yield pa.RecordBatch.from_pylist([{"row_id": row["row_id"], "chunk": row["chunk"], "m": _pack(model.matrix(context, s, n, row["final"]))}], schema=pa.schema([("row_id", pa.int64()), ("chunk", pa.int64()), ("m", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])))]))
 
     def multiply(key, group):
@@ -454,10 +464,10 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
         states = written(grouped.groupBy("row_id", "up").applyInArrow(down, "row_id long, chunk long, entry long, leave long"), "pieces-states")
 
     def chunks(batches):
-        segment = _cached(model)
+        model, segment, _ = _cached(model_path)
         for batch in batches:
             for row in batch.to_pylist():
-                _, s, n = texts(row)
+                _, s, n = texts(row, model)
                 ids = model.between(s, n, row["entry"], row["leave"], row["final"], segment)
                 yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([row["row_id"]], pa.int64()), pa.array([row["chunk"]], pa.int64()), pa.array([row["own"]]), pa.array([ids], pa.list_(pa.int32()))], names=["doc_id", "row_id", "chunk", "text", "ids"])
 
@@ -470,10 +480,10 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     The decoded chunks of a document, joined in order, are its text (U+2581 reads as a space). A null ids is empty.
     """
-    model = Pieces(model_path)
 
     @F.pandas_udf("string")
-    def text(ids, chunk):
-        return ids.combine(chunk, lambda i, c: model.decode(i if i is not None else [], c == 0))
+    def text(ids: pd.Series, chunk: pd.Series) -> pd.Series:
+        model, _ = _loaded(model_path)
+        return pd.Series([model.decode([] if i is None else i.tolist(), c == 0) for i, c in zip(ids, chunk, strict=True)], dtype=object)
 
     return encoded.withColumn("decoded", text("ids", "chunk"))
