@@ -14,15 +14,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose quality score is 0.3 or more."""
     ship(spark)
     taught = quality.labelled(docs.where(learnable(F.col("doc_id"))), table(spark, sf_dir, "labels"))
-    scored = quality.classify(docs, quality.fit(taught), threshold=0.3)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return docs.where(quality.score(F.col("text"), quality.fit(taught)) >= 0.3)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lie near a centroid of some language."""
     ship(spark)
     model = langid.fit(docs.where(learnable(F.col("doc_id"))))
-    return langid.identify(docs, model).where("NOT rejected").select(*docs.columns)
+    return docs.where(~langid.verdict(F.col("text"), model)["rejected"])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,8 +122,8 @@ def fit(docs: DataFrame, max_rows: int = 1200, centroids: int = 4, slack: float
     return Model(idf, np.concatenate(centres), names, np.array(least)) if centres else None
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred, score (the cosine, 0 to 1) and rejected; same-named columns are replaced.
+def verdict(text: Column, model: Model | None) -> Column:
+    """struct<lang_pred, score, rejected> of a text; score is the cosine, 0 to 1.
 
     Null texts, texts without letters, and every text where there is no model, are `und` with score 0
     and rejected. rejected also marks texts too far from every centroid of their language.
@@ -142,5 +142,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             rejected[low:high] = ~some | (cosine.max(axis=1) < model.least[top])
         return pd.DataFrame({"lang_pred": langs, "score": best, "rejected": rejected})
 
-    out = docs.withColumn("_langid", predict(letters(F.col("text"))))
+    return predict(letters(text))
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs with the columns of verdict; same-named columns are replaced."""
+    out = docs.withColumn("_langid", verdict(F.col("text"), model))
     return out.withColumns({k: F.col("_langid")[k] for k in ("lang_pred", "score", "rejected")}).drop("_langid")
