@@ -9,7 +9,8 @@ Texts with equal shingle sets form one node. Nodes meet in 40 bands of 6 coordin
 (a pair of likeness 0.8 is missed with probability below 1e-5). Every node is first
 compared with the least node of its best band, then with that of its other bands, and
 after components are known the nodes of a band that still belong to different
-components are compared with each other. So no group of copies is expanded into all
+components are compared with each other, unless the shingles that a node shares with no
+other node rule a link out. So no group of copies is expanded into all
 pairs, and every link between two components is confirmed on the full sets.
 """
 
@@ -115,16 +116,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     met = rows.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("met")).where("met > 1").select("key", "head")
     # only bands that hold two nodes or more go on
     rows = written(rows.join(written(met, "minhash-heads"), "key"), "minhash-rows")
-    sizes = nodes.select("node", F.col("n_shingles").alias("n"))
-    heads = rows.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("bands"))
-    heads = heads.join(sizes, "node").join(sizes.select(F.col("node").alias("head"), F.col("n").alias("m")), "head")
-    heads = written(heads.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("node", "head", "bands"), "minhash-pairs")
     wanted = rows.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     texts = texts.join(wanted, "node", "left_semi").select("node", "text")
     sets = texts.mapInArrow(_sets(shingle_words), "node long, shingles array<long>").dropDuplicates(["node"])
     sets = written(sets, "minhash-sets")
 
+    # a shingle that no other node has is in no intersection: it bounds every likeness of its node
+    alone = sets.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = sets.select("node", F.size("shingles").cast("long").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    sizes = written(sizes.where(f"100 * most >= {percent} * n"), "minhash-sizes")
+    rows = rows.drop("head").join(sizes, "node")
+    met = rows.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("met")).where("met > 1").select("key", "head")
+    rows = written(rows.join(written(met, "minhash-heads"), "key"), "minhash-rows")
+
+    def may_link(n: str, most: str, m: str, most2: str) -> str:
+        return f"100 * least({most}, {most2}) >= {percent} * ({n} + {m} - least({most}, {most2}))"
+
+    heads = rows.where("node <> head").groupBy("node", "head", "n", "most").agg(F.count("*").alias("bands"))
+    heads = heads.join(sizes.select(F.col("node").alias("head"), F.col("n").alias("n2"), F.col("most").alias("most2")), "head")
+    heads = written(heads.where(may_link("n", "most", "n2", "most2")).select("node", "head", "bands"), "minhash-pairs")
+
     best = heads.groupBy("node").agg(F.max(F.struct("bands", (-F.col("head")).alias("least"))).alias("x")).select(F.col("node").alias("b"), (-F.col("x.least")).alias("a"))
     links = written(_confirmed(best, sets, percent), "minhash-links")
     roots = components(links)
@@ -140,13 +153,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     roots = components(links)
 
     # nodes that meet in a band and are still apart
-    placed = rows.join(roots, "node", "left").select("key", "node", "head", F.coalesce("root", "node").alias("root"))
+    placed = rows.join(roots, "node", "left").select("key", "node", "n", "most", F.coalesce("root", "node").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    placed = written(placed.join(open_keys, "key", "left_semi").join(sizes, "node"), "minhash-apart")
-    # nodes of a root and of one size stand together until they are paired with another root's
-    one = placed.where("node <> head").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    two = placed.where("node <> head").select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    pairs = one.join(two, "key").where(f"ra < rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    placed = written(placed.join(open_keys, "key", "left_semi"), "minhash-apart")
+    one, two = (placed.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("node", "root", "n", "most")]) for k in (1, 2))
+    pairs = one.join(two, "key").where("root1 < root2 AND " + may_link("n1", "most1", "n2", "most2")).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    tried = best.select("a", "b").union(heads.select(F.col("head").alias("a"), F.col("node").alias("b")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = written(links.union(_confirmed(pairs, sets, percent)), "minhash-links")
     roots = components(links)
 
