@@ -29,6 +29,8 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption"
 FURNITURE = frozenset("nav aside form footer button dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login popup modal overlay sidebar comment comments disqus reply replies respond menu navbar nav navigation breadcrumb breadcrumbs pagination pager footer masthead share sharing social related recommended widget toolbar skip".split())
+#: broadcast the places to delete up to so many pages
+_BROADCAST_ROWS = 100_000
 #: elements that a new block closes when they are still open
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -117,15 +119,12 @@ def blocks_of(page: str) -> list[tuple[str, list[int], bool, bool]]:
 
 
 def _read(batches):
-    schema = pa.schema([("row_id", pa.int64()), ("place", pa.int64()), ("text", pa.large_string()), ("elements", pa.list_(pa.int64()))])
+    block = pa.struct([("text", pa.large_string()), ("elements", pa.list_(pa.int64()))])
     for batch in batches:
         for low in range(0, batch.num_rows, 256):
             part = batch.slice(low, 256)
-            rows: list[tuple] = []
-            for row_id, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                rows += [(row_id, k, text, elements) for k, (text, elements, _, _) in enumerate(blocks_of(page or ""))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            blocks = [[{"text": text, "elements": elements} for text, elements, _, _ in blocks_of(page or "")] for page in part.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("row_id", "page_id", "url", "host")], pa.array(blocks, pa.list_(block))], names=["row_id", "page_id", "url", "host", "blocks"])
 
 
 def main_text(pages: DataFrame, min_pages: int = 20, min_share: float = 0.2) -> DataFrame:
@@ -135,20 +134,22 @@ def main_text(pages: DataFrame, min_pages: int = 20, min_share: float = 0.2) ->
     of the host's pages. Null and empty pages, and pages of furniture alone, have an empty text. A null or
     odd url counts as a host of its own (the empty one). Other columns are ignored.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("row_id"), "page_id", "url", "html")
+    rows = pages.select(F.monotonically_increasing_id().alias("row_id"), "page_id", "url", F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
-    # ids by position are stable for a written table only
-    names = written(rows.select("row_id", "page_id", "url", "host", F.col("html").alias("html")), "pages-in")
-    blocks = written(names.select("row_id", F.col("html").cast("string")).mapInArrow(_read, "row_id long, place long, text string, elements array<long>"), "pages-blocks")
-    names = names.select("row_id", "page_id", "url", "host")
-    inside = blocks.where(F.size("elements") > 0)
-    content = blocks.groupBy("row_id").agg(F.sum(F.xxhash64("text").cast("decimal(20,0)")).alias("content"))
-    sizes = names.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = inside.select("row_id", F.explode("elements").alias("h")).distinct().join(names.select("row_id", "host"), "row_id").join(content, "row_id")
-    often = seen.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
+    read = rows.mapInArrow(_read, f"row_id long, page_id {kinds['page_id']}, url {kinds['url']}, host string, blocks array<struct<text:string,elements:array<long>>>")
+    # the one copy of the text; row ids are fixed by being written
+    read = written(read, "pages-blocks")
+    elements = read.select("row_id", "host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("content"), F.posexplode(F.transform("blocks", lambda b: b["elements"])).alias("place", "e"))
+    elements = elements.select("row_id", "host", "content", "place", F.explode("e").alias("h"))
+    sizes = read.groupBy("host").agg(F.count("*").alias("pages"))
+    often = elements.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = written(often.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "h"), "pages-templates")
-    gone = inside.select("row_id", "place", F.explode("elements").alias("h")).join(names.select("row_id", "host"), "row_id").join(often, ["host", "h"], "left_semi").select("row_id", "place").distinct()
-    left = blocks.select("row_id", "place", "text").join(gone, ["row_id", "place"], "left_anti")
-    texts = left.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    out = names.join(texts, "row_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    gone = elements.join(often, ["host", "h"], "left_semi").groupBy("row_id").agg(F.collect_set("place").alias("gone"))
+    gone = written(gone, "pages-gone")
+    if gone.count() <= _BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    out = read.join(gone, "row_id", "left")
+    left = F.filter("blocks", lambda b, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    out = out.select("page_id", "url", F.array_join(F.transform(left, lambda b: b["text"]), "\n").alias("text"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
