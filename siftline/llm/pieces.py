@@ -26,6 +26,8 @@ from siftline.llm.common import written
 
 SPACE = "▁"
 FANOUT = 32
+#: segments that a worker keeps, of about 250 bytes each
+_SEGMENTS = 400_000
 _STATE = 1 << 24  # a state is reach * _STATE + piece + 1
 
 
@@ -96,7 +98,12 @@ class Pieces:
         if any(SPACE in s.lstrip(SPACE) for s in self.scores):
             return None
         alone = "" if any("\n" in s for s in self.scores) else "\n"
-        return re.compile(f"{alone}|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        return re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}" if alone else ""))
+
+    @cached_property
+    def _neighbours(self) -> set[str]:
+        """Pairs of characters that stand side by side in some piece."""
+        return {s[k : k + 2] for s in self.ids for k in range(len(s) - 1)}
 
     def _merged(self, s: str, steps: list | None = None) -> list[str]:
         """Merges of a short text, the highest score first and the leftmost of equals."""
@@ -114,6 +121,10 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    @cached_property
+    def _parts_seen(self) -> dict[str, tuple[int, ...]]:
+        return {}
+
     @cached_property
     def _meets(self) -> dict[tuple[str, str], bool]:
         return {}
@@ -134,7 +145,7 @@ class Pieces:
         found = self._meets.get((a, b))
         if found is not None:
             return found
-        if len(self._meets) > 2_000_000:
+        if len(self._meets) > 400_000:
             self._meets.clear()
         if not a.strip(SPACE) or not b.strip(SPACE):
             found = self._merged(a + b) == [a, b]  # runs of spaces tie in score
@@ -213,8 +224,48 @@ class Pieces:
         return out
 
     def segment(self, s: str) -> list[int]:
-        best, _ = self.paths(s, 0, None, len(s), len(s))
-        return self.numbers(self.trace(best, 0, len(s)))
+        """Ids of a text that is entered at its begin and left at its end."""
+        if not self.bpe:
+            best, _ = self.paths(s, 0, None, len(s), len(s))
+            return self.numbers(self.trace(best, 0, len(s)))
+        whole = self.ids.get(s)
+        if whole is not None:
+            return [whole]
+        near = self._neighbours
+        cuts = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in near]
+        if cuts:
+            # no piece reaches over a cut, so what lies between two cuts stands for itself
+            out, parts = [], self._parts_seen
+            for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True):
+                part = s[a:b]
+                ids = parts.get(part)
+                if ids is None:
+                    if len(parts) > 200_000:
+                        parts.clear()
+                    ids = parts[part] = tuple(self.segment(part))
+                out += ids
+            return out
+        # paths() for one entry of a BPE model, whose weights are all 0
+        known, meets, n = self._prefixes, self._meets, len(s)
+        best: list = [None] * (n + 1)
+        best[0] = ""
+        for a in range(n):
+            before = best[a]
+            p = a + 1
+            while p <= n:
+                piece = s[a:p]
+                found = known.get(piece)
+                if found:
+                    if best[p] is None:
+                        ok = meets.get((before, piece)) if before else True
+                        if self.meet(before, piece) if ok is None else ok:
+                            best[p] = piece
+                elif found is None:
+                    if p == a + 1:
+                        best[p] = piece
+                    break
+                p += 1
+        return self.numbers(self.trace(best, 0, n))
 
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -293,8 +344,7 @@ class Pieces:
         """First and last place before n that no piece can reach over."""
         if self.splitter is None:
             return []
-        places = [m.start() for m in self.splitter.finditer(s, 0, n) if m.start() and (s[m.start()] == SPACE or s[m.start()] == "\n")]
-        places = [p for p in places if s[p] == "\n" or s[p - 1] != SPACE]
+        places = [m.start() for m in self.splitter.finditer(s, 0, n) if m.start()]
         return [places[0], places[-1]] if places else []
 
     def _parts(self, s: str) -> list[str]:
@@ -361,11 +411,11 @@ def _cached(path: str):
     def segment(s: str) -> list[int]:
         found = known.get(s)
         if found is None:
-            if len(known) > 1_000_000:
+            if len(known) >= _SEGMENTS:
                 known.clear()
             found = model.segment(s)
             if len(s) <= 64:
-                known[s] = found
+                known[s] = tuple(found)
         return found
 
     def encode_text(text: str) -> list[int]:
@@ -373,13 +423,14 @@ def _cached(path: str):
         if model.splitter is None:
             return segment(s) if s else []
         parts = model.splitter.findall(s)
-        new = set(parts).difference(known)
-        if len(known) + len(new) > 1_000_000:
-            known.clear()
-            new = set(parts)
-        for x in new:
-            known[x] = model.segment(x)
-        return [i for x in parts for i in known[x]]
+        new = {x: tuple(model.segment(x)) for x in set(parts).difference(known)}
+        if len(known) + len(new) <= _SEGMENTS:
+            known.update(new)
+            return [i for x in parts for i in known[x]]
+        # full: this text's own come first, then begin anew
+        out = [i for x in parts for i in (new.get(x) or known[x])]
+        known.clear()
+        return out
 
     return model, segment, encode_text
 
