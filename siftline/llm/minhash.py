@@ -9,14 +9,13 @@ Texts with equal shingle sets form one node. Nodes meet in 40 bands of 6 coordin
 (a pair of likeness 0.8 is missed with probability below 1e-5). Every node is first
 compared with the least node of its best band, then with that of its other bands, and
 after components are known the nodes of a band that still belong to different
-components are compared with each other, unless the shingles that a node shares with no
-other node rule a link out. So no group of copies is expanded into all
+components are compared with each other if they share one of their rarest shingles. So no group of copies is expanded into all
 pairs, and every link between two components is confirmed on the full sets.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm import bytetext
@@ -98,6 +97,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
+def _across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) -> pairs (a, b) of different roots that can be alike enough.
+
+    With all shingles in one order, the rarest first, two nodes alike enough share one of their first
+    n - ceil(percent * n / 100) + 1 shingles, and the first one shared leaves room for the overlap needed. Of the nodes
+    of a shingle only those outside of its commonest root look for partners, so that a large component is not
+    paired with itself.
+    """
+    own = sets.join(nodes, "node").select("node", "root", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("h"))
+    own = own.withColumn("df", F.count("*").over(Window.partitionBy("h")))
+    own = own.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))
+    first = written(own.where(f"i <= n - ({percent} * n + 99) div 100 + 1 AND df > 1").select("h", "node", "root", "n", "i"), "minhash-first")
+    common = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
+    first = written(first.join(written(common, "minhash-common"), "h"), "minhash-first")
+    one = first.where("root <> main").select("h", *[F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "i")])
+    two = first.select("h", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "i")])
+    room = "(1 + least(n1 - i1, n2 - i2))"
+    pairs = one.join(two, "h").where(f"root1 <> root2 AND 100 * {room} >= {percent} * (n1 + n2 - {room})")
+    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row of docs.
 
@@ -153,14 +173,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     roots = components(links)
 
     # nodes that meet in a band and are still apart
-    placed = rows.join(roots, "node", "left").select("key", "node", "n", "most", F.coalesce("root", "node").alias("root"))
+    placed = rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    placed = written(placed.join(open_keys, "key", "left_semi"), "minhash-apart")
-    one, two = (placed.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("node", "root", "n", "most")]) for k in (1, 2))
-    pairs = one.join(two, "key").where("root1 < root2 AND " + may_link("n1", "most1", "n2", "most2")).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    tried = best.select("a", "b").union(heads.select(F.col("head").alias("a"), F.col("node").alias("b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = written(links.union(_confirmed(pairs, sets, percent)), "minhash-links")
+    apart_nodes = written(placed.join(open_keys, "key", "left_semi").select("node", "root").distinct(), "minhash-apart")
+    links = written(links.union(_confirmed(_across(apart_nodes, sets, percent), sets, percent)), "minhash-links")
     roots = components(links)
 
     named = nodes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("component_id"))
