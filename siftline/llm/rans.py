@@ -17,10 +17,14 @@ steps that follow it can be decoded without those before. All blocks share one f
 table, scaled to 2^20, made from the counts of every id of every document.
 """
 
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -127,8 +131,8 @@ def _tokenise(make: Callable[[], Callable[[list], list]], end_id: int, vocabular
         encode_texts = make()
         counts, seen = np.zeros(vocabulary, np.int64), False
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
                 found = [np.append(i, end_id) for i in encode_texts(part.column(1).fill_null("").to_pylist())]
                 counts += np.bincount(np.concatenate(found), minlength=vocabulary)
                 seen = True
@@ -224,31 +228,74 @@ def _begins(keys: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(sums), "part").select("uid", (F.col("before") + F.col("inside")).alias("start"))
 
 
-def word_bpe(path: str) -> Callable[[], Callable[[list], list]]:
-    """make() for a tokenizers file whose pre-tokenizer never joins characters across ASCII white space.
+#: what may be encoded by itself: ASCII letters, one digit, ASCII punctuation; words with other bytes,
+#: apostrophes or what may begin a special token stay whole
+_PIECES = re.compile(rb"[^ \t-\r]*(?:[\x80-\xff']|<\|)[^ \t-\r]*|[A-Za-z]+|[0-9]|[^A-Za-z0-9 \t-\r]+")
 
-    Each word between such space is encoded once per batch of texts and kept for later batches.
-    """
 
-    def make():
-        import os
+class _WordTable:
+    """Ids of the words seen so far by this worker, one after the other in one array."""
 
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[bytes, list[int]] = {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.begins, self.pool = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Words of one part each go to the library in lines of 2000; the id that ends a word shows where they part."""
+        lines = [b" ".join(words[k : k + 2000]).decode() for k in range(0, len(words), 2000)]
+        ids = [i for line in self._encode(lines) for i in line]
+        cuts = np.flatnonzero(self.ends_word[ids]) + 1 if ids else []
+        if len(cuts) != len(words):
+            return self._encode([w.decode() for w in words])
+        return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def add(self, words: list[bytes]) -> None:
+        plain = [w for w in words if w.isascii() and b"'" not in w and b"<|" not in w]
+        words = plain + sorted(set(words).difference(plain))
+        found = self._encode_words(plain) + self._encode([w.decode() for w in words[len(plain) :]])
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+        self.pool = np.concatenate([self.pool, np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum()))])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [_PIECES.findall(t.encode()) for t in texts]
+        new = {w for words in split for w in words}.difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.forget()
+            new = {w for words in split for w in words}
+        if new:
+            self.add(sorted(new))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        sizes = self.begins[k + 1] - self.begins[k]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.begins[k] - ends[:-1], sizes)]
+        return np.split(ids, ends[np.cumsum(counts)[:-1]]) if len(split) else []
+
+
+@lru_cache(2)
+def _word_table(path: str) -> _WordTable:
+    """Kept by a worker for its later tasks."""
+    return _WordTable(path)
 
-        def encode_texts(texts: list[str]) -> list[np.ndarray]:
-            split = [t.encode().split() for t in texts]  # bytes: at ASCII white space only
-            new = list({w for words in split for w in words} - known.keys())
-            if len(known) + len(new) > 1_000_000:
-                known.clear()
-                new = list({w for words in split for w in words})
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = e.ids
-            return [np.array([i for w in words for i in known[w]], np.int64) for words in split]
 
-        return encode_texts
+def word_bpe(path: str) -> Callable[[], Callable[[list], list]]:
+    """make() for a tokenizers file that parts letters, digits, punctuation and white space before it looks for pairs.
 
-    return make
+    The library encodes each distinct word once; the ids of a text are those of its words.
+    """
+    return lambda: _word_table(path).encode
