@@ -32,10 +32,10 @@ def _sample(k: int) -> Column:
     return F.min(F.shiftleft(((ln_a + 100.0) * 16777216.0).cast("long"), 24).bitwiseOR(identity))
 
 
-def samples(terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, term long) rows, one per occurrence -> keys, s (array of SAMPLES longs), least (the least term)."""
-    counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("w")).withColumn("ln_w", F.when(F.col("w") == 1, 0.0).otherwise(F.ln("w")))
-    sampled = counted.groupBy(*keys).agg(*[_sample(k).alias(f"s{k}") for k in range(SAMPLES)], F.min("term").alias("least"))
+def samples(weights: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, term long, w) rows, one per term -> keys, s (array of SAMPLES longs), least (the least term)."""
+    rows = weights.withColumn("ln_w", F.when(F.col("w") == 1, 0.0).otherwise(F.ln("w")))
+    sampled = rows.groupBy(*keys).agg(*[_sample(k).alias(f"s{k}") for k in range(SAMPLES)], F.min("term").alias("least"))
     return sampled.select(*keys, F.array(*[f"s{k}" for k in range(SAMPLES)]).alias("s"), "least")
 
 
@@ -50,11 +50,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same)
 
 
+_LETTER = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
+
+
 def words_of(text: Column) -> Column:
-    """Words (A-Z lower-cased, empty ones among them); a text without words is one word itself."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    some = text.rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")
-    return F.when(some, F.split(low, WORD_BREAKS)).otherwise(F.array(text))
+    """Words (A-Z lower-cased), empty ones among them."""
+    return F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), WORD_BREAKS)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -97,20 +98,34 @@ def compared(docs: DataFrame) -> DataFrame:
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring("next_text", F.lit(1), third))
     rows = rows.withColumn("edited", F.when(F.col("extra") == 0, edited))
+    # both texts begin alike: the words up to the last break before the edit are counted once for both
+    common = F.regexp_extract(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), r"(?s)\A(.*[\x00-\x2F\x3A-\x60\x7B-\x7F])", 1)
+    rows = rows.withColumn("common", F.when(F.col("text").rlike(_LETTER) & F.coalesce(F.col("edited").rlike(_LETTER), F.lit(False)), common).otherwise(""))
+    begin = F.char_length("common") + 1
     # one lineage from here on: what else a row has to say goes along as terms of its own kinds
-    sha = F.sha2("edited", 256)
     facts = [F.col("extra"), F.col("n_chars"), F.coalesce("doc_id", F.lit(-(1 << 63))), *[F.conv(F.substring("_sha", 15 * k + 1, 15), 16, 10) for k in range(5)]]
-    rows = rows.withColumn("_sha", F.coalesce(sha, F.lit("0" * 64)))
-    kinds = [F.struct(F.lit(0).alias("which"), F.lit(None).cast("string").alias("fact")), F.struct(F.lit(1).alias("which"), F.lit(None).cast("string").alias("fact"))]
-    kinds += [F.struct(F.lit(2 + k).alias("which"), f.cast("string").alias("fact")) for k, f in enumerate(facts)]
-    rows = rows.select("part", "rn", "text", "edited", F.explode(F.array(*kinds)).alias("x"))
-    word = F.when(F.col("x.which") == 0, words_of(F.col("text"))).when(F.col("x.which") == 1, words_of(F.coalesce("edited", F.lit("")))).otherwise(F.array("x.fact"))
-    terms = rows.select("part", "rn", F.col("x.which").alias("which"), F.explode(word).alias("word")).where("word <> ''")
-    terms = terms.select("part", "rn", "which", F.when(F.col("which") < 2, F.xxhash64("word")).otherwise(F.expr("try_cast(word AS bigint)")).alias("term"))
-    s = samples(terms, ["part", "rn", "which"])
-    fact = [F.max(F.when(F.col("which") == 2 + k, F.col("least"))).alias(f"f{k}") for k in range(len(facts))]
-    own = [F.first(F.when(F.col("which") == k, F.col("s")), True).alias(f"s{k}") for k in (0, 1)]
-    out = s.groupBy("part", "rn").agg(*own, *fact)
+    rows = rows.withColumn("_sha", F.coalesce(F.sha2("edited", 256), F.lit("0" * 64)))
+    part_of = lambda c: F.substring(c, begin, F.lit(2147483647))
+    own = F.when(F.col("text").rlike(_LETTER), words_of(part_of("text"))).otherwise(F.array("text"))
+    new = F.when(F.col("edited").rlike(_LETTER), words_of(part_of("edited"))).otherwise(F.array(F.coalesce("edited", F.lit(""))))
+    rows = rows.select("part", "rn", "text", "edited", "common", F.array(*[f.cast("string") for f in facts]).alias("facts"), F.explode(F.sequence(F.lit(0), F.lit(2 + len(facts)))).alias("kind"))
+    word = F.when(F.col("kind") == 0, own).when(F.col("kind") == 1, new).when(F.col("kind") == 2, words_of(F.col("common"))).otherwise(F.array(F.get("facts", F.col("kind") - 3)))
+    terms = rows.select("part", "rn", "kind", F.explode(word).alias("word")).where("word <> ''")
+    group = F.greatest(F.col("kind") - 2, F.lit(0))
+    terms = terms.select("part", "rn", group.alias("fact"), "kind", F.when(F.col("kind") < 3, F.xxhash64("word")).otherwise(F.expr("try_cast(word AS bigint)")).alias("term"))
+    count = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), 1).otherwise(0))
+    counted = terms.groupBy("part", "rn", "fact", "term").agg(count(0, 2).alias("w0"), count(1, 2).alias("w1"))
+    # a term of equal weight in both texts has the same samples there: it stands in a group for both (2)
+    in_groups = F.when(F.col("fact") > 0, F.array(F.struct((F.col("fact") + 2).alias("which"), F.lit(1).cast("bigint").alias("w"))))
+    in_groups = in_groups.when(F.col("w0") == F.col("w1"), F.array(F.struct(F.lit(2).alias("which"), F.col("w0").alias("w")))).when(F.col("w1") == 0, F.array(F.struct(F.lit(0).alias("which"), F.col("w0").alias("w")))).when(F.col("w0") == 0, F.array(F.struct(F.lit(1).alias("which"), F.col("w1").alias("w"))))
+    in_groups = in_groups.otherwise(F.array(F.struct(F.lit(0).alias("which"), F.col("w0").alias("w")), F.struct(F.lit(1).alias("which"), F.col("w1").alias("w"))))
+    weights = counted.select("part", "rn", "term", F.explode(in_groups).alias("g")).select("part", "rn", "term", "g.which", "g.w")
+    s = samples(weights, ["part", "rn", "which"])
+    fact = [F.max(F.when(F.col("which") == 3 + k, F.col("least"))).alias(f"f{k}") for k in range(len(facts))]
+    by_group = [F.first(F.when(F.col("which") == k, F.col("s")), True).alias(f"g{k}") for k in (0, 1, 2)]
+    out = s.groupBy("part", "rn").agg(*by_group, *fact)
+    both = lambda k: F.when(F.col("g2").isNull(), F.col(f"g{k}")).when(F.col(f"g{k}").isNull(), F.col("g2")).otherwise(F.zip_with(f"g{k}", "g2", lambda x, y: F.least(x, y)))
+    out = out.withColumns({"s0": both(0), "s1": both(1)})
     out = out.withColumn("next_s", F.lead("s0").over(Window.partitionBy("part").orderBy("rn"))).where("f0 = 0")
     digits = [F.lpad(F.lower(F.hex(f"f{3 + k}")), 15 if k < 4 else 4, "0") for k in range(5)]
     doc_id = F.when(F.col("f2") != -(1 << 63), F.col("f2"))
