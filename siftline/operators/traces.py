@@ -62,12 +62,13 @@ def parent_cycle_spans(spans: DataFrame, keep: Callable[[DataFrame], DataFrame]
 
     Only spans with a parent and a child in the request and trace can be on one, so the others are peeled off; then each
     round doubles the reach of every span's pointer, until it covers the largest trace left. keep (such as
-    DataFrame.checkpoint) cuts the lineage between rounds. Spans with repeated or invalid ids are left out.
+    DataFrame.checkpoint) cuts the lineage between rounds; without a checkpoint folder rounds are persisted. Spans with repeated or invalid ids are left out.
     """
-    keep = keep or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df)
+    keep = keep or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist())
     key = ["request_id", "trace_id"]
     unique = duplicate_span_ids(spans).where(valid_id(F.col("trace_id"), 16) & valid_id(F.col("span_id"), 8) & ~F.col("duplicate_span"))
     edges = unique.where(valid_id(F.col("parent_span_id"), 8)).select(*key, F.col("span_id").alias("node"), F.col("parent_span_id").alias("to"))
+    edges = keep(edges)
     for _ in range(2):
         # unresolved parents and childless spans go
         edges = edges.join(edges.select(*key, F.col("node").alias("to")), [*key, "to"], "left_semi").select(*key, "node", "to")
