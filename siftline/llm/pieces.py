@@ -17,17 +17,17 @@ each chunk is encoded on its own between two known states.
 import re
 from functools import cached_property, lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.llm.common import written
 
 SPACE = "▁"
 FANOUT = 32
 #: segments that a worker keeps, of about 250 bytes each
-_SEGMENTS = 400_000
+_SEGMENTS = 150_000
 _STATE = 1 << 24  # a state is reach * _STATE + piece + 1
 
 
@@ -87,6 +87,22 @@ class Pieces:
         out = {s[:k]: False for s in self.ids for k in range(1, len(s))}
         return out | dict.fromkeys(self.ids, True)
 
+    @cached_property
+    def _tree(self) -> dict:
+        """Pieces by their characters; what a node stands for lies under the empty text."""
+        root: dict = {}
+        for s in self.ids:
+            node = root
+            for c in s:
+                node = node.setdefault(c, {})
+            node[""] = s
+        return root
+
+    @cached_property
+    def _runs(self) -> frozenset[str]:
+        """Runs of spaces; they tie in score."""
+        return frozenset(s for s in self.ids if not s.strip(SPACE))
+
     @cached_property
     def _lowest(self) -> float:
         """Weight of a character without a piece."""
@@ -145,10 +161,10 @@ class Pieces:
         found = self._meets.get((a, b))
         if found is not None:
             return found
-        if len(self._meets) > 400_000:
+        if len(self._meets) > _SEGMENTS:
             self._meets.clear()
-        if not a.strip(SPACE) or not b.strip(SPACE):
-            found = self._merged(a + b) == [a, b]  # runs of spaces tie in score
+        if a in self._runs or b in self._runs:
+            found = self._merged(a + b) == [a, b]
         else:
             halves, scores = self._halves, self.scores
             x, y, limit = a, b, None  # limit: (score, strict) that a merge over the border must beat
@@ -240,31 +256,29 @@ class Pieces:
                 part = s[a:b]
                 ids = parts.get(part)
                 if ids is None:
-                    if len(parts) > 200_000:
+                    if len(parts) > _SEGMENTS // 2:
                         parts.clear()
                     ids = parts[part] = tuple(self.segment(part))
                 out += ids
             return out
         # paths() for one entry of a BPE model, whose weights are all 0
-        known, meets, n = self._prefixes, self._meets, len(s)
+        root, meets, n = self._tree, self._meets, len(s)
         best: list = [None] * (n + 1)
         best[0] = ""
         for a in range(n):
-            before = best[a]
-            p = a + 1
-            while p <= n:
-                piece = s[a:p]
-                found = known.get(piece)
-                if found:
-                    if best[p] is None:
-                        ok = meets.get((before, piece)) if before else True
-                        if self.meet(before, piece) if ok is None else ok:
-                            best[p] = piece
-                elif found is None:
-                    if p == a + 1:
-                        best[p] = piece
+            before, node, p = best[a], root, a
+            while p < n:
+                node = node.get(s[p])
+                if node is None:
                     break
                 p += 1
+                piece = node.get("")
+                if piece and best[p] is None:
+                    ok = meets.get((before, piece)) if before else True
+                    if self.meet(before, piece) if ok is None else ok:
+                        best[p] = piece
+            if best[a + 1] is None:
+                best[a + 1] = s[a]  # a character without a piece
         return self.numbers(self.trace(best, 0, n))
 
     def normal(self, text: str) -> str:
@@ -527,14 +541,18 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """Rows of encode -> the same with a column decoded: the text of the pieces that begin in the chunk.
+    """Rows of encode -> the same with a last column decoded: the text of the pieces that begin in the chunk.
 
     The decoded chunks of a document, joined in order, are its text (U+2581 reads as a space). A null ids is empty.
     """
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series, chunk: pd.Series) -> pd.Series:
+    def run(batches):
         model, _ = _loaded(model_path)
-        return pd.Series([model.decode([] if i is None else i.tolist(), c == 0) for i, c in zip(ids, chunk, strict=True)], dtype=object)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                ids, chunks = part.column("ids").to_pylist(), part.column("chunk").to_pylist()
+                decoded = pa.array([model.decode(i or [], c == 0) for i, c in zip(ids, chunks, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
 
-    return encoded.withColumn("decoded", text("ids", "chunk"))
+    return encoded.mapInArrow(run, T.StructType([*(f for f in encoded.schema if f.name != "decoded"), T.StructField("decoded", T.StringType())]))

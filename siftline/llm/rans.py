@@ -236,7 +236,7 @@ _PIECES = re.compile(rb"[^ \t-\r]*(?:[\x80-\xff']|<\|)[^ \t-\r]*|[A-Za-z]+|[0-9]
 class _WordTable:
     """Ids of the words seen so far by this worker, one after the other in one array."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
