@@ -228,9 +228,13 @@ def _begins(keys: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(sums), "part").select("uid", (F.col("before") + F.col("inside")).alias("start"))
 
 
-#: what may be encoded by itself: ASCII letters, one digit, ASCII punctuation; words with other bytes,
-#: apostrophes or what may begin a special token stay whole
-_PIECES = re.compile(rb"[^ \t-\r]*(?:[\x80-\xff']|<\|)[^ \t-\r]*|[A-Za-z]+|[0-9]|[^A-Za-z0-9 \t-\r]+")
+#: parts of an ASCII word without apostrophes: letters, one digit, anything else
+_PARTS = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+
+
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """At least n cells, by doubling."""
+    return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)])
 
 
 class _WordTable:
@@ -248,31 +252,39 @@ class _WordTable:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.begins, self.pool = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.begins, self.pool, self.words = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Words of one part each go to the library in lines of 2000; the id that ends a word shows where they part."""
+        """ASCII words go to the library in lines of 2000. Their parts are counted, and an id that ends a part
+        says so, which shows where the words part."""
         lines = [b" ".join(words[k : k + 2000]).decode() for k in range(0, len(words), 2000)]
         ids = [i for line in self._encode(lines) for i in line]
-        cuts = np.flatnonzero(self.ends_word[ids]) + 1 if ids else []
-        if len(cuts) != len(words):
+        ends = np.flatnonzero(self.ends_word[ids]) + 1 if ids else np.zeros(0, np.int64)
+        last = np.cumsum([len(_PARTS.findall(w)) for w in words])
+        if not len(words) or last[-1] != len(ends):
             return self._encode([w.decode() for w in words])
+        cuts = ends[last - 1].tolist()
         return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def add(self, words: list[bytes]) -> None:
-        plain = [w for w in words if w.isascii() and b"'" not in w and b"<|" not in w]
+        plain = [w for w in words if w.isascii() and b"'" not in w and b"<|" not in w and _PARTS.match(w)]
         words = plain + sorted(set(words).difference(plain))
         found = self._encode_words(plain) + self._encode([w.decode() for w in words[len(plain) :]])
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum()))])
+        used = int(self.begins[self.words])
+        self.begins = _room(self.begins, self.words + 1 + len(found))
+        self.begins[self.words + 1 : self.words + 1 + len(found)] = used + np.cumsum(sizes)
+        self.words += len(found)
+        total = int(sizes.sum())
+        self.pool = _room(self.pool, used + total)
+        self.pool[used : used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_PIECES.findall(t.encode()) for t in texts]
+        split = [t.encode().split() for t in texts]  # bytes: at ASCII white space only
         new = {w for words in split for w in words}.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.forget()
@@ -284,7 +296,7 @@ class _WordTable:
         sizes = self.begins[k + 1] - self.begins[k]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.pool[np.arange(ends[-1]) + np.repeat(self.begins[k] - ends[:-1], sizes)]
-        return np.split(ids, ends[np.cumsum(counts)[:-1]]) if len(split) else []
+        return np.split(ids.astype(np.int64), ends[np.cumsum(counts)[:-1]]) if len(split) else []
 
 
 @lru_cache(2)
