@@ -42,3 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def learnable(doc_id: Column) -> Column:
     """True for the four fifths of ids that a model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
+
+
+def released(batches):
+    """The batches of a task; after the last one Arrow gives back the memory that it holds in store."""
+    import pyarrow as pa
+
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.common import written
+from siftline.llm.common import released, written
 
 SPACE = "▁"
 FANOUT = 32
@@ -419,6 +419,16 @@ def _loaded(path: str) -> tuple[Pieces, dict[str, list[int]]]:
     return Pieces(path), {}
 
 
+def _rested(batches, path: str):
+    """The batches of a task; a worker that waits for its next task keeps the model, not the segments."""
+    try:
+        yield from released(batches)
+    finally:
+        model, known = _loaded(path)
+        for seen in (known, model._meets, model._parts_seen):
+            seen.clear()
+
+
 def _cached(path: str):
     model, known = _loaded(path)
 
@@ -473,7 +483,7 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
         model, _, encode_text = _cached(model_path)
         if model.longest > longest:
             raise ValueError("a piece of the model is longer than the context of a chunk")
-        for batch in batches:
+        for batch in _rested(batches, model_path):
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 out = [encode_text(t) for t in part.column("text").to_pylist()]
@@ -500,7 +510,7 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
 
     def matrices(batches):
         model, _, _ = _cached(model_path)
-        for batch in batches:
+        for batch in _rested(batches, model_path):
             for row in batch.to_pylist():
                 context, s, n = texts(row, model)
                 yield pa.RecordBatch.from_pylist([{"row_id": row["row_id"], "chunk": row["chunk"], "m": _pack(model.matrix(context, s, n, row["final"]))}], schema=pa.schema([("row_id", pa.int64()), ("chunk", pa.int64()), ("m", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])))]))
@@ -530,7 +540,7 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
 
     def chunks(batches):
         model, segment, _ = _cached(model_path)
-        for batch in batches:
+        for batch in _rested(batches, model_path):
             for row in batch.to_pylist():
                 _, s, n = texts(row, model)
                 ids = model.between(s, n, row["entry"], row["leave"], row["final"], segment)
@@ -548,7 +558,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         model, _ = _loaded(model_path)
-        for batch in batches:
+        for batch in released(batches):
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 ids, chunks = part.column("ids").to_pylist(), part.column("chunk").to_pylist()
