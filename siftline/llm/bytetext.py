@@ -47,7 +47,7 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def groups(offsets: np.ndarray, most_bytes: int = 4 << 20, most_texts: int = 4096):
+def groups(offsets: np.ndarray, most_bytes: int = 1 << 20, most_texts: int = 4096):
     """Runs (low, high) of whole texts of at most so many bytes; one long text is a run of its own."""
     low, n = 0, len(offsets) - 1
     while low < n:
