@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,16 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted(((r["doc_id"] or 0), (r["component_id"] or 0), r["kept"]) for r in out) == [(0, 0, True), (4, 4, True), (5, 4, False), (5, 4, False)]
 
 
+def test_near_duplicates_without_a_band(spark):
+    """Pairs of likeness 0.8 (40 of 50 words) that share none of the 40 bands are linked."""
+    words = lambda s, kind, n: [f"w{s}{kind}{i}" for i in range(n)]
+    docs = [(2 * k + j, " ".join(words(s, "c", 40) + words(s, kind, 5))) for k, s in enumerate((8771, 14251, 15095, 20259)) for j, kind in enumerate("ab")]
+    bands = [set(b) for batch in minhash._sketch(1, 80)([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in docs])]) for b in batch.column("bands").to_pylist()]
+    assert not any(bands[i] & bands[i + 1] for i in range(0, 8, 2))
+    out = minhash.near_duplicates(spark.createDataFrame(docs, DOC), shingle_words=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: i // 2 * 2 for i, _ in docs}
+
+
 def test_signature_coordinates_are_shifts():
     ring, _ = minhash._tables()
     h = np.arange(1, 2000, dtype=np.uint64)
