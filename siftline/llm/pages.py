@@ -127,11 +127,11 @@ def _read(batches):
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("row_id", "page_id", "url", "host")], pa.array(blocks, pa.list_(block))], names=["row_id", "page_id", "url", "host", "blocks"])
 
 
-def main_text(pages: DataFrame, min_pages: int = 20, min_share: float = 0.2) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = 3, min_share: float = 0.2) -> DataFrame:
     """(page_id, url, html) -> page_id, url, text, n_chars, one row per row of pages.
 
-    A subtree goes where it recurs on min_pages pages of its host with different text, and on min_share
-    of the host's pages. Null and empty pages, and pages of furniture alone, have an empty text. A null or
+    Of a host's pages with equal text one counts. A subtree goes where it recurs on min_share of these pages,
+    and on min_pages of them at least: two pages are not told from copies. Null and empty pages, and pages of furniture alone, have an empty text. A null or
     odd url counts as a host of its own (the empty one). Other columns are ignored.
     """
     rows = pages.select(F.monotonically_increasing_id().alias("row_id"), "page_id", "url", F.col("html").cast("string").alias("html"))
@@ -142,7 +142,7 @@ def main_text(pages: DataFrame, min_pages: int = 20, min_share: float = 0.2) ->
     read = written(read, "pages-blocks")
     elements = read.select("row_id", "host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("content"), F.posexplode(F.transform("blocks", lambda b: b["elements"])).alias("place", "e"))
     elements = elements.select("row_id", "host", "content", "place", F.explode("e").alias("h"))
-    sizes = read.groupBy("host").agg(F.count("*").alias("pages"))
+    sizes = read.select("host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("content")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
     often = elements.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = written(often.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "h"), "pages-templates")
     gone = elements.join(often, ["host", "h"], "left_semi").groupBy("row_id").agg(F.collect_set("place").alias("gone"))

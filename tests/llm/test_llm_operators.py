@@ -331,6 +331,16 @@ def test_site_templates(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_site_templates_of_small_hosts(spark):
+    """One rule for all hosts: a fifth of the pages with different text, and three at least."""
+    page = lambda k, top=True: f"<body>{'<div id=x><p>Welcome</p></div>' if top else ''}<div><p>text {k}</p></div></body>"
+    rows = [(f"h{n}", k, page(k)) for n in (2, 3, 15, 25) for k in range(n)]
+    rows += [("few", k, page(k, k < 4)) for k in range(25)] + [("copies", k, page(min(k, 4), k > 1)) for k in range(40)]
+    got = {r["url"]: r["text"] for r in pages.main_text(spark.createDataFrame([(k, f"http://{h}/{k}", p) for h, k, p in rows], "page_id long, url string, html string")).collect()}
+    assert [got[f"http://h{n}/1"] for n in (2, 3, 15, 25)] == ["Welcome\ntext 1", "text 1", "text 1", "text 1"]
+    assert got["http://few/1"] == "Welcome\ntext 1" and got["http://copies/3"] == "text 3"
+
+
 def test_revisits(spark):
     schema = "record_id long, url string, at long, kind string, etag string, last_modified string, headers map<string,string>"
     r = random.Random(8)
