@@ -3,8 +3,8 @@
 A page is read into blocks (runs of text between block-level tags) and the elements they
 lie in. Elements that are page furniture by tag, role or class go at once. For the rest the
 hashes of their subtrees are counted per host in Spark, and subtrees that recur on
-many pages of a host with different content go too. Prose elements inside an article are
-never deleted for recurring: copied articles share them.
+many pages of a host with different content go too. Prose elements inside an article go
+only where the page has more text that does not recur: copied articles share most of theirs.
 """
 
 import html
@@ -48,8 +48,8 @@ def _marks(attributes: str) -> tuple[bool, str]:
     return bool(words & WORDS) or role in ROLES, role
 
 
-def blocks_of(page: str) -> list[tuple[str, list[int], bool, bool]]:
-    """(text, hashes of the elements around it from the outermost that may go, inside an article, is prose) of a page's blocks.
+def blocks_of(page: str) -> list[tuple[str, list[int], bool, bool, list[int]]]:
+    """(text, hashes of the elements around it from the outermost that may go, inside an article, is prose, hashes of its prose elements inside an article) of a page's blocks.
 
     Where a page has an article or main element outside of furniture, only their blocks are returned.
     """
@@ -115,15 +115,20 @@ def blocks_of(page: str) -> list[tuple[str, list[int], bool, bool]]:
     while stack:
         close()
     kept = [d for d in done if d[2]] or [d for d in done if d[3]] or done
-    return [(d[0], [e[5] for e in d[1] if not (e[0] in PROSE and (d[2] or d[3])) and e[0] not in ("html", "body", "article", "main")], d[2] or d[3], d[4]) for d in kept]
+    out = []
+    for text, around, article, main, prose in kept:
+        inside = article or main
+        may_go = [e for e in around if e[0] not in ("html", "body", "article", "main")]
+        out.append((text, [e[5] for e in may_go if not (inside and e[0] in PROSE)], inside, prose, [e[5] for e in may_go if inside and e[0] in PROSE]))
+    return out
 
 
 def _read(batches):
-    block = pa.struct([("text", pa.large_string()), ("elements", pa.list_(pa.int64()))])
+    block = pa.struct([("text", pa.large_string()), ("elements", pa.list_(pa.int64())), ("prose", pa.list_(pa.int64()))])
     for batch in batches:
         for low in range(0, batch.num_rows, 256):
             part = batch.slice(low, 256)
-            blocks = [[{"text": text, "elements": elements} for text, elements, _, _ in blocks_of(page or "")] for page in part.column("html").to_pylist()]
+            blocks = [[{"text": text, "elements": elements, "prose": prose} for text, elements, _, _, prose in blocks_of(page or "")] for page in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("row_id", "page_id", "url", "host")], pa.array(blocks, pa.list_(block))], names=["row_id", "page_id", "url", "host", "blocks"])
 
 
@@ -131,21 +136,29 @@ def main_text(pages: DataFrame, min_pages: int = 3, min_share: float = 0.2) -> D
     """(page_id, url, html) -> page_id, url, text, n_chars, one row per row of pages.
 
     Of a host's pages with equal text one counts. A subtree goes where it recurs on min_share of these pages,
-    and on min_pages of them at least: two pages are not told from copies. Null and empty pages, and pages of furniture alone, have an empty text. A null or
+    and on min_pages of them at least: two pages are not told from copies. Prose
+    elements inside an article are counted alike, but stay where they hold half of the page's text or more. Null and empty pages, and pages of furniture alone, have an empty text. A null or
     odd url counts as a host of its own (the empty one). Other columns are ignored.
     """
     rows = pages.select(F.monotonically_increasing_id().alias("row_id"), "page_id", "url", F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    read = rows.mapInArrow(_read, f"row_id long, page_id {kinds['page_id']}, url {kinds['url']}, host string, blocks array<struct<text:string,elements:array<long>>>")
+    read = rows.mapInArrow(_read, f"row_id long, page_id {kinds['page_id']}, url {kinds['url']}, host string, blocks array<struct<text:string,elements:array<long>,prose:array<long>>>")
     # the one copy of the text; row ids are fixed by being written
     read = written(read, "pages-blocks")
-    elements = read.select("row_id", "host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("content"), F.posexplode(F.transform("blocks", lambda b: b["elements"])).alias("place", "e"))
-    elements = elements.select("row_id", "host", "content", "place", F.explode("e").alias("h"))
-    sizes = read.select("host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("content")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    content = F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("content")
+    block = F.struct(F.concat("b.elements", "b.prose").alias("e"), F.size("b.elements").alias("sure"), F.char_length("b.text").alias("chars"))
+    elements = read.select("row_id", "host", content, F.posexplode("blocks").alias("place", "b")).select("row_id", "host", "content", "place", block.alias("b"))
+    elements = elements.select("row_id", "host", "content", "place", "b.sure", "b.chars", F.posexplode("b.e").alias("i", "h"))
+    sizes = read.select("host", content).distinct().groupBy("host").agg(F.count("*").alias("pages"))
     often = elements.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = written(often.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "h"), "pages-templates")
-    gone = elements.join(often, ["host", "h"], "left_semi").groupBy("row_id").agg(F.collect_set("place").alias("gone"))
+    # per block: does an element of the page go, or only prose of an article
+    gone = elements.join(often, ["host", "h"], "left_semi").groupBy("row_id", "place").agg(F.max(F.col("i") < F.col("sure")).alias("sure"), F.any_value("chars").alias("chars"))
+    doubt = F.coalesce(F.sum(F.when(~F.col("sure"), F.col("chars"))), F.lit(0)).alias("doubt")
+    gone = gone.groupBy("row_id").agg(F.collect_set(F.when(F.col("sure"), F.col("place"))).alias("gone"), F.collect_set(F.when(~F.col("sure"), F.col("place"))).alias("prose"), doubt)
+    chars = read.select("row_id", F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.char_length(b["text"])).alias("chars"))
+    gone = gone.join(chars, "row_id").select("row_id", F.when(2 * F.col("doubt") < F.col("chars"), F.concat("gone", "prose")).otherwise(F.col("gone")).alias("gone"))
     gone = written(gone, "pages-gone")
     if gone.count() <= _BROADCAST_ROWS:
         gone = F.broadcast(gone)

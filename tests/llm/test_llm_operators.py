@@ -341,6 +341,15 @@ def test_site_templates_of_small_hosts(spark):
     assert got["http://few/1"] == "Welcome\ntext 1" and got["http://copies/3"] == "text 3"
 
 
+def test_templates_in_articles(spark):
+    """Boilerplate in plain elements of an article goes; copied articles with small edits keep their text."""
+    page = lambda k: f"<article><h1>Head {k}</h1><p>{prose(k, 40)}</p><p>Read us daily.</p><ul><li>Write to us<li>all rights {k}</ul></article>"
+    copy = lambda k: f"<article><h1>Head</h1><p>{prose(7, 40)}</p><p>edit {k}</p></article>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(6)] + [(10 + k, f"http://b.example/{k}", copy(k)) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == f"Head 2\n{prose(2, 40)}\nall rights 2" and got[12] == f"Head\n{prose(7, 40)}\nedit 2"
+
+
 def test_revisits(spark):
     schema = "record_id long, url string, at long, kind string, etag string, last_modified string, headers map<string,string>"
     r = random.Random(8)
