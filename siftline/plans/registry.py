@@ -520,6 +520,19 @@ def common_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.common_identity(rows, "batch").select("batch", F.col("identity")["cloud.region"].alias("region"))
 
 
+@query("""
+SELECT CASE WHEN ascii(right(source, 1)) % 2 = 0 THEN lang ELSE 'any' END || '-' || CAST(doc_id // 40 AS VARCHAR) AS batch, count(*) AS n,
+  CASE WHEN count(lang) = count(*) AND min(lang) = max(lang) THEN min(lang) END AS region FROM documents GROUP BY batch
+""")
+def common_identity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: for some sources a batch holds one language, for the others several."""
+    d = table(spark, sf_dir, "documents")
+    head = F.when(F.ascii(F.right("source", F.lit(1))) % 2 == 0, F.col("lang")).otherwise("any")
+    rows = d.select(F.concat_ws("-", head, F.expr("doc_id div 40").cast("string")).alias("batch"), F.array(F.struct(F.lit("cloud.region").alias("key"), F.col("lang").alias("value"))).alias("resource_attrs"))
+    sizes = rows.groupBy("batch").agg(F.count("*").alias("n"))
+    return envelopes.common_identity(rows, "batch").join(sizes, "batch").select("batch", "n", F.col("identity")["cloud.region"].alias("region"))
+
+
 @query("""
 WITH RECURSIVE o AS (SELECT doc_id % 50 AS request_id, doc_id, n_chars AS size, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS rn FROM documents),
 f AS (SELECT request_id, 0 AS rn, CAST(-1 AS BIGINT) AS doc_id, CAST(-1 AS BIGINT) AS chunk, CAST(99999999 AS BIGINT) AS used FROM (SELECT DISTINCT request_id FROM o)

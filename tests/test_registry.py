@@ -36,3 +36,11 @@ def test_same_rows(spark, duck, name):
     key = lambda r: tuple((x is not None, str(x)) for x in r)
     assert sorted(got, key=key) == sorted(expected, key=key)
     assert got
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_common_identity_reads_all_documents(spark, duck):
+    """Every document is in a batch, and batches with and without an identity come from the key alone."""
+    out = registry.queries()["common_identity_all"](spark, SF).collect()
+    assert sum(r["n"] for r in out) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    assert {r["region"] is None for r in out if r["batch"].startswith("any-")} == {True} and {r["region"] is None for r in out if not r["batch"].startswith("any-")} == {False}
