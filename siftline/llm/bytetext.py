@@ -38,7 +38,7 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in a row, and where each text begins (one more entry: the end). Null reads as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = (texts if pa.types.is_large_binary(texts.type) else texts.cast(pa.large_string())).fill_null("")
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]

@@ -17,17 +17,22 @@ each chunk is encoded on its own between two known states.
 import re
 from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.llm import bytetext, spans
 from siftline.llm.common import released, written
 
 SPACE = "▁"
 FANOUT = 32
-#: segments that a worker keeps, of about 250 bytes each
-_SEGMENTS = 150_000
+#: pairs of pieces, of about 200 bytes each, and units, of about 40, that a worker keeps
+_PAIRS, _UNITS = 200_000, 800_000
+#: texts are encoded in groups of about so many bytes
+_GROUP = 2 << 20
 _STATE = 1 << 24  # a state is reach * _STATE + piece + 1
 
 
@@ -117,9 +122,33 @@ class Pieces:
         return re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}" if alone else ""))
 
     @cached_property
-    def _neighbours(self) -> set[str]:
-        """Pairs of characters that stand side by side in some piece."""
-        return {s[k : k + 2] for s in self.ids for k in range(len(s) - 1)}
+    def _neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each character that stands beside another in some piece (0: none), and which two numbers may
+        stand side by side. A space is written as such."""
+        pairs = {s[k : k + 2].replace(SPACE, " ") for s in self.ids for k in range(len(s) - 1)}
+        number = np.zeros(0x110000, np.int16)
+        chars = sorted({ord(c) for p in pairs for c in p})
+        number[chars] = np.arange(1, len(chars) + 1)
+        beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        if pairs:
+            beside[number[[ord(p[0]) for p in pairs]], number[[ord(p[1]) for p in pairs]]] = True
+        return number, beside
+
+    def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Normal texts (spaces as such) cut where no piece can reach over: the units, and each one's text number."""
+        data, offsets = bytetext.buffer_of(texts)
+        if not len(data):
+            return pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+        number, beside = self._neighbours
+        own = number[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)]
+        leads = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+        cut = np.ones(len(leads), bool)
+        cut[1:] = ~beside[own[:-1], own[1:]]
+        first = offsets[:-1][offsets[:-1] < offsets[1:]]
+        cut[np.searchsorted(leads, first)] = True
+        starts = leads[cut]
+        ends = np.append(starts[1:], len(data))
+        return spans.units_of(data, starts, ends), np.searchsorted(offsets, starts, "right") - 1
 
     def _merged(self, s: str, steps: list | None = None) -> list[str]:
         """Merges of a short text, the highest score first and the leftmost of equals."""
@@ -137,10 +166,6 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    @cached_property
-    def _parts_seen(self) -> dict[str, tuple[int, ...]]:
-        return {}
-
     @cached_property
     def _meets(self) -> dict[tuple[str, str], bool]:
         return {}
@@ -161,7 +186,7 @@ class Pieces:
         found = self._meets.get((a, b))
         if found is not None:
             return found
-        if len(self._meets) > _SEGMENTS:
+        if len(self._meets) > _PAIRS:
             self._meets.clear()
         if a in self._runs or b in self._runs:
             found = self._merged(a + b) == [a, b]
@@ -247,20 +272,6 @@ class Pieces:
         whole = self.ids.get(s)
         if whole is not None:
             return [whole]
-        near = self._neighbours
-        cuts = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in near]
-        if cuts:
-            # no piece reaches over a cut, so what lies between two cuts stands for itself
-            out, parts = [], self._parts_seen
-            for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True):
-                part = s[a:b]
-                ids = parts.get(part)
-                if ids is None:
-                    if len(parts) > _SEGMENTS // 2:
-                        parts.clear()
-                    ids = parts[part] = tuple(self.segment(part))
-                out += ids
-            return out
         # paths() for one entry of a BPE model, whose weights are all 0
         root, meets, n = self._tree, self._meets, len(s)
         best: list = [None] * (n + 1)
@@ -285,19 +296,24 @@ class Pieces:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
     @cached_property
-    def _byte_values(self) -> dict[int, int]:
-        return {k: b for b, k in self.bytes_ids.items()}
-
-    @cached_property
-    def _marked(self) -> list[str]:
-        """Names, with bytes as characters of the private range U+10FF00 to U+10FFFF."""
-        return [chr(0x10FF00 + self._byte_values[k]) if k in self._byte_values else s for k, s in enumerate(self.names)]
-
-    def decode(self, ids: list[int], first: bool = True) -> str:
-        """Text of ids; bytes that are not UTF-8 become U+FFFD. first: drop the space that encoding put in front."""
-        text = "".join(map(self._marked.__getitem__, ids))
-        text = re.sub("[\U0010FF00-\U0010FFFF]+", lambda m: bytes(ord(c) - 0x10FF00 for c in m[0]).decode(errors="replace"), text).replace(SPACE, " ")
-        return text[1:] if first and text[:1] == " " else text
+    def _written(self) -> pa.Array:
+        """What each id stands for, as bytes."""
+        values = {k: bytes([b]) for b, k in self.bytes_ids.items()}
+        return pa.array([values.get(k) or s.replace(SPACE, " ").encode() for k, s in enumerate(self.names)], pa.large_binary())
+
+    def decode(self, ids: pa.Array, first: np.ndarray) -> pa.Array:
+        """Texts of lists of ids; bytes that are not UTF-8 become U+FFFD. first: drop the space that encoding put in front."""
+        flat, sizes = ids.flatten(), ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        joined = self._written.take(flat)
+        data, ends = bytetext.buffer_of(joined)
+        at = ends[np.concatenate(([0], np.cumsum(sizes)))]
+        out = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(np.ascontiguousarray(data))])
+        try:
+            out = out.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            out = pa.array([x.decode(errors="replace") for x in out.to_pylist()], pa.large_string())
+        led = pc.and_(pc.starts_with(out, " "), pa.array(first))
+        return pc.if_else(led, pc.utf8_slice_codeunits(out, 1), out)
 
     def state(self, reach: int, piece: str) -> int:
         """A single unknown character has the numbers above those of the pieces."""
@@ -347,7 +363,7 @@ class Pieces:
                 for leave, (w, _) in self.exits(s, reach, piece, n, final).items():
                     out[entry, leave] = w
         if heads:
-            middle = 0.0 if self.bpe else sum(self.paths(x, 0, None, len(x), len(x))[1][-1] for x in self._parts(s[free[0] : free[-1]]))
+            middle = 0.0 if self.bpe else sum(self.paths(x, 0, None, len(x), len(x))[1][-1] for x in self.splitter.findall(s[free[0] : free[-1]]))
             tail = s[free[-1] :]
             for leave, (w, _) in self.exits(tail, 0, None, n - free[-1], final).items():
                 for entry, h in heads.items():
@@ -361,11 +377,9 @@ class Pieces:
         places = [m.start() for m in self.splitter.finditer(s, 0, n) if m.start()]
         return [places[0], places[-1]] if places else []
 
-    def _parts(self, s: str) -> list[str]:
-        return self.splitter.findall(s) if self.splitter else [s]
-
-    def between(self, s: str, n: int, entry: int, leave: int, final: bool, segment) -> list[int]:
-        """Ids of the pieces that begin in chunk s[:n], from state entry to state leave."""
+    def between(self, s: str, n: int, entry: int, leave: int, final: bool, inner) -> list[int]:
+        """Ids of the pieces that begin in chunk s[:n], from state entry to state leave. inner gives those of the
+        text from the first to the last place that no piece reaches over."""
         begin, last = entry // _STATE, self.piece_of(entry)
         end = n + leave // _STATE
         free = self._free(s, n)
@@ -376,8 +390,7 @@ class Pieces:
             return self.numbers(self.trace(best, begin, end))
         best, _ = self.paths(s, begin, last, free[0], free[0])
         out = self.numbers(self.trace(best, begin, free[0]))
-        for x in self._parts(s[free[0] : free[-1]]):
-            out += segment(x)
+        out += inner(s[free[0] : free[-1]])
         tail = s[free[-1] :]
         best = self.exits(tail, 0, None, n - free[-1], final)[leave][1]
         return out + self.numbers(self.trace(best, 0, end - free[-1]))
@@ -414,49 +427,34 @@ def backtrace(matrices: list[dict], entry: int, leave: int) -> list[tuple[int, i
 
 
 @lru_cache(2)
-def _loaded(path: str) -> tuple[Pieces, dict[str, list[int]]]:
-    """A model and the segments seen so far, kept by a worker for its later tasks."""
-    return Pieces(path), {}
-
-
-def _rested(batches, path: str):
-    """The batches of a task; a worker that waits for its next task keeps the model, not the segments."""
-    try:
-        yield from released(batches)
-    finally:
-        model, known = _loaded(path)
-        for seen in (known, model._meets, model._parts_seen):
-            seen.clear()
-
-
-def _cached(path: str):
-    model, known = _loaded(path)
-
-    def segment(s: str) -> list[int]:
-        found = known.get(s)
-        if found is None:
-            if len(known) >= _SEGMENTS:
-                known.clear()
-            found = model.segment(s)
-            if len(s) <= 64:
-                known[s] = tuple(found)
-        return found
+def _loaded(path: str) -> tuple[Pieces, spans.SpanTable]:
+    """A model and the units seen so far, kept by a worker for its later tasks."""
+    model = Pieces(path)
+    return model, spans.SpanTable(lambda units: [model.segment(u.decode().replace(" ", SPACE)) for u in units], _UNITS)
 
-    def encode_text(text: str) -> list[int]:
-        s = model.normal(text)
-        if model.splitter is None:
-            return segment(s) if s else []
-        parts = model.splitter.findall(s)
-        new = {x: tuple(model.segment(x)) for x in set(parts).difference(known)}
-        if len(known) + len(new) <= _SEGMENTS:
-            known.update(new)
-            return [i for x in parts for i in known[x]]
-        # full: this text's own come first, then begin anew
-        out = [i for x in parts for i in (new.get(x) or known[x])]
-        known.clear()
-        return out
 
-    return model, segment, encode_text
+def _encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of normal texts (spaces as such), one after the other, and how many each text has."""
+    model, table = _loaded(path)
+    units, doc = model.units(texts)
+    ids, sizes = table.look_up(units)
+    return ids, np.bincount(doc, sizes, minlength=len(texts)).astype(np.int64)
+
+
+def _cut(chunk_chars: int, longest: int):
+    """Chunks of texts, with up to so many characters of what stands before and after each of them."""
+
+    def run(batches):
+        for batch in released(batches):
+            for doc_id, text, row_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for low in range(0, len(text), 64 * chunk_chars):
+                    rows = [
+                        {"doc_id": doc_id, "row_id": row_id, "chunk": at // chunk_chars, "final": at + chunk_chars >= len(text), "own": text[at : at + chunk_chars], "after": text[at + chunk_chars : at + chunk_chars + longest], "before": text[max(0, at - longest) : at]}
+                        for at in range(low, min(low + 64 * chunk_chars, len(text)), chunk_chars)
+                    ]
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("chunk", pa.int64()), ("final", pa.bool_()), *[(c, pa.string()) for c in ("own", "after", "before")]]))
+
+    return run
 
 
 _MATRIX = "m array<struct<a:long,b:long,w:double>>"
@@ -471,34 +469,37 @@ def _pack(m: dict) -> list[dict]:
 
 
 def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> DataFrame:
-    """(doc_id, text) -> doc_id, row_id, chunk, text (the chunk's own part), ids; each document's chunks from 0 on.
+    """(doc_id, text) -> doc_id, row_id, chunk, text, ids; each document's chunks from 0 on.
 
-    Null and empty texts give one chunk without ids. row_id tells rows apart that share a doc_id (also a null
-    one). A document's ids are its chunks' ids in order; a piece belongs to the chunk in which it begins.
+    A piece belongs to the chunk in which it begins, and a chunk's text is what its pieces cover: the chunks' texts
+    (and ids), joined in order, are the document's. Null and empty texts give one chunk without ids. row_id is another
+    one for each row of docs, so rows that repeat a doc_id (also a null one) stay apart. Other columns are
+    ignored. A model with a piece of more than 64 characters is refused when a task loads it.
     """
     longest = 64  # characters of context at each side; a piece must not be longer
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def whole(batches):
-        model, _, encode_text = _cached(model_path)
+        model, _ = _loaded(model_path)
         if model.longest > longest:
             raise ValueError("a piece of the model is longer than the context of a chunk")
-        for batch in _rested(batches, model_path):
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                out = [encode_text(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_id"), pa.array([0] * len(out), pa.int64()), part.column("text"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "row_id", "chunk", "text", "ids"])
+        for batch in released(batches):
+            _, offsets = bytetext.buffer_of(batch.column("text"))
+            for low, high in bytetext.groups(offsets, _GROUP):
+                part = batch.slice(low, high - low)
+                texts = pc.replace_substring(part.column("text").cast(pa.large_string()), SPACE, " ")
+                front = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " ").cast(pa.large_string())
+                ids, sizes = _encode_texts(model_path, pc.binary_join_element_wise(front, texts, pa.scalar("", pa.large_string())))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_id"), pa.array(np.zeros(len(lists), np.int64)), part.column("text"), lists], names=["doc_id", "row_id", "chunk", "text", "ids"])
 
     out_schema = "doc_id long, row_id long, chunk long, text string, ids array<int>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("n", F.char_length("text"))
-    short = rows.where(F.col("n") <= chunk_chars).select("doc_id", F.lit(0).cast("long").alias("row_id"), "text").mapInArrow(whole, out_schema)
-    # the normal text's positions are those of the text, one later
-    cut = rows.where(F.col("n") > chunk_chars).withColumn("row_id", F.monotonically_increasing_id() + 1)
-    cut = cut.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk_chars).cast("long"))))
-    at = F.col("chunk") * chunk_chars + 1
-    piece = lambda start, n: F.substring(F.col("text"), start.cast("int"), n if not isinstance(n, int) else F.lit(n))
-    cut = cut.select("doc_id", "row_id", "chunk", (F.col("n") <= at - 1 + chunk_chars).alias("final"), piece(at, chunk_chars).alias("own"), piece(at + chunk_chars, longest).alias("after"), F.when(F.col("chunk") > 0, piece(F.greatest(at - longest, F.lit(1)), F.least(at - 1, F.lit(longest)).cast("int"))).otherwise("").alias("before"))
-    cut = written(cut, "pieces-cut")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (2 * F.monotonically_increasing_id()).alias("row_id"))
+    giant = F.char_length("text") > chunk_chars
+    short = rows.where(~giant).mapInArrow(whole, out_schema)
+    # the rows of both branches have ids of their own, and those of giant documents are fixed by being written
+    cut_schema = "doc_id long, row_id long, chunk long, final boolean, own string, after string, before string"
+    cut = written(rows.where(giant).withColumn("row_id", F.col("row_id") + 1).mapInArrow(_cut(chunk_chars, longest), cut_schema), "pieces-cut")
 
     def texts(row, model: Pieces) -> tuple[str, str, int]:
         """context, chunk with what follows, and the chunk's length, in normal form."""
@@ -509,8 +510,8 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
         return context, own + ("" if row["final"] else norm(row["after"])[: model.longest - 1]), n
 
     def matrices(batches):
-        model, _, _ = _cached(model_path)
-        for batch in _rested(batches, model_path):
+        model, _ = _loaded(model_path)
+        for batch in released(batches):
             for row in batch.to_pylist():
                 context, s, n = texts(row, model)
                 yield pa.RecordBatch.from_pylist([{"row_id": row["row_id"], "chunk": row["chunk"], "m": _pack(model.matrix(context, s, n, row["final"]))}], schema=pa.schema([("row_id", pa.int64()), ("chunk", pa.int64()), ("m", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])))]))
@@ -539,12 +540,17 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
         states = written(grouped.groupBy("row_id", "up").applyInArrow(down, "row_id long, chunk long, entry long, leave long"), "pieces-states")
 
     def chunks(batches):
-        model, segment, _ = _cached(model_path)
-        for batch in _rested(batches, model_path):
+        model, _ = _loaded(model_path)
+
+        def inner(s: str) -> list[int]:
+            return _encode_texts(model_path, pa.array([s.replace(SPACE, " ")], pa.large_string()))[0].tolist()
+
+        for batch in released(batches):
             for row in batch.to_pylist():
                 _, s, n = texts(row, model)
-                ids = model.between(s, n, row["entry"], row["leave"], row["final"], segment)
-                yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([row["row_id"]], pa.int64()), pa.array([row["chunk"]], pa.int64()), pa.array([row["own"]]), pa.array([ids], pa.list_(pa.int32()))], names=["doc_id", "row_id", "chunk", "text", "ids"])
+                ids = model.between(s, n, row["entry"], row["leave"], row["final"], inner)
+                covered = (row["own"] + row["after"])[max(0, row["entry"] // _STATE - (row["chunk"] == 0)) : len(row["own"]) + row["leave"] // _STATE]
+                yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([row["row_id"]], pa.int64()), pa.array([row["chunk"]], pa.int64()), pa.array([covered]), pa.array([ids], pa.list_(pa.int32()))], names=["doc_id", "row_id", "chunk", "text", "ids"])
 
     long = cut.join(states, ["row_id", "chunk"]).select("doc_id", "row_id", "chunk", "final", "own", "after", "before", "entry", "leave").mapInArrow(chunks, out_schema)
     return short.unionByName(long)
@@ -559,10 +565,10 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         model, _ = _loaded(model_path)
         for batch in released(batches):
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                ids, chunks = part.column("ids").to_pylist(), part.column("chunk").to_pylist()
-                decoded = pa.array([model.decode(i or [], c == 0) for i, c in zip(ids, chunks, strict=True)], pa.string())
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                first = pc.equal(part.column("chunk"), 0).fill_null(False)
+                decoded = model.decode(part.column("ids"), first).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*(f for f in encoded.schema if f.name != "decoded"), T.StructField("decoded", T.StringType())]))

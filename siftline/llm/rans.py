@@ -18,20 +18,18 @@ table, scaled to 2^20, made from the counts of every id of every document.
 """
 
 import os
-import re
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import written
+from siftline.llm import bytetext, spans
+from siftline.llm.common import released, written
 
 SCALE, LANES, STEPS = 20, 512, 128
 _LOW = np.uint64(1 << 31)
@@ -124,21 +122,32 @@ def symbols(freq: np.ndarray) -> np.ndarray:
 
 
 def _tokenise(make: Callable[[], Callable[[list], list]], end_id: int, vocabulary: int):
-    """Per document its ids as 16-bit or 32-bit integers; per task one more row (kind 1) with its counts of ids."""
+    """Per document its place in the partition, the ids before it there, and its ids as 16-bit or 32-bit integers;
+    per partition one more row (kind 1) with its counts of ids."""
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    width = int(kind[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = make()
-        counts, seen = np.zeros(vocabulary, np.int64), False
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                found = [np.append(i, end_id) for i in encode_texts(part.column(1).fill_null("").to_pylist())]
-                counts += np.bincount(np.concatenate(found), minlength=vocabulary)
-                seen = True
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(found), pa.int32()), part.column(0), pa.array([len(i) for i in found], pa.int64()), pa.array([i.astype(kind).tobytes() for i in found], pa.binary())], names=["kind", "doc_id", "n", "ids"])
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["kind", "doc_id", "n", "ids"])
+        counts, part, seq, before = np.zeros(vocabulary, np.int64), None, 0, 0
+        for batch in released(batches):
+            _, offsets = bytetext.buffer_of(batch.column(2))
+            for low, high in bytetext.groups(offsets, _BLOCK):
+                rows = batch.slice(low, high - low)
+                part = rows.column(0)[0].as_py()
+                found = encode_texts(rows.column(2).fill_null("").to_pylist())
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                ids = np.full(int(sizes.sum()) + len(found), end_id, kind)
+                ends = np.cumsum(sizes + 1)
+                inside = np.ones(len(ids), bool)
+                inside[ends - 1] = False
+                ids[inside] = np.concatenate(found)
+                counts += np.bincount(ids, minlength=vocabulary)
+                binary = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64) * width), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), rows.column(0), pa.array(seq + np.arange(len(found))), pa.array(before + ends - sizes - 1), rows.column(1), binary.cast(pa.binary())], names=["kind", "part", "seq", "before", "doc_id", "ids"])
+                seq, before = seq + len(found), before + len(ids)
+        if part is not None:
+            yield pa.RecordBatch.from_pylist([{"kind": 1, "part": part, "seq": seq, "before": before, "doc_id": None, "ids": counts.astype("<i8").tobytes()}], schema=pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("seq", pa.int64()), ("before", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())]))
 
     return run
 
@@ -159,40 +168,45 @@ def write_token_file(docs: DataFrame, path: str, make: Callable[[], Callable[[li
     """Encode every text of (doc_id, text), append end_id, write blocks in ascending doc_id order to path.
 
     make() gives, inside a task, a function from texts to arrays of ids. Null texts are empty. Rows with a
-    null doc_id come first. A document longer than block_ids has a block of its own. Returns the counts of
-    ids, which readers need. An empty table writes no block.
+    null doc_id come first; rows of one doc_id follow each other by a hash of their text, so their order is
+    always the same and a hot id is spread over partitions. A document longer than block_ids has a block of
+    its own. Other columns are ignored. Returns the counts of ids, which readers need. An empty table writes no block.
     """
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    tokens = written(ordered.mapInArrow(_tokenise(make, end_id, vocabulary), "kind int, doc_id long, n long, ids binary"), "tokens")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = ["doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    tokens = written(ordered.mapInArrow(_tokenise(make, end_id, vocabulary), "kind int, part int, seq long, before long, doc_id long, ids binary"), "tokens")
     found = tokens.where("kind = 1").select("ids").mapInArrow(_sum_counts(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(vocabulary, np.int64)
     counts[found["id"].to_numpy()] = found["n"].to_numpy()
     freq, start = frequency_table(counts)
 
     def blocks(batches):
-        ids, held = [], []
+        ids, held, size, first, last = [], [], 0, None, None
 
         def block():
             lengths = np.array([len(i) for i in ids])
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array(held[:1], pa.int64()), pa.array(held[-1:], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([lengths.sum()], pa.int64()), pa.array([held], pa.list_(pa.int64())), pa.array([encode(np.concatenate(ids), lengths, freq, start)], pa.binary())], names=["uid", "first_id", "last_id", "docs", "ids", "doc_ids", "block"])
+            columns = {"part": first[0], "before": first[2], "docs": len(ids), "ids": int(lengths.sum()), "doc_ids": held, "block": encode(np.concatenate(ids), lengths, freq, start)}
+            return pa.RecordBatch.from_pylist([columns], schema=pa.schema([("part", pa.int32()), ("before", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("block", pa.binary())]))
 
-        size, last = 0, None
         for batch in batches:
-            for doc, x, file in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for part, seq, before, doc, x in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
                 new = np.frombuffer(x.as_buffer(), kind).astype(np.int64)
-                # a block holds neighbours in the order only, so it ends with its range of ids
-                if ids and (size + len(new) > block_ids or file != last):
+                # a block holds neighbours in the order only
+                if ids and (size + len(new) > block_ids or (part, seq - 1) != last):
                     yield block()
                     ids, held, size = [], [], 0
-                last = file
+                if not ids:
+                    first = part, seq, before
+                last = part, seq
                 ids.append(new)
                 held.append(doc)
                 size += len(new)
         if ids:
             yield block()
 
-    out = tokens.where("kind = 0").select("doc_id", "ids", F.input_file_name().alias("file")).mapInArrow(blocks, "uid string, first_id long, last_id long, docs long, ids long, doc_ids array<long>, block binary")
+    out = tokens.where("kind = 0").select("part", "seq", "before", "doc_id", "ids").mapInArrow(blocks, "part int, before long, docs long, ids long, doc_ids array<long>, block binary")
     out.write.option("compression", "none").parquet(path)
     return counts
 
@@ -203,100 +217,136 @@ def read_token_file(spark: SparkSession, path: str, counts: np.ndarray) -> DataF
 
     def run(batches):
         symbol = symbols(freq)
-        for batch in batches:
-            for first, doc_ids, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for batch in released(batches):
+            for first, doc_ids, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 ids, lengths = decode(block.as_py(), freq, start, symbol)
-                raw = ids.astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
-                for low in range(0, len(lengths), 1024):
-                    rows = range(low, min(low + 1024, len(lengths)))
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_ids[k] for k in rows], pa.int64()), pa.array([first + int(ends[k] - lengths[k]) for k in rows], pa.int64()), pa.array([int(lengths[k]) for k in rows], pa.int64()), pa.array([raw[4 * (ends[k] - lengths[k]) : 4 * ends[k]] for k in rows], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                for low, high in _decoded_runs(ends):
+                    begin = ends[low] - lengths[low]
+                    offsets = np.concatenate(([0], ends[low:high] - begin)) * 4
+                    raw = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids[begin : ends[high - 1]].astype("<u4"))])
+                    yield pa.RecordBatch.from_arrays([doc_ids.values[low:high], pa.array(first + ends[low:high] - lengths[low:high]), pa.array(lengths[low:high]), raw], names=["doc_id", "start", "n_tokens", "ids"])
 
     files = spark.read.parquet(path)
-    begin = _begins(files.select("uid", "first_id", "last_id", "ids"))
-    placed = files.select("uid", "doc_ids", "block").join(begin, "uid")
-    return placed.select("start", "doc_ids", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    # one row per partition that wrote, so both the window and the broadcast are bounded by the number of partitions
+    sums = files.groupBy("part").agg(F.sum("ids").alias("n"))
+    sums = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = files.join(F.broadcast(sums), "part").select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "block")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def _begins(keys: DataFrame) -> DataFrame:
-    """uid, start: ids in the blocks before, by two levels of running sums; 16 sums at the upper one."""
-    ranged = written(keys.repartitionByRange(16, "first_id", "last_id", "uid").withColumn("part", F.spark_partition_id()), "blocks-part")
-    sums = ranged.groupBy("part").agg(F.sum("ids").alias("n"))
-    sums = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    w = Window.partitionBy("part").orderBy("first_id", "last_id", "uid").rowsBetween(Window.unboundedPreceding, -1)
-    inside = ranged.withColumn("inside", F.coalesce(F.sum("ids").over(w), F.lit(0)))
-    return inside.join(F.broadcast(sums), "part").select("uid", (F.col("before") + F.col("inside")).alias("start"))
+def _decoded_runs(ends: np.ndarray, most: int = 1 << 19):
+    """Runs of whole documents of at most so many ids."""
+    low = 0
+    while low < len(ends):
+        begin = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, begin + most, "right")))
+        yield low, high
+        low = high
 
 
-#: parts of an ASCII word without apostrophes: letters, one digit, anything else
-_PARTS = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+#: kinds of bytes. 0: ASCII white space, 1: ASCII letters, 2: digits, 3: punctuation, 4: all others
+_KINDS = np.array([0 if b in b" \t\n\v\f\r" else 4 if b < 32 or b > 126 else 2 if chr(b).isdigit() else 1 if chr(b).isalpha() else 3 for b in range(256)], np.uint8)
+_C3 = 0xC3  # leads the letters U+00C0 to U+00FF, but for the two signs U+00D7 and U+00F7
+_BLOCK = 4 << 20
 
 
-def _room(values: np.ndarray, n: int) -> np.ndarray:
-    """At least n cells, by doubling."""
-    return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)])
+def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Units of texts, lower-cased, and each unit's text number: runs of letters, single digits, runs of punctuation.
+
+    A word with any other character, an apostrophe or a special token's begin is one unit, as it stands.
+    """
+    kinds = _KINDS[data]
+    low = bytetext.LOWER[data]
+    if len(data) and (kinds == 4).any():
+        lead = np.flatnonzero(data[:-1] == _C3)
+        second = data[lead + 1]
+        lead = lead[(second >= 0x80) & (second < 0xC0) & (second != 0x97) & (second != 0xB7)]
+        kinds[lead] = kinds[lead + 1] = 1
+        upper = lead[data[lead + 1] < 0x9F] + 1
+        low[upper] += 32
+    odd = kinds == 4
+    odd |= data == 0x27
+    odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    if odd.any():
+        starts, ends, _ = bytetext.runs((kinds != 0).view(np.uint8), offsets)
+        seen = np.concatenate(([0], np.cumsum(odd)))
+        odd_word = seen[ends] > seen[starts]
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[odd_word]] += 1
+        inside[ends[odd_word]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        kinds[inside] = 5
+        low[inside] = data[inside]
+    # each digit stands alone: neighbours get kinds of their own
+    digits = np.flatnonzero(kinds == 2)
+    kinds[digits] = 6 + digits % 2
+    starts, ends, doc = bytetext.runs(kinds, offsets)
+    return spans.units_of(low, starts, ends), doc
+
+
+def _pieces(data: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of a long text that end behind white space."""
+    out, a = [], 0
+    while a < len(data):
+        b = a + _BLOCK
+        if b < len(data):
+            near = np.flatnonzero(_KINDS[data[b : b + 4096]] == 0)
+            if not len(near):
+                near = np.flatnonzero(_KINDS[data[b:]] == 0)
+            b = b + int(near[0]) + 1 if len(near) else len(data)
+        out.append((a, min(b, len(data))))
+        a = b
+    return out
 
 
 class _WordTable:
-    """Ids of the words seen so far by this worker, one after the other in one array."""
+    """The library's ids of each distinct unit, met by this worker so far."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.begins, self.pool, self.words = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+        self.table = spans.SpanTable(self._encode_units)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """ASCII words go to the library in lines of 2000. Their parts are counted, and an id that ends a part
-        says so, which shows where the words part."""
-        lines = [b" ".join(words[k : k + 2000]).decode() for k in range(0, len(words), 2000)]
-        ids = [i for line in self._encode(lines) for i in line]
-        ends = np.flatnonzero(self.ends_word[ids]) + 1 if ids else np.zeros(0, np.int64)
-        last = np.cumsum([len(_PARTS.findall(w)) for w in words])
-        if not len(words) or last[-1] != len(ends):
-            return self._encode([w.decode() for w in words])
-        cuts = ends[last - 1].tolist()
-        return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-
-    def add(self, words: list[bytes]) -> None:
-        plain = [w for w in words if w.isascii() and b"'" not in w and b"<|" not in w and _PARTS.match(w)]
-        words = plain + sorted(set(words).difference(plain))
-        found = self._encode_words(plain) + self._encode([w.decode() for w in words[len(plain) :]])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        used = int(self.begins[self.words])
-        self.begins = _room(self.begins, self.words + 1 + len(found))
-        self.begins[self.words + 1 : self.words + 1 + len(found)] = used + np.cumsum(sizes)
-        self.words += len(found)
-        total = int(sizes.sum())
-        self.pool = _room(self.pool, used + total)
-        self.pool[used : used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
+    def _encode_units(self, units: list[bytes]) -> list[list[int]]:
+        """Units go to the library in lines of 2000: the id that ends a unit says so. Where the ends of a
+        line are not as many as its units (odd words are among them), its units go one by one."""
+        out = []
+        lines = [[w.decode(errors="replace") for w in units[k : k + 2000]] for k in range(0, len(units), 2000)]
+        plain = [[w for w in line if w.isalnum() or (w.isascii() and "'" not in w and "<|" not in w and w.isprintable())] for line in lines]
+        for line, chosen, ids in zip(lines, plain, self._encode([" ".join(p) for p in plain]), strict=True):
+            ends = np.flatnonzero(self.ends_word[ids]) + 1 if ids else np.zeros(0, np.int64)
+            if len(ends) == len(chosen):
+                cuts = ends.tolist()
+                known = dict(zip(chosen, [ids[a:b] for a, b in zip([0, *cuts], cuts)], strict=True))
+            else:
+                known = {}
+            rest = [w for w in line if w not in known]
+            known.update(zip(rest, self._encode(rest), strict=True))
+            out += [known[w] for w in line]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]  # bytes: at ASCII white space only
-        new = {w for words in split for w in words}.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.forget()
-            new = {w for words in split for w in words}
-        if new:
-            self.add(sorted(new))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        sizes = self.begins[k + 1] - self.begins[k]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.begins[k] - ends[:-1], sizes)]
-        return np.split(ids.astype(np.int64), ends[np.cumsum(counts)[:-1]]) if len(split) else []
+        data, offsets = bytetext.buffer_of(pa.array(texts, pa.large_string()))
+        out = []
+        for low, high in bytetext.groups(offsets, _BLOCK):
+            part, ends = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+            if len(part) > _BLOCK:  # one long text
+                out.append(np.concatenate([self.table.look_up(_units(part[a:b], np.array([0, b - a]))[0])[0] for a, b in _pieces(part)]))
+                continue
+            units, doc = _units(part, ends)
+            ids, sizes = self.table.look_up(units)
+            per_doc = np.bincount(doc, sizes, minlength=high - low).astype(np.int64)
+            out += np.split(ids, np.cumsum(per_doc)[:-1])
+        return out
 
 
 @lru_cache(2)
@@ -306,8 +356,8 @@ def _word_table(path: str) -> _WordTable:
 
 
 def word_bpe(path: str) -> Callable[[], Callable[[list], list]]:
-    """make() for a tokenizers file that parts letters, digits, punctuation and white space before it looks for pairs.
+    """make() for a tokenizers file that lower-cases, and parts letters, single digits, punctuation and white space before it looks for pairs.
 
-    The library encodes each distinct word once; the ids of a text are those of its words.
+    The library encodes each distinct unit once; the ids of a text are those of its units.
     """
     return lambda: _word_table(path).encode
