@@ -1,6 +1,7 @@
 """Shared pieces: written intermediate tables, Python shipping, id folds."""
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -19,9 +20,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one; a cluster must name one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-siftline-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")

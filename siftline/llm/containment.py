@@ -1,13 +1,16 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, JVM-side.
 
-An item with n shingles lies in a document if at least ceil(t * n) of its shingles do.
-Of any n - ceil(t * n) + 1 of its shingles the document then holds one, so the item's
-MinHash sketch is its that many least hash values: items are partitioned by size, each
-partition has its own sketch length, and no contained item is missed. Documents are
-probed with the sketches first; the pairs found are confirmed on the exact sets.
+Items are partitioned by the number of their shingles. Each partition has a hash threshold of
+its own, and a text's MinHash sketch for the partition is the set of its shingle hashes up to
+that threshold. An item with n shingles lies in a document if at least ceil(t * n) of them do,
+so at most m = n - ceil(t * n) are missing: the threshold is the largest (m+1)-th least
+hash of the partition's items, which leaves no contained item without a common hash. Of an
+item's s sketched hashes a document that contains it holds s - m at least; pairs that reach this
+are confirmed on the exact sets. A document's sketches are nested, so one pass over its hashes up to the
+largest threshold probes all partitions.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.common import written
@@ -53,40 +56,65 @@ def item_shingles(items: DataFrame, size: int) -> DataFrame:
     return out.join(n, "item_id").select("item_id", "length", "n", "h")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text) x (item_id, text) -> doc_id, item_id, n_item, n_shared for the items that lie in a document.
+def _text_keys(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def sketches(shingles: DataFrame, percent: int) -> DataFrame:
+    """(item_id, length, n, h) -> part, item_id, length, n, h, cut, needed: the sketched hashes of each item.
 
-    That is 100 * n_shared >= percent * n_item, over distinct shingles of size words. Items without words
-    lie in no document. Rows with a null doc_id or item_id are left out; rows that repeat a doc_id are
-    reported once with their largest n_shared. An empty table on either side gives no rows.
+    part: the item's size class, cut: its partition's threshold, needed: how many of the item's sketched hashes a document
+    that contains it must hold.
     """
+    missing = f"(n - ({percent} * n + 99) div 100)"
+    part = F.col("length") * 64 + F.floor(F.log2("n"))
+    ranked = shingles.withColumn("part", part.cast("int")).withColumn("i", F.row_number().over(Window.partitionBy("item_id").orderBy("h")))
+    cuts = ranked.where(f"i = {missing} + 1").groupBy("part").agg(F.max("h").alias("cut"))
+    kept = ranked.join(cuts, "part").where("h <= cut")
+    return kept.select("part", "item_id", "length", "n", "h", "cut", (F.count("*").over(Window.partitionBy("item_id")) - F.expr(missing)).alias("needed"))
+
+
+def _up_to(hashes: Column, top: int) -> Column:
+    return F.filter(hashes, lambda h: h <= F.lit(top))
+
+
+def _found(docs: DataFrame, items: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, k1, k2, item_id, n, n_shared: the items that lie in each document's text, which k1 and k2 stand for."""
     shingles = written(item_shingles(items, size), "items")
-    need = F.ceil(F.col("n") * percent / 100)
-    # the sketch: the least hash values, as many as the item's size asks for
-    kept = shingles.groupBy("item_id", "n").agg(F.sort_array(F.collect_list(F.struct("h", "length"))).alias("all"))
-    kept = kept.select("item_id", F.explode(F.slice("all", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("x")).select("item_id", "x.h", "x.length")
-    sketch = written(kept, "sketch")
-    lengths = sorted(r["length"] for r in shingles.select("length").distinct().limit(size).collect())
-    probes = sketch.select("h").distinct()
-    if shingles.count() <= BROADCAST_ROWS:
-        probes, sketch = F.broadcast(probes), F.broadcast(sketch)
-    whole = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-
-    runs = [_runs(length) for length in lengths]
-    hashed = F.concat(*runs) if runs else F.array().cast("array<bigint>")
-    found = _hashed_words(whole).select("doc_id", F.explode(hashed).alias("h")).join(probes, "h").join(sketch, "h")
-    pairs = written(found.select("doc_id", "item_id").distinct(), "candidates")
+    sketch = written(sketches(shingles, percent), "sketch")
+    # the largest threshold for each length of shingles: one row for each of at most size lengths
+    tops = {r["length"]: r["top"] for r in sketch.groupBy("length").agg(F.max("cut").alias("top")).limit(size).collect()}
+    probes, small = sketch.select("h", "item_id", "needed"), sketch.count() <= BROADCAST_ROWS
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    none = F.array().cast("array<bigint>")
+    low = F.concat(*[_up_to(_runs(length), top) for length, top in sorted(tops.items())]) if tops else none
+    found = _hashed_words(whole.select(*_text_keys(F.col("text")), "text")).select("k1", "k2", F.explode(low).alias("h")).join(F.broadcast(probes) if small else probes, "h")
+    pairs = found.distinct().groupBy("k1", "k2", "item_id").agg(F.count("*").alias("hits"), F.max("needed").alias("needed"))
+    pairs = written(pairs.where("hits >= needed").select("k1", "k2", "item_id"), "candidates")
 
     # the exact sets of the candidates
     sets = written(shingles.groupBy("item_id", "n").agg(F.collect_set("h").alias("item_set")), "item-sets")
-    chosen = whole.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    chosen = _hashed_words(chosen).select("doc_id", hashed.alias("doc_set"))
-    both = pairs.join(chosen, "doc_id").join(sets, "item_id").withColumn("n_shared", F.size(F.array_intersect("doc_set", "item_set")))
-    both = both.where(100 * F.col("n_shared") >= percent * F.col("n"))
-    return both.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_item"), F.max("n_shared").cast("long").alias("n_shared"))
+    every = F.concat(*[_runs(length) for length in sorted(tops)]) if tops else none
+    chosen = whole.select("doc_id", *_text_keys(F.col("text")), "text").join(pairs.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    chosen = _hashed_words(chosen).select("doc_id", "k1", "k2", every.alias("doc_set"))
+    both = chosen.join(pairs, ["k1", "k2"]).join(sets, "item_id").withColumn("n_shared", F.size(F.array_intersect("doc_set", "item_set")))
+    return both.where(100 * F.col("n_shared") >= percent * F.col("n")).select("doc_id", "k1", "k2", "item_id", "n", "n_shared")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text) x (item_id, text) -> doc_id, item_id, n_item, n_shared for the items that lie in a document.
+
+    That is 100 * n_shared >= percent * n_item, over distinct shingles of size words. Items without words, or with
+    a null item_id, lie in no document. Rows that repeat a doc_id are reported once with their largest n_shared, and so are
+    all rows with a null doc_id. Other columns are ignored. An empty table on either side gives no rows.
+    """
+    found = _found(docs, items, size, percent)
+    return found.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_item"), F.max("n_shared").cast("long").alias("n_shared"))
 
 
 def without_items(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose document holds an item. Rows with a null doc_id stay."""
-    found = contained_items(docs, items, size, percent).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(written(found, "leaks"), docs["doc_id"].cast("long") == F.col("_found"), "left_anti")
+    """docs without the rows whose text holds an item, whatever their doc_id. Columns of any name are left as they are."""
+    found = written(_found(docs, items, size, percent).select("k1", "k2").distinct(), "leaks")
+    k1, k2 = _text_keys(docs["text"])
+    return docs.join(found, (k1 == found["k1"]) & (k2 == found["k2"]), "left_anti")

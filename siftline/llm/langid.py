@@ -6,10 +6,10 @@ spherical k-means; a text gets the language of the centroid with the largest cos
 is rejected where that cosine is far below what the language's own texts have.
 """
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,12 +87,14 @@ def fit(docs: DataFrame, max_rows: int = 1200, centroids: int = 4, slack: float
     """(doc_id, text, lang) -> model, or None without rows to learn from.
 
     Document frequencies count every row. Centroids come from at most max_rows rows, shared evenly
-    among the languages and chosen by a hash of doc_id and text. A text is rejected below slack
+    among the languages and chosen by a hash of doc_id and text; more languages than rows are refused. A text is rejected below slack
     times the least cosine that a language's sample has with its centroids. Rows with a null
     lang, and texts without letters, teach nothing.
     """
     rows = docs.where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), letters(F.col("text")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h")).where("text <> ''")
-    sizes = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_rows).collect()}
+    sizes = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_rows + 1).collect()}
+    if len(sizes) > max_rows:
+        raise ValueError("more languages than max_rows: each one needs a row to learn from")
     if not sizes:
         return None
     found = rows.select("text").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
@@ -129,23 +131,25 @@ def verdict(text: Column, model: Model | None) -> Column:
     and rejected. rejected also marks texts too far from every centroid of their language.
     """
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def predict(texts: pa.Array) -> pa.Array:
         langs, best = np.full(len(texts), "und", object), np.zeros(len(texts))
         rejected = np.ones(len(texts), bool)
-        for low, high, counts in _counts(pa.array(texts, pa.large_string(), from_pandas=True)) if model else ():
+        for low, high, counts in _counts(texts) if model else ():
             cosine = _vectors(counts, model.idf) @ model.centroids.T
             top = cosine.argmax(axis=1)
             some = counts.any(axis=1)
             best[low:high] = np.where(some, np.clip(cosine.max(axis=1), 0, 1), 0)
             langs[low:high] = np.where(some, np.array(model.langs, object)[top], "und")
             rejected[low:high] = ~some | (cosine.max(axis=1) < model.least[top])
-        return pd.DataFrame({"lang_pred": langs, "score": best, "rejected": rejected})
+        pa.default_memory_pool().release_unused()
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(best), pa.array(rejected)], names=["lang_pred", "score", "rejected"])
 
     return predict(letters(text))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with the columns of verdict; same-named columns are replaced."""
-    out = docs.withColumn("_langid", verdict(F.col("text"), model))
-    return out.withColumns({k: F.col("_langid")[k] for k in ("lang_pred", "score", "rejected")}).drop("_langid")
+    """docs with the columns lang_pred, score and rejected of verdict, which replace same-named ones; all others stay."""
+    name = "verdict_" + uuid.uuid4().hex
+    out = docs.withColumn(name, verdict(F.col("text"), model))
+    return out.withColumns({k: F.col(name)[k] for k in ("lang_pred", "score", "rejected")}).drop(name)

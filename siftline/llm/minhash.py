@@ -16,6 +16,8 @@ no group of copies is expanded into all pairs, no link between two components is
 and every one is confirmed on the full sets.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import bytetext
 from siftline.llm.common import written
-from siftline.llm.graph import components
+from siftline.llm.graph import components, extended
 
 CELLS, LENGTH, BANDS, ROWS = 1 << 20, 128, 40, 6
 _SLICE = 8192
@@ -109,20 +111,25 @@ def _across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) -> pairs (a, b) of different roots that can be alike enough.
 
     With all shingles in one order, the rarest first, two nodes alike enough share one of their first
-    n - ceil(percent * n / 100) + 1 shingles, and the first one shared leaves room for the overlap needed. Of the nodes
-    of a shingle only those outside of its commonest root look for partners, so that a large component is not
-    paired with itself.
+    n - ceil(percent * n / 100) + 1 shingles, and the first one shared leaves room for the overlap needed. Their sizes
+    lie in the same class or in neighbouring ones. Of the nodes of a shingle only those outside of its commonest
+    root look for partners, so that a large component is not paired with itself.
     """
     own = sets.join(nodes, "node").select("node", "root", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("h"))
-    own = own.withColumn("df", F.count("*").over(Window.partitionBy("h")))
-    own = own.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))
-    first = written(own.where(f"i <= n - ({percent} * n + 99) div 100 + 1 AND df > 1").select("h", "node", "root", "n", "i"), "minhash-first")
-    common = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
+    # counted by partial sums and joined back: a shingle of many nodes is no single task's
+    often = written(own.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "minhash-often")
+    own = own.join(often, "h")
+    # shingles that no other node has come first in the order; they are left out but keep their places
+    per_node = Window.partitionBy("node")
+    own = own.withColumn("i", F.col("n") - F.count("*").over(per_node) + F.row_number().over(per_node.orderBy("df", "h")))
+    first = own.where(f"i <= n - ({percent} * n + 99) div 100 + 1").select("h", "node", "root", "n", "i", F.floor(F.log(100 / percent, F.col("n")) + 1e-9).alias("class") if percent < 100 else F.col("n").alias("class"))
+    first = written(first, "minhash-first")
+    common = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
     first = written(first.join(written(common, "minhash-common"), "h"), "minhash-first")
-    one = first.where("root <> main").select("h", *[F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "i")])
-    two = first.select("h", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "i")])
+    one = first.where("root <> main").select("h", *[F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "i")], F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
+    two = first.select("h", "class", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "i")])
     room = "(1 + least(n1 - i1, n2 - i2))"
-    pairs = one.join(two, "h").where(f"root1 <> root2 AND 100 * {room} >= {percent} * (n1 + n2 - {room})")
+    pairs = one.join(two, ["h", "class"]).where(f"root1 <> root2 AND 100 * {room} >= {percent} * (n1 + n2 - {room})")
     return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
@@ -186,18 +193,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         return pairs.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
     rest = heads.select(F.col("head").alias("a"), F.col("node").alias("b")).join(best, ["a", "b"], "left_anti")
-    links = written(links.union(_confirmed(apart(rest), sets, percent)), "minhash-links")
-    roots = components(links)
+    roots = extended(roots, written(_confirmed(apart(rest), sets, percent), "minhash-links"))
 
     # nodes that meet in one of their first shingles and are still apart
     placed = meet.join(sizes.select("node"), "node").join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
     open_keys = placed.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
     apart_nodes = written(placed.join(open_keys, "h", "left_semi").select("node", "root").distinct(), "minhash-apart")
-    links = written(links.union(_confirmed(_across(apart_nodes, sets, percent), sets, percent)), "minhash-links")
-    roots = components(links)
+    roots = extended(roots, written(_confirmed(_across(apart_nodes, sets, percent), sets, percent), "minhash-links"))
 
     named = nodes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("component_id"))
     named = written(named, "minhash-named")
     out = sketch.select("doc_id", *same).join(named, same, "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text, more) with one row of each group of near duplicates: the one with the least doc_id.
+
+    Rows are told apart by an id of their own, so of rows that repeat a doc_id and a text one stays, and rows
+    with a null doc_id take part; they stay only where no other row of the group has one. Of ties any one
+    row stays. Rows without words all stay. Columns of any name are left as they are.
+    """
+    name = "row_" + uuid.uuid4().hex
+    # written, so that a row keeps its id in all that follows
+    rows = written(docs.withColumn(name, F.monotonically_increasing_id()), "minhash-docs")
+    found = near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"), shingle_words, percent).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    least = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("x")).select(F.col("x.row").alias(name))
+    return rows.join(written(least, "minhash-least"), name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

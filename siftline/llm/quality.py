@@ -6,7 +6,6 @@ count / sqrt(number of n-grams), so a score is one sparse dot product.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,14 +83,15 @@ def fit(labelled: DataFrame, max_rows: int = 4000) -> np.ndarray:
 def score(text, weights: np.ndarray):
     """Column of scores from 0 to 1; null and empty texts get the bias's score."""
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
         out = np.empty(len(texts))
-        for low, high, f, doc in _features(pa.array(texts, pa.large_string(), from_pandas=True)):
+        for low, high, f, doc in _features(texts):
             n = np.bincount(doc, minlength=high - low)
             dot = np.bincount(doc, weights[f], minlength=high - low) / np.sqrt(np.maximum(1, n))
             out[low:high] = 1 / (1 + np.exp(-np.clip(dot + weights[-1], -35, 35)))
-        return pd.Series(out)
+        pa.default_memory_pool().release_unused()
+        return pa.array(out)
 
     return scores(text)
 

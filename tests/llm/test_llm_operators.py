@@ -122,16 +122,62 @@ def test_contained_items(spark, corpus):
             dw = split(lower(x or ""))
             size = min(5, len(w))
             there = {tuple(dw[i : i + size]) for i in range(len(dw) - size + 1)} if size else set()
-            if own and item is not None and d is not None and 100 * len(own & there) >= 80 * len(own):
+            if own and item is not None and 100 * len(own & there) >= 80 * len(own):
                 expected[d, item] = (len(own), len(own & there))
     assert got == expected and len(got) > 20
-    left = containment.without_items(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+    assert (None, 1) in expected  # a row without an id is searched too
+    left = containment.without_items(spark.createDataFrame([(*d, 1, 2) for d in docs], DOC + ", k1 int, _found int"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in expected} and left.columns == ["doc_id", "text", "k1", "_found"]
     none = spark.createDataFrame([], DOC)
     assert containment.contained_items(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert containment.contained_items(spark.createDataFrame(docs, DOC), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sketches_lose_no_item(spark, seed):
+    """Items of all sizes with as many words changed as may be: every one that brute force finds is found."""
+    r = random.Random(seed)
+    items = [(k, " ".join(f"w{r.randrange(4000)}" for _ in range(n))) for k, n in enumerate([1, 2, 4, 5, 6, 8, 9, 10, 14, 20, 33, 60, 120, 250])]
+    docs = []
+    for k in range(120):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randint(0, 1 + len(w) // 25)):
+            w[r.randrange(len(w))] = "changed"
+        docs.append((k, f"before {k} " + " ".join(w) + f" after {k}"))
+    got = {(x["doc_id"], x["item_id"]) for x in containment.contained_items(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = set()
+    for item, t in items:
+        own, size = shingles(t, 5, WORD.findall), min(5, len(t.split()))
+        for d, x in docs:
+            w = WORD.findall(x)
+            there = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+            if 100 * len(own & there) >= 80 * len(own):
+                expected.add((d, item))
+    assert got == expected and 60 < len(got)
+
+
+def test_one_of_each(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(5, a), (5, a), (4, edited(a, 1, 1)), (None, a), (None, b), (None, b), (9, None), (8, ""), (None, ""), (7, prose(3, 50))]
+    out = minhash.one_of_each(spark.createDataFrame([(*x, 1, True) for x in rows], DOC + ", node int, kept boolean"))
+    assert out.columns == ["doc_id", "text", "node", "kept"]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted([(4, rows[2][1]), (0, b), (9, ""), (8, ""), (0, ""), (7, rows[-1][1])])
+    assert minhash.one_of_each(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    """A chain of 1,000 links in the worst numbering for a walk to the least neighbour, and a star around its largest node."""
+    names = []
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name, **kw: names.append(name) or keep(df, name, **kw))
+    links = [(k, k + 1) for k in range(1000)] + [(5000, k) for k in range(2000, 2400)]
+    got = {x["node"]: x["root"] for x in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(1001)} | {k: 2000 for k in range(2000, 2400)} | {5000: 2000}
+    assert names.count("cc-map") <= 12
+    more = graph.extended(graph.components(spark.createDataFrame([(1, 2), (5, 6)], "a long, b long")), spark.createDataFrame([(6, 2), (8, 9), (9, 0)], "a long, b long"))
+    assert {x["node"]: x["root"] for x in more.collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 0: 0, 8: 0, 9: 0}
+
+
 def test_license_scan(spark):
     texts = [None, "", "ALL rights-reserved. all rights reserved", "CC BY-NC 4.0 and cc by", "GNU General Public License, version 3", "general public", "all rights all rights reserved" * 3, "x " * 5000 + "cc by", "Permission is hereby granted, free of charge ... THE SOFTWARE IS PROVIDED \"AS IS\"", "permission is hereby granted free of charge"]
     df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], DOC + ", hits int")
