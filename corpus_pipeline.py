@@ -25,15 +25,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least doc_id, of each group of near duplicates."""
+    """One document, the one with the least doc_id, of each group of near duplicates; rows without words all stay."""
     ship(spark)
-    kept = minhash.near_duplicates(docs.select("doc_id", "text"), shingle_words=5, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept")).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return minhash.one_of_each(docs, shingle_words=5, percent=80)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return containment.without_items(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents that hold no benchmark item, those without a doc_id among them."""
+    return containment.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
