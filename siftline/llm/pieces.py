@@ -377,23 +377,20 @@ class Pieces:
         places = [m.start() for m in self.splitter.finditer(s, 0, n) if m.start()]
         return [places[0], places[-1]] if places else []
 
-    def between(self, s: str, n: int, entry: int, leave: int, final: bool, inner) -> list[int]:
-        """Ids of the pieces that begin in chunk s[:n], from state entry to state leave. inner gives those of the
-        text from the first to the last place that no piece reaches over."""
+    def between(self, s: str, n: int, entry: int, leave: int, final: bool) -> tuple[list[int], str, list[int]]:
+        """The pieces that begin in chunk s[:n], from state entry to state leave: ids up to the first place that no
+        piece reaches over, the text from there to the last one, ids from the last one."""
         begin, last = entry // _STATE, self.piece_of(entry)
         end = n + leave // _STATE
         free = self._free(s, n)
         if begin >= n:
-            return []
+            return [], "", []
         if not free or begin > free[0]:
             best = self.exits(s, begin, last, n, final)[leave][1]
-            return self.numbers(self.trace(best, begin, end))
+            return self.numbers(self.trace(best, begin, end)), "", []
         best, _ = self.paths(s, begin, last, free[0], free[0])
-        out = self.numbers(self.trace(best, begin, free[0]))
-        out += inner(s[free[0] : free[-1]])
-        tail = s[free[-1] :]
-        best = self.exits(tail, 0, None, n - free[-1], final)[leave][1]
-        return out + self.numbers(self.trace(best, 0, end - free[-1]))
+        tail = self.exits(s[free[-1] :], 0, None, n - free[-1], final)[leave][1]
+        return self.numbers(self.trace(best, begin, free[0])), s[free[0] : free[-1]], self.numbers(self.trace(tail, 0, end - free[-1]))
 
 
 def product(one: dict, two: dict) -> dict:
@@ -468,8 +465,8 @@ def _pack(m: dict) -> list[dict]:
     return [{"a": int(a), "b": int(b), "w": float(w)} for (a, b), w in m.items()]
 
 
-def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> DataFrame:
-    """(doc_id, text) -> doc_id, row_id, chunk, text, ids; each document's chunks from 0 on.
+def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15, decoded: bool = False) -> DataFrame:
+    """(doc_id, text) -> doc_id, row_id, chunk, text, ids, with decoded also the column of decode(); each document's chunks from 0 on.
 
     A piece belongs to the chunk in which it begins, and a chunk's text is what its pieces cover: the chunks' texts
     (and ids), joined in order, are the document's. Null and empty texts give one chunk without ids. row_id is another
@@ -493,10 +490,11 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_id"), pa.array(np.zeros(len(lists), np.int64)), part.column("text"), lists], names=["doc_id", "row_id", "chunk", "text", "ids"])
 
-    out_schema = "doc_id long, row_id long, chunk long, text string, ids array<int>"
+    back = _decode(model_path) if decoded else lambda batches: batches
+    out_schema = "doc_id long, row_id long, chunk long, text string, ids array<int>" + (", decoded string" if decoded else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (2 * F.monotonically_increasing_id()).alias("row_id"))
     giant = F.char_length("text") > chunk_chars
-    short = rows.where(~giant).mapInArrow(whole, out_schema)
+    short = rows.where(~giant).mapInArrow(lambda batches: back(whole(batches)), out_schema)
     # the rows of both branches have ids of their own, and those of giant documents are fixed by being written
     cut_schema = "doc_id long, row_id long, chunk long, final boolean, own string, after string, before string"
     cut = written(rows.where(giant).withColumn("row_id", F.col("row_id") + 1).mapInArrow(_cut(chunk_chars, longest), cut_schema), "pieces-cut")
@@ -541,34 +539,41 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15) -> Data
 
     def chunks(batches):
         model, _ = _loaded(model_path)
-
-        def inner(s: str) -> list[int]:
-            return _encode_texts(model_path, pa.array([s.replace(SPACE, " ")], pa.large_string()))[0].tolist()
-
         for batch in released(batches):
-            for row in batch.to_pylist():
-                _, s, n = texts(row, model)
-                ids = model.between(s, n, row["entry"], row["leave"], row["final"], inner)
-                covered = (row["own"] + row["after"])[max(0, row["entry"] // _STATE - (row["chunk"] == 0)) : len(row["own"]) + row["leave"] // _STATE]
-                yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([row["row_id"]], pa.int64()), pa.array([row["chunk"]], pa.int64()), pa.array([covered]), pa.array([ids], pa.list_(pa.int32()))], names=["doc_id", "row_id", "chunk", "text", "ids"])
-
-    long = cut.join(states, ["row_id", "chunk"]).select("doc_id", "row_id", "chunk", "final", "own", "after", "before", "entry", "leave").mapInArrow(chunks, out_schema)
+            # what lies between the free places of some 64 chunks is looked up at once
+            for low in range(0, batch.num_rows, 64):
+                rows = batch.slice(low, 64).to_pylist()
+                parts, covered = [], []
+                for row in rows:
+                    _, s, n = texts(row, model)
+                    parts.append(model.between(s, n, row["entry"], row["leave"], row["final"]))
+                    covered.append((row["own"] + row["after"])[max(0, row["entry"] // _STATE - (row["chunk"] == 0)) : len(row["own"]) + row["leave"] // _STATE])
+                flat, sizes = _encode_texts(model_path, pa.array([middle.replace(SPACE, " ") for _, middle, _ in parts], pa.large_string()))
+                inner = np.split(flat, np.cumsum(sizes)[:-1])
+                ids = [np.concatenate([head, i, tail]).astype(np.int32) for (head, _, tail), i in zip(parts, inner, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in ("doc_id", "row_id", "chunk")] + [pa.array(covered, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row_id", "chunk", "text", "ids"])
+
+    long = cut.join(states, ["row_id", "chunk"]).select("doc_id", "row_id", "chunk", "final", "own", "after", "before", "entry", "leave").mapInArrow(lambda batches: back(chunks(batches)), out_schema)
     return short.unionByName(long)
 
 
-def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """Rows of encode -> the same with a last column decoded: the text of the pieces that begin in the chunk.
-
-    The decoded chunks of a document, joined in order, are its text (U+2581 reads as a space). A null ids is empty.
-    """
-
+def _decode(model_path: str):
     def run(batches):
         model, _ = _loaded(model_path)
-        for batch in released(batches):
+        for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
                 first = pc.equal(part.column("chunk"), 0).fill_null(False)
                 decoded = model.decode(part.column("ids"), first).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*(f for f in encoded.schema if f.name != "decoded"), T.StructField("decoded", T.StringType())]))
+    return run
+
+
+def decode(encoded: DataFrame, model_path: str) -> DataFrame:
+    """Rows of encode -> the same with a last column decoded: the text of the pieces that begin in the chunk.
+
+    The decoded chunks of a document, joined in order, are its text (U+2581 reads as a space). A null ids is empty.
+    """
+    schema = T.StructType([*(f for f in encoded.schema if f.name != "decoded"), T.StructField("decoded", T.StringType())])
+    return encoded.drop("decoded").mapInArrow(lambda batches: _decode(model_path)(released(batches)), schema)

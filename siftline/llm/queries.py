@@ -93,7 +93,7 @@ FROM judged
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per row of documents what its encoded and decoded chunks add up to; exact: all chunks decode to the text that they cover."""
     path = tokenizer_path("piece_bpe_32k.model")
-    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    out = pieces.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return out.groupBy("doc_id", "row_id").agg(
         F.count("*").alias("n_chunks"), F.sum(F.size("ids")).alias("n_tokens"), F.sum(F.char_length("decoded")).alias("n_chars"), F.bool_and(F.col("decoded") == F.translate("text", pieces.SPACE, " ")).alias("exact"),
         # a row's chunks have different numbers, so no two of them cancel each other

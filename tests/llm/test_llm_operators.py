@@ -276,6 +276,11 @@ def test_pieces_equal_the_library(spark, corpus, chunk):
     for i, t in docs:
         assert ids[i] == sp.encode(t or "") and back[i] == (t or "")
     assert pieces.encode(spark.createDataFrame([], DOC), path).count() == 0
+    # repeated rows, and rows without an id, stay apart; each chunk's text is what its ids decode to
+    odd = spark.createDataFrame([(1, texts[-1]), (1, texts[-1]), (None, "ab cd"), (None, "ab cd"), (None, None)], DOC)
+    both = pieces.encode(odd, path, chunk, decoded=True).collect()
+    assert len({x["row_id"] for x in both}) == 5 and all(x["decoded"] == x["text"] for x in both)
+    assert sorted(sum((x["ids"] for x in both if x["doc_id"] is None), [])) == sorted(2 * sp.encode("ab cd"))
 
 
 def test_unigram_pieces_have_the_best_sum(tmp_path):
