@@ -10,13 +10,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: rows and bytes that go to a Python worker at once, for texts of some kB; set where the session has Spark's defaults
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
+#: so that freed arrays of a worker go back to the machine at once
+_MALLOC = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and bound what they hold: smaller Arrow
+    batches than Spark's default (a setting that the session has changed stays) and eager freeing."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for name, value in _MALLOC.items():
+        env.setdefault(name, value)
+    for name, (default, smaller) in _BATCHES.items():
+        if (spark.conf.get(name, None) or "").removesuffix("b") == default:
+            spark.conf.set(name, smaller)
 
 
 def shared_dir(spark: SparkSession) -> str:
