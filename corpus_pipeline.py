@@ -39,7 +39,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, chunk, ids, n_tokens, decoded: the SentencePiece ids of each chunk, and their text."""
     ship(spark)
     path = tokenizer_path("piece_bpe_32k.model")
-    out = pieces.decode(pieces.encode(docs, path), path)
+    out = pieces.encode(docs, path, decoded=True)
     return out.select("doc_id", "chunk", "ids", F.size("ids").alias("n_tokens"), "decoded")
 
 
