@@ -1,8 +1,9 @@
 """Captured kernel text files of many hosts to metric points.
 
 Input: host, file, captured_at_unix_nano, content. Every parser gives rows of host, name, attrs
-(map), metric_type (`gauge` or `sum`), value (long or double as decimal text is kept out: a double), and
-time_unix_nano. What cannot be read goes to `errors`, good records go on.
+(map), metric_type (`gauge` or `sum`), value (a double), int_value, float_value and time_unix_nano. Whole numbers
+(all counters are) stand in int_value exactly, others in float_value; the other one is null. What cannot be read goes
+to `errors`, good records go on.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from siftline.functions import labels as L
 
 TICKS = 100
-_POINT = ("host", "name", "attrs", "metric_type", "value", "time_unix_nano")
+_POINT = ("host", "name", "attrs", "metric_type", "value", "int_value", "float_value", "time_unix_nano")
 _NONE = "cast(map() AS map<string,string>)"
 
 
@@ -35,6 +36,11 @@ def count_of(text: Column) -> Column:
     return F.when(text.rlike(r"\A[0-9]+\z"), text.try_cast("bigint"))
 
 
+def _scaled(n: Column, by: int) -> Column:
+    """n times by, null beyond 2^63-1."""
+    return F.when(n <= F.lit(((1 << 63) - 1) // by), n) * by
+
+
 def _amount(text: Column) -> Column:
     """A finite double of 0 or more, else null."""
     v = F.when(text.rlike(r"\A[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"), text.try_cast("double"))
@@ -45,9 +51,12 @@ def _labels(**values: Column) -> Column:
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]) if values else F.expr(_NONE)
 
 
-def _points(rows: DataFrame, items: list[tuple[Column | str, Column, str, Column]]) -> DataFrame:
-    """One point per row and item (name, attrs, type, value); items without a value give none."""
-    entries = [F.struct((F.lit(n) if isinstance(n, str) else n).alias("name"), a.alias("attrs"), F.lit(t).alias("metric_type"), v.cast("double").alias("value")) for n, a, t, v in items]
+def _points(rows: DataFrame, items: list[tuple[Column | str, Column, str, Column]], float_gauges: bool = False) -> DataFrame:
+    """One point per row and item (name, attrs, type, value); items without a value give none. Sums are whole numbers, and so are gauges unless float_gauges."""
+    entries = []
+    for n, a, t, v in items:
+        whole = t == "sum" or not float_gauges
+        entries.append(F.struct((F.lit(n) if isinstance(n, str) else n).alias("name"), a.alias("attrs"), F.lit(t).alias("metric_type"), v.cast("double").alias("value"), (v if whole else F.lit(None)).cast("bigint").alias("int_value"), (F.lit(None) if whole else v).cast("double").alias("float_value")))
     out = rows.select("host", F.col("captured_at_unix_nano").alias("time_unix_nano"), F.explode(F.array(*entries)).alias("p"))
     return out.select("host", "p.*", "time_unix_nano").where("value IS NOT NULL").select(*_POINT)
 
@@ -60,7 +69,7 @@ def errors(rows: DataFrame, bad: Column, detail: Column, most: int = 16) -> Data
 
 def load(snapshots: DataFrame) -> DataFrame:
     rows = _files(snapshots, "loadavg").withColumn("f", _fields(F.trim("content")))
-    return _points(rows, [(f"node_load{n}", F.expr(_NONE), "gauge", _amount(F.get("f", F.lit(k)))) for k, n in enumerate((1, 5, 15))])
+    return _points(rows, [(f"node_load{n}", F.expr(_NONE), "gauge", _amount(F.get("f", F.lit(k)))) for k, n in enumerate((1, 5, 15))], float_gauges=True)
 
 
 #: fixed values: kernel names of memory figures and the metrics that they become
@@ -68,10 +77,10 @@ MEMORY = {"MemTotal": "node_memory_total_bytes", "MemFree": "node_memory_free_by
 
 
 def memory(snapshots: DataFrame) -> DataFrame:
-    """kB figures in bytes."""
+    """kB figures in bytes; figures whose bytes pass 2^63-1 are left out."""
     rows = _lines(snapshots, "meminfo").withColumns({"k": F.regexp_extract("line", r"\A(\w+):", 1), "n": count_of(F.regexp_extract("line", r":\s+(\d+)\s+kB\z", 1))}).where(F.col("k").isin(*MEMORY))
     name = F.create_map(*[F.lit(x) for kv in MEMORY.items() for x in kv])[F.col("k")]
-    return _points(rows.where(F.col("n") <= (1 << 53)), [(name, F.expr(_NONE), "gauge", F.col("n") * 1024)])
+    return _points(rows.where(F.col("n") <= ((1 << 63) - 1) // 1024), [(name, F.expr(_NONE), "gauge", F.col("n") * 1024)])
 
 
 CPU_MODES = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")
@@ -81,7 +90,7 @@ def cpu(snapshots: DataFrame) -> DataFrame:
     """Milliseconds per CPU and mode; the line of all CPUs is skipped."""
     rows = _lines(snapshots, "stat").where(F.col("line").rlike(r"\Acpu[0-9]+\s")).withColumn("f", _fields("line"))
     rows = rows.withColumn("c", F.substring(F.col("f")[0], 4, 10))
-    return _points(rows, [("node_cpu_milliseconds_total", _labels(cpu=F.col("c"), mode=F.lit(m)), "sum", F.floor(count_of(F.get("f", F.lit(k + 1))) * 1000 / TICKS)) for k, m in enumerate(CPU_MODES)])
+    return _points(rows, [("node_cpu_milliseconds_total", _labels(cpu=F.col("c"), mode=F.lit(m)), "sum", _scaled(count_of(F.get("f", F.lit(k + 1))), 1000 // TICKS)) for k, m in enumerate(CPU_MODES)])
 
 
 def network(snapshots: DataFrame) -> DataFrame:
@@ -101,7 +110,7 @@ def socket(snapshots: DataFrame, page_size: int = 4096) -> DataFrame:
     rows = rows.where(F.col("p").isin(*SOCKET_PROTOCOLS) & (F.size("f") % 2 == 0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("f") - 2, F.lit(2))))
     rows = rows.withColumns({"key": F.get("f", F.col("i")), "n": count_of(F.get("f", F.col("i") + 1))})
     name = F.concat(F.lit("node_sockstat_"), F.col("p"), F.lit("_"), F.col("key"))
-    return _points(rows, [(name, F.expr(_NONE), "gauge", F.col("n")), (F.concat(name, F.lit("_bytes")), F.expr(_NONE), "gauge", F.when(F.col("key") == "mem", F.col("n") * page_size))])
+    return _points(rows, [(name, F.expr(_NONE), "gauge", F.col("n")), (F.concat(name, F.lit("_bytes")), F.expr(_NONE), "gauge", F.when(F.col("key") == "mem", _scaled(F.col("n"), page_size)))])
 
 
 #: fixed values: exported fields of the protocol statistics
@@ -135,8 +144,7 @@ def disk(snapshots: DataFrame) -> DataFrame:
     """11, 15 or 17 values after major, minor and device; other layouts are errors."""
     rows = _lines(snapshots, "diskstats").withColumn("f", _fields("line")).where((F.size("f") - 3).isin(11, 15, 17))
     d = _labels(device=F.col("f")[2], major=F.col("f")[0], minor=F.col("f")[1])
-    value = lambda k, by: F.when(count_of(F.get("f", F.lit(k + 3))) <= F.lit(((1 << 63) - 1) // by), count_of(F.get("f", F.lit(k + 3)))) * by
-    return _points(rows, [(f"node_disk_{n}", d, t, value(k, by)) for k, (n, by, t) in enumerate(DISK)])
+    return _points(rows, [(f"node_disk_{n}", d, t, _scaled(count_of(F.get("f", F.lit(k + 3))), by)) for k, (n, by, t) in enumerate(DISK)])
 
 
 #: fixed values: file systems without a local device
@@ -188,7 +196,7 @@ def cgroup(snapshots: DataFrame) -> DataFrame:
 def uptime(snapshots: DataFrame) -> DataFrame:
     """Seconds since the start, and the start in seconds since 1970."""
     rows = _files(snapshots, "uptime").withColumn("u", _amount(F.get(_fields(F.trim("content")), F.lit(0))))
-    return _points(rows, [("node_uptime_seconds", F.expr(_NONE), "gauge", F.col("u")), ("node_boot_time_seconds", F.expr(_NONE), "gauge", F.col("captured_at_unix_nano") / 1e9 - F.col("u"))])
+    return _points(rows, [("node_uptime_seconds", F.expr(_NONE), "gauge", F.col("u")), ("node_boot_time_seconds", F.expr(_NONE), "gauge", F.col("captured_at_unix_nano") / 1e9 - F.col("u"))], float_gauges=True)
 
 
 def pressure(snapshots: DataFrame) -> DataFrame:
@@ -201,7 +209,7 @@ def pressure(snapshots: DataFrame) -> DataFrame:
     for w in (10, 60, 300):
         v = _amount(F.regexp_extract("line", rf"\bavg{w}=([0-9.]+)", 1))
         items.append((F.concat(base, F.lit("_ratio")), _labels(window=F.lit(f"{w}s")), "gauge", F.when(v <= 100, v / 100)))
-    return _points(rows, items)
+    return _points(rows, items, float_gauges=True)
 
 
 def uname_info(hosts: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions import labels as L
 
+#: bytes of an exposition body that are read
+MAX_BODY = 64 << 20
 KINDS = ("metrics", "logs", "traces", "profiles")
 _VALUE = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double>"
 _ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
@@ -21,9 +23,17 @@ SPANS_SCHEMA = f"struct<resourceSpans:array<struct<resource:struct<attributes:{_
 
 
 def read_exposition(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: scrape_id (the path), scraped_at_unix_nano (its change time), body."""
+    """One row per file: scrape_id (the path), scraped_at_unix_nano (its change time), body, truncated.
+
+    Of a body over 64 MiB the first 64 MiB are read, up to the last whole character, and truncated is true.
+    """
     files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path", "_metadata.file_modification_time")
-    return files.select(F.col("file_path").alias("scrape_id"), (F.unix_micros("file_modification_time") * 1000).alias("scraped_at_unix_nano"), F.col("value").alias("body")).where(F.octet_length("body") <= 64 << 20)
+    over = F.octet_length("value") > MAX_BODY
+    raw = F.col("value").cast("binary")
+    # a cut inside a character leaves an incomplete end of one to three bytes
+    cuts = [F.try_validate_utf8(F.substring(raw, 1, MAX_BODY - k).cast("string")) for k in range(4)]
+    body = F.when(over, F.coalesce(*cuts)).otherwise(F.col("value"))
+    return files.select(F.col("file_path").alias("scrape_id"), (F.unix_micros("file_modification_time") * 1000).alias("scraped_at_unix_nano"), body.alias("body"), over.alias("truncated"))
 
 
 def attributes_map(attrs: Column) -> Column:
@@ -95,11 +105,13 @@ def read_otlp_spans(df: DataFrame) -> DataFrame:
 
 
 def discover_logs(spark: SparkSession, include: list[str], exclude: list[str] = (), start_at: str = "end", seen_before: str | None = None) -> DataFrame:
-    """Paths that match an include glob and no exclude glob, sorted. start_at `end` leaves out files not changed after seen_before (a timestamp)."""
+    """Paths that match an include glob and no exclude glob, sorted. start_at `end` leaves out files not changed after seen_before (a timestamp), which it needs."""
+    if start_at == "end" and not seen_before:
+        raise ValueError("start_at end needs seen_before")
     if start_at not in ("end", "beginning"):
         raise ValueError("start_at is end or beginning")
     reader = spark.read.format("binaryFile")
-    if start_at == "end" and seen_before:
+    if start_at == "end":
         reader = reader.option("modifiedAfter", seen_before)
     files = reader.load(include).select("path", "length", "modificationTime")
     for glob in exclude:
@@ -157,17 +169,26 @@ def write_by_kind(df: DataFrame, path: str, quarantine: str, kinds: tuple[str, .
     df.where(~known).write.mode(mode).parquet(quarantine)
 
 
-def to_otlp_metrics(points: DataFrame) -> DataFrame:
-    """(resource, name, unit, metric_type, monotonic, attrs, time_unix_nano, int_value, float_value, arrival_seq) -> resource_key, body.
+def to_otlp_metrics(points: DataFrame, block_points: int = 10_000) -> DataFrame:
+    """(resource, name, unit, metric_type, monotonic, attrs, time_unix_nano, int_value, float_value, arrival_seq; hist where
+    there are exponential histograms) -> resource_key, first_seq, body.
 
-    One JSON block per resource, its points in order of arrival, blocks in order of their first point (first_seq). Sums are cumulative, all
+    A JSON block holds points of one resource in order of arrival; arrival_seq, which no two points share, is cut into
+    ranges of block_points, so a block has no more of them. Sums and exponential histograms are cumulative, all
     other scalars gauges; attribute values are texts.
     """
     texts = lambda m: F.transform(F.array_sort(F.map_entries(F.coalesce(m, F.expr("cast(map() AS map<string,string>)")))), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
-    point = F.struct(texts(F.col("attrs")).alias("attributes"), F.col("time_unix_nano").cast("string").alias("timeUnixNano"), F.col("int_value").cast("string").alias("asInt"), F.when(F.col("int_value").isNull(), F.col("float_value")).alias("asDouble"))
-    is_sum = F.col("metric_type") == "sum"
-    metric = F.struct(F.col("name").alias("name"), F.col("unit").alias("unit"), F.when(is_sum, F.struct(F.lit(2).alias("aggregationTemporality"), F.coalesce("monotonic", F.lit(False)).alias("isMonotonic"), F.array(point).alias("dataPoints"))).alias("sum"), F.when(~is_sum, F.struct(F.array(point).alias("dataPoints"))).alias("gauge"))
-    rows = points.select(L.key_of(F.col("resource")).alias("resource_key"), "arrival_seq", texts(F.col("resource")).alias("r"), metric.alias("m"))
-    out = rows.groupBy("resource_key").agg(F.min("arrival_seq").alias("first_seq"), F.first("r").alias("r"), F.sort_array(F.collect_list(F.struct("arrival_seq", F.to_json("m").alias("m")))).alias("ms"))
+    base = [texts(F.col("attrs")).alias("attributes"), F.col("time_unix_nano").cast("string").alias("timeUnixNano")]
+    point = F.struct(*base, F.col("int_value").cast("string").alias("asInt"), F.when(F.col("int_value").isNull(), F.col("float_value")).alias("asDouble"))
+    is_sum, is_hist = F.col("metric_type") == "sum", F.col("metric_type") == "exponential_histogram"
+    kinds = [F.when(is_sum, F.struct(F.lit(2).alias("aggregationTemporality"), F.coalesce("monotonic", F.lit(False)).alias("isMonotonic"), F.array(point).alias("dataPoints"))).alias("sum"), F.when(~is_sum & ~is_hist, F.struct(F.array(point).alias("dataPoints"))).alias("gauge")]
+    if "hist" in points.columns:
+        h = lambda c: F.col(f"hist.{c}")
+        positive = F.struct(h("positive_offset").alias("offset"), F.transform(h("positive_counts"), lambda n: n.cast("string")).alias("bucketCounts"))
+        held = F.struct(*base, h("count").cast("string").alias("count"), h("sum").alias("sum"), h("scale").alias("scale"), h("zero_count").cast("string").alias("zeroCount"), positive.alias("positive"))
+        kinds.append(F.when(is_hist, F.struct(F.lit(2).alias("aggregationTemporality"), F.array(held).alias("dataPoints"))).alias("exponentialHistogram"))
+    metric = F.struct(F.col("name").alias("name"), F.col("unit").alias("unit"), *kinds)
+    rows = points.select(L.key_of(F.col("resource")).alias("resource_key"), "arrival_seq", F.floor(F.col("arrival_seq") / block_points).alias("block"), texts(F.col("resource")).alias("r"), metric.alias("m"))
+    out = rows.groupBy("resource_key", "block").agg(F.min("arrival_seq").alias("first_seq"), F.first("r").alias("r"), F.sort_array(F.collect_list(F.struct("arrival_seq", F.to_json("m").alias("m")))).alias("ms"))
     body = F.concat(F.lit('{"resourceMetrics":[{"resource":{"attributes":'), F.to_json("r"), F.lit('},"scopeMetrics":[{"metrics":['), F.array_join(F.transform("ms", lambda x: x["m"]), ","), F.lit("]}]}]}"))
     return out.select("resource_key", "first_seq", body.alias("body"))
