@@ -36,18 +36,27 @@ def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl log made of pages: each page was answered in full once, and visited again later with a 304."""
+    """A crawl log made of pages: a page was answered in full up to four times (twice at one time, the last time perhaps
+    after its revisit), and visited again with a 304; every tenth page also under a name that is no URL."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("digest"))
     header = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
     day = lambda c: F.concat(F.lit("day "), c.cast("string"))
-    full = p.select(
-        (F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 10).alias("at"), F.lit("response").alias("kind"), F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"')).alias("etag"), day(F.floor(F.col("page_id") / 100)).alias("last_modified"),
-        header("content-type", "text/html", "date", day(F.col("page_id") * 10), "etag", F.substring("digest", 1, 16), "server", "a").alias("headers"),
+    page, k = F.col("page_id"), F.col("k")
+    tag = F.concat(F.substring("digest", 1, 16), k.cast("string"))
+    answers = p.withColumn("k", F.explode(F.sequence(F.lit(0), (page % 4).cast("int"))))
+    # the answers 1 and 2 come at one time
+    at = page * 10 + F.least(k, F.lit(1)) * 500 + F.when(k == 3, 3000).otherwise(0)
+    full = answers.select(
+        (page * 10 + k).alias("record_id"), "url", at.alias("at"), F.lit("response").alias("kind"), F.concat(F.lit('"'), tag, F.lit('"')).alias("etag"), day(F.floor(page / 100) + k).alias("last_modified"),
+        header("content-type", "text/html", "date", day(page * 10 + k), "etag", tag, "server", "a").alias("headers"),
     )
+    named = F.when(page % 10 == 9, F.concat(F.lit("dns:"), F.col("digest"))).otherwise(F.concat("url", F.when(F.col("url").contains("?") | F.col("url").contains("#"), "").otherwise("?utm_campaign=x#again")))
+    # validators of one of the answers
+    seen = F.concat(F.substring("digest", 1, 16), (page % 3).cast("string"))
     again = p.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), F.concat("url", F.when(F.col("url").contains("?") | F.col("url").contains("#"), "").otherwise("?utm_campaign=x#again")).alias("url"), (F.col("page_id") * 10 + F.col("page_id") % 7 * 1000 - 5).alias("at"), F.lit("revisit").alias("kind"),
-        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('W/"'), F.substring("digest", 1, 16), F.lit('"'))).when(F.col("page_id") % 3 == 1, F.lit('"changed"')).alias("etag"), F.when(F.col("page_id") % 4 != 0, day(F.floor(F.col("page_id") / 100))).alias("last_modified"),
-        header("content-length", "0", "date", day(F.col("page_id") * 10 + 1), "expires", "never", "server", "b").alias("headers"),
+        (page * 10 + 9).alias("record_id"), named.alias("url"), (page * 10 + page % 7 * 700 - 5).alias("at"), F.lit("revisit").alias("kind"),
+        F.when(page % 5 < 3, F.concat(F.lit('W/"'), seen, F.lit('"'))).when(page % 5 == 3, F.lit('"changed"')).alias("etag"), F.when(page % 4 != 0, day(F.floor(page / 100) + page % 2)).alias("last_modified"),
+        header("content-length", "0", "date", day(page * 10 + 1), "expires", "never", "server", "b").alias("headers"),
     )
     return full.unionByName(again)
 
@@ -59,22 +68,24 @@ def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS digest FROM pages),
+answers AS (SELECT *, unnest(range(0, page_id % 4 + 1)) AS k FROM p),
 recs AS (
-  SELECT page_id * 2 AS record_id, url, page_id * 10 AS at, 'response' AS kind, '"' || substr(digest, 1, 16) || '"' AS etag,
-         'day ' || CAST(page_id // 100 AS VARCHAR) AS last_modified, digest, page_id FROM p
+  SELECT page_id * 10 + k AS record_id, url, page_id * 10 + least(k, 1) * 500 + CASE WHEN k = 3 THEN 3000 ELSE 0 END AS at, 'response' AS kind,
+         '"' || substr(digest, 1, 16) || CAST(k AS VARCHAR) || '"' AS etag, 'day ' || CAST(page_id // 100 + k AS VARCHAR) AS last_modified,
+         substr(digest, 1, 16) || CAST(k AS VARCHAR) AS tag, page_id, k FROM answers
   UNION ALL
-  SELECT page_id * 2 + 1, url || CASE WHEN contains(url, '?') OR contains(url, '#') THEN '' ELSE '?utm_campaign=x#again' END,
-         page_id * 10 + page_id % 7 * 1000 - 5, 'revisit',
-         CASE WHEN page_id % 3 = 0 THEN 'W/"' || substr(digest, 1, 16) || '"' WHEN page_id % 3 = 1 THEN '"changed"' END,
-         CASE WHEN page_id % 4 <> 0 THEN 'day ' || CAST(page_id // 100 AS VARCHAR) END, digest, page_id FROM p),
+  SELECT page_id * 10 + 9, CASE WHEN page_id % 10 = 9 THEN 'dns:' || digest ELSE url || CASE WHEN contains(url, '?') OR contains(url, '#') THEN '' ELSE '?utm_campaign=x#again' END END,
+         page_id * 10 + page_id % 7 * 700 - 5, 'revisit',
+         CASE WHEN page_id % 5 < 3 THEN 'W/"' || substr(digest, 1, 16) || CAST(page_id % 3 AS VARCHAR) || '"' WHEN page_id % 5 = 3 THEN '"changed"' END,
+         CASE WHEN page_id % 4 <> 0 THEN 'day ' || CAST(page_id // 100 + page_id % 2 AS VARCHAR) END, NULL, page_id, NULL FROM p),
 keyed AS (
   SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\.|:(80|443)$', '', 'g')
     || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS base,
     array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT starts_with(q, 'utm_'))), '&') AS query
   FROM recs),
-k AS (SELECT *, base || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key FROM keyed),
+k AS (SELECT *, CASE WHEN regexp_matches(url, '^[A-Za-z]+://[^/?#]') THEN base || CASE WHEN query <> '' THEN '?' || query ELSE '' END ELSE url END AS url_key FROM keyed),
 found AS (
-  SELECT v.*, r.record_id AS response_id, r.etag AS r_etag, r.last_modified AS r_lm, r.digest AS r_digest, r.page_id AS r_page,
+  SELECT v.*, r.record_id AS response_id, r.etag AS r_etag, r.last_modified AS r_lm, r.tag AS r_tag,
          row_number() OVER (PARTITION BY v.record_id ORDER BY r.at DESC, r.record_id DESC) AS rn
   FROM (SELECT * FROM k WHERE kind = 'revisit') v LEFT JOIN (SELECT * FROM k WHERE kind = 'response') r ON v.url_key = r.url_key AND r.at <= v.at),
 judged AS (
@@ -84,7 +95,7 @@ judged AS (
   FROM found WHERE rn = 1)
 SELECT record_id, url_key, response_id, verdict,
   CASE WHEN verdict IN ('match', 'unverified')
-    THEN 'content-type: text/html' || chr(10) || 'date: day ' || CAST(page_id * 10 + 1 AS VARCHAR) || chr(10) || 'etag: ' || substr(r_digest, 1, 16) || chr(10) || 'expires: never' || chr(10) || 'server: a'
+    THEN 'content-type: text/html' || chr(10) || 'date: day ' || CAST(page_id * 10 + 1 AS VARCHAR) || chr(10) || 'etag: ' || r_tag || chr(10) || 'expires: never' || chr(10) || 'server: a'
     ELSE 'content-length: 0' || chr(10) || 'date: day ' || CAST(page_id * 10 + 1 AS VARCHAR) || chr(10) || 'expires: never' || chr(10) || 'server: b' END AS header_lines
 FROM judged
 """
