@@ -7,7 +7,6 @@ resource_attrs array<struct<key,value>>, size_bytes.
 
 from __future__ import annotations
 
-import math
 import struct
 from collections.abc import Callable
 
@@ -75,7 +74,8 @@ def parent_cycle_spans(spans: DataFrame, keep: Callable[[DataFrame], DataFrame]
         edges = edges.join(edges.select(*key, F.col("to").alias("node")).distinct(), [*key, "node"], "left_semi").select(*key, "node", "to")
     edges = keep(edges)
     largest = edges.groupBy(*key).count().agg(F.max("count")).first()[0]
-    for _ in range(math.ceil(math.log2(largest)) if largest and largest > 1 else 0):
+    # a pointer must reach further than the longest chain left, so that only cycles keep theirs
+    for _ in range((largest or 0).bit_length()):
         step = edges.select(*key, F.col("node").alias("to"), F.col("to").alias("next"))
         # a pointer that leaves the graph is dropped: its span is on no cycle
         edges = keep(edges.join(step, [*key, "to"]).select(*key, "node", F.col("next").alias("to")))

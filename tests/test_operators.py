@@ -374,3 +374,32 @@ def test_text_helpers(spark):
     r = df.select(L.bounded_text(F.col("t"), 7).alias("t"), L.image_name(F.col("i")).alias("n"), L.image_digest(F.col("i")).alias("d"), L.decode_octal_escapes(F.col("o")).alias("o")).collect()[0]
     assert (r["t"], r["n"], r["d"], r["o"]) == ("a�bé", "reg/x/app", "sha256:ab", "a b")
     assert spark.createDataFrame([("aéé",)], "t string").select(L.bounded_text(F.col("t"), 4)).collect()[0][0] == "aé"
+
+
+def test_a_chain_is_no_cycle(spark):
+    """What is left of a chain after peeling must not look like a cycle; a loop to itself is one."""
+    binary = lambda n, size: bytes(size - 1) + bytes([n])
+    rows = []
+    for trace, n in enumerate(range(2, 12), start=1):
+        rows += [(1, binary(trace, 16), binary(k, 8), binary(k - 1, 8) if k > 1 else None) for k in range(1, n + 1)]
+    rows += [(1, binary(90, 16), binary(1, 8), binary(1, 8)), *[(1, binary(91, 16), binary(k, 8), binary(k % 5 + 1, 8)) for k in range(1, 6)]]
+    found = traces.parent_cycle_spans(spark.createDataFrame(rows, "request_id int, trace_id binary, span_id binary, parent_span_id binary")).collect()
+    assert sorted((bytes(r["trace_id"])[-1], bytes(r["span_id"])[-1]) for r in found) == [(90, 1), *[(91, k) for k in range(1, 6)]]
+
+
+def test_readers_of_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.prom").write_text("up 1\n")
+    (tmp_path / "b.prom").write_text("é" * 10)
+    monkeypatch.setattr(readers, "MAX_BODY", 7)
+    got = {r["scrape_id"][-6:]: (r["body"], r["truncated"]) for r in readers.read_exposition(spark, str(tmp_path / "*.prom")).collect()}
+    assert got == {"a.prom": ("up 1\n", False), "b.prom": ("ééé", True)}
+    with pytest.raises(ValueError):
+        readers.discover_logs(spark, [str(tmp_path / "*.prom")])
+    assert [r["path"][-6:] for r in readers.discover_logs(spark, [str(tmp_path / "*.prom")], [str(tmp_path / "b*")], "beginning").collect()] == ["a.prom"]
+    assert readers.discover_logs(spark, [str(tmp_path / "*.prom")], seen_before="2100-01-01T00:00:00").count() == 0
+    (tmp_path / "j.txt").write_text("__CURSOR=c1\n__REALTIME_TIMESTAMP=5\nMESSAGE=m\n\nMESSAGE=no cursor\n\n")
+    assert [(r["cursor"], r["realtime_usec"], r["fields"]) for r in readers.read_journal_entries(spark, str(tmp_path / "j.txt")).collect()] == [("c1", 5, {"MESSAGE": "m"})]
+    rows = spark.createDataFrame([("logs", 1), ("odd", 2), (None, 3)], "kind string, id int")
+    readers.write_by_kind(rows, str(tmp_path / "t"), str(tmp_path / "q"))
+    assert [(r["id"], r["kind"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [(1, "logs")]
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "q")).collect()) == [2, 3]
