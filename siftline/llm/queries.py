@@ -135,20 +135,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-phrases(label, base, template, size, p) AS (VALUES PHRASES),
-places AS (
-  SELECT doc_id, label, base, template, size, p, list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i : i + len(p) - 1] = p) AS spots FROM w, phrases WHERE list_has_all(w, p)),
-hit AS (SELECT * FROM places WHERE len(spots) > 0),
-tmpl AS (SELECT template, any_value(label) AS label, any_value(base) AS base, sum(len(p)) AS total, count(*) AS n FROM phrases GROUP BY template),
-per AS (SELECT doc_id, template, count(*) AS n, sum(len(p)) AS got FROM hit GROUP BY doc_id, template),
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+templates(t, label, base, words) AS (VALUES TEMPLATES),
+phrases(t, n, place, p) AS (VALUES PHRASES),
+df AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT rid, unnest(w) AS word FROM w) WHERE word IN (SELECT unnest(p) FROM phrases) GROUP BY word),
+ranked AS (SELECT t, phrases.n AS phrase, word, row_number() OVER (PARTITION BY t, phrases.n ORDER BY df.n, word) AS rank FROM phrases, (SELECT DISTINCT t AS t2, n AS n2, unnest(p) AS word FROM phrases) x JOIN df USING (word) WHERE t = t2 AND phrases.n = n2),
+indexed AS (SELECT DISTINCT t, word FROM ranked WHERE rank <= 2),
+anchors AS (SELECT DISTINCT word FROM ranked JOIN templates USING (t) WHERE base AND rank = 1),
+places AS (SELECT t, base, words[i + 1] AS word, i AS place FROM (SELECT t, base, words, unnest(range(0, len(words))) AS i FROM templates)),
+idx AS (SELECT places.* FROM places JOIN indexed USING (t, word)),
+found AS (SELECT rid, word, i - 1 AS pos FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w) WHERE word IN (SELECT word FROM indexed)),
+tops AS (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY df.n, word) AS rank FROM (SELECT DISTINCT rid, word FROM found) JOIN df USING (word)),
+chosen AS (SELECT found.* FROM found JOIN tops USING (rid, word) WHERE rank <= LOOKED_UP OR word IN (SELECT word FROM anchors)),
+offsets AS (
+  SELECT DISTINCT c.rid, i.t, c.pos - i.place AS o FROM chosen c JOIN idx i USING (word) JOIN w ON w.rid = c.rid
+  WHERE i.base OR EXISTS (SELECT 1 FROM idx j WHERE j.t = i.t AND j.word <> i.word AND c.pos - i.place + j.place >= 0 AND w.w[c.pos - i.place + j.place + 1] = j.word)),
+stands AS (SELECT DISTINCT offsets.rid, p.t, p.n, o + p.place AS pos, p.p FROM offsets JOIN phrases p USING (t) JOIN w ON w.rid = offsets.rid WHERE o + p.place >= 0 AND w.w[o + p.place + 1 : o + p.place + len(p.p)] = p.p),
+shares AS (SELECT offsets.rid, max(len(list_filter(range(0, len(t.words)), lambda i: o + i >= 0 AND coalesce(w.w[o + i + 1] = t.words[i + 1], false))) / len(t.words)) AS score FROM offsets JOIN templates t USING (t) JOIN w ON w.rid = offsets.rid GROUP BY offsets.rid),
+matched AS (SELECT rid, t, count(DISTINCT n) AS n FROM stands GROUP BY rid, t),
 lab AS (
-  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE per.n = tmpl.n) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE per.n = tmpl.n AND base) AS base_labels, max(got / total) AS score
-  FROM per JOIN tmpl USING (template) GROUP BY doc_id),
-b AS (SELECT doc_id, sum(len(spots)) AS n_base, min(list_min(spots)) - 1 AS first_word, max(list_max(spots)) - 1 AS last_word FROM hit WHERE base GROUP BY doc_id)
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels
+  FROM matched JOIN templates USING (t) JOIN (SELECT t, count(*) AS all_n FROM phrases GROUP BY t) USING (t) WHERE n = all_n GROUP BY rid),
+b AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM stands JOIN templates USING (t) WHERE base GROUP BY rid)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM w LEFT JOIN lab USING (doc_id) LEFT JOIN b USING (doc_id)
+FROM w LEFT JOIN lab USING (rid) LEFT JOIN b USING (rid) LEFT JOIN shares USING (rid)
 """
 
 OP10_SQL = r"""
@@ -164,13 +175,11 @@ GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(n_item)
 """
 
 
-def _phrases() -> str:
-    rows = []
-    for k, t in enumerate(licenses.TEMPLATES):
-        for p in t.phrases:
-            words = ", ".join(f"'{w}'" for w in p.split())
-            rows.append(f"('{t.label}', {str(t.base).lower()}, {k}, {len(p.split())}, [{words}])")
-    return ", ".join(rows)
+def _op2_sql() -> str:
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    templates = [f"({t}, '{x.label}', {str(x.base).lower()}, {listed(x.words)})" for t, x in enumerate(licenses.TEMPLATES)]
+    phrases = [f"({t}, {k}, {x.place(p)}, {listed(p.split())})" for t, x in enumerate(licenses.TEMPLATES) for k, p in enumerate(x.phrases)]
+    return OP2_SQL.replace("TEMPLATES", ", ".join(templates)).replace("PHRASES", ", ".join(phrases)).replace("LOOKED_UP", str(licenses.LOOKED_UP))
 
 
 def queries() -> dict:
@@ -187,4 +196,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": OP2_SQL.replace("PHRASES", _phrases()), "op5_revisits": OP5_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_license_scan": _op2_sql(), "op5_revisits": OP5_SQL, "op10_decontamination": OP10_SQL}
