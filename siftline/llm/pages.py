@@ -1,85 +1,194 @@
 """Main text of web pages, without the site's templates.
 
-A page is read into blocks (runs of text between block-level tags) and the elements they
-lie in. Elements that are page furniture by tag, role or class go at once. For the rest the
-hashes of their subtrees are counted per host in Spark, and subtrees that recur on
-many pages of a host with different content go too. Prose elements inside an article go
-only where the page has more text that does not recur: copied articles share most of theirs.
+A page is read into blocks (runs of text between block-level tags) and elements, each of which covers a
+range of blocks. The hashes of all elements' subtrees are counted per host in Spark first, and subtrees that
+recur on many pages of a host with different content go. What counting can't tell - furniture of small
+hosts, or with other words on each page - goes by tag, role and class. Elements inside an article
+go by counting only where the page has more text that does not recur: copied articles share most of theirs.
+
+The reader is one pass over a page: elements are kept by number on one stack, a subtree's hash is made of its
+children's, and no search is repeated that failed before.
 """
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import written
+from siftline.llm.common import released, written
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|select|object|canvas|title|head(?=[\s>]))\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|(?!.*</\1).*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*>", re.S | re.I)
+_OPEN = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_QUIET = re.compile(r"[^>\"']*+")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: fixed values: elements whose content is no text of the page, raw ones up to the page's end if need be
+RAW = frozenset("script style textarea iframe title noscript".split())
+SKIPPED = RAW | frozenset("template svg select object canvas head".split())
 #: fixed values: HTML elements that begin and end a block
 BLOCKS = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: fixed values: elements without content
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 #: fixed values: furniture by element, by role and by a word of class or id
 FURNITURE = frozenset("nav aside form footer button dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login popup modal overlay sidebar comment comments disqus reply replies respond menu navbar nav navigation breadcrumb breadcrumbs pagination pager footer masthead share sharing social related recommended widget toolbar skip".split())
-#: broadcast the places to delete up to so many pages
-_BROADCAST_ROWS = 100_000
+WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr newsletter subscribe subscription signup login popup modal overlay sidebar comment comments disqus respond menu navbar nav navigation breadcrumb breadcrumbs pagination pager footer masthead skip".split())
+#: fixed values: words that name furniture, but inside an article only where all other words of the name are neutral
+DOUBTFUL = frozenset("promo promotion banner notice notices notification alert reply replies share sharing social related recommended widget toolbar".split())
+NEUTRAL = frozenset("box bar list block wrap wrapper container section area slot panel unit item items inner outer links buttons posts site page main top bottom left right global header".split())
 #: elements that a new block closes when they are still open
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 @lru_cache(4096)
-def _marks(attributes: str) -> tuple[bool, str]:
-    """Is the element furniture by its role or words; its role."""
-    words, role = set(), ""
+def _marks(attributes: str) -> tuple[bool, bool, str]:
+    """Is the element furniture by its role or names: anywhere, and outside of articles; its role."""
+    sure, doubtful, role = False, False, ""
     for name, *values in _NAMES.findall(attributes):
         value = "".join(values).lower()
         if name.lower() == "role":
             role = value.strip()
-        else:
-            words.update(re.split(r"[^a-z0-9]+", value))
-    return bool(words & WORDS) or role in ROLES, role
+            continue
+        for token in value.split():
+            words = set(re.split(r"[^a-z0-9]+", token)) - {""}
+            doubtful |= bool(words & DOUBTFUL)
+            sure |= bool(words & WORDS) or (bool(words & DOUBTFUL) and words <= DOUBTFUL | NEUTRAL)
+    return sure or role in ROLES, doubtful, role
+
+
+class _Tags:
+    """The tags of a page, in order: (begin, end, name, closes, attributes). Comments, declarations and the content of
+    elements without text have an empty name; so has a skipped element, whose name is then the attributes."""
+
+    def __init__(self, page: str):
+        self.page, self.ended = page, set()
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        # what reading quoted attributes may cost in all before quotes are no longer looked at
+        self.budget = 8 * len(page) + (1 << 16)
 
+    def _tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag, quotes minded; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        page, k = self.page, at
+        while self.budget > 0:
+            k2 = _QUIET.match(page, k).end()
+            self.budget -= k2 - k + 1
+            if k2 == len(page):
+                break
+            c = page[k2]
+            if c == ">":
+                return k2
+            if k2 >= self.last[c]:
+                break  # a quote without its end
+            k = page.find(c, k2 + 1) + 1
+            self.budget -= k - k2
+        return page.find(">", at)
 
-def blocks_of(page: str) -> list[tuple[str, list[int], bool, bool, list[int]]]:
-    """(text, hashes of the elements around it from the outermost that may go, inside an article, is prose, hashes of its prose elements inside an article) of a page's blocks.
+    def _content_end(self, name: str, at: int) -> int:
+        """Behind the end tag of an element without text; -1 if there is none."""
+        if name in self.ended:
+            return -1
+        m = re.compile(rf"</{name}(?=[\s>/])", re.I).search(self.page, at)
+        if not m:
+            self.ended.add(name)
+            return -1
+        end = self.page.find(">", m.end())
+        return end + 1 if end >= 0 else len(self.page)
 
-    Where a page has an article or main element outside of furniture, only their blocks are returned.
+    def __iter__(self):
+        page, at, n = self.page, 0, len(self.page)
+        while True:
+            at = page.find("<", at)
+            if at < 0 or at + 1 >= n:
+                return
+            c = page[at + 1]
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                end = end + 3 if end >= 0 else n
+                yield at, end, "", False, ""
+                at = end
+            elif c in "!?" or (c == "/" and not _OPEN.match(page, at + 2)):
+                if at > self.last[">"]:
+                    at += 1
+                    continue
+                end = page.find(">", at) + 1
+                yield at, end, "", False, ""
+                at = end
+            elif m := _OPEN.match(page, at + 1 + (c == "/")):
+                end = self._tag_end(m.end())
+                if end < 0:
+                    at += 1
+                    continue
+                name, attributes = m[0].lower(), page[m.end() : end]
+                if name in SKIPPED and c != "/":
+                    behind = self._content_end(name, end + 1)
+                    if behind >= 0 or name in RAW:
+                        behind = behind if behind >= 0 else n
+                        yield at, behind, "", False, name
+                        at = behind
+                        continue
+                yield at, end + 1, name, c == "/", attributes
+                at = end + 1
+            else:
+                at += 1
+
+
+def read_page(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, bool]]]:
+    """Blocks (text, is kept by the rules) and elements (subtree hash, first block, end of its blocks, inside an article).
+
+    Rules: furniture goes by tag, role, class and id; where a page has a main element outside of furniture with text, only
+    that counts, else its articles. An article inside an article is a reader's comment.
     """
-    done: list[list] = []  # text, elements, in article, in main, prose
-    # element: [name, furniture, is article, is main, parts for its hash, hash]
+    texts: list[str] = []
+    furniture_at: list[bool] = []
+    article_at: list[bool] = []
+    main_at: list[bool] = []
+    elements: list[tuple[int, int, int, bool]] = []
+    # element: [name, furniture, article, main, parts for its hash, first block, inside an article]
     stack: list[list] = []
+    blocks_open: list[int] = []  # places of block-level elements in the stack
+    open_names: Counter = Counter()
+    within = [0, 0, 0]  # open furniture, articles, main elements
     held: list[str] = []
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
-        if text and not any(e[1] for e in stack):
-            h = xxhash.xxh64_hexdigest(text)
-            for e in stack:
-                e[4].append(h)
-            done.append([text, list(stack), any(e[2] for e in stack), any(e[3] for e in stack), any(e[0] in PROSE for e in stack)])
+        if text:
+            if stack:
+                stack[-1][4].append(xxhash.xxh64_hexdigest(text))
+            texts.append(text)
+            furniture_at.append(within[0] > 0)
+            article_at.append(within[1] > 0)
+            main_at.append(within[2] > 0)
 
     def close() -> None:
         e = stack.pop()
-        e[5] = xxhash.xxh64_intdigest("\x00".join([e[0], *e[4]])) >> 1
+        open_names[e[0]] -= 1
+        if blocks_open and blocks_open[-1] == len(stack):
+            blocks_open.pop()
+        for k in range(3):
+            within[k] -= e[k + 1]
+        if e[5] < len(texts):
+            h = xxhash.xxh64_intdigest("\x00".join([e[0], *e[4]])) >> 1
+            if stack:
+                stack[-1][4].append(str(h))
+            if e[0] not in ("html", "body", "article", "main"):
+                elements.append((h, e[5], len(texts), e[6]))
 
     at = 0
-    for m in _TAG.finditer(page):
-        held.append(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
-            if m[1] and m[1].lower() not in ("head", "title"):
+    for begin, end, name, closes, attributes in _Tags(page):
+        held.append(page[at:begin])
+        at = end
+        if not name:
+            if attributes and attributes not in ("head", "title"):
                 held.append(" ")
             continue
-        name = m[3].lower()
         if name == "br":
             held.append(" ")
             continue
@@ -89,80 +198,106 @@ def blocks_of(page: str) -> list[tuple[str, list[int], bool, bool, list[int]]]:
             flush()
         if name == "hr":
             continue
-        if m[2]:
-            if any(e[0] == name for e in stack):
+        if closes:
+            if open_names[name] > 0:
                 while stack[-1][0] != name:
                     close()
                 close()
             continue
         if name in BLOCKS:
             # a paragraph, and what is inline in it, ends where a block begins
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), -1)
-            if k >= 0 and (stack[k][0] == "p" or (stack[k][0] in _CLOSED_BY.get(name, ()))):
-                while len(stack) > k:
-                    close()
-            elif k + 1 < len(stack):
-                while len(stack) > k + 1:
-                    close()
-        furniture, role = _marks(m[4]) if m[4] else (False, "")
-        inside = any(e[2] or e[3] for e in stack)
-        furniture = name not in ("article", "main", "body", "html") and (furniture or name in FURNITURE or (name == "header" and not inside))
-        stack.append([name, furniture, name == "article", name == "main" or role == "main", [m[4].strip()], 0])
-        if m[4].rstrip().endswith("/"):
+            k = blocks_open[-1] if blocks_open else -1
+            if k >= 0 and (stack[k][0] == "p" or stack[k][0] in _CLOSED_BY.get(name, ())):
+                k -= 1
+            while len(stack) > k + 1:
+                close()
+            blocks_open.append(len(stack))
+        sure, doubtful, role = _marks(attributes) if attributes else (False, False, "")
+        inside = within[1] + within[2] > 0
+        article, main = name == "article", name == "main" or role == "main"
+        furniture = sure or (doubtful and not inside) or name in FURNITURE or (name == "header" and not inside) or (article and within[1] > 0)
+        furniture = furniture and name not in ("main", "body", "html") and not (article and within[1] == 0)
+        open_names[name] += 1
+        for k, flag in enumerate((furniture, article, main)):
+            within[k] += flag
+        stack.append([name, furniture, article, main, [], len(texts), inside])
+        if attributes.rstrip().endswith("/"):
             close()
     held.append(page[at:])
     flush()
     while stack:
         close()
-    kept = [d for d in done if d[2]] or [d for d in done if d[3]] or done
-    out = []
-    for text, around, article, main, prose in kept:
-        inside = article or main
-        may_go = [e for e in around if e[0] not in ("html", "body", "article", "main")]
-        out.append((text, [e[5] for e in may_go if not (inside and e[0] in PROSE)], inside, prose, [e[5] for e in may_go if inside and e[0] in PROSE]))
-    return out
+    good = [not f for f in furniture_at]
+    for chosen in (main_at, article_at):
+        if any(g and c for g, c in zip(good, chosen, strict=True)):
+            good = [g and c for g, c in zip(good, chosen, strict=True)]
+            break
+    return list(zip(texts, good, strict=True)), elements
+
+
+def blocks_of(page: str) -> list[tuple[str]]:
+    """The blocks of a page that the rules keep."""
+    return [(text,) for text, good in read_page(page)[0] if good]
 
 
 def _read(batches):
-    block = pa.struct([("text", pa.large_string()), ("elements", pa.list_(pa.int64())), ("prose", pa.list_(pa.int64()))])
-    for batch in batches:
+    element = pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("inside", pa.bool_())])
+    names = ["row_id", "page_id", "url", "host"]
+    for batch in released(batches):
         for low in range(0, batch.num_rows, 256):
             part = batch.slice(low, 256)
-            blocks = [[{"text": text, "elements": elements, "prose": prose} for text, elements, _, _, prose in blocks_of(page or "")] for page in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("row_id", "page_id", "url", "host")], pa.array(blocks, pa.list_(block))], names=["row_id", "page_id", "url", "host", "blocks"])
+            read = [read_page(page or "") for page in part.column("html").to_pylist()]
+            texts = [[text if good else None for text, good in blocks] for blocks, _ in read]
+            content = [xxhash.xxh64_intdigest("\n".join(x for x in t if x is not None)) >> 1 for t in texts]
+            elements = [[{"h": h, "lo": lo, "hi": hi, "inside": inside} for h, lo, hi, inside in found] for _, found in read]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(content), pa.array(texts, pa.list_(pa.string())), pa.array(elements, pa.list_(element))], names=[*names, "content", "texts", "elements"])
+
+
+def left_of(texts: list, ranges: list[dict]) -> tuple[str, int, int]:
+    """Text of a page without the template ranges; how many blocks went as templates, and how many by the rules alone.
+
+    Ranges inside an article count only if they hold less than half of the text that the rules keep.
+    """
+    covered = [np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts) + 1, np.int64)]
+    for r in ranges:
+        covered[int(r["inside"])][r["lo"]] += 1
+        covered[int(r["inside"])][r["hi"]] -= 1
+    sure, doubt = (np.cumsum(c)[:-1] > 0 for c in covered)
+    sizes = np.array([0 if t is None else len(t) for t in texts], np.int64)
+    gone = sure | doubt if 2 * sizes[doubt & ~sure].sum() < sizes.sum() else sure
+    ruled = np.array([t is None for t in texts], bool)
+    return "\n".join(t for t, g in zip(texts, gone, strict=True) if t is not None and not g), int(gone.sum()), int((ruled & ~gone).sum())
+
+
+def _left(batches):
+    for batch in released(batches):
+        for low in range(0, batch.num_rows, 1024):
+            part = batch.slice(low, 1024)
+            out = [left_of(texts, ranges or []) for texts, ranges in zip(part.column("texts").to_pylist(), part.column("ranges").to_pylist(), strict=True)]
+            columns = [pa.array([x[0] for x in out], pa.string()), pa.array([len(x[0]) for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_template_blocks", "n_rule_blocks"])
 
 
 def main_text(pages: DataFrame, min_pages: int = 3, min_share: float = 0.2) -> DataFrame:
-    """(page_id, url, html) -> page_id, url, text, n_chars, one row per row of pages.
+    """(page_id, url, html) -> page_id, url, text, n_chars, n_template_blocks, n_rule_blocks, one row per row of pages.
 
     Of a host's pages with equal text one counts. A subtree goes where it recurs on min_share of these pages,
-    and on min_pages of them at least: two pages are not told from copies. Prose
-    elements inside an article are counted alike, but stay where they hold half of the page's text or more. Null and empty pages, and pages of furniture alone, have an empty text. A null or
-    odd url counts as a host of its own (the empty one). Other columns are ignored.
+    and on min_pages of them at least: two pages are not told from copies. Subtrees inside an article are counted
+    alike, but stay where they hold half of the page's text or more. The last two columns count the blocks that
+    went as templates, and those that went by the rules of read_page alone. Null and empty pages, and pages of furniture
+    alone, have an empty text. A null or odd url counts as a host of its own (the empty one). Other columns are ignored.
     """
     rows = pages.select(F.monotonically_increasing_id().alias("row_id"), "page_id", "url", F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    read = rows.mapInArrow(_read, f"row_id long, page_id {kinds['page_id']}, url {kinds['url']}, host string, blocks array<struct<text:string,elements:array<long>,prose:array<long>>>")
+    keys = f"page_id {kinds['page_id']}, url {kinds['url']}"
+    read = rows.mapInArrow(_read, f"row_id long, {keys}, host string, content long, texts array<string>, elements array<struct<h:long,lo:int,hi:int,inside:boolean>>")
     # the one copy of the text; row ids are fixed by being written
     read = written(read, "pages-blocks")
-    content = F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("content")
-    block = F.struct(F.concat("b.elements", "b.prose").alias("e"), F.size("b.elements").alias("sure"), F.char_length("b.text").alias("chars"))
-    elements = read.select("row_id", "host", content, F.posexplode("blocks").alias("place", "b")).select("row_id", "host", "content", "place", block.alias("b"))
-    elements = elements.select("row_id", "host", "content", "place", "b.sure", "b.chars", F.posexplode("b.e").alias("i", "h"))
-    sizes = read.select("host", content).distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    elements = read.select("row_id", "host", "content", F.explode("elements").alias("e")).select("row_id", "host", "content", "e.*")
+    sizes = read.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     often = elements.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = written(often.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "h"), "pages-templates")
-    # per block: does an element of the page go, or only prose of an article
-    gone = elements.join(often, ["host", "h"], "left_semi").groupBy("row_id", "place").agg(F.max(F.col("i") < F.col("sure")).alias("sure"), F.any_value("chars").alias("chars"))
-    doubt = F.coalesce(F.sum(F.when(~F.col("sure"), F.col("chars"))), F.lit(0)).alias("doubt")
-    gone = gone.groupBy("row_id").agg(F.collect_set(F.when(F.col("sure"), F.col("place"))).alias("gone"), F.collect_set(F.when(~F.col("sure"), F.col("place"))).alias("prose"), doubt)
-    chars = read.select("row_id", F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.char_length(b["text"])).alias("chars"))
-    gone = gone.join(chars, "row_id").select("row_id", F.when(2 * F.col("doubt") < F.col("chars"), F.concat("gone", "prose")).otherwise(F.col("gone")).alias("gone"))
-    gone = written(gone, "pages-gone")
-    if gone.count() <= _BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    out = read.join(gone, "row_id", "left")
-    left = F.filter("blocks", lambda b, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    out = out.select("page_id", "url", F.array_join(F.transform(left, lambda b: b["text"]), "\n").alias("text"))
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    ranges = elements.join(often, ["host", "h"], "left_semi").groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi", "inside")).alias("ranges"))
+    out = read.select("row_id", "page_id", "url", "texts").join(ranges, "row_id", "left").select("page_id", "url", "texts", "ranges")
+    return out.mapInArrow(_left, f"{keys}, text string, n_chars long, n_template_blocks long, n_rule_blocks long")
