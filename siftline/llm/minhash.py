@@ -153,9 +153,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     rows = written(rows.join(written(met, "minhash-heads"), "key"), "minhash-rows")
 
     # shingles that are among the first of two sets or more, and the nodes that have enough of them: no others can link
-    firsts = linked.select(*same, F.explode("least").alias("h"))
-    meet = firsts.groupBy("h").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("h")
-    meet = firsts.join(written(meet, "minhash-meet"), "h").distinct().join(nodes.select(*same, "node"), same).select("h", "node", "n_shingles")
+    # a set goes by one 64-bit name here: should two sets share it, both stay candidates
+    name = F.xxhash64("d1", "d2", "n_shingles").alias("s")
+    firsts = linked.select(name, F.explode("least").alias("h"))
+    meet = firsts.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("h")
+    meet = firsts.join(meet, "h").distinct().join(nodes.select(name, "node", "n_shingles"), "s").select("h", "node", "n_shingles")
     meet = written(meet, "minhash-meet")
     # a partner has at least o shingles, the overlap needed, so both have at least so many among the first
     o = f"(({percent} * n_shingles + 99) div 100)"
@@ -208,16 +210,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80, stable: bool = False) -> DataFrame:
     """docs (doc_id, text, more) with one row of each group of near duplicates: the one with the least doc_id.
 
     Rows are told apart by an id of their own, so of rows that repeat a doc_id and a text one stays, and rows
     with a null doc_id take part; they stay only where no other row of the group has one. Of ties any one
-    row stays. Rows without words all stay. Columns of any name are left as they are.
+    row stays. Rows without words all stay. Columns of any name are left as they are. stable says that docs is a
+    table, whose rows come in the same partitions and order each time it is read; else it is copied first.
     """
     name = "row_" + uuid.uuid4().hex
-    # written, so that a row keeps its id in all that follows
-    rows = written(docs.withColumn(name, F.monotonically_increasing_id()), "minhash-docs")
+    # a row keeps its id in all that follows
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    rows = rows if stable else written(rows, "minhash-docs")
     found = near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"), shingle_words, percent).select(F.col("doc_id").alias("row"), "component_id")
     ids = rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("id"))
     least = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("x")).select(F.col("x.row").alias(name))
