@@ -27,7 +27,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least doc_id, of each group of near duplicates; rows without words all stay."""
     ship(spark)
-    return minhash.one_of_each(docs, shingle_words=5, percent=80)
+    # the stage before has written docs, so a copy is not needed
+    return minhash.one_of_each(docs, shingle_words=5, percent=80, stable=True)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
