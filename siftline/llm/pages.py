@@ -40,6 +40,8 @@ WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense s
 #: fixed values: words that name furniture, but inside an article only where all other words of the name are neutral
 DOUBTFUL = frozenset("promo promotion banner notice notices notification alert reply replies share sharing social related recommended widget toolbar".split())
 NEUTRAL = frozenset("box bar list block wrap wrapper container section area slot panel unit item items inner outer links buttons posts site page main top bottom left right global header".split())
+#: so many hashes of templates go to all tasks; beyond that they are joined
+BROADCAST_ROWS = 200_000
 #: elements that a new block closes when they are still open
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -240,6 +242,15 @@ def blocks_of(page: str) -> list[tuple[str]]:
     return [(text,) for text, good in read_page(page)[0] if good]
 
 
+def _innermost(elements: list) -> list:
+    """Without elements whose one child covers the same blocks: it recurs wherever they do. Children come before parents."""
+    out: list = []
+    for e in elements:
+        if not (out and out[-1][1:] == e[1:]):
+            out.append(e)
+    return out
+
+
 def _read(batches):
     element = pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("inside", pa.bool_())])
     names = ["row_id", "page_id", "url", "host"]
@@ -249,7 +260,8 @@ def _read(batches):
             read = [read_page(page or "") for page in part.column("html").to_pylist()]
             texts = [[text if good else None for text, good in blocks] for blocks, _ in read]
             content = [xxhash.xxh64_intdigest("\n".join(x for x in t if x is not None)) >> 1 for t in texts]
-            elements = [[{"h": h, "lo": lo, "hi": hi, "inside": inside} for h, lo, hi, inside in found] for _, found in read]
+            # a host's subtrees are its own
+            elements = [[{"h": xxhash.xxh64_intdigest(f"{host}\0{h}") >> 1, "lo": lo, "hi": hi, "inside": inside} for h, lo, hi, inside in _innermost(found)] for host, (_, found) in zip(part.column("host").to_pylist(), read, strict=True)]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(content), pa.array(texts, pa.list_(pa.string())), pa.array(elements, pa.list_(element))], names=[*names, "content", "texts", "elements"])
 
 
@@ -269,13 +281,21 @@ def left_of(texts: list, ranges: list[dict]) -> tuple[str, int, int]:
     return "\n".join(t for t, g in zip(texts, gone, strict=True) if t is not None and not g), int(gone.sum()), int((ruled & ~gone).sum())
 
 
-def _left(batches):
-    for batch in released(batches):
-        for low in range(0, batch.num_rows, 1024):
-            part = batch.slice(low, 1024)
-            out = [left_of(texts, ranges or []) for texts, ranges in zip(part.column("texts").to_pylist(), part.column("ranges").to_pylist(), strict=True)]
-            columns = [pa.array([x[0] for x in out], pa.string()), pa.array([len(x[0]) for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_template_blocks", "n_rule_blocks"])
+def _left(templates: np.ndarray | None = None):
+    """Rows with their template ranges, or with all elements where the (sorted) hashes of the templates are at hand."""
+
+    def run(batches):
+        for batch in released(batches):
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                ranges = part.column("ranges").to_pylist()
+                if templates is not None:
+                    ranges = [[r for r, known in zip(found, np.isin([r["h"] for r in found], templates), strict=True) if known] for found in ranges]
+                out = [left_of(texts, found or []) for texts, found in zip(part.column("texts").to_pylist(), ranges, strict=True)]
+                columns = [pa.array([x[0] for x in out], pa.string()), *[pa.array(values, pa.int64()) for values in ([len(x[0]) for x in out], [x[1] for x in out], [x[2] for x in out])]]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_template_blocks", "n_rule_blocks"])
+
+    return run
 
 
 def main_text(pages: DataFrame, min_pages: int = 3, min_share: float = 0.2) -> DataFrame:
@@ -294,10 +314,15 @@ def main_text(pages: DataFrame, min_pages: int = 3, min_share: float = 0.2) -> D
     read = rows.mapInArrow(_read, f"row_id long, {keys}, host string, content long, texts array<string>, elements array<struct<h:long,lo:int,hi:int,inside:boolean>>")
     # the one copy of the text; row ids are fixed by being written
     read = written(read, "pages-blocks")
-    elements = read.select("row_id", "host", "content", F.explode("elements").alias("e")).select("row_id", "host", "content", "e.*")
-    sizes = read.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    often = elements.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = written(often.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "h"), "pages-templates")
-    ranges = elements.join(often, ["host", "h"], "left_semi").groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi", "inside")).alias("ranges"))
+    host = F.xxhash64("host").alias("host")
+    seen = read.select("content", host, F.explode("elements.h").alias("h")).distinct()
+    sizes = read.select("content", host).distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    often = seen.groupBy("h").agg(F.count("*").alias("n"), F.first("host").alias("host")).where(F.col("n") >= min_pages)
+    often = written(often.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("h"), "pages-templates")
+    out_schema = f"{keys}, text string, n_chars long, n_template_blocks long, n_rule_blocks long"
+    if often.count() <= BROADCAST_ROWS:
+        known = np.sort(often.limit(BROADCAST_ROWS).toArrow()["h"].to_numpy())
+        return read.select("page_id", "url", "texts", F.col("elements").alias("ranges")).mapInArrow(_left(known), out_schema)
+    ranges = read.select("row_id", F.explode("elements").alias("e")).select("row_id", "e.*").join(often, "h", "left_semi").groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi", "inside")).alias("ranges"))
     out = read.select("row_id", "page_id", "url", "texts").join(ranges, "row_id", "left").select("page_id", "url", "texts", "ranges")
-    return out.mapInArrow(_left, f"{keys}, text string, n_chars long, n_template_blocks long, n_rule_blocks long")
+    return out.mapInArrow(_left(), out_schema)

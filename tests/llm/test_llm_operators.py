@@ -386,8 +386,10 @@ def test_long_odd_pages_take_little_time():
     assert len(blocks) == 1000 and sorted((lo, hi) for _, lo, hi, _ in elements) == [(k, 1000) for k in range(1000)]
 
 
-def test_page_text_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_page_text_equals_brute_force(spark, monkeypatch, most):
     """All subtrees of all pages counted in plain dictionaries, with one walk up the elements for each block."""
+    monkeypatch.setattr(pages, "BROADCAST_ROWS", most)
     r = random.Random(4)
     rows = []
     for k in range(150):
