@@ -471,3 +471,11 @@ def test_revisits(spark):
         merged = (best[6] or {}) | {n: v for n, v in (headers or {}).items() if n in revisit.PERMITTED} if verdict in ("match", "unverified") else headers or {}
         assert (got[k]["response_id"], got[k]["verdict"], got[k]["headers"]) == (best and best[0], verdict, merged)
     assert revisit.resolve(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_repeated_records_and_odd_urls(spark):
+    schema = "record_id long, url string, at long, kind string, etag string, last_modified string, headers map<string,string>"
+    rows = 2 * [(1, "http://a.example/x", 1, "response", '"1"', None, {"server": "s"})] + 2 * [(2, "http://a.example/x", 5, "revisit", '"1"', None, None)]
+    rows += [(3, "dns:alpha.example", 1, "response", '"1"', None, None), (4, "dns:beta.example", 5, "revisit", '"1"', None, None), (5, "dns:alpha.example", 5, "revisit", '"1"', None, None), (6, "x", 7, None, None, None, None)]
+    out = sorted((r["record_id"], r["response_id"] or 0, r["verdict"], len(r["headers"])) for r in revisit.resolve(spark.createDataFrame(rows, schema)).collect())
+    assert out == [(2, 1, "match", 1), (2, 1, "match", 1), (4, 0, "missing", 0), (5, 3, "match", 0)]
