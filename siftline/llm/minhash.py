@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm import bytetext
-from siftline.llm.common import written
+from siftline.llm.common import discard, written
 from siftline.llm.graph import components, extended
 
 CELLS, LENGTH, BANDS, ROWS = 1 << 20, 128, 40, 6
@@ -100,7 +100,10 @@ def _sets(size: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are alike enough."""
+    """Those of the pairs (a, b) whose full sets are alike enough. Only sets of the pairs' ends are moved."""
+    pairs = written(pairs.select("a", "b"), "minhash-pairs")
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "minhash-ends")
+    sets = sets.join(ends, "node", "left_semi")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
@@ -156,17 +159,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     # a set goes by one 64-bit name here: should two sets share it, both stay candidates
     name = F.xxhash64("d1", "d2", "n_shingles").alias("s")
     firsts = linked.select(name, F.explode("least").alias("h"))
-    meet = firsts.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("h")
-    meet = firsts.join(meet, "h").distinct().join(nodes.select(name, "node", "n_shingles"), "s").select("h", "node", "n_shingles")
-    meet = written(meet, "minhash-meet")
+
+    def shared(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "h")
+
+    # counted twice, since most shingles stand in one row only: over all rows, then over those left with copies taken as one
+    several = written(shared(firsts).distinct(), "minhash-several")
+    meet = written(shared(several).join(nodes.select(name, "node", "n_shingles"), "s").select("h", "node", "n_shingles"), "minhash-meet")
+    facts, named = written(sketch.select("doc_id", *same), "minhash-facts"), written(nodes.select("node", *same), "minhash-names")
+    discard(several, sketch, nodes)
     # a partner has at least o shingles, the overlap needed, so both have at least so many among the first
     o = f"(({percent} * n_shingles + 99) div 100)"
     wanted = meet.groupBy("node", "n_shingles").agg(F.count("*").alias("c")).where(f"c >= least(8 + {o} div 16, ({percent} * {o} + 99) div 100)").select("node")
     wanted = written(wanted, "minhash-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     texts = texts.join(wanted, "node", "left_semi").select("node", "text")
-    sets = texts.mapInArrow(_sets(shingle_words), "node long, shingles array<long>").dropDuplicates(["node"])
-    sets = written(sets, "minhash-sets")
+    sets = written(texts.mapInArrow(_sets(shingle_words), "node long, shingles array<long>"), "minhash-sets")
+    if not sets.groupBy("node").count().where("count > 1").isEmpty():
+        # rows repeat a doc_id
+        sets = written(sets.dropDuplicates(["node"]), "minhash-sets")
 
     # a shingle that no other node has is in no intersection: it bounds every likeness of its node
     alone = sets.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
@@ -203,9 +214,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     apart_nodes = written(placed.join(open_keys, "h", "left_semi").select("node", "root").distinct(), "minhash-apart")
     roots = extended(roots, written(_confirmed(_across(apart_nodes, sets, percent), sets, percent), "minhash-links"))
 
-    named = nodes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("component_id"))
-    named = written(named, "minhash-named")
-    out = sketch.select("doc_id", *same).join(named, same, "left")
+    discard(sets, meet)
+
+    named = named.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("component_id"))
+    out = facts.join(written(named, "minhash-named"), same, "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
