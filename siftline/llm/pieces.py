@@ -32,7 +32,7 @@ FANOUT = 32
 #: pairs of pieces, of about 200 bytes each, and units, of about 40, that a worker keeps
 _PAIRS, _UNITS = 200_000, 800_000
 #: texts are encoded in groups of about so many bytes
-_GROUP = 2 << 20
+_GROUP = 1 << 20
 _STATE = 1 << 24  # a state is reach * _STATE + piece + 1
 
 
@@ -425,11 +425,20 @@ def backtrace(matrices: list[dict], entry: int, leave: int) -> list[tuple[int, i
 
 @lru_cache(2)
 def _loaded(path: str) -> tuple[Pieces, spans.SpanTable]:
-    """A model and the units seen so far, kept by a worker for its later tasks."""
+    """A model, kept by a worker for its later tasks, and the units that its task has met so far."""
     model = Pieces(path)
     return model, spans.SpanTable(lambda units: [model.segment(u.decode().replace(" ", SPACE)) for u in units], _UNITS)
 
 
+def _ended(batches, path: str):
+    """The batches of a task; after the last one the worker gives back the units and Arrow's memory, so that later stages find room."""
+    try:
+        yield from batches
+    finally:
+        _loaded(path)[1].forget()
+        pa.default_memory_pool().release_unused()
+
+
 def _encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of normal texts (spaces as such), one after the other, and how many each text has."""
     model, table = _loaded(path)
@@ -480,7 +489,7 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15, decoded
         model, _ = _loaded(model_path)
         if model.longest > longest:
             raise ValueError("a piece of the model is longer than the context of a chunk")
-        for batch in released(batches):
+        for batch in _ended(batches, model_path):
             _, offsets = bytetext.buffer_of(batch.column("text"))
             for low, high in bytetext.groups(offsets, _GROUP):
                 part = batch.slice(low, high - low)
@@ -539,7 +548,7 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 15, decoded
 
     def chunks(batches):
         model, _ = _loaded(model_path)
-        for batch in released(batches):
+        for batch in _ended(batches, model_path):
             # what lies between the free places of some 64 chunks is looked up at once
             for low in range(0, batch.num_rows, 64):
                 rows = batch.slice(low, 64).to_pylist()
