@@ -91,9 +91,11 @@ def assemble_multiline(lines: DataFrame, start_pattern: str, max_lines: int = 25
     rows = lines.where("line IS NOT NULL").withColumn("_start", (size <= max_bytes) & F.col("line").rlike(regex))
     file = Window.partitionBy(*keys).orderBy("line_no")
     rows = rows.withColumn("_group", F.sum(F.col("_start").cast("int")).over(file))
-    out = rows.groupBy(*keys, "_group").agg(F.count("*").alias("lines"), F.sum(size).alias("_bytes"), F.max(size).alias("_longest"), F.min(F.struct("line_no", "offset")).alias("_first"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_all"))
-    out = out.withColumn("_last", F.col("_group") == F.max("_group").over(Window.partitionBy(*keys)))
-    out = out.where((F.col("lines") <= max_lines) & (F.col("_bytes") + F.col("lines") - 1 <= max_bytes) & (F.col("_longest") <= max_bytes))
+    # a record's size is known before its lines are collected: those that are too large never stand in one row
+    record = Window.partitionBy(*keys, "_group")
+    rows = rows.withColumns({"_n": F.count("*").over(record), "_bytes": F.sum(size).over(record), "_longest": F.max(size).over(record), "_last": F.col("_group") == F.max("_group").over(Window.partitionBy(*keys))})
+    rows = rows.where((F.col("_n") <= max_lines) & (F.col("_bytes") + F.col("_n") - 1 <= max_bytes) & (F.col("_longest") <= max_bytes))
+    out = rows.groupBy(*keys, "_group").agg(F.count("*").alias("lines"), F.any_value("_last").alias("_last"), F.min(F.struct("line_no", "offset")).alias("_first"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_all"))
     if at_end == "hold":
         out = out.where("NOT _last")
     body = F.array_join(F.transform("_all", lambda x: x["line"]), "\n")

@@ -294,20 +294,79 @@ def test_label_keys(spark):
     assert w == x and y != z
 
 
-def test_retention_is_the_longest_newest_run(spark):
+@pytest.fixture
+def envelopes(spark):
+    """One kind holds most rows, one has no name; many rows share a time, one lies far off, some have none."""
     import random
 
     rng = random.Random(5)
-    items = [(str(i), rng.choice("ab"), rng.randint(1, 30), rng.randint(0, 50)) for i in range(300)]
-    df = spark.createDataFrame(items, "id string, kind string, bytes long, captured_at long")
-    kept, used = [], 0
-    for i in sorted(items, key=lambda i: (-i[3], [-ord(c) for c in i[0]], -len(i[0]))):
-        pass
-    out = delivery.retain_newest(df, 1000).collect()
-    assert sum(r["bytes"] for r in out) <= 1000
-    oldest = min(r["captured_at"] for r in out)
-    newer = [i for i in items if i[3] > oldest]
-    assert {i[0] for i in newer} <= {r["id"] for r in out} and not kept and not used
+    items = [(i, rng.choice(["a"] * 6 + ["b", "c", None]), rng.randint(1, 30), rng.choice([None, *range(50)])) for i in range(400)]
+    items.append((400, "a", 7, 10**15))
+    return items, spark.createDataFrame(items, "id long, kind string, bytes long, captured_at long")
+
+
+def _age(item):
+    """Order by time and id, rows without a time first."""
+    return (item[3] is not None, item[3] or 0, item[0])
+
+
+def _run(items, cap):
+    out = []
+    for item in sorted(items, key=_age, reverse=True):
+        cap -= item[2]
+        if cap < 0:
+            break
+        out.append(item)
+    return out
+
+
+def test_retention_is_the_longest_newest_run(envelopes):
+    items, df = envelopes
+    for total, caps in ((1000, None), (3000, {"a": 900, "b": 100}), (0, None), (10**6, None)):
+        left = items
+        if caps:
+            left = [i for k in {i[1] for i in items} for i in _run([j for j in items if j[1] == k], caps.get(k, 10**9))]
+        expected = {i[0] for i in _run(left, total)}
+        assert {r["id"] for r in delivery.retain_newest(df, total, caps).collect()} == expected
+    assert delivery.retain_newest(df.limit(0), 1000, {"a": 5}).collect() == []
+
+
+@pytest.mark.parametrize("slots", [1, 5, 128])
+def test_turns_over_slots(envelopes, slots):
+    items, df = envelopes
+    for failed in (None, lambda i: i[2] == 30):
+        queues = {}
+        for i in sorted(items, key=_age):
+            queue = queues.setdefault(i[1], [])
+            if not (failed and queue and failed(queue[-1])):
+                queue.append(i)
+        order = sorted((turn, kind is not None, kind or "", i[0]) for kind, queue in queues.items() for turn, i in enumerate(queue, 1))
+        expected = [(x[3], x[0], place) for place, x in enumerate(order, 1)]
+        out = delivery.fair_interleave(df, F.col("bytes") == 30 if failed else None, slots=slots, block=16)
+        assert [tuple(r) for r in out.select("id", "turn", "position").orderBy("position").collect()] == expected
+        assert set(out.columns) == {*df.columns, "turn", "position"}
+
+
+@pytest.mark.parametrize("slots", [1, 5, 128])
+def test_pressure_over_slots(spark, slots):
+    import random
+
+    rng = random.Random(6)
+    depth = [(rng.choice(["a"] * 6 + ["b", None]), t, rng.choice([None, *range(0, 100, 5)])) for t in [*range(300), 10**15]]
+    points = [(rng.choice(["a", "a", "b", "c", None]), rng.randint(-5, 320)) for _ in range(200)]
+    on, flags, history = {}, [], []
+    for kind, at, n in depth:
+        if n is not None and (n >= 80 or n <= 50):
+            on[kind] = n >= 80
+        flags.append((kind, at, n, on.get(kind, False)))
+        history.append((at, kind, on.get(kind, False)))
+    df = spark.createDataFrame(depth, "kind string, at long, bytes long")
+    got = delivery.pressure_flag(df, 100, slots=slots)
+    assert [tuple(r) for r in got.orderBy("at").collect()] == flags
+    shed = delivery.shed(spark.createDataFrame(points, "kind string, at long"), got.select("kind", "at", "pressure"), slots=slots)
+    expected = [(k, t, next((x[2] for x in reversed(history) if x[1] == k and x[0] <= t), False)) for k, t in points]
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted((tuple(r) for r in shed.collect()), key=key) == sorted(expected, key=key)
 
 
 def snapshot(spark, file, content):
