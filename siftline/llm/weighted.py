@@ -39,14 +39,19 @@ def samples(weights: DataFrame, keys: list[str]) -> DataFrame:
     return sampled.select(*keys, F.array(*[f"s{k}" for k in range(SAMPLES)]).alias("s"), "least")
 
 
+def _identity(x: Column) -> Column:
+    """The 24 bits of a sample that say which (term, t) it is."""
+    return x.bitwiseAND(0xFFFFFF)
+
+
 def fingerprint(s: Column) -> Column:
     """24 bits of each sample as hexadecimal digits; empty for a text without terms."""
-    return F.coalesce(F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(0xFFFFFF))), 6, "0")), ""), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(_identity(x))), 6, "0")), ""), F.lit(""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples; two texts without terms are alike, one without is like no other."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / F.lit(float(SAMPLES))
+    """Share of equal samples, by the bits that the fingerprints show; two texts without terms are alike, one without is like no other."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: (_identity(x) == _identity(y)).cast("int")), F.lit(0), lambda n, x: n + x) / F.lit(float(SAMPLES))
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same)
 
 

@@ -212,6 +212,11 @@ def test_weighted_fingerprints(spark, corpus):
         r = got[i]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
         assert (r["near_edited"] == 1) or e != t
+        digits = lambda f: [f[k : k + 6] for k in range(0, len(f), 6)]
+        for name, other in (("near_edited", r["edited_fingerprint"]), ("near_next", got[order[(k + 1) % len(order)][0]]["fingerprint"])):
+            # likeness is what the returned fingerprints show
+            both = list(zip(digits(r["fingerprint"]), digits(other), strict=False))
+            assert r[name] == (sum(a == b for a, b in both) / weighted.SAMPLES if both else float(bool(r["fingerprint"]) == bool(other)))
         if WORD.search(t) and WORD.search(e) and WORD.search(nxt):
             off += [(jaccard(t, e), r["near_edited"]), (jaccard(t, nxt), r["near_next"])]
     off = np.array(off)
