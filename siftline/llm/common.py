@@ -16,6 +16,10 @@ _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "
 _MALLOC = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2"}
 
 
+#: a Spark setting: the shuffle files of a finished query are deleted, not kept until the driver forgets the query
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, and bound what they hold: smaller Arrow
     batches than Spark's default (a setting that the session has changed stays) and eager freeing."""
@@ -43,10 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df below the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df below the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write go when it has ended, since the table stands for them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # a query of its own, which nothing else runs again
+        df.select("*").write.options(**({"compression": "zstd"} | options)).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
