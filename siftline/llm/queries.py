@@ -4,7 +4,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import containment, langid, licenses, minhash, pages, pieces, quality, rans, revisit, weighted
+from siftline.llm import containment, langid, licenses, minhash, negatives, pages, pieces, quality, rans, revisit, weighted
 from siftline.llm.common import learnable, shared_dir, ship, table
 
 
@@ -133,6 +133,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    label = F.col("label").cast("long")
+    rows = vectors.select(
+        F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"), (F.col("vec_id") % 50 == 0).alias("anchor"),
+    )
+    return negatives.mine(rows, n_positives=5, n_negatives=3, low=50, high=95)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.r AS anchor_row, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_row ORDER BY score DESC, vec_id NULLS LAST) AS k FROM p WHERE same) WHERE k <= 5),
+neg AS (
+  SELECT pos.anchor_id, pos.vec_id AS positive_id, p.vec_id AS negative_id, pos.score AS positive_score, p.score AS negative_score,
+         row_number() OVER (PARTITION BY pos.anchor_row, pos.k ORDER BY p.score DESC, p.vec_id NULLS LAST) AS rank
+  FROM pos JOIN p ON pos.anchor_row = p.anchor_row AND NOT p.same AND 50 * pos.score <= 100 * p.score AND 100 * p.score <= 95 * pos.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
+"""
+
 OP2_SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -183,7 +209,7 @@ def _op2_sql() -> str:
 
 
 def queries() -> dict:
-    named = [op1_token_file, op2_license_scan, op3_weighted_fingerprints, op4_page_text, op5_revisits, op6_pieces, op7_language, op8_near_duplicates, op9_quality, op10_decontamination]
+    named = [op1_token_file, op2_license_scan, op3_weighted_fingerprints, op4_page_text, op5_revisits, op6_pieces, op7_language, op8_near_duplicates, op9_quality, op10_decontamination, op11_hard_negatives]
 
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,4 +222,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2_sql(), "op5_revisits": OP5_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_license_scan": _op2_sql(), "op5_revisits": OP5_SQL, "op10_decontamination": OP10_SQL, "op11_hard_negatives": OP11_SQL}

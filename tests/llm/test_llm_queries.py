@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -34,7 +34,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in Q.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in Q.queries()] == [f"op{k}" for k in range(1, 12)]
 
 
 def test_held_out_rows_follow_the_ids(spark):
