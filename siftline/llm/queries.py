@@ -4,8 +4,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import containment, langid, licenses, minhash, negatives, pages, pieces, quality, rans, revisit, weighted
-from siftline.llm.common import learnable, shared_dir, ship, table
+from siftline.llm import containment, langid, licenses, minhash, negatives, pages, pieces, quality, rans, revisit, tries, weighted
+from siftline.llm.common import learnable, shared_dir, ship, table, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -159,6 +159,47 @@ neg AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
 """
 
+def rebuilt_conversations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every conversation c with the first crc32(c) % 6 turns of conversation c - c % 100 in place of as many of its own: turns and ids."""
+    turns = written(tries.numbered(table(spark, sf_dir, "conversations")), "rebuilt-from")
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    convs = turns.groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("base", F.col("conv_id") - F.col("conv_id") % 100).withColumn("h", h)
+    first = turns.where("j <= 5")
+    given = convs.join(first.withColumnRenamed("conv_id", "base"), "base").where("j <= h").select("conv_id", "j", "key", "chars")
+    moved = convs.select("conv_id", "h", "base").join(convs.select(F.col("conv_id").alias("base"), "n"), "base", "left").select("conv_id", "h", (F.least("h", F.coalesce("n", F.lit(0))) - F.col("h")).alias("by"))
+    own = turns.join(moved, "conv_id").where("j > h").select("conv_id", (F.col("j") + F.col("by")).alias("j"), "key", "chars")
+    return written(given.unionByName(own), "rebuilt"), convs.select("conv_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie(*rebuilt_conversations(spark, sf_dir))
+
+
+OP13_SQL = """
+WITH ids AS (
+  SELECT DISTINCT conv_id AS c, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT)) AS digits FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), digits),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, y: xor(x // 2, (x % 2) * 3988292384))), 4294967295) % 6 AS h
+  FROM ids),
+turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT c, list(t ORDER BY i) AS w FROM turns GROUP BY c),
+whole AS (SELECT convs.c, list_concat(coalesce(b.w[1 : h], []), o.w[h + 1 :]) AS w FROM convs JOIN lists o ON o.c = convs.c LEFT JOIN lists b ON b.c = convs.base),
+prefixes AS (SELECT c, d, w[1 : d] AS p, d = len(w) AS ends FROM (SELECT *, unnest(range(0, len(w) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256,
+         CASE WHEN d > 0 THEN (count(*) - 1) * length(p[d].text) ELSE 0 END AS saved
+  FROM prefixes GROUP BY p, d),
+kids AS (SELECT u.p, count(v.p) AS n FROM nodes u LEFT JOIN nodes v ON v.d = u.d + 1 AND v.p[1 : u.d] = u.p GROUP BY u.p)
+SELECT u.conv_id, u.d AS depth, any_value(up.conv_id) AS parent_conv_id, any_value(u.n_convs) AS n_convs, any_value(k.n) AS n_children,
+       count(*) FILTER (WHERE below.n = 0) AS n_leaves, CAST(sum(v.saved) AS BIGINT) AS saved_tokens, any_value(u.ends_sha256) AS ends_sha256
+FROM nodes u JOIN kids k ON k.p = u.p LEFT JOIN nodes up ON up.d = u.d - 1 AND up.p = u.p[1 : u.d - 1]
+JOIN nodes v ON v.d >= u.d AND v.p[1 : u.d] = u.p JOIN kids below ON below.p = v.p
+GROUP BY u.conv_id, u.d
+"""
+
 OP2_SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -209,7 +250,7 @@ def _op2_sql() -> str:
 
 
 def queries() -> dict:
-    named = [op1_token_file, op2_license_scan, op3_weighted_fingerprints, op4_page_text, op5_revisits, op6_pieces, op7_language, op8_near_duplicates, op9_quality, op10_decontamination, op11_hard_negatives]
+    named = [op1_token_file, op2_license_scan, op3_weighted_fingerprints, op4_page_text, op5_revisits, op6_pieces, op7_language, op8_near_duplicates, op9_quality, op10_decontamination, op11_hard_negatives, op13_prefix_trie]
 
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,4 +263,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2_sql(), "op5_revisits": OP5_SQL, "op10_decontamination": OP10_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op2_license_scan": _op2_sql(), "op5_revisits": OP5_SQL, "op10_decontamination": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_prefix_trie": OP13_SQL}
