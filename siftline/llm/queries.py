@@ -4,7 +4,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import containment, langid, licenses, minhash, negatives, pages, pieces, quality, rans, revisit, tries, weighted
+from siftline.llm import bytepairs, containment, langid, licenses, minhash, negatives, pages, pieces, quality, rans, revisit, tries, weighted
 from siftline.llm.common import learnable, shared_dir, ship, table, written
 
 
@@ -159,6 +159,11 @@ neg AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
 """
 
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bytepairs.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), decoded=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def rebuilt_conversations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every conversation c with the first crc32(c) % 6 turns of conversation c - c % 100 in place of as many of its own: turns and ids."""
     turns = written(tries.numbered(table(spark, sf_dir, "conversations")), "rebuilt-from")
@@ -250,7 +255,7 @@ def _op2_sql() -> str:
 
 
 def queries() -> dict:
-    named = [op1_token_file, op2_license_scan, op3_weighted_fingerprints, op4_page_text, op5_revisits, op6_pieces, op7_language, op8_near_duplicates, op9_quality, op10_decontamination, op11_hard_negatives, op13_prefix_trie]
+    named = [op1_token_file, op2_license_scan, op3_weighted_fingerprints, op4_page_text, op5_revisits, op6_pieces, op7_language, op8_near_duplicates, op9_quality, op10_decontamination, op11_hard_negatives, op12_byte_pairs, op13_prefix_trie]
 
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
