@@ -41,6 +41,40 @@ def anchored(pattern: str) -> str:
     return java_pattern(pattern).replace("(?d)", r"(?d)\A(?:", 1) + r")\z"
 
 
+def restarting(pattern: str) -> str:
+    r"""A pattern of java_pattern whose search begins anew, in the rest of the text, after each match.
+
+    What looks at the text before a match then sees its end as the beginning: `^` and `\A` hold there, `\b` where a word
+    begins. `\G` is where the last match ended.
+    """
+    held = {"A": r"(?:\G|\A)", "b": r"(?:(?!\G)\b|\G(?=\w))", "B": r"(?:(?!\G)\B|\G(?!\w))"}
+    out, in_class, at = [], 0, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two == "\\Q":
+            end = pattern.find("\\E", at)
+            end = len(pattern) if end < 0 else end + 2
+            out.append(pattern[at:end])
+            at = end
+            continue
+        if two[0] == "\\" and len(two) == 2:
+            out.append(two if in_class else held.get(two[1], two))
+            at += 2
+            continue
+        c = two[0]
+        if c == "[":
+            in_class += 1
+            # a negation, and a bracket that comes first, are no anchors and no ends
+            head = re.match(r"\[\^?\]?", pattern[at:])[0]
+            out.append(head)
+            at += len(head)
+            continue
+        in_class -= bool(in_class) and c == "]"
+        out.append(r"(?:\G|^)" if c == "^" and not in_class else c)
+        at += 1
+    return "".join(out)
+
+
 def matches_empty(pattern: str) -> bool:
     return re.search(pattern.replace("(?<", "(?P<") if "(?P<" not in pattern else pattern, "") is not None
 

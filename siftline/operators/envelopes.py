@@ -1,22 +1,46 @@
-"""Envelopes: validation, digests, identities, and packing of log records."""
+"""Envelopes: validation, digests, identities, and chunks of log records."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators.traces import REQUEST_BYTES, next_fit
+from siftline.functions.scans import HOT_ROWS
+from siftline.operators import packing
+from siftline.operators.packing import REQUEST_BYTES
 
 MAX_PAYLOAD = 256 << 20
-#: fixed values: resource attributes that make up an identity
+#: fixed values: resource attributes that make up an identity; a caller adds the attributes of its own product
 IDENTITY_KEYS = (
-    "service.name", "service.namespace", "service.instance.id", "service.version", "deployment.environment", "deployment.environment.name",
-    "host.name", "host.id", "host.arch", "os.type", "os.version", "container.id", "container.name", "container.image.name",
-    "k8s.cluster.name", "k8s.node.name", "k8s.namespace.name", "k8s.pod.name", "k8s.pod.uid", "k8s.container.name", "k8s.deployment.name",
-    "k8s.replicaset.name", "k8s.statefulset.name", "k8s.daemonset.name", "k8s.job.name", "k8s.cronjob.name", "cloud.provider",
-    "cloud.region", "cloud.availability_zone", "cloud.account.id",
-)
+    "service.name",
+    "service.namespace",
+    "service.instance.id",
+    "service.version",
+    "deployment.environment.name",
+    "host.id",
+    "host.name",
+    "process.pid",
+    "process.executable.name",
+    "process.executable.path",
+    "process.executable.build_id.gnu",
+    "process.executable.build_id.go",
+    "process.runtime.name",
+    "process.runtime.version",
+    "container.id",
+    "container.name",
+    "k8s.cluster.name",
+    "k8s.namespace.name",
+    "k8s.node.name",
+    "k8s.pod.name",
+    "k8s.pod.uid",
+    "k8s.container.name",
+    "k8s.deployment.name",
+    "k8s.replicaset.name",
+    "k8s.statefulset.name",
+    "k8s.daemonset.name",
+    "k8s.job.name",
+    "k8s.cronjob.name",
+)
 _CONTROL = r"[\x00-\x1F\x7F\u0080-\u009F]"
 
 
@@ -52,18 +76,18 @@ def split_corrupt(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return envelopes.where(ok), envelopes.where(~ok)
 
 
-def resource_identity(resource: Column) -> Column:
-    """The identity attributes of a map; null if one of them is over 4096 bytes, no UTF-8 or has control characters."""
-    kept = F.map_filter(F.coalesce(resource, F.expr("cast(map() AS map<string,string>)")), lambda k, v: k.isin(*IDENTITY_KEYS))
+def resource_identity(resource: Column, more_keys: tuple[str, ...] = ()) -> Column:
+    """The identity attributes of a map, IDENTITY_KEYS and more_keys; null if one of them is over 4096 bytes, no UTF-8 or has control characters."""
+    kept = F.map_filter(F.coalesce(resource, F.expr("cast(map() AS map<string,string>)")), lambda k, v: k.isin(*IDENTITY_KEYS, *more_keys))
     return F.when(F.forall(F.map_values(kept), lambda v: _text(v, 4096, 0)), kept)
 
 
-def common_identity(rows: DataFrame, batch: str, attrs: str = "resource_attrs") -> DataFrame:
+def common_identity(rows: DataFrame, batch: str, attrs: str = "resource_attrs", more_keys: tuple[str, ...] = ()) -> DataFrame:
     """batch, identity: the identity that all resources of a batch share, else null.
 
     attrs is array<struct<key,value>>; a repeated identity key and a null value leave the batch without identity.
     """
-    own = F.filter(attrs, lambda a: a["key"].isin(*IDENTITY_KEYS))
+    own = F.filter(attrs, lambda a: a["key"].isin(*IDENTITY_KEYS, *more_keys))
     keys = F.transform(own, lambda a: a["key"])
     good = (F.size(F.array_distinct(keys)) == F.size(keys)) & F.forall(own, lambda a: _text(a["value"], 4096, 0))
     text = F.when(good, F.to_json(F.array_sort(own)))
@@ -72,42 +96,18 @@ def common_identity(rows: DataFrame, batch: str, attrs: str = "resource_attrs")
     return out.select(batch, F.when(same, F.map_from_entries(F.from_json("lo", "array<struct<key:string,value:string>>"))).alias("identity"))
 
 
-def _packed(records: DataFrame, request: str, order: str, size: str, max_bytes: int, rule: str) -> DataFrame:
-    """Add chunk by next-fit in order; requests that fit as a whole skip the fold.
+def pack_logs(records: DataFrame, request: str = "request_id", order: str = "record_idx", size: str = "size_bytes", max_bytes: int = REQUEST_BYTES, group: str | None = None, header: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add chunk: records of a request, in wire order, to chunks of max_bytes; from a record that fits none on the rest fails (chunk -1).
 
-    rule for a record that fits no chunk: `stop` ends the request there (chunk -1 from it on), `alone` gives it a chunk of its own.
+    group names the resource and scope of a record, header how many bytes they take: once for each run of a group, and again in every
+    chunk that such a run goes on in.
     """
-    total = records.groupBy(request).agg(F.sum(size).alias("_total"), F.max(size).alias("_most"))
-    large = total.where((F.col("_total") > max_bytes) | (F.col("_most") > max_bytes)).select(request)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        sizes = pdf[size].tolist()
-        if rule == "stop":
-            bad = next((k for k, n in enumerate(sizes) if n > max_bytes), len(sizes))
-            chunks = next_fit(sizes[:bad], max_bytes) + [-1] * (len(sizes) - bad)
-        else:
-            chunks, used = [], max_bytes + 1
-            for n in sizes:
-                fresh = used + n > max_bytes
-                chunks.append((chunks[-1] + 1 if fresh else chunks[-1]) if chunks else 0)
-                used = n if fresh else used + n
-        return pdf[[request, order]].assign(chunk=chunks)
-
-    sized = records.join(large, request, "left_semi").select(request, order, size)
-    types = {c: records.schema[c].dataType.simpleString() for c in (request, order)}
-    packed = sized.groupBy(request).applyInPandas(fold, f"{request} {types[request]}, {order} {types[order]}, chunk int")
-    return records.join(packed, [request, order], "left").withColumn("chunk", F.coalesce("chunk", F.lit(0)))
-
-
-def pack_logs(records: DataFrame, request: str = "request_id", order: str = "record_idx", size: str = "size_bytes", max_bytes: int = REQUEST_BYTES) -> DataFrame:
-    """Records of a request, in wire order, to chunks of max_bytes; from a record that fits none on the rest fails (chunk -1)."""
-    return _packed(records, request, order, size, max_bytes or REQUEST_BYTES, "stop")
-
-
-def batch_records(records: DataFrame, stream: str = "path", order: str = "offset", size: str = "size_bytes", max_bytes: int = 512 << 10) -> DataFrame:
-    """Records of a file to batches of max_bytes; a larger record is a batch of its own."""
-    return _packed(records, stream, order, size, max_bytes, "alone")
+    return packing.packed(records, request, order, size, max_bytes or REQUEST_BYTES, "stop", group, header, hot_rows)
+
+
+def batch_records(records: DataFrame, stream: str = "path", order: str = "offset", size: str = "size_bytes", max_bytes: int = 512 << 10, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add chunk: records of a file to batches of max_bytes; a larger record is a batch of its own."""
+    return packing.packed(records, stream, order, size, max_bytes, "alone", hot_rows=hot_rows)
 
 
 def chunk_id(envelope_id: Column, index: Column, chunks: Column) -> Column:

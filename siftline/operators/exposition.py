@@ -9,7 +9,7 @@ from siftline.functions import labels as L
 
 MAX_BODY = 64 << 20
 _NUMBER = r"\A[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[iI]nf(?:inity)?|[nN]a[nN])\z"
-_LINE = r"\A([^\s{}]+)(?:\{((?:[^\"}]|\"(?:[^\"\\]|\\.)*\")*)\})?[ \t]+(\S+)(?:[ \t]+(\S+))?"
+_LINE = r"\A([^\s{}]+)(?:[ \t]*\{((?:[^\"}]|\"(?:[^\"\\]|\\.)*\")*)\}[ \t]*|[ \t]+)(\S+)(?:[ \t]+(\S+))?"
 
 
 def _number(text: Column) -> Column:
@@ -39,14 +39,14 @@ def lines(exposition: DataFrame) -> DataFrame:
     """(scrape_id, scraped_at_unix_nano, body, ...) -> one row per sample line with its parsed fields.
 
     Columns: line_no, name, labels (map), value double (maybe NaN or infinite), time_unix_nano. Bodies over
-    64 MiB, blank lines, comments and lines that cannot be read give nothing.
+    64 MiB, blank lines, comments and lines that cannot be read give nothing. A time that is none, or passes 2^63-1 ns, is the scrape's.
     """
     body = exposition.where(F.octet_length("body") <= MAX_BODY)
     rows = body.select(*[c for c in body.columns if c != "body"], F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
     rows = rows.withColumn("line", F.trim(F.regexp_replace("line", r"\A\s+|\s+\z", ""))).where((F.col("line") != "") & ~F.col("line").startswith("#"))
     part = lambda k: F.regexp_extract("line", _LINE, k)
     rows = rows.where(F.col("line").rlike(_LINE)).withColumns({"name": part(1), "labels": _labels(part(2)), "value": _number(part(3)), "_ms": part(4)})
-    ms = F.when(F.col("_ms") != "", F.col("_ms").try_cast("bigint") * 1_000_000)
+    ms = F.when(F.col("_ms") != "", F.try_multiply(F.col("_ms").try_cast("bigint"), F.lit(1_000_000).cast("bigint")))
     return rows.where("value IS NOT NULL").withColumn("time_unix_nano", F.coalesce(ms, F.col("scraped_at_unix_nano"))).drop("line", "_ms")
 
 

@@ -1,34 +1,25 @@
-"""Captured kernel text files of many hosts to metric points.
+"""Captured kernel text files of many hosts to metric points, and what of them could not be read.
 
-Input: host, file, captured_at_unix_nano, content. Every parser gives rows of host, name, attrs
-(map), metric_type (`gauge` or `sum`), value (a double), int_value, float_value and time_unix_nano. Whole numbers
-(all counters are) stand in int_value exactly, others in float_value; the other one is null. What cannot be read goes
-to `errors`, good records go on.
+Input: host, file, captured_at_unix_nano, content. `parse` reads each file once, where it stands, into an array of
+tagged entries: points, and texts of what is bad. `points` and `errors` are its two outputs, `tagged` both as rows
+of one table. A point has host, name, attrs (map), metric_type (`gauge` or `sum`), value (a double), int_value,
+float_value and time_unix_nano. Whole numbers (all counters are) stand in int_value exactly, others in float_value; the
+other one is null. Bad records don't stop good ones; a file gives at most 16 texts of errors and the number of all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import labels as L
 
-TICKS = 100
+TICKS, PAGE_BYTES, SECTOR_BYTES, MOST_DETAILS = 100, 4096, 512, 16
 _POINT = ("host", "name", "attrs", "metric_type", "value", "int_value", "float_value", "time_unix_nano")
 _NONE = "cast(map() AS map<string,string>)"
-
-
-def _files(snapshots: DataFrame, *names: str) -> DataFrame:
-    return snapshots.where(F.col("file").isin(*names)).withColumn("content", F.coalesce("content", F.lit("")))
-
-
-def _lines(snapshots: DataFrame, *names: str) -> DataFrame:
-    rows = _files(snapshots, *names).select("host", "file", "captured_at_unix_nano", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    return rows.withColumn("line", F.trim("line")).where("line <> ''")
-
-
-def _fields(line: Column | str) -> Column:
-    return F.split(line, r"[ \t]+")
+_FILE = ("host", "file", "captured_at_unix_nano")
 
 
 def count_of(text: Column) -> Column:
@@ -51,176 +42,554 @@ def _labels(**values: Column) -> Column:
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]) if values else F.expr(_NONE)
 
 
-def _points(rows: DataFrame, items: list[tuple[Column | str, Column, str, Column]], float_gauges: bool = False) -> DataFrame:
-    """One point per row and item (name, attrs, type, value); items without a value give none. Sums are whole numbers, and so are gauges unless float_gauges."""
-    entries = []
-    for n, a, t, v in items:
-        whole = t == "sum" or not float_gauges
-        entries.append(F.struct((F.lit(n) if isinstance(n, str) else n).alias("name"), a.alias("attrs"), F.lit(t).alias("metric_type"), v.cast("double").alias("value"), (v if whole else F.lit(None)).cast("bigint").alias("int_value"), (F.lit(None) if whole else v).cast("double").alias("float_value")))
-    out = rows.select("host", F.col("captured_at_unix_nano").alias("time_unix_nano"), F.explode(F.array(*entries)).alias("p"))
-    return out.select("host", "p.*", "time_unix_nano").where("value IS NOT NULL").select(*_POINT)
+def _entry(name: Column | str, attrs: Column, kind: Column | str, whole: Column | None = None, broken: Column | None = None, detail: Column | None = None) -> Column:
+    """A point, or an error if there is a detail and no value; without either it is left out later."""
+    whole, broken = (F.lit(None) if x is None else x for x in (whole, broken))
+    name = F.lit(name) if isinstance(name, str) else name
+    return F.struct(name.alias("name"), attrs.alias("attrs"), (F.lit(kind) if isinstance(kind, str) else kind).alias("metric_type"), whole.cast("bigint").alias("int_value"), broken.cast("double").alias("float_value"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+
+
+def _error(detail: Column) -> Column:
+    return _entry(F.lit(None).cast("string"), F.expr(_NONE), "gauge", detail=detail)
+
+
+def _no(line: Column, text: Column | str) -> Column:
+    return F.concat(F.lit("line "), line["no"].cast("string"), F.lit(": "), F.lit(text) if isinstance(text, str) else text)
 
 
-def errors(rows: DataFrame, bad: Column, detail: Column, most: int = 16) -> DataFrame:
-    """host, file, details: at most 16 texts of what could not be read, and n, how many there were."""
-    found = rows.where(bad).withColumn("_rank", F.row_number().over(Window.partitionBy("host", "file").orderBy("line_no")))
-    return found.groupBy("host", "file").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("_rank") <= most, F.struct("line_no", detail.alias("detail"))))).alias("d")).select("host", "file", "n", F.transform("d", lambda x: x["detail"]).alias("details"))
+def _words(text: Column) -> Column:
+    """What stands between white space; none for blank texts."""
+    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
-def load(snapshots: DataFrame) -> DataFrame:
-    rows = _files(snapshots, "loadavg").withColumn("f", _fields(F.trim("content")))
-    return _points(rows, [(f"node_load{n}", F.expr(_NONE), "gauge", _amount(F.get("f", F.lit(k)))) for k, n in enumerate((1, 5, 15))], float_gauges=True)
+def _with_lines(files: DataFrame, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """lines: number from 1, text, words, of lines that are not blank."""
+    lines = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("text"), _words(x).alias("f")))
+    return files.withColumn("lines", F.filter(lines, lambda x: (F.size(x["f"]) > 0) & (keep(x) if keep else F.lit(True))))
+
+
+def _each(files: DataFrame, entries: Callable[[Column], list[Column]], column: str = "lines") -> DataFrame:
+    return files.withColumn("entries", F.flatten(F.transform(column, lambda x: F.array(*entries(x)))))
+
+
+def _valued(name, attrs: Column, kind: str, text: Column, detail: Column, by: int = 1) -> Column:
+    """The point of a whole number, times by; an error where it is none or too large."""
+    v = _scaled(count_of(text), by)
+    return _entry(name, attrs, kind, v, detail=F.when(v.isNull(), detail))
+
+
+# each job: a DataFrame of its files with content -> the same with entries ----------------------------------------------
+
+
+def _load(files: DataFrame) -> DataFrame:
+    """The first bad field ends the file."""
+    files = files.withColumn("f", _words(F.col("content"))).withColumn("v", F.transform(F.slice("f", 1, 3), _amount))
+    bad = F.when(F.size("f") < 3, F.lit(0)).otherwise(F.array_position(F.transform("v", lambda x: x.isNull()), True).cast("int"))
+    good = lambda k: (bad == 0) | (bad > k + 1)
+    points = [_entry(f"node_load{n}", F.expr(_NONE), "gauge", broken=F.when((F.size("f") >= 3) & good(k), F.get("v", F.lit(k)))) for k, n in enumerate((1, 5, 15))]
+    detail = F.when(F.size("f") < 3, "fewer than 3 fields").when(bad > 0, F.concat(F.lit("field "), bad.cast("string"), F.lit(" is no number of 0 or more")))
+    return files.withColumn("entries", F.array(*points, _error(detail)))
 
 
 #: fixed values: kernel names of memory figures and the metrics that they become
-MEMORY = {"MemTotal": "node_memory_total_bytes", "MemFree": "node_memory_free_bytes", "MemAvailable": "node_memory_available_bytes", "Buffers": "node_memory_buffers_bytes", "Cached": "node_memory_cached_bytes"}
+MEMORY = {
+    "MemTotal": "node_memory_MemTotal_bytes",
+    "MemFree": "node_memory_MemFree_bytes",
+    "MemAvailable": "node_memory_MemAvailable_bytes",
+    "Cached": "node_memory_Cached_bytes",
+    "Buffers": "node_memory_Buffers_bytes",
+}
+
 
+def _memory(files: DataFrame) -> DataFrame:
+    """kB figures in bytes; a fraction, or bytes beyond 2^63-1, is a double."""
+    files = _with_lines(files, lambda x: F.substring_index(x["text"], ":", 1).isin(*MEMORY) & x["text"].contains(":"))
 
-def memory(snapshots: DataFrame) -> DataFrame:
-    """kB figures in bytes; figures whose bytes pass 2^63-1 are left out."""
-    rows = _lines(snapshots, "meminfo").withColumns({"k": F.regexp_extract("line", r"\A(\w+):", 1), "n": count_of(F.regexp_extract("line", r":\s+(\d+)\s+kB\z", 1))}).where(F.col("k").isin(*MEMORY))
-    name = F.create_map(*[F.lit(x) for kv in MEMORY.items() for x in kv])[F.col("k")]
-    return _points(rows.where(F.col("n") <= ((1 << 63) - 1) // 1024), [(name, F.expr(_NONE), "gauge", F.col("n") * 1024)])
+    def entries(x: Column) -> list[Column]:
+        key, f = F.substring_index(x["text"], ":", 1), _words(F.substr(x["text"], F.instr(x["text"], ":") + 1))
+        name = F.create_map(*[F.lit(v) for kv in MEMORY.items() for v in kv])[key]
+        by = F.when(F.get(f, F.lit(1)) == "kB", 1024).otherwise(1)
+        n, v = count_of(F.get(f, F.lit(0))), _amount(F.get(f, F.lit(0)))
+        whole = F.when(n <= F.lit((1 << 63) - 1) / by, F.try_multiply(n, by.cast("bigint")))
+        return [_entry(name, F.expr(_NONE), "gauge", whole, F.when(whole.isNull(), v * by), F.when(v.isNull(), _no(x, F.concat(key, F.lit(" has no number of 0 or more")))))]
+
+    return _each(files, entries)
 
 
 CPU_MODES = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")
 
 
-def cpu(snapshots: DataFrame) -> DataFrame:
+def _cpu(files: DataFrame) -> DataFrame:
     """Milliseconds per CPU and mode; the line of all CPUs is skipped."""
-    rows = _lines(snapshots, "stat").where(F.col("line").rlike(r"\Acpu[0-9]+\s")).withColumn("f", _fields("line"))
-    rows = rows.withColumn("c", F.substring(F.col("f")[0], 4, 10))
-    return _points(rows, [("node_cpu_milliseconds_total", _labels(cpu=F.col("c"), mode=F.lit(m)), "sum", _scaled(count_of(F.get("f", F.lit(k + 1))), 1000 // TICKS)) for k, m in enumerate(CPU_MODES)])
+    files = _with_lines(files, lambda x: x["f"][0].startswith("cpu") & (x["f"][0] != "cpu") & (F.size(x["f"]) > 1))
+
+    def entries(x: Column) -> list[Column]:
+        out = []
+        for k, m in enumerate(CPU_MODES):
+            text = F.get(x["f"], F.lit(k + 1))
+            v = _scaled(count_of(text), 1000 // TICKS)
+            out.append(_entry("node_cpu_milliseconds_total", _labels(cpu=F.substr(x["f"][0], F.lit(4)), mode=F.lit(m)), "sum", v, detail=F.when(text.isNotNull() & v.isNull(), _no(x, f"{m} is no count"))))
+        return out
+
+    return _each(files, entries)
+
+
+def _network(files: DataFrame) -> DataFrame:
+    """Received (field 0) and transmitted (field 8) bytes of each device; lines without a colon are headers."""
+    files = _with_lines(files, lambda x: x["text"].contains(":"))
+    after = lambda x: _words(F.substr(x["text"], F.instr(x["text"], ":") + 1))
+    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), F.trim(F.substring_index(x["text"], ":", 1)).alias("d"), after(x).alias("f"))))
+
+    def entries(x: Column) -> list[Column]:
+        few, d = F.size(x["f"]) < 9, _labels(device=x["d"])
+        out = [_error(F.when(few, _no(x, "fewer than 9 fields")))]
+        for name, k, what in (("node_network_receive_bytes_total", 0, "received"), ("node_network_transmit_bytes_total", 8, "transmitted")):
+            v = F.when(~few, count_of(F.get(x["f"], F.lit(k))))
+            out.append(_entry(name, d, "sum", v, detail=F.when(~few & v.isNull(), _no(x, f"{what} bytes are no count"))))
+        return out
+
+    return _each(files, entries)
+
+
+#: fixed values: protocols of socket statistics, and their labels
+SOCKET_PROTOCOLS = {
+    "sockets": "sockets",
+    "TCP": "tcp",
+    "TCP6": "tcp",
+    "UDP": "udp",
+    "UDP6": "udp",
+    "UDPLITE": "udplite",
+    "UDPLITE6": "udplite",
+    "RAW": "raw",
+    "RAW6": "raw",
+    "FRAG": "fragment",
+    "FRAG6": "fragment",
+}
+#: fixed values: keys of socket statistics, and their metrics
+SOCKET_KEYS = {
+    "used": "node_socket_used",
+    "inuse": "node_socket_inuse",
+    "orphan": "node_socket_orphan",
+    "tw": "node_socket_time_wait",
+    "alloc": "node_socket_allocated",
+    "mem": "node_socket_memory_pages",
+    "memory": "node_socket_reassembly_memory_bytes",
+}
+
+
+def _map_of(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
+def _pairs(f: Column, start: int) -> Column:
+    """key, text and first (the key has not come before) of the words from start on, two by two."""
+    n = F.floor((F.size(f) - start) / 2).cast("int")
+    keys = F.transform(F.slice(f, F.lit(start + 1), F.greatest(F.size(f) - start, F.lit(0))), lambda x, i: F.when(i % 2 == 0, x))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(f, 2 * i + start).alias("key"), F.get(f, 2 * i + start + 1).alias("text"), (F.array_position(keys, F.get(f, 2 * i + start)) == 2 * i + 1).alias("first")))).otherwise(F.expr("cast(array() AS array<struct<key:string,text:string,first:boolean>>)"))
+
+
+def _socket(files: DataFrame) -> DataFrame:
+    """`PROTOCOL: key value key value ...`; pages of memory are also given in bytes. Of a protocol the first line counts."""
+    files = _with_lines(files)
+    known = lambda x: F.when((F.size(x["f"]) >= 3) & (F.size(x["f"]) % 2 == 1) & x["f"][0].endswith(":"), F.regexp_replace(x["f"][0], ":$", ""))
+    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), known(x).alias("raw"), _map_of(SOCKET_PROTOCOLS)[known(x)].alias("p"), _pairs(x["f"], 1).alias("pairs"))))
+    files = files.withColumn("seen", F.transform("lines", lambda x: x["p"]))
+    family = F.when(F.col("file").endswith("6"), "ipv6").otherwise("ipv4")
+
+    def entries(x: Column, i: Column) -> Column:
+        first = F.array_position("seen", x["p"]) == i + 1
+        kept = F.filter(x["pairs"], lambda p: p["key"].isin(*SOCKET_KEYS))
+        labels = _labels(**{"family": family, "network.scope": F.lit("visible_namespace"), "protocol": x["p"]})
+        n = lambda p: F.when(p["first"], count_of(p["text"]))
+        detail = lambda p: F.when(~p["first"], _no(x, F.concat(F.lit("repeated key "), p["key"]))).when(n(p).isNull(), _no(x, F.concat(p["key"], F.lit(" is no count"))))
+        points = F.transform(kept, lambda p: _entry(_map_of(SOCKET_KEYS)[p["key"]], labels, "gauge", n(p), detail=detail(p)))
+        pages = F.transform(F.filter(kept, lambda p: p["key"] == "mem"), lambda p: _entry("node_socket_memory_bytes", labels, "gauge", _scaled(n(p), PAGE_BYTES)))
+        none = F.array(_error(F.when(~F.exists(kept, lambda p: n(p).isNotNull()), _no(x, "no supported key"))))
+        return (
+            F.when(x["raw"].isNull(), F.array(_error(_no(x, "no protocol record"))))
+            .when(x["p"].isNull(), F.filter(none, lambda e: F.lit(False)))
+            .when(~first, F.array(_error(_no(x, F.concat(F.lit("repeated protocol "), x["p"])))))
+            .otherwise(F.concat(points, pages, none))
+        )
+
+    return files.withColumn("entries", F.flatten(F.transform("lines", entries)))
+
+
+#: fixed values: exported fields of protocol statistics, and their metrics
+NETSTAT = {
+    "Tcp": {
+        "ActiveOpens": "node_netstat_tcp_active_opens_total",
+        "PassiveOpens": "node_netstat_tcp_passive_opens_total",
+        "AttemptFails": "node_netstat_tcp_attempt_failures_total",
+        "EstabResets": "node_netstat_tcp_established_resets_total",
+        "CurrEstab": "node_netstat_tcp_current_established",
+        "InSegs": "node_netstat_tcp_segments_received_total",
+        "OutSegs": "node_netstat_tcp_segments_sent_total",
+        "RetransSegs": "node_netstat_tcp_segments_retransmitted_total",
+        "InErrs": "node_netstat_tcp_receive_errors_total",
+        "OutRsts": "node_netstat_tcp_resets_sent_total",
+        "InCsumErrors": "node_netstat_tcp_checksum_errors_total",
+    },
+    "Udp": {
+        "InDatagrams": "node_netstat_udp_datagrams_received_total",
+        "NoPorts": "node_netstat_udp_no_port_errors_total",
+        "InErrors": "node_netstat_udp_receive_errors_total",
+        "OutDatagrams": "node_netstat_udp_datagrams_sent_total",
+        "RcvbufErrors": "node_netstat_udp_receive_buffer_errors_total",
+        "SndbufErrors": "node_netstat_udp_send_buffer_errors_total",
+        "InCsumErrors": "node_netstat_udp_checksum_errors_total",
+        "IgnoredMulti": "node_netstat_udp_ignored_multicast_total",
+        "MemErrors": "node_netstat_udp_memory_errors_total",
+    },
+}
+
+
+def _netstat(files: DataFrame) -> DataFrame:
+    """Pairs of a header and a value line; CurrEstab is a gauge, all others count. Of a protocol the first pair counts."""
+    files = _with_lines(files)
+    n = F.ceil(F.size("lines") / 2).cast("int")
+    pairs = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("lines", 2 * i).alias("h"), F.get("lines", 2 * i + 1).alias("v"))))
+    good = lambda x: (F.size(x["h"]["f"]) >= 2) & (F.size(x["h"]["f"]) == F.size(x["v"]["f"])) & (x["h"]["f"][0] == x["v"]["f"][0]) & x["h"]["f"][0].endswith(":")
+    pairs = F.transform(pairs, lambda x: F.struct(F.when(x["v"].isNull(), x["h"]["no"]).otherwise(x["v"]["no"]).alias("no"), x["h"]["f"].alias("h"), x["v"]["f"].alias("v"), F.when(x["v"].isNotNull() & good(x), F.regexp_replace(x["h"]["f"][0], ":$", "")).alias("p")))
+    files = files.withColumn("lines", F.coalesce(pairs, F.expr("cast(array() AS array<struct<no:int,h:array<string>,v:array<string>,p:string>>)")))
+    files = files.withColumn("seen", F.transform("lines", lambda x: x["p"]))
+    labels = _labels(**{"network.scope": F.lit("visible_namespace")})
+
+    names = _map_of({f"{p} {key}": name for p, keys in NETSTAT.items() for key, name in keys.items()})
+
+    def entries(x: Column, i: Column) -> Column:
+        def of(key: Column, k: Column) -> Column:
+            name = names[F.concat(x["p"], F.lit(" "), key)]
+            first, n = F.array_position(x["h"], key) == k + 1, count_of(F.get(x["v"], k))
+            bad = F.when(name.isNotNull(), F.when(~first, F.concat(F.lit("repeated "), key)).when(n.isNull(), F.concat(key, F.lit(" is no count"))))
+            return _entry(name, labels, F.when(key == "CurrEstab", "gauge").otherwise("sum"), F.when(first, n), detail=F.when(bad.isNotNull(), _no(x, bad)))
+
+        first = F.array_position("seen", x["p"]) == i + 1
+        return (
+            F.when(x["p"].isNull(), F.array(_error(_no(x, "no pair of a header and values"))))
+            .when(~x["p"].isin(*NETSTAT), F.array(_error(F.lit(None))))
+            .when(~first, F.array(_error(_no(x, F.concat(F.lit("repeated protocol "), x["p"])))))
+            .otherwise(F.transform(x["h"], of))
+        )
+
+    return files.withColumn("entries", F.flatten(F.transform("lines", entries)))
 
 
-def network(snapshots: DataFrame) -> DataFrame:
-    """Received (field 0) and transmitted (field 8) bytes of each device; lines with fewer than nine fields are skipped."""
-    rows = _lines(snapshots, "net/dev").where(F.col("line").contains(":"))
-    rows = rows.withColumns({"d": F.trim(F.substring_index("line", ":", 1)), "f": _fields(F.trim(F.expr("substring(line, instr(line, ':') + 1)")))}).where(F.size("f") >= 9)
-    d = _labels(device=F.col("d"))
-    return _points(rows, [("node_network_receive_bytes_total", d, "sum", count_of(F.col("f")[0])), ("node_network_transmit_bytes_total", d, "sum", count_of(F.col("f")[8]))])
+#: fixed values: fields of a disk's line after its name; (metric, factor, type)
+DISK = (
+    ("reads_completed_total", 1, "sum"),
+    ("reads_merged_total", 1, "sum"),
+    ("read_bytes_total", SECTOR_BYTES, "sum"),
+    ("read_milliseconds_total", 1, "sum"),
+    ("writes_completed_total", 1, "sum"),
+    ("writes_merged_total", 1, "sum"),
+    ("written_bytes_total", SECTOR_BYTES, "sum"),
+    ("write_milliseconds_total", 1, "sum"),
+    ("io_now", 1, "gauge"),
+    ("io_milliseconds_total", 1, "sum"),
+    ("io_weighted_milliseconds_total", 1, "sum"),
+    ("discards_completed_total", 1, "sum"),
+    ("discards_merged_total", 1, "sum"),
+    ("discarded_bytes_total", SECTOR_BYTES, "sum"),
+    ("discard_milliseconds_total", 1, "sum"),
+    ("flush_requests_completed_total", 1, "sum"),
+    ("flush_milliseconds_total", 1, "sum"),
+)
+
+
+def _disk(files: DataFrame) -> DataFrame:
+    """11, 15 or 17 and more values after major, minor and device; one bad value spoils its line."""
+    files = _with_lines(files)
+    n = lambda x: F.size(x["f"]) - 3
+    used = lambda x: F.when(n(x) >= 17, 17).when(n(x) >= 15, 15).otherwise(11)
+    values = lambda x: F.transform(F.slice(x["f"], F.lit(4), used(x)), count_of)
+    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), x["f"].alias("f"), F.when(n(x) >= 11, values(x)).alias("v"))))
+
+    def fault(x: Column) -> Column:
+        f, v = x["f"], x["v"]
+        bad = F.when(n(x) < 11, "fewer than 14 fields").when(F.octet_length(f[2]) > 255, "device name too long").when(count_of(f[0]).isNull() | count_of(f[1]).isNull(), "no device numbers")
+        bad = bad.when((n(x) > 11) & (n(x) < 15), "incomplete discard fields").when(n(x) == 16, "incomplete flush fields").when(F.exists(v, lambda y: y.isNull()), "a field is no count")
+        for k, (_, by, _t) in enumerate(DISK):
+            if by > 1:
+                bad = bad.when(F.get(v, F.lit(k)) > ((1 << 63) - 1) // by, "sectors are too many for bytes")
+        return bad
+
+    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), x["f"].alias("f"), x["v"].alias("v"), fault(x).alias("bad"))))
+
+    def entries(x: Column) -> list[Column]:
+        f, v, bad = x["f"], x["v"], x["bad"]
+        labels = _labels(device=F.get(f, F.lit(2)), major=count_of(F.get(f, F.lit(0))).cast("string"), minor=count_of(F.get(f, F.lit(1))).cast("string"))
+        return [_error(F.when(bad.isNotNull(), _no(x, bad))), *[_entry(f"node_disk_{name}", labels, kind, F.when(bad.isNull(), _scaled(F.get(v, F.lit(k)), by))) for k, (name, by, kind) in enumerate(DISK)]]
+
+    return _each(files, entries)
+
+
+#: fixed values: keys of control group files, and their metrics
+CPU_STAT = {
+    "usage_usec": "node_cgroup_cpu_usage_microseconds_total",
+    "user_usec": "node_cgroup_cpu_user_microseconds_total",
+    "system_usec": "node_cgroup_cpu_system_microseconds_total",
+    "nr_periods": "node_cgroup_cpu_periods_total",
+    "nr_throttled": "node_cgroup_cpu_throttled_periods_total",
+    "throttled_usec": "node_cgroup_cpu_throttled_microseconds_total",
+}
+MEMORY_EVENTS = ("low", "high", "max", "oom", "oom_kill", "oom_group_kill")
+IO_STAT = {
+    "rbytes": "node_cgroup_io_read_bytes_total",
+    "wbytes": "node_cgroup_io_written_bytes_total",
+    "rios": "node_cgroup_io_read_operations_total",
+    "wios": "node_cgroup_io_write_operations_total",
+    "dbytes": "node_cgroup_io_discarded_bytes_total",
+    "dios": "node_cgroup_io_discard_operations_total",
+}
+CGROUP_VALUES = {
+    "cpu.weight": "node_cgroup_cpu_weight",
+    "memory.current": "node_cgroup_memory_current_bytes",
+    "memory.swap.current": "node_cgroup_memory_swap_current_bytes",
+    "pids.current": "node_cgroup_pids_current",
+}
+CGROUP_LIMITS = {
+    "memory.max": ("node_cgroup_memory_limit_bytes", "node_cgroup_memory_limit_unlimited"),
+    "memory.swap.max": ("node_cgroup_memory_swap_limit_bytes", "node_cgroup_memory_swap_limit_unlimited"),
+    "pids.max": ("node_cgroup_pids_limit", "node_cgroup_pids_limit_unlimited"),
+}
+
+
+def _cgroup(files: DataFrame) -> DataFrame:
+    """One scan for all files of a control group. `max` gives unlimited 1 and no limit; of a repeated key the first counts."""
+    files = _with_lines(files).withColumn("all", _words(F.col("content")))
+    scope = _labels(**{"cgroup.scope": F.lit("configured_root")})
+    scoped = lambda **more: _labels(**{"cgroup.scope": F.lit("configured_root")}, **more)
+    good = lambda x: (F.size(x["f"]) == 2) & count_of(F.get(x["f"], F.lit(1))).isNotNull()
+    files = files.withColumn("keys", F.transform("lines", lambda x: F.when(good(x), x["f"][0])))
+
+    def keyed(x: Column, i: Column) -> Column:
+        key, n = x["f"][0], F.get(x["f"], F.lit(1))
+        first = F.array_position("keys", key)
+        again = (first > 0) & (first < i + 1)
+        bad = F.when(F.size(x["f"]) != 2, "no key and value").when(again, "repeated key").when(~good(x), "no count")
+        is_cpu = F.col("file") == "cpu.stat"
+        name = F.when(is_cpu, _map_of(CPU_STAT)[key]).when(key.isin(*MEMORY_EVENTS), "node_cgroup_memory_events_total")
+        attrs = F.when(is_cpu, scope).otherwise(scoped(event=key))
+        return _entry(name, attrs, "sum", F.when(bad.isNull() & name.isNotNull(), count_of(n)), detail=F.when(bad.isNotNull(), _no(x, bad)))
+
+    one = F.when(F.size("all") == 1, F.col("all")[0])
+    alone = F.when(F.size("all") != 1, "not one field").when(count_of(one).isNull(), "no count")
+    value = _entry(_map_of(CGROUP_VALUES)[F.col("file")], scope, "gauge", count_of(one), detail=alone)
+    limit_of = lambda k: _map_of({f: v[k] for f, v in CGROUP_LIMITS.items()})[F.col("file")]
+    limits = [_entry(limit_of(0), scope, "gauge", count_of(one)), _entry(limit_of(1), scope, "gauge", F.when(one == "max", 1).when(count_of(one).isNotNull(), 0), detail=F.when(F.coalesce(one != "max", F.lit(True)), alone))]
+    two = F.size("all") == 2
+    q, period = F.get("all", F.lit(0)), F.when(two, count_of(F.get("all", F.lit(1))))
+    sound = F.coalesce(period > 0, F.lit(False))
+    quota = [
+        _entry("node_cgroup_cpu_period_microseconds", scope, "gauge", F.when(sound, period), detail=F.when(~two, "not two fields").when(~sound, "no period")), _entry("node_cgroup_cpu_quota_microseconds", scope, "gauge", F.when(sound, count_of(q))),
+        _entry("node_cgroup_cpu_quota_unlimited", scope, "gauge", F.when(sound, F.when(q == "max", 1).when(count_of(q).isNotNull(), 0)), detail=F.when(sound & (q != "max") & count_of(q).isNull(), "no quota")),
+    ]
+
+    def devices(x: Column) -> Column:
+        device = x["f"][0]
+        # numbers of devices have 32 bits
+        number = lambda t: F.coalesce(count_of(t) < (1 << 32), F.lit(False))
+        named = device.rlike(r"\A[0-9]+:[0-9]+\z") & number(F.substring_index(device, ":", 1)) & number(F.substring_index(device, ":", -1)) & (F.size(x["f"]) >= 2)
+        parts = F.slice(x["f"], F.lit(2), F.greatest(F.size(x["f"]) - 1, F.lit(0)))
+        keys = F.transform(parts, lambda t: F.substring_index(t, "=", 1))
+
+        def of(t: Column, i: Column) -> Column:
+            key, text = F.substring_index(t, "=", 1), F.substr(t, F.instr(t, "=") + 1)
+            known = key.isin(*IO_STAT)
+            bad = F.when(~t.contains("="), "no key and value").when(known & (F.array_position(keys, key) < i + 1), F.concat(F.lit("repeated key "), key)).when(known & count_of(text).isNull(), F.concat(key, F.lit(" is no count")))
+            return _entry(_map_of(IO_STAT)[key], scoped(device=device), "sum", F.when(bad.isNull() & known, count_of(text)), detail=F.when(bad.isNotNull(), _no(x, bad)))
+
+        return F.when(named, F.transform(parts, of)).otherwise(F.array(_error(_no(x, "no device record"))))
+
+    file = F.col("file")
+    entries = (
+        F.when(file.isin("cpu.stat", "memory.events"), F.transform("lines", keyed)).when(file == "io.stat", F.flatten(F.transform("lines", devices))).when(file == "cpu.max", F.array(*quota))
+        .when(file.isin(*CGROUP_LIMITS), F.array(*limits)).when(file.isin(*CGROUP_VALUES), F.array(value)).otherwise(F.array(_entry("node_cgroup_v2_info", scope, "gauge", F.lit(1))))
+    )
+    return files.withColumn("entries", entries)
+
+
+def _uptime(files: DataFrame) -> DataFrame:
+    """Seconds since the start, and the start in seconds since 1970."""
+    files = files.withColumn("u", _amount(F.get(_words(F.col("content")), F.lit(0))))
+    bad = F.when(F.col("u").isNull(), "no number of 0 or more")
+    return files.withColumn("entries", F.array(_entry("node_uptime_seconds", F.expr(_NONE), "gauge", broken=F.col("u"), detail=bad), _entry("node_boot_time_seconds", F.expr(_NONE), "gauge", broken=F.col("captured_at_unix_nano") / 1e9 - F.col("u"))))
 
 
-SOCKET_PROTOCOLS = ("sockets", "TCP", "UDP", "UDPLITE", "RAW", "FRAG", "TCP6", "UDP6", "UDPLITE6", "RAW6", "FRAG6")
+WINDOWS = (10, 60, 300)
 
 
-def socket(snapshots: DataFrame, page_size: int = 4096) -> DataFrame:
-    """`PROTOCOL: key value key value ...`; pages of memory are also given in bytes."""
-    rows = _lines(snapshots, "net/sockstat", "net/sockstat6").withColumns({"p": F.regexp_extract("line", r"\A(\w+):", 1), "f": _fields(F.trim(F.regexp_replace("line", r"\A\w+:", "")))})
-    rows = rows.where(F.col("p").isin(*SOCKET_PROTOCOLS) & (F.size("f") % 2 == 0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("f") - 2, F.lit(2))))
-    rows = rows.withColumns({"key": F.get("f", F.col("i")), "n": count_of(F.get("f", F.col("i") + 1))})
-    name = F.concat(F.lit("node_sockstat_"), F.col("p"), F.lit("_"), F.col("key"))
-    return _points(rows, [(name, F.expr(_NONE), "gauge", F.col("n")), (F.concat(name, F.lit("_bytes")), F.expr(_NONE), "gauge", F.when(F.col("key") == "mem", _scaled(F.col("n"), page_size)))])
+def _pressure(files: DataFrame) -> DataFrame:
+    """`some` is waiting, `full` is stalled; averages are shares from 0 to 1 with a window label, total counts microseconds. The first bad line spoils its file."""
+    files = _with_lines(files)
+    files = files.withColumn("seen", F.transform("lines", lambda x: x["f"][0])).withColumn("r", F.substring_index("file", "/", -1))
+    # of a repeated key the last counts
+    of = lambda x, key: F.get(F.filter(F.reverse(F.slice(x["f"], 2, 4)), lambda t: t.startswith(key + "=")), F.lit(0))
+    share = lambda x, w: _amount(F.substr(of(x, f"avg{w}"), F.lit(len(f"avg{w}=") + 1)))
+    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), x["f"].alias("f"), *[share(x, w).alias(f"s{w}") for w in WINDOWS], count_of(F.substr(of(x, "total"), F.lit(7))).alias("total"))))
 
+    def fault(x: Column, i: Column) -> Column:
+        bad = F.when((F.size(x["f"]) != 5) | ~x["f"][0].isin("some", "full"), "no pressure line").when(F.array_position("seen", x["f"][0]) < i + 1, F.concat(F.lit("repeated "), x["f"][0]))
+        bad = bad.when(F.exists(F.slice(x["f"], 2, 4), lambda t: ~t.contains("=")), "no key and value")
+        for w in WINDOWS:
+            bad = bad.when(x[f"s{w}"].isNull() | (x[f"s{w}"] > 100), f"avg{w} is no percentage")
+        return bad.when(x["total"].isNull(), "total is no count")
 
-#: fixed values: exported fields of the protocol statistics
-NETSTAT = {"Tcp": ("ActiveOpens", "PassiveOpens", "AttemptFails", "EstabResets", "CurrEstab", "InSegs", "OutSegs", "RetransSegs", "InErrs", "OutRsts", "InCsumErrors"), "Udp": ("InDatagrams", "NoPorts", "InErrors", "OutDatagrams", "RcvbufErrors", "SndbufErrors", "InCsumErrors", "IgnoredMulti", "MemErrors")}
+    files = files.withColumn("lines", F.transform("lines", lambda x, i: x.withField("bad", fault(x, i))))
 
+    def entries(x: Column) -> Column:
+        base = F.concat(F.lit("node_pressure_"), F.col("r"), F.when(x["f"][0] == "some", "_waiting").otherwise("_stalled"))
+        points = [_entry(F.concat(base, F.lit("_microseconds_total")), F.expr(_NONE), "sum", x["total"]), *[_entry(F.concat(base, F.lit("_ratio")), _labels(window=F.lit(f"{w}s")), "gauge", broken=x[f"s{w}"] / 100) for w in WINDOWS]]
+        return F.when(x["bad"].isNotNull(), F.array(_error(_no(x, x["bad"])))).otherwise(F.array(*points))
 
-def netstat(snapshots: DataFrame) -> DataFrame:
-    """Pairs of a header and a value line; CurrEstab is a gauge, all others count."""
-    rows = _lines(snapshots, "net/snmp").withColumns({"p": F.regexp_extract("line", r"\A(\w+):", 1), "f": _fields(F.trim(F.regexp_replace("line", r"\A\w+:", "")))}).where(F.col("p").isin(*NETSTAT))
-    pair = Window.partitionBy("host", "file", "captured_at_unix_nano", "p").orderBy("line_no")
-    rows = rows.withColumns({"head": F.lag("f").over(pair), "nth": F.row_number().over(pair)}).where((F.col("nth") == 2) & (F.size("head") == F.size("f")))
-    rows = rows.withColumn("e", F.explode(F.arrays_zip("head", "f"))).withColumns({"key": F.col("e.head"), "n": count_of(F.col("e.f"))})
-    wanted = F.lit(False)
-    for p, keys in NETSTAT.items():
-        wanted = wanted | ((F.col("p") == p) & F.col("key").isin(*keys))
-    rows = rows.where(wanted)
-    name = F.concat(F.lit("node_netstat_"), F.col("p"), F.lit("_"), F.col("key"))
-    gauge = F.col("key") == "CurrEstab"
-    return _points(rows, [(name, F.expr(_NONE), "gauge", F.when(gauge, F.col("n"))), (name, F.expr(_NONE), "sum", F.when(~gauge, F.col("n")))])
+    files = files.withColumn("entries", F.flatten(F.transform("lines", entries)))
+    wrong = F.filter("entries", lambda e: e["detail"].isNotNull())
+    return files.withColumn("entries", F.when(F.size(wrong) > 0, F.slice(wrong, 1, 1)).otherwise(F.col("entries")))
 
 
-#: fixed values: fields of a disk's line after its name; (metric, factor, type)
-DISK = (
-    ("reads_completed_total", 1, "sum"), ("reads_merged_total", 1, "sum"), ("read_bytes_total", 512, "sum"), ("read_milliseconds_total", 1, "sum"), ("writes_completed_total", 1, "sum"), ("writes_merged_total", 1, "sum"),
-    ("written_bytes_total", 512, "sum"), ("write_milliseconds_total", 1, "sum"), ("io_now", 1, "gauge"), ("io_milliseconds_total", 1, "sum"), ("io_weighted_milliseconds_total", 1, "sum"), ("discards_completed_total", 1, "sum"),
-    ("discards_merged_total", 1, "sum"), ("discarded_bytes_total", 512, "sum"), ("discard_milliseconds_total", 1, "sum"), ("flush_requests_total", 1, "sum"), ("flush_milliseconds_total", 1, "sum"),
-)
+#: fixed values: file systems that are no local device; types that begin with `fuse.` are none either
+PSEUDO = frozenset("autofs binfmt_misc bpf cgroup cgroup2 configfs debugfs devpts devtmpfs efivarfs fuse fuseblk fusectl hugetlbfs mqueue nsfs proc pstore ramfs securityfs sysfs tracefs 9p afs ceph cifs glusterfs lustre nfs nfs4 smb3".split())
 
 
-def disk(snapshots: DataFrame) -> DataFrame:
-    """11, 15 or 17 values after major, minor and device; other layouts are errors."""
-    rows = _lines(snapshots, "diskstats").withColumn("f", _fields("line")).where((F.size("f") - 3).isin(11, 15, 17))
-    d = _labels(device=F.col("f")[2], major=F.col("f")[0], minor=F.col("f")[1])
-    return _points(rows, [(f"node_disk_{n}", d, t, _scaled(count_of(F.get("f", F.lit(k + 3))), by)) for k, (n, by, t) in enumerate(DISK)])
+def _mount_lines(snapshots: DataFrame) -> DataFrame:
+    """mounts: the readable records of a file; details: what is wrong with the others."""
+    files = _files(snapshots, "mountinfo").withColumn("lines", F.filter(F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("text"))), lambda x: x["text"] != ""))
+    left = lambda x: _words(F.substring_index(x["text"], " - ", 1))
+    right = lambda x: _words(F.substr(x["text"], F.instr(x["text"], " - ") + 3))
+    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), F.when(x["text"].contains(" - "), left(x)).alias("f"), right(x).alias("g"))))
+    # an escape is a backslash and three octal digits, none of them of the value 0
+    sound = lambda t: ~F.regexp_replace(t, r"\\[0-3][0-7]{2}", "").contains("\\") & ~t.contains(r"\000") & ~t.contains("\x00") & (F.octet_length(t) <= 4096)
+    path = lambda t: F.regexp_replace(F.regexp_replace(L.decode_octal_escapes(t), r"(/\.)*/+(\./+)*", "/"), r"(?<=.)/\.?$", "")
+    shape = lambda x: F.when(x["f"].isNull(), "no separator").when((F.size(x["f"]) < 6) | (F.size(x["g"]) < 3), "too few fields").when(count_of(x["f"][0]).isNull(), "no mount id").when(~sound(x["f"][4]) | ~x["f"][4].startswith("/"), "no absolute path").when(~sound(x["g"][0]) | ~sound(x["g"][1]), "bad escape")
+    record = lambda x: F.struct(count_of(x["f"][0]).alias("mount_id"), path(x["f"][4]).alias("mountpoint"), L.decode_octal_escapes(x["g"][0]).alias("fstype"), L.decode_octal_escapes(x["g"][1]).alias("device"), F.array_contains(F.split(x["f"][5], ","), "ro").alias("read_only"))
+    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(shape(x).isNull().alias("good"), F.when(shape(x).isNotNull(), _no(x, shape(x))).alias("detail"), F.when(shape(x).isNull(), record(x)).alias("m"))))
+    return files.select(*_FILE, F.transform(F.filter("lines", lambda x: x["good"]), lambda x: x["m"]).alias("mounts"), F.transform(F.filter("lines", lambda x: ~x["good"]), lambda x: x["detail"]).alias("details"))
 
 
-#: fixed values: file systems without a local device
-PSEUDO = frozenset("autofs bdev binder binfmt_misc bpf cgroup cgroup2 configfs cpuset debugfs devpts devtmpfs efivarfs fusectl hugetlbfs mqueue nsfs overlay proc procfs pstore rpc_pipefs securityfs selinuxfs squashfs sysfs tmpfs tracefs nfs nfs4 cifs smb3 smbfs 9p afs ceph glusterfs".split())
+def _local(mounts: DataFrame) -> DataFrame:
+    rows = mounts.select("host", "captured_at_unix_nano", F.explode("mounts").alias("m")).select("host", "captured_at_unix_nano", "m.*")
+    best = rows.groupBy("host", "captured_at_unix_nano", "mountpoint").agg(F.max_by(F.struct("mount_id", "device", "fstype", "read_only"), "mount_id").alias("m"))
+    out = best.select("host", "captured_at_unix_nano", "mountpoint", "m.*")
+    return out.where(~F.col("fstype").isin(*sorted(PSEUDO)) & ~F.col("fstype").startswith("fuse."))
 
 
 def mounts(snapshots: DataFrame) -> DataFrame:
     """One row per host and mount point: device, fstype, read_only. Of several mounts at a point the highest mount id counts."""
-    rows = _lines(snapshots, "mountinfo").withColumns({"f": _fields(F.substring_index("line", " - ", 1)), "g": _fields(F.substring_index("line", " - ", -1))})
-    rows = rows.where((F.size("f") >= 6) & (F.size("g") >= 2) & F.col("line").contains(" - "))
-    rows = rows.select("host", "captured_at_unix_nano", count_of(F.col("f")[0]).alias("mount_id"), L.decode_octal_escapes(F.col("f")[4]).alias("mountpoint"), F.array_contains(F.split(F.col("f")[5], ","), "ro").alias("read_only"), F.col("g")[0].alias("fstype"), L.decode_octal_escapes(F.col("g")[1]).alias("device"))
-    rows = rows.where(F.col("mount_id").isNotNull() & F.col("mountpoint").startswith("/"))
-    best = rows.groupBy("host", "captured_at_unix_nano", "mountpoint").agg(F.max_by(F.struct("mount_id", "device", "fstype", "read_only"), "mount_id").alias("m"))
-    out = best.select("host", "captured_at_unix_nano", "mountpoint", "m.*")
-    return out.where(~F.col("fstype").isin(*sorted(PSEUDO)) & ~F.col("fstype").startswith("fuse"))
+    return _local(_mount_lines(snapshots))
+
+
+def _mounts(files: DataFrame) -> DataFrame:
+    """Only what is wrong with the records; their points come from `filesystem`."""
+    out = _mount_lines(files)
+    none = F.when((F.size("mounts") == 0) & (F.size("details") == 0), F.array(F.lit("no mounts"))).otherwise(F.col("details"))
+    return out.select(*_FILE, F.transform(none, lambda d: _error(d)).alias("entries"))
+
+
+def filesystem(snapshots: DataFrame, statfs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points of local file systems, and errors (host, mountpoint, captured_at_unix_nano, detail).
+
+    statfs: host, captured_at_unix_nano, mountpoint, block_size, blocks, blocks_free, blocks_available, files, files_free,
+    read_only. A mount without a row there, or with sizes that are none or pass 2^63-1, gives node_filesystem_device_error 1 only.
+    """
+    found = mounts(snapshots).join(statfs.withColumnRenamed("read_only", "flag").withColumn("there", F.lit(True)), ["host", "captured_at_unix_nano", "mountpoint"], "left")
+    size = F.col("block_size").cast("bigint")
+    bytes_of = {c: F.when((size > 0) & (F.col(c) >= 0), F.try_multiply(F.col(c).cast("bigint"), size)) for c in ("blocks", "blocks_free", "blocks_available")}
+    sized = F.col("files").isNotNull() & (F.col("files") >= 0) & (F.col("files_free") >= 0)
+    for v in bytes_of.values():
+        sized = sized & v.isNotNull()
+    good = F.coalesce(F.col("there") & sized, F.lit(False))
+    # written out once: each row has its entries and, if bad, what is wrong
+    labels = _labels(device=F.col("device"), fstype=F.col("fstype"), mountpoint=F.col("mountpoint"))
+    when = lambda v: F.when(good, v)
+    entries = [
+        _entry("node_filesystem_size_bytes", labels, "gauge", when(bytes_of["blocks"])), _entry("node_filesystem_free_bytes", labels, "gauge", when(bytes_of["blocks_free"])), _entry("node_filesystem_avail_bytes", labels, "gauge", when(bytes_of["blocks_available"])),
+        _entry("node_filesystem_files", labels, "gauge", when(F.col("files"))), _entry("node_filesystem_files_free", labels, "gauge", when(F.col("files_free"))),
+        _entry("node_filesystem_readonly", labels, "gauge", when((F.col("read_only") | F.coalesce("flag", F.lit(False))).cast("int"))), _entry("node_filesystem_device_error", labels, "gauge", F.when(good, 0).otherwise(1)),
+    ]
+    rows = found.select("host", "captured_at_unix_nano", "mountpoint", F.filter(F.array(*entries), lambda e: e["int_value"].isNotNull()).alias("points"), F.when(F.col("there").isNull(), "no sizes").when(~good, "sizes are none or too large").alias("detail"))
+    return points(rows), rows.where("detail IS NOT NULL").select("host", "mountpoint", "captured_at_unix_nano", "detail")
+
+
+#: job: its files, its parser, and whether a file without any point and error is an error
+JOBS = {
+    "load": (("loadavg",), _load, True),
+    "memory": (("meminfo",), _memory, True),
+    "cpu": (("stat",), _cpu, True),
+    "network": (("net/dev",), _network, True),
+    "socket": (("net/sockstat", "net/sockstat6", "net/snmp"), lambda files: _socket(files.where("file <> 'net/snmp'")).select(*_FILE, "entries").unionByName(_netstat(files.where("file = 'net/snmp'")).select(*_FILE, "entries")), True),
+    "disk": (("diskstats",), _disk, True),
+    "mounts": (("mountinfo",), _mounts, False),
+    "cgroup": (("cgroup.controllers", "cpu.stat", "cpu.max", "memory.events", "io.stat", *CGROUP_VALUES, *CGROUP_LIMITS), _cgroup, True),
+    "uptime": (("uptime",), _uptime, True),
+    "pressure": (("pressure/cpu", "pressure/memory", "pressure/io"), _pressure, True),
+}
 
 
-CPU_STAT = ("usage_usec", "user_usec", "system_usec", "nr_periods", "nr_throttled", "throttled_usec")
-MEMORY_EVENTS = ("low", "high", "max", "oom", "oom_kill", "oom_group_kill")
-IO_STAT = ("rbytes", "wbytes", "rios", "wios", "dbytes", "dios")
+def _files(snapshots: DataFrame, *names: str) -> DataFrame:
+    return snapshots.where(F.col("file").isin(*names)).select("host", "file", "captured_at_unix_nano", F.coalesce("content", F.lit("")).alias("content"))
 
 
-def cgroup(snapshots: DataFrame) -> DataFrame:
-    """cpu.stat, cpu.max, cpu.weight, memory.*, pids.*, io.stat; `max` gives unlimited 1 and no limit. A repeated key spoils its file."""
-    name = lambda *parts: F.concat(F.lit("node_cgroup_"), *parts)
-    pairs = _lines(snapshots, "cpu.stat", "memory.events").withColumns({"f": _fields("line")}).where(F.size("f") == 2).withColumns({"key": F.col("f")[0], "n": count_of(F.col("f")[1])})
-    wanted = ((F.col("file") == "cpu.stat") & F.col("key").isin(*CPU_STAT)) | ((F.col("file") == "memory.events") & F.col("key").isin(*MEMORY_EVENTS))
-    file = ["host", "file", "captured_at_unix_nano"]
-    pairs = pairs.withColumn("_times", F.count("*").over(Window.partitionBy(*file, "key"))).withColumn("_most", F.max("_times").over(Window.partitionBy(*file)))
-    pairs = pairs.where(wanted & (F.col("_most") == 1))
-    out = _points(pairs, [(name(F.regexp_replace("file", r"\.", "_"), F.lit("_"), F.col("key"), F.lit("_total")), F.expr(_NONE), "sum", F.col("n"))])
+def parse(snapshots: DataFrame, *jobs: str) -> DataFrame:
+    """Rows of host, file, captured_at_unix_nano, job, points, n_errors and details (at most 16), one per file of the jobs (default: all).
 
-    single = _files(snapshots, "cpu.weight", "memory.current", "memory.max", "memory.swap.current", "memory.swap.max", "pids.current", "pids.max").withColumn("t", F.trim(F.regexp_replace("content", r"\n\z", "")))
-    base = F.regexp_replace("file", r"\.", "_")
-    limit = F.col("file").endswith(".max")
-    out = out.unionByName(_points(single, [(name(base), F.expr(_NONE), "gauge", count_of(F.col("t"))), (name(base, F.lit("_unlimited")), F.expr(_NONE), "gauge", F.when(limit, F.when(F.col("t") == "max", 1).when(count_of(F.col("t")).isNotNull(), 0)))]))
+    A file is read once and stays where it is: no shuffle, and nothing of a file is in two rows. A null content is an empty file.
+    """
+    out = None
+    for job in jobs or JOBS:
+        names, run, complains = JOBS[job]
+        rows = run(_files(snapshots, *names)).withColumn("job", F.lit(job))
+        good = F.filter("entries", lambda e: e["name"].isNotNull() & (e["int_value"].isNotNull() | e["float_value"].isNotNull()))
+        bad = F.transform(F.filter("entries", lambda e: e["detail"].isNotNull()), lambda e: e["detail"])
+        rows = rows.select(*_FILE, "job", good.alias("points"), bad.alias("details"))
+        # an empty io.stat is in order
+        empty = (F.size("points") == 0) & (F.size("details") == 0) & F.lit(complains) & (F.col("file") != "io.stat")
+        rows = rows.withColumn("details", F.when(empty, F.array(F.lit("nothing that is supported"))).otherwise(F.col("details")))
+        rows = rows.withColumn("n_errors", F.size("details")).withColumn("details", F.slice("details", 1, MOST_DETAILS))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-    quota = _files(snapshots, "cpu.max").withColumn("f", _fields(F.trim(F.regexp_replace("content", r"\n\z", "")))).where(F.size("f") == 2)
-    q, period = F.col("f")[0], count_of(F.col("f")[1])
-    out = out.unionByName(_points(quota, [(name(F.lit("cpu_quota_usec")), F.expr(_NONE), "gauge", F.when(period.isNotNull(), count_of(q))), (name(F.lit("cpu_period_usec")), F.expr(_NONE), "gauge", period), (name(F.lit("cpu_unlimited")), F.expr(_NONE), "gauge", F.when(q == "max", 1).when(count_of(q).isNotNull(), 0))]))
 
-    io = _lines(snapshots, "io.stat").withColumn("f", _fields("line")).where(F.col("f")[0].rlike(r"\A[0-9]+:[0-9]+\z"))
-    values = F.map_from_entries(F.transform(F.filter(F.slice("f", 2, 64), lambda x: x.rlike(r"\A(" + "|".join(IO_STAT) + r")=[0-9]+\z")), lambda x: F.struct(F.substring_index(x, "=", 1), F.substring_index(x, "=", -1))))
-    io = io.withColumn("v", values)
-    d = _labels(major=F.substring_index(F.col("f")[0], ":", 1), minor=F.substring_index(F.col("f")[0], ":", -1))
-    return out.unionByName(_points(io, [(f"node_cgroup_io_{k}_total", d, "sum", count_of(F.col("v")[k])) for k in IO_STAT]))
+def points(parsed: DataFrame) -> DataFrame:
+    out = parsed.select("host", F.col("captured_at_unix_nano").alias("time_unix_nano"), F.explode("points").alias("p")).select("host", "p.*", "time_unix_nano")
+    return out.withColumn("value", F.coalesce(F.col("int_value").cast("double"), "float_value")).select(*_POINT)
 
 
-def uptime(snapshots: DataFrame) -> DataFrame:
-    """Seconds since the start, and the start in seconds since 1970."""
-    rows = _files(snapshots, "uptime").withColumn("u", _amount(F.get(_fields(F.trim("content")), F.lit(0))))
-    return _points(rows, [("node_uptime_seconds", F.expr(_NONE), "gauge", F.col("u")), ("node_boot_time_seconds", F.expr(_NONE), "gauge", F.col("captured_at_unix_nano") / 1e9 - F.col("u"))], float_gauges=True)
+def errors(parsed: DataFrame) -> DataFrame:
+    """host, file, captured_at_unix_nano, job, n_errors, details: files of which something could not be read."""
+    return parsed.where("n_errors > 0").select(*_FILE, "job", "n_errors", "details")
+
+
+def tagged(parsed: DataFrame) -> DataFrame:
+    """Both outputs as rows, for one write by tag: `point` rows, and one `error` row for each file with errors."""
+    rows = parsed.select(*_FILE, "job", F.explode(F.concat(
+        F.transform("points", lambda p: F.struct(F.lit("point").alias("tag"), p.alias("point"), F.lit(None).cast("int").alias("n_errors"), F.lit(None).cast("array<string>").alias("details"))),
+        F.when(F.col("n_errors") > 0, F.array(F.struct(F.lit("error").alias("tag"), F.get("points", F.lit(-1)).alias("point"), F.col("n_errors"), F.col("details")))).otherwise(F.expr("array()")),
+    )).alias("x"))
+    return rows.select("x.tag", *_FILE, "job", "x.point.name", "x.point.attrs", "x.point.metric_type", "x.point.int_value", "x.point.float_value", "x.n_errors", "x.details")
+
+
+def _job(name: str, *files: str) -> Callable[[DataFrame], DataFrame]:
+    def run(snapshots: DataFrame) -> DataFrame:
+        return points(parse(snapshots.where(F.col("file").isin(*files)) if files else snapshots, name))
+
+    run.__doc__ = JOBS[name][1].__doc__
+    return run
 
 
-def pressure(snapshots: DataFrame) -> DataFrame:
-    """`some` is waiting, `full` is stalled; averages are shares from 0 to 1 with a window label, total counts microseconds."""
-    rows = _lines(snapshots, "pressure/cpu", "pressure/memory", "pressure/io")
-    rows = rows.withColumns({"kind": F.regexp_extract("line", r"\A(some|full) ", 1), "r": F.substring_index("file", "/", -1)}).where("kind <> ''")
-    state = F.when(F.col("kind") == "some", "waiting").otherwise("stalled")
-    base = F.concat(F.lit("node_pressure_"), F.col("r"), F.lit("_"), state)
-    items = [(F.concat(base, F.lit("_microseconds_total")), F.expr(_NONE), "sum", count_of(F.regexp_extract("line", r"\btotal=(\d+)", 1)))]
-    for w in (10, 60, 300):
-        v = _amount(F.regexp_extract("line", rf"\bavg{w}=([0-9.]+)", 1))
-        items.append((F.concat(base, F.lit("_ratio")), _labels(window=F.lit(f"{w}s")), "gauge", F.when(v <= 100, v / 100)))
-    return _points(rows, items, float_gauges=True)
+load, memory, cpu, network, disk, cgroup, uptime, pressure = (_job(name) for name in ("load", "memory", "cpu", "network", "disk", "cgroup", "uptime", "pressure"))
+socket, netstat = _job("socket", "net/sockstat", "net/sockstat6"), _job("socket", "net/snmp")
 
 
 def uname_info(hosts: DataFrame) -> DataFrame:
     """(host, captured_at_unix_nano, sysname, release, version, machine, nodename, domainname) -> a gauge of 1 with six labels."""
     names = ("sysname", "release", "version", "machine", "nodename", "domainname")
-    return _points(hosts, [("node_uname_info", _labels(**{n: F.coalesce(n, F.lit("")) for n in names}), "gauge", F.lit(1))])
+    return points(hosts.select("host", "captured_at_unix_nano", F.array(_entry("node_uname_info", _labels(**{n: F.coalesce(n, F.lit("")) for n in names}), "gauge", F.lit(1))).alias("points")))
 
 
 def os_release(snapshots: DataFrame) -> DataFrame:
     """host -> os_name, os_version, os_description from NAME, VERSION_ID and PRETTY_NAME, with their quotes removed."""
-    rows = _lines(snapshots, "os-release").withColumns({"k": F.regexp_extract("line", r"\A([A-Z_]+)=", 1), "v": F.expr("substring(line, instr(line, '=') + 1)")}).where(F.col("k").isin("NAME", "VERSION_ID", "PRETTY_NAME"))
+    rows = _files(snapshots, "os-release").select("host", F.posexplode(F.split("content", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).withColumns({"k": F.regexp_extract("line", r"\A([A-Z_]+)=", 1), "v": F.expr("substring(line, instr(line, '=') + 1)")}).where(F.col("k").isin("NAME", "VERSION_ID", "PRETTY_NAME"))
     quoted = F.regexp_replace(F.regexp_extract("v", r'\A"((?:[^"\\]|\\.)*)"\z', 1), r"\\(.)", "$1")
     value = F.when(F.col("v").startswith('"'), quoted).when(F.col("v").startswith("'"), F.regexp_extract("v", r"\A'([^']*)'\z", 1)).otherwise(F.col("v"))
     rows = rows.withColumn("v", value)
@@ -228,8 +597,28 @@ def os_release(snapshots: DataFrame) -> DataFrame:
     return rows.groupBy("host").agg(of("NAME").alias("os_name"), of("VERSION_ID").alias("os_version"), of("PRETTY_NAME").alias("os_description"))
 
 
-def snapshot_health(results: DataFrame) -> DataFrame:
-    """(host, collector, at, status: ok, unsupported, error) -> the rows where the status changed, with the one before."""
+def transitions(results: DataFrame) -> DataFrame:
+    """(host, collector, at, status) -> the rows where the status changed, with the one before."""
     w = Window.partitionBy("host", "collector").orderBy("at")
     rows = results.withColumn("before", F.lag("status").over(w))
     return rows.where(~F.col("status").eqNullSafe(F.col("before")))
+
+
+snapshot_health = transitions
+
+
+def collector_status(snapshots: DataFrame, *jobs: str) -> DataFrame:
+    """host, collector, at, status, for every capture of a host and every job, whether its files are there or not.
+
+    unsupported: none of a job's files was captured (for cgroup: cgroup.controllers was not); error: one of them had errors; else ok.
+    """
+    jobs = jobs or tuple(JOBS)
+    read = parse(snapshots, *jobs).select("host", "captured_at_unix_nano", "job", "file", (F.col("n_errors") > 0).alias("bad"))
+    every = snapshots.select("host", "captured_at_unix_nano", F.lit(None).cast("string").alias("job"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("boolean").alias("bad"))
+    # captures without a job's files are made from what the capture has: no host, capture or job is lost
+    seen = [F.max(F.when((F.col("job") == j) & ((F.col("file") == "cgroup.controllers") if j == "cgroup" else F.lit(True)), True)).alias(f"s_{j}") for j in jobs]
+    bad = [F.max(F.when(F.col("job") == j, F.col("bad"))).alias(f"b_{j}") for j in jobs]
+    grid = read.unionByName(every).groupBy("host", "captured_at_unix_nano").agg(*seen, *bad)
+    status = lambda j: F.when(F.col(f"s_{j}").isNull(), "unsupported").when(F.col(f"b_{j}"), "error").otherwise("ok")
+    rows = grid.select("host", F.col("captured_at_unix_nano").alias("at"), F.explode(F.array(*[F.struct(F.lit(j).alias("collector"), status(j).alias("status")) for j in jobs])).alias("x"))
+    return rows.select("host", "x.collector", "at", "x.status")

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import labels as L
 from siftline.functions import patterns as P
+from siftline.functions.scans import HOT_ROWS, slotted
 
 MAX_LINE, MAX_BATCH = 256 << 10, 512 << 10
 #: most bytes of a container line before its content: time, stream, tag and three spaces
@@ -21,8 +21,22 @@ CRI_HEAD = 128
 RFC3339 = r"\A(\d{4}-\d{2}-\d{2})[Tt](\d{2}:\d{2}:\d{2})(?:\.(\d{1,9}))?\d*([Zz]|[+-]\d{2}:\d{2})\z"
 #: fixed values: severity number and text of syslog priorities 0 to 7
 SEVERITIES = ((24, "EMERG"), (23, "ALERT"), (22, "CRIT"), (17, "ERR"), (13, "WARNING"), (10, "NOTICE"), (9, "INFO"), (5, "DEBUG"))
-#: fixed values: journal fields that become attributes
-JOURNAL_FIELDS = ("_SYSTEMD_UNIT", "SYSLOG_IDENTIFIER", "_PID", "_UID", "_GID", "_COMM", "_EXE", "_CMDLINE", "_HOSTNAME", "_BOOT_ID", "_MACHINE_ID", "_TRANSPORT", "PRIORITY")
+#: fixed values: journal fields, and the attributes that they become
+JOURNAL_ATTRIBUTES = {
+    "SYSLOG_FACILITY": "syslog.facility",
+    "SYSLOG_IDENTIFIER": "syslog.identifier",
+    "SYSLOG_PID": "syslog.pid",
+    "_BOOT_ID": "systemd.boot_id",
+    "_COMM": "process.executable.name",
+    "_EXE": "process.executable.path",
+    "_GID": "group.id",
+    "_HOSTNAME": "host.name",
+    "_PID": "process.pid",
+    "_SYSTEMD_UNIT": "systemd.unit",
+    "_SYSTEMD_USER_UNIT": "systemd.user_unit",
+    "_TRANSPORT": "systemd.transport",
+    "_UID": "user.id",
+}
 
 
 def text_records(lines: DataFrame) -> DataFrame:
@@ -67,20 +81,20 @@ def extract_timestamp(records: DataFrame, pattern: str, fmt: str, column: str =
         raise ValueError(f"unknown timestamp format {fmt!r}")
     text = F.regexp_extract(column, P.java_pattern(pattern), 1)
     if fmt in _EPOCH:
-        number = F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("decimal(38,0)"))
+        number = F.when(text.rlike(r"\A[0-9]+\z"), text.try_cast("decimal(38,0)"))
         nanos = F.when(F.abs(number) < F.lit(1e19), (number * _EPOCH[fmt]).try_cast("bigint"))
     else:
         nanos = rfc3339_nanos(text)
-    return records.withColumn("time_unix_nano", F.when(F.octet_length(text).between(1, 128), F.coalesce(nanos, F.lit(0))).otherwise(0).cast("bigint"))
+    return records.withColumn("time_unix_nano", F.when(F.octet_length(text).between(1, 128), F.greatest(F.coalesce(nanos, F.lit(0)), F.lit(0))).otherwise(0).cast("bigint"))
 
 
-def assemble_multiline(lines: DataFrame, start_pattern: str, max_lines: int = 256, max_bytes: int = MAX_LINE, at_end: str = "hold", keys: tuple[str, ...] = ("path",)) -> DataFrame:
+def assemble_multiline(lines: DataFrame, start_pattern: str, max_lines: int = 256, max_bytes: int = MAX_LINE, at_end: str = "hold", keys: tuple[str, ...] = ("path",), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Records of lines: keys, line_no and offset of the first line, body, lines, flush_reason.
 
     A line that matches begins a record; so does any line with nothing pending. A record with more than
     max_lines lines or max_bytes bytes is dropped with all lines to the next start, and so is one that holds a
     line over max_bytes, which is never a start. The last record of a file is held back (at_end `hold`) or given with
-    flush_reason `timeout` or `rotation`. Null lines are ignored.
+    flush_reason `timeout` or `rotation`. Null lines are ignored. A file with more than hot_rows lines goes by slots of them.
     """
     if not 1 <= max_lines <= 4096 or P.matches_empty(start_pattern):
         raise ValueError("max_lines is 1 to 4096, and the pattern never matches an empty text")
@@ -89,18 +103,23 @@ def assemble_multiline(lines: DataFrame, start_pattern: str, max_lines: int = 25
     regex = P.java_pattern(start_pattern, 1024)
     size = F.octet_length("line")
     rows = lines.where("line IS NOT NULL").withColumn("_start", (size <= max_bytes) & F.col("line").rlike(regex))
-    file = Window.partitionBy(*keys).orderBy("line_no")
-    rows = rows.withColumn("_group", F.sum(F.col("_start").cast("int")).over(file))
-    # a record's size is known before its lines are collected: those that are too large never stand in one row
-    record = Window.partitionBy(*keys, "_group")
-    rows = rows.withColumns({"_n": F.count("*").over(record), "_bytes": F.sum(size).over(record), "_longest": F.max(size).over(record), "_last": F.col("_group") == F.max("_group").over(Window.partitionBy(*keys))})
-    rows = rows.where((F.col("_n") <= max_lines) & (F.col("_bytes") + F.col("_n") - 1 <= max_bytes) & (F.col("_longest") <= max_bytes))
-    out = rows.groupBy(*keys, "_group").agg(F.count("*").alias("lines"), F.any_value("_last").alias("_last"), F.min(F.struct("line_no", "offset")).alias("_first"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_all"))
+    rows = slotted(rows, list(keys), "line_no", hot_rows=hot_rows).running(["line_no"], sums={"_group": F.col("_start").cast("bigint"), "_lines": F.lit(1).cast("bigint"), "_bytes": size.cast("bigint") + 1})
+    # a record's lines and bytes up to each line: what has run up since its start
+    start = F.when(F.col("_start"), F.struct((F.col("_lines") - 1).alias("lines"), (F.col("_bytes") - size - 1).alias("bytes")))
+    rows = rows.running(["line_no"], lasts={"_from": start}).rows
+    n, n_bytes = F.col("_lines") - F.coalesce("_from.lines", F.lit(0)), F.col("_bytes") - F.coalesce("_from.bytes", F.lit(0)) - 1
+    over = (n > max_lines) | (n_bytes > max_bytes)
+    # lines beyond a limit are counted but not collected, so no record outgrows its limits
+    out = rows.withColumns({"_over": over, "_n": n}).groupBy("_key", "_group").agg(
+        F.max("_over").alias("_over"), F.max("_n").alias("lines"), F.min(F.struct("line_no", "offset")).alias("_first"), F.sort_array(F.collect_list(F.when(~F.col("_over"), F.struct("line_no", "line")))).alias("_all"),
+    )
+    last = out.groupBy("_key").agg(F.max("_group").alias("_end"))
+    out = out.where("NOT _over").join(last, "_key").withColumn("_last", F.col("_group") == F.col("_end"))
     if at_end == "hold":
         out = out.where("NOT _last")
     body = F.array_join(F.transform("_all", lambda x: x["line"]), "\n")
     reason = F.when(F.col("_last"), at_end)
-    return out.select(*keys, F.col("_first.line_no").alias("line_no"), F.col("_first.offset").alias("offset"), body.alias("body"), "lines", reason.alias("flush_reason"))
+    return out.select(*[F.col("_key")[k].alias(k) for k in keys], F.col("_first.line_no").alias("line_no"), F.col("_first.offset").alias("offset"), body.alias("body"), "lines", reason.alias("flush_reason"))
 
 
 CRI = r"(?s)\A([^ ]+) (stdout|stderr) (P|F) (.*)\z"
@@ -159,53 +178,52 @@ def cri_fold(rows: Iterator[tuple], max_bytes: int, pending: dict | None = None,
 _RECORD = "line_no long, offset long, time_unix_nano long, stream string, body string, parse_error boolean, partial boolean, sequence_error boolean"
 
 
-def assemble_cri(fragments: DataFrame, max_bytes: int = MAX_LINE, at_end: str = "hold") -> DataFrame:
+def assemble_cri(fragments: DataFrame, max_bytes: int = MAX_LINE, at_end: str = "hold", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fragments of parse_cri (with path, line_no, offset, line) -> path and records.
 
     P begins or continues a record and F ends it; time, stream and offset are the first fragment's. A change of
     stream and a line that cannot be read end the pending record, marked partial and sequence_error. A record over
-    max_bytes is dropped up to the next F. At the end of a file the pending record is held, or given as partial
-    with at_end `rotation`. Only files that hold something over max_bytes run the exact rule of what is dropped row by row.
+    max_bytes is dropped up to the next F or unreadable line. A line over max_bytes + CRI_HEAD is lost with the record that it would
+    continue. At the end of a file the pending record is held, or given as partial with at_end `rotation`.
+
+    After an F and after a line that cannot be read the state is the same whatever came before: nothing pending, nothing
+    dropped. These lines cut a file into stretches; what a stretch drops begins at its first record over max_bytes. So records are numbered
+    by running sums, also over slots of a file with more than hot_rows lines, and no file is any single task's.
     """
-    file = Window.partitionBy("path").orderBy("line_no")
-    rows = fragments.withColumn("_size", F.octet_length("line"))
-    ended = F.lag(F.when(F.col("parse_error") | (F.col("tag") == "F"), 1).otherwise(0), 1, 1).over(file) == 1
-    changed = ~F.col("stream").eqNullSafe(F.lag("stream").over(file))
-    rows = rows.withColumn("_new", (ended | changed | F.col("parse_error")).cast("int")).withColumn("_group", F.sum("_new").over(file))
-    grouped = Window.partitionBy("path", "_group")
-    rows = rows.withColumn("_bytes", F.sum(F.octet_length("content")).over(grouped))
-    rows = rows.withColumn("_large", F.max((F.col("_bytes") > max_bytes) | (F.col("_size") > max_bytes + CRI_HEAD)).over(Window.partitionBy("path")))
-
-    out = rows.where("NOT _large").groupBy("path", "_group").agg(
-        F.min(F.struct("line_no", "offset", "time_unix_nano", "stream", "parse_error")).alias("_first"), F.max(F.struct("line_no", "tag")).alias("_end"), F.sort_array(F.collect_list(F.struct("line_no", "content"))).alias("_all"),
+    lost = F.octet_length("line") > max_bytes + CRI_HEAD
+    rows = fragments.withColumns({"_lost": F.coalesce(lost, F.lit(False)), "_n": F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint")})
+    rows = rows.withColumn("_sync", ~F.col("_lost") & (F.col("parse_error") | F.coalesce(F.col("tag") == "F", F.lit(False)))).withColumn("_n", F.when(F.col("_lost"), 0).otherwise(F.col("_n")))
+    order = ["line_no"]
+    cut = slotted(rows, ["path"], "line_no", hot_rows=hot_rows).running(order, before={"_before": F.struct("_sync", "_lost", "stream")})
+    stretch = F.col("_before").isNull() | F.col("_before._sync")
+    fresh = stretch | F.col("_before._lost") | (~F.col("_lost") & (F.col("parse_error") | ~F.col("stream").eqNullSafe(F.col("_before.stream"))))
+    cut = cut.of(lambda rows: rows.withColumns({"_stretch": stretch, "_fresh": fresh})).running(order, sums={"_group": F.col("_fresh").cast("bigint"), "_bytes": F.col("_n")})
+    cut = cut.running(order, lasts={"_from": F.when(F.col("_fresh"), F.col("_bytes") - F.col("_n"))})
+    over = ~F.col("_lost") & ~F.col("parse_error") & (F.col("_bytes") - F.col("_from") > max_bytes)
+    cut = cut.of(lambda rows: rows.withColumn("_over", over.cast("bigint"))).running(order, sums={"_overs": F.col("_over")})
+    cut = cut.running(order, lasts={"_overs0": F.when(F.col("_stretch"), F.col("_overs") - F.col("_over"))})
+    # from the first record of a stretch that is too large on, only a line that cannot be read is left
+    gone = F.when(F.col("parse_error") & ~F.col("_lost"), F.col("_n") > max_bytes).otherwise(F.col("_lost") | (F.col("_overs") > F.col("_overs0")))
+    rows = cut.rows.withColumn("_gone", gone)
+    out = rows.groupBy("path", "_group").agg(
+        F.max("_gone").alias("_gone"), F.min(F.struct("line_no", "offset", "time_unix_nano", "stream", "parse_error")).alias("_first"), F.max(F.struct("line_no", "tag")).alias("_end"),
+        F.sort_array(F.collect_list(F.when(~F.col("_gone") & (F.col("_n") > 0), F.struct("line_no", "content")))).alias("_all"),
     )
-    last = F.col("_group") == F.max("_group").over(Window.partitionBy("path"))
-    partial = F.coalesce(F.col("_end.tag") == "P", F.lit(False))
-    out = out.withColumns({"_last": last, "_partial": partial})
+    ends = out.groupBy("path").agg(F.max("_group").alias("_last")).withColumnRenamed("path", "_path")
+    out = out.where("NOT _gone").join(ends, F.col("path").eqNullSafe(F.col("_path")))
+    partial, last = F.coalesce(F.col("_end.tag") == "P", F.lit(False)), F.col("_group") == F.col("_last")
     if at_end == "hold":
-        out = out.where("NOT (_last AND _partial)")
-    small = out.select("path", "_first.line_no", "_first.offset", "_first.time_unix_nano", "_first.stream", F.array_join(F.transform("_all", lambda x: x["content"]), "").alias("body"), "_first.parse_error", F.col("_partial").alias("partial"), (F.col("_partial") & ~F.col("_last")).alias("sequence_error"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        rows = pdf[["line_no", "offset", "_size", "time_unix_nano", "stream", "tag", "content", "parse_error"]].astype(object).where(lambda x: x.notna(), None)
-        records, pending, _ = cri_fold(rows.itertuples(index=False), max_bytes)
-        if pending and at_end == "rotation":
-            records.append(pending | {"partial": True, "sequence_error": False})
-        found = pd.DataFrame(records, columns=["line_no", "offset", "time_unix_nano", "stream", "body", "parse_error", "partial", "sequence_error"])
-        found.insert(0, "path", pdf["path"].iloc[0] if len(pdf) else None)
-        return found.astype({"time_unix_nano": "Int64"})
+        out = out.where(~(last & partial))
+    return out.select("path", "_first.line_no", "_first.offset", "_first.time_unix_nano", "_first.stream", F.array_join(F.transform("_all", lambda x: x["content"]), "").alias("body"), "_first.parse_error", partial.alias("partial"), (partial & ~last).alias("sequence_error"))
 
-    large = rows.where("_large").select("path", "line_no", "offset", "_size", "time_unix_nano", "stream", "tag", "content", "parse_error")
-    return small.unionByName(large.groupBy("path").applyInPandas(fold, f"path string, {_RECORD}"))
 
-
-def redact(records: DataFrame, patterns: list[str], replacement: str = "[REDACTED]", limit: int = MAX_LINE, column: str = "body") -> DataFrame:
+def redact(records: DataFrame, patterns: list[str], replacement: str = "[REDACTED]", limit: int | None = MAX_LINE, column: str = "body", restart: bool = False) -> DataFrame:
     """Replace all matches of the patterns, in order; redactions counts them. Records that grow over limit bytes are dropped.
 
     The size is tested at every match from left to right, so a text that later matches would shrink
     again is dropped too. 1 to 16 patterns of 1 to 1024 bytes that never match an empty text; the replacement is
-    literal, printable and 256 bytes at most. Null texts stay.
+    literal, printable and 256 bytes at most. Null texts stay. Without limit nothing is dropped. restart: after a match
+    the search begins anew in the rest of the text, where `^` holds again.
     """
     if not 1 <= len(patterns) <= 16 or any(not p or P.matches_empty(p) for p in patterns):
         raise ValueError("1 to 16 patterns that never match an empty text")
@@ -216,21 +234,25 @@ def redact(records: DataFrame, patterns: list[str], replacement: str = "[REDACTE
     rows = records.withColumns({"_text": F.col(column), "_hits": F.lit(0), "_over": F.lit(False)})
     for p in patterns:
         regex = P.java_pattern(p, 1024)
+        regex = P.restarting(regex) if restart else regex
         rows = rows.withColumn("_found", F.regexp_extract_all("_text", F.lit(f"({regex})"), F.lit(1)))
-        grown = F.aggregate("_found", F.struct(F.octet_length("_text").alias("now"), F.octet_length("_text").alias("most")), lambda a, x: F.struct((a["now"] + n_bytes - F.octet_length(x)).alias("now"), F.greatest(a["most"], a["now"] + n_bytes - F.octet_length(x)).alias("most")))
-        over = F.coalesce((F.size("_found") > 0) & (grown["most"] > limit), F.lit(False))
+        over = F.lit(False)
+        if limit is not None:
+            size = F.octet_length("_text")
+            step = lambda a, x: F.struct((a["now"] + n_bytes - F.octet_length(x)).alias("now"), F.greatest(a["most"], a["now"] + n_bytes - F.octet_length(x)).alias("most"))
+            grown = F.aggregate("_found", F.struct(size.alias("now"), size.alias("most")), step)
+            # matches are gone through one by one only where all of them together could pass the limit
+            over = F.coalesce((F.size("_found") > 0) & (size + F.size("_found") * n_bytes > limit) & (grown["most"] > limit), F.lit(False))
         rows = rows.withColumns({"_over": F.col("_over") | over, "_hits": F.col("_hits") + F.greatest(F.size("_found"), F.lit(0)), "_text": F.regexp_replace("_text", regex, P.quoted_replacement(replacement))})
     return rows.where("NOT _over").select(*[F.col("_text").alias(c) if c == column else F.col(c) for c in names if c != "redactions"], F.col("_hits").alias("redactions"))
 
 
 def redact_journal(records: DataFrame, patterns: list[str], replacement: str = "[REDACTED]", limit: int = MAX_LINE) -> DataFrame:
-    """redact for a journal's MESSAGE, whose search begins anew after each match: patterns with `^` or `\\b` are refused.
+    """redact for a journal's MESSAGE, whose search begins anew after each match, so `^` may hold again there.
 
     Only the final size is tested.
     """
-    if any("^" in p.replace("[^", "") or "\\b" in p or "\\A" in p for p in patterns):
-        raise ValueError("patterns that look at what stands before a match are refused")
-    return redact(records, patterns, replacement, 1 << 40).where((F.octet_length("body") <= limit) | F.col("body").isNull())
+    return redact(records, patterns, replacement, None, restart=True).where((F.octet_length("body") <= limit) | F.col("body").isNull())
 
 
 def pod_identity(records: DataFrame, root: str) -> DataFrame:
@@ -310,23 +332,30 @@ def severity(priority: Column) -> tuple[Column, Column]:
 def journal_to_records(entries: DataFrame, units: list[str] | None = None, identifiers: list[str] | None = None) -> DataFrame:
     """(cursor, realtime_usec, fields, message_oversized) -> log records.
 
-    Optional filters by unit and identifier; attributes are the exported fields that are not empty. A missing MESSAGE gives an
-    empty body with message_missing, unless it was oversized.
+    Optional filters by unit and identifier; attributes are those of JOURNAL_ATTRIBUTES that are not empty. A missing MESSAGE gives an
+    empty body with message_missing, unless it was oversized. A time beyond 2^63-1 nanoseconds is null.
     """
     if units:
         entries = entries.where(F.col("fields")["_SYSTEMD_UNIT"].isin(*units))
     if identifiers:
         entries = entries.where(F.col("fields")["SYSLOG_IDENTIFIER"].isin(*identifiers))
     number, text = severity(F.col("fields")["PRIORITY"])
+    name = F.create_map(*[F.lit(x) for kv in JOURNAL_ATTRIBUTES.items() for x in kv])
     body = F.col("fields")["MESSAGE"]
     return entries.select(
-        "cursor", (F.col("realtime_usec") * 1000).alias("time_unix_nano"), F.coalesce(F.when(~F.col("message_oversized"), body), F.lit("")).alias("body"), number.alias("severity_number"), text.alias("severity_text"),
-        F.map_filter("fields", lambda k, v: k.isin(*JOURNAL_FIELDS) & F.coalesce(v != "", F.lit(False))).alias("attributes"), "message_oversized", (body.isNull() & ~F.col("message_oversized")).alias("message_missing"),
+        "cursor", F.try_multiply("realtime_usec", F.lit(1000)).cast("bigint").alias("time_unix_nano"), F.coalesce(F.when(~F.col("message_oversized"), body), F.lit("")).alias("body"), number.alias("severity_number"), text.alias("severity_text"),
+        F.transform_keys(F.map_filter("fields", lambda k, v: k.isin(*JOURNAL_ATTRIBUTES) & F.coalesce(v != "", F.lit(False))), lambda k, v: name[k]).alias("attributes"), "message_oversized", (body.isNull() & ~F.col("message_oversized")).alias("message_missing"),
     )
 
 
 def mark_oversized_record(records: DataFrame, size: str, max_batch_bytes: int = MAX_BATCH) -> DataFrame:
-    """Records larger than the bound keep time, severity and cursor, with an empty body, no attributes and record_oversized."""
+    """Records larger than the bound keep time, severity and cursor, with an empty body, no attributes and record_oversized.
+
+    marker_error says that even the marker (its JSON) is over the bound, as it may be for a very long cursor.
+    """
     over = F.coalesce(F.col(size) > max_batch_bytes, F.lit(False))
     out = records.withColumns({"record_oversized": over, "body": F.when(over, "").otherwise(F.col("body"))})
-    return out.withColumn("attributes", F.when(over, F.expr("cast(map() AS map<string,string>)")).otherwise(F.col("attributes"))) if "attributes" in records.columns else out
+    if "attributes" in records.columns:
+        out = out.withColumn("attributes", F.when(over, F.expr("cast(map() AS map<string,string>)")).otherwise(F.col("attributes")))
+    kept = [c for c in ("cursor", "time_unix_nano", "severity_number", "severity_text", "body", "attributes", "record_oversized") if c in out.columns]
+    return out.withColumn("marker_error", over & (F.octet_length(F.to_json(F.struct(*kept))) > max_batch_bytes))

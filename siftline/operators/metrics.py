@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import labels as L
 from siftline.functions import patterns as P
+from siftline.functions.scans import HOT_ROWS, slotted
 
 ACTIONS = ("replace", "keep", "drop", "labeldrop", "labelkeep")
 
@@ -89,14 +90,16 @@ def strip_meta(points: DataFrame) -> DataFrame:
     return points.withColumns({c: F.map_filter(c, plain) for c in ("resource", "attrs")})
 
 
-def normalize_resets(points: DataFrame, keys: Sequence[str], value: str, time: str = "time_unix_nano", order: Sequence[str] | None = None, applies: Column | None = None, max_series: int | None = 1 << 20) -> DataFrame:
+def normalize_resets(points: DataFrame, keys: Sequence[str], value: str, time: str = "time_unix_nano", order: Sequence[str] | None = None, applies: Column | None = None, max_series: int | None = 1 << 20, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Make monotonic counters continue over resets: column value is replaced, late points are dropped.
 
     keys identify a series, order is the arrival order (time alone if None; unique within a series for a
     fixed result). A point earlier than the newest one of its series that arrived before is dropped; equal
     times stay. Where a value is below the one before it, the offset grows by the one before. applies
     selects the monotonic sums, all other rows pass unchanged. Series beyond the first max_series to
-    arrive pass unchanged too. Integers stay integers. Null times and values pass unchanged.
+    arrive pass unchanged too. Integers stay integers; one that would pass 2^63-1 is null. Null times and values pass unchanged.
+    A series with more than hot_rows points goes by slots of the first order column: the newest time, the last value and the
+    sum of falls of the slots before are carried into each.
     """
     order = list(order or [time])
     applies = F.lit(True) if applies is None else applies
@@ -104,14 +107,11 @@ def normalize_resets(points: DataFrame, keys: Sequence[str], value: str, time: s
     points = points.withColumn("_on", F.coalesce(applies & F.col(value).isNotNull() & F.col(time).isNotNull(), F.lit(False)))
     if max_series is not None:
         points = _tracked(points, keys, order, max_series)
-    series = Window.partitionBy(*keys, "_on").orderBy(*order)
-    before = series.rowsBetween(Window.unboundedPreceding, -1)
-    seen = points.withColumn("_late", F.col("_on") & F.coalesce(F.col(time) < F.max(time).over(before), F.lit(False)))
-    seen = seen.where(~F.col("_late"))
-    seen = seen.withColumn("_last", F.lag(value).over(series))
-    fall = F.when(F.col(value) < F.col("_last"), F.col("_last")).otherwise(F.col(value) - F.col(value))
-    healed = F.col(value) + F.sum(fall).over(series.rowsBetween(Window.unboundedPreceding, 0))
-    return seen.withColumn(value, F.when(F.col("_on"), healed).otherwise(F.col(value))).select(*names)
+    seen = slotted(points, [*keys, "_on"], order[0], hot_rows=hot_rows).running(order, maxima={"_newest": F.col(time)})
+    seen = seen.of(lambda rows: rows.where("NOT _on OR " + f"`{time}` >= _newest")).running(order, before={"_last": F.col(value)})
+    fall = F.when(F.col("_on") & (F.col(value) < F.col("_last")), F.col("_last")).otherwise(F.lit(0).cast(points.schema[value].dataType))
+    rows = seen.running(order, sums={"_falls": fall}).rows
+    return rows.withColumn(value, F.when(F.col("_on"), F.try_add(value, "_falls")).otherwise(F.col(value))).select(*names)
 
 
 def _tracked(points: DataFrame, keys: Sequence[str], order: Sequence[str], max_series: int) -> DataFrame:

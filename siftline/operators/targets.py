@@ -71,15 +71,32 @@ def attribute_to_target(points: DataFrame, targets: DataFrame, on: str = "target
     return points.drop("resource").join(targets.select(on, F.map_concat(base, extra).alias("resource")), on)
 
 
-#: fixed values: names of processor architectures
-ARCHITECTURES = {"x86_64": "amd64", "aarch64": "arm64", "armv7l": "arm32", "i386": "x86", "i686": "x86", "ppc64le": "ppc64", "s390x": "s390x"}
+#: fixed values: machine names, and the names of their architectures
+ARCHITECTURES = {
+    "x86_64": "amd64",
+    "amd64": "amd64",
+    "aarch64": "arm64",
+    "arm64": "arm64",
+    "armv6l": "arm32",
+    "armv7l": "arm32",
+    "i386": "x86",
+    "i486": "x86",
+    "i586": "x86",
+    "i686": "x86",
+    "ia64": "ia64",
+    "ppc": "ppc32",
+    "ppc64": "ppc64",
+    "ppc64le": "ppc64",
+    "s390x": "s390x",
+}
 
 
 def fill_missing_attributes(rows: DataFrame, inventory: DataFrame, with_machine_id: bool = False, on: str = "host") -> DataFrame:
-    """resource gets the detected attributes of its host that it lacks; host.id only where asked for. Hosts without inventory stay as they are."""
+    """resource gets the detected attributes of its host that it lacks; host.id only where asked for, host.arch only for a known machine. Hosts without inventory stay as they are."""
     detected = F.map_filter("detected", lambda k, v: v.isNotNull() & (v != "") & (F.lit(with_machine_id) | (k != "host.id")))
     arch = F.create_map(*[F.lit(x) for kv in ARCHITECTURES.items() for x in kv])
-    detected = F.transform_values(detected, lambda k, v: F.when(k == "host.arch", F.coalesce(arch[v], v)).otherwise(v))
+    detected = F.transform_values(detected, lambda k, v: F.when(k == "host.arch", arch[F.lower(v)]).otherwise(v))
+    detected = F.map_filter(detected, lambda k, v: v.isNotNull())
     found = rows.join(inventory.select(on, detected.alias("_detected")), on, "left")
     own = F.coalesce("resource", F.expr(_NO_LABELS))
     missing = F.map_filter(F.coalesce("_detected", F.expr(_NO_LABELS)), lambda k, v: ~F.array_contains(F.map_keys(own), k))

@@ -10,13 +10,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import labels as L
+from siftline.functions.scans import HOT_ROWS
+from siftline.operators import packing
+from siftline.operators.packing import REQUEST_BYTES
 
-REQUEST_BYTES = 3 << 20
 REASONS = ("bad_trace_id", "bad_span_id", "bad_parent_id", "empty_name", "bad_times", "bad_links", "bad_trace_state", "duplicate_span", "parent_cycle")
 
 
@@ -155,48 +156,48 @@ def sample_traces(spans: DataFrame, percentage: float, hash_seed: int = 0) -> Da
     return spans.where(~valid_id(F.col("trace_id"), 16) | kept)
 
 
-def next_fit(sizes: list[int], limit: int, header: int = 0) -> list[int]:
-    """Chunk numbers of units in order, -1 for a unit that fits no chunk."""
-    out, chunk, used = [], -1, limit + 1
-    for n in sizes:
-        if n + header > limit:
-            out.append(-1)
-            continue
-        if used + n > limit:
-            chunk, used = chunk + 1, header
-        used += n
-        out.append(chunk)
-    return out
-
-
-def pack_traces(spans: DataFrame, max_bytes: int = REQUEST_BYTES) -> DataFrame:
+def pack_traces(spans: DataFrame, max_bytes: int = REQUEST_BYTES, header: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add chunk: a request's traces go in first-seen order into chunks of max_bytes, none split; 0 means 3 MiB.
 
-    A trace larger than a chunk is rejected (chunk -1). Each span with an invalid trace id is a unit of its own. Only requests
-    over the limit are packed, from one row per trace; all others are chunk 0.
+    A trace larger than a chunk is rejected (chunk -1). Each span with an invalid trace id is a unit of its own. header names a column
+    with the bytes of a span's resource and scope: a trace takes those of each of its (resource_idx, scope_idx) once, in its own chunk
+    entry. Only requests over the limit are packed, from one row per trace; all others are chunk 0.
     """
     max_bytes = max_bytes or REQUEST_BYTES
-    unit = F.when(valid_id(F.col("trace_id"), 16), F.hex("trace_id")).otherwise(F.concat(F.lit("span "), F.col("span_idx").cast("string")))
-    rows = spans.withColumn("_unit", unit)
-    units = rows.groupBy("request_id", "_unit").agg(F.sum("size_bytes").alias("size"), F.min("span_idx").alias("first"))
+    rows = spans.withColumn("_unit", unit_of())
+    if header:
+        parts = rows.groupBy("request_id", "_unit", "resource_idx", "scope_idx").agg((F.sum("size_bytes") + F.max(F.coalesce(F.col(header), F.lit(0)))).alias("size_bytes"), F.min("span_idx").alias("span_idx"))
+    else:
+        parts = rows
+    units = parts.groupBy("request_id", "_unit").agg(F.sum("size_bytes").alias("size"), F.min("span_idx").alias("first"))
     total = units.groupBy("request_id").agg(F.sum("size").alias("total")).where(F.col("total") > max_bytes)
     large = units.join(total.select("request_id"), "request_id")
+    kept = packing.numbered(large.where(F.col("size") <= max_bytes), "request_id", "first", "size", "size", max_bytes, hot_rows)
+    packed = large.join(kept, ["request_id", "first"], "left").select("request_id", "_unit", F.coalesce("chunk", F.lit(-1)).alias("chunk"))
+    return rows.join(packed, ["request_id", "_unit"], "left").withColumn("chunk", F.coalesce("chunk", F.lit(0))).drop("_unit")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first")
-        return pdf[["request_id", "_unit"]].assign(chunk=next_fit(pdf["size"].tolist(), max_bytes))
 
-    packed = large.groupBy("request_id").applyInPandas(fold, f"request_id {spans.schema['request_id'].dataType.simpleString()}, _unit string, chunk int")
-    return rows.join(packed, ["request_id", "_unit"], "left").withColumn("chunk", F.coalesce("chunk", F.lit(0))).drop("_unit")
+def unit_of() -> Column:
+    """What is sampled and packed as one: the trace, or the span alone if its trace id is invalid."""
+    return F.when(valid_id(F.col("trace_id"), 16), F.hex("trace_id")).otherwise(F.concat(F.lit("span "), F.col("span_idx").cast("string")))
+
 
+def packing_summary(packed: DataFrame, sampled_from: DataFrame | None = None) -> DataFrame:
+    """Per request: chunks, selected and rejected traces and spans, and bypassed ones (kept by sampling for their invalid id).
 
-def packing_summary(packed: DataFrame) -> DataFrame:
-    """Per request: chunks, selected and rejected traces and spans."""
-    gone = F.col("chunk") < 0
-    return packed.groupBy("request_id").agg(
-        F.count_distinct(F.when(~gone, F.col("chunk"))).alias("chunks"), F.count_distinct(F.when(~gone, F.col("trace_id"))).alias("selected_traces"), F.count_distinct(F.when(gone, F.col("trace_id"))).alias("rejected_traces"),
-        F.sum((~gone).cast("bigint")).alias("selected_spans"), F.sum(gone.cast("bigint")).alias("rejected_spans"),
+    A span with an invalid trace id counts as a trace of its own. With sampled_from, the spans before sampling, also excluded traces and spans.
+    """
+    gone, odd = F.col("chunk") < 0, ~valid_id(F.col("trace_id"), 16)
+    out = packed.withColumn("_unit", unit_of()).groupBy("request_id").agg(
+        F.count_distinct(F.when(~gone, F.col("chunk"))).alias("chunks"), F.count_distinct(F.when(~gone, F.col("_unit"))).alias("selected_traces"), F.count_distinct(F.when(gone, F.col("_unit"))).alias("rejected_traces"),
+        F.sum((~gone).cast("bigint")).alias("selected_spans"), F.sum(gone.cast("bigint")).alias("rejected_spans"), F.sum(odd.cast("bigint")).alias("bypassed_spans"), F.count_distinct(F.when(odd, F.col("_unit"))).alias("bypassed_traces"),
     )
+    if sampled_from is None:
+        return out
+    before = sampled_from.withColumn("_unit", unit_of()).groupBy("request_id").agg(F.count_distinct("_unit").alias("_traces"), F.count("*").alias("_spans"))
+    counts = [c for c in out.columns if c != "request_id"]
+    out = before.join(out, "request_id", "left").na.fill(0, counts)
+    return out.select("request_id", *counts, (F.col("_traces") - F.col("selected_traces") - F.col("rejected_traces")).alias("excluded_traces"), (F.col("_spans") - F.col("selected_spans") - F.col("rejected_spans")).alias("excluded_spans"))
 
 
 def ingest_traces(spans: DataFrame, mode: str = "report", attributes: dict[str, str] | None = None, policy: str = "preserve", percentage: float = 100.0, hash_seed: int = 0, max_bytes: int = REQUEST_BYTES) -> DataFrame:

@@ -99,6 +99,17 @@ def journal_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.redact_journal(rows, ["[aeiou]n[a-z]"], "<cut>", limit=200).select("conv_id", "turn", "role", F.md5("body").alias("body"), "redactions")
 
 
+@query("""
+WITH r AS (SELECT conv_id, turn, role, text, length(regexp_extract(text, '^[A-Za-z]*')) AS n FROM conversations),
+b AS (SELECT *, repeat('#', n) || substr(text, n + 1) AS body FROM r)
+SELECT conv_id, turn, role, md5(body) AS body, CAST(coalesce(n, 0) AS INTEGER) AS redactions FROM b
+""")
+def journal_redaction_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern that begins with `^` holds again after each match: all letters at a text's head go one by one."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("body"))
+    return logs.redact_journal(rows, ["^[A-Za-z]"], "#").select("conv_id", "turn", "role", F.md5("body").alias("body"), "redactions")
+
+
 @query("SELECT doc_id, strlen(text) > 2000 AS record_oversized, CASE WHEN strlen(text) > 2000 THEN md5('') ELSE md5(text) END AS body, CASE WHEN strlen(text) > 2000 THEN 0 ELSE 1 END AS n_attributes FROM documents")
 def oversized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), F.octet_length("text").alias("size"), _map("lang", F.col("lang")).alias("attributes"))
@@ -212,13 +223,13 @@ def own_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # host files ------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS host, name, CAST(v AS BIGINT) AS int_value FROM part, LATERAL (VALUES ('node_sockstat_TCP_inuse', p_size), ('node_sockstat_TCP_mem', p_partkey), ('node_sockstat_TCP_mem_bytes', p_partkey * 4096), ('node_sockstat_UDP6_inuse', 4)) AS m(name, v)")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS host, name, CAST(v AS BIGINT) AS int_value FROM part, LATERAL (VALUES ('node_socket_inuse', p_size), ('node_socket_memory_pages', p_partkey), ('node_socket_memory_bytes', p_partkey * 4096), ('node_socket_inuse', 4)) AS m(name, v)")
 def proc_socket(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("TCP: inuse "), _s("p_size"), F.lit(" mem "), _s("p_partkey"), F.lit("\nUDP6: inuse 4\nOther: inuse 9\nRAW: inuse"))
     return hosts.socket(_snapshots(spark, sf_dir, "net/sockstat", text)).select("host", "name", "int_value")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS host, name, t AS metric_type, CAST(v AS BIGINT) AS int_value FROM part, LATERAL (VALUES ('node_netstat_Tcp_CurrEstab', 'gauge', p_size), ('node_netstat_Tcp_InSegs', 'sum', p_partkey + 9007199254740993), ('node_netstat_Udp_NoPorts', 'sum', 5)) AS m(name, t, v)")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS host, name, t AS metric_type, CAST(v AS BIGINT) AS int_value FROM part, LATERAL (VALUES ('node_netstat_tcp_current_established', 'gauge', p_size), ('node_netstat_tcp_segments_received_total', 'sum', p_partkey + 9007199254740993), ('node_netstat_udp_no_port_errors_total', 'sum', 5)) AS m(name, t, v)")
 def proc_netstat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counter above 2^53 keeps all its digits."""
     text = F.concat(F.lit("Tcp: CurrEstab InSegs Unknown\nTcp: "), _s("p_size"), F.lit(" "), (F.col("p_partkey") + 9007199254740993).cast("string"), F.lit(" 1\nUdp: NoPorts\nUdp: 5\nIp: A\nIp: 1"))
@@ -252,6 +263,81 @@ def host_os_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.os_release(_snapshots(spark, sf_dir, "os-release", text)).select("host", "os_name", "os_version", "os_description")
 
 
+def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each part's host, some of their lines bad for every third, fourth and fifth one; the last job has files of every second."""
+    p, k = lambda file, text: _snapshots(spark, sf_dir, file, text), F.col("p_partkey")
+    files = p("stat", F.concat(F.lit("cpu 1 1\ncpu0 "), F.when(k % 3 == 0, "x").otherwise(_s("p_size")), F.lit(" 2\ncpu1 7 -8\n")))
+    files = files.union(p("diskstats", F.concat(F.lit("8 0 sda 1 2 3 4 5 6 7 8 9 10 11\n"), F.expr("repeat('8 1 sdb 1 2\n', cast(p_partkey % 40 AS int))"))))
+    files = files.union(p("cpu.stat", F.concat(F.lit("usage_usec "), _s("p_size"), F.lit("\nuser_usec 3\nodd 1\n"), F.when(k % 4 == 0, "usage_usec 5\n").otherwise(""))))
+    files = files.union(p("pressure/cpu", F.concat(F.lit("some avg10=1.50 avg60=0.10 avg300=0.05 total="), F.when(k % 5 == 0, "-1").otherwise(_s("p_partkey")))))
+    return files.union(p("meminfo", F.concat(F.lit("MemTotal: "), _s("p_partkey"), F.lit(" kB"))).where(F.col("host").cast("bigint") % 2 == 0))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS host, job, n_errors, n_details FROM (
+  SELECT p_partkey, 'cpu' AS job, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS n_errors, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS n_details FROM part
+  UNION ALL SELECT p_partkey, 'disk', CAST(p_partkey % 40 AS INTEGER), CAST(least(p_partkey % 40, 16) AS INTEGER) FROM part WHERE p_partkey % 40 > 0
+  UNION ALL SELECT p_partkey, 'cgroup', 1, 1 FROM part WHERE p_partkey % 4 = 0
+  UNION ALL SELECT p_partkey, 'pressure', 1, 1 FROM part WHERE p_partkey % 5 = 0)
+""")
+def proc_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What could not be read: all of it is counted, 16 texts at most are kept."""
+    parsed = hosts.parse(_mixed_files(spark, sf_dir), "cpu", "disk", "cgroup", "pressure", "memory")
+    return hosts.errors(parsed).select("host", "job", "n_errors", F.size("details").alias("n_details"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS host, tag, name, CAST(v AS BIGINT) AS int_value FROM part, LATERAL (VALUES
+  ('point', 'node_cpu_milliseconds_total', CASE WHEN p_partkey % 3 <> 0 THEN p_size * 10 END), ('point', 'node_cpu_milliseconds_total', 20), ('point', 'node_cpu_milliseconds_total', 70),
+  ('point', 'node_cgroup_cpu_usage_microseconds_total', p_size), ('point', 'node_cgroup_cpu_user_microseconds_total', 3)) AS m(tag, name, v) WHERE v IS NOT NULL
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'error', NULL, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'error', NULL, 1 FROM part WHERE p_partkey % 4 = 0
+""")
+def proc_points_and_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both outputs of one pass: bad lines don't stop the others of their file."""
+    out = hosts.tagged(hosts.parse(_mixed_files(spark, sf_dir), "cpu", "cgroup"))
+    return out.select("host", "tag", "name", F.coalesce("int_value", F.col("n_errors").cast("bigint")).alias("int_value"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS host, m.collector, m.status FROM part, LATERAL (VALUES ('cpu', 'error'), ('disk', CASE WHEN p_partkey % 40 > 0 THEN 'error' ELSE 'ok' END),
+  ('cgroup', 'unsupported'), ('pressure', CASE WHEN p_partkey % 5 = 0 THEN 'error' ELSE 'ok' END), ('memory', CASE WHEN p_partkey % 2 = 0 THEN 'ok' ELSE 'unsupported' END), ('network', 'unsupported')) AS m(collector, status)
+""")
+def collector_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every host and job: unsupported without a file, error with bad lines."""
+    return hosts.collector_status(_mixed_files(spark, sf_dir), "cpu", "disk", "cgroup", "pressure", "memory", "network").select("host", "collector", "status")
+
+
+@query("""
+WITH c AS (SELECT p_partkey % 50 AS host, p_partkey AS "at", CASE WHEN p_size % 3 = 0 THEN 'unsupported' WHEN p_size % 3 = 1 THEN 'error' ELSE 'ok' END AS status FROM part),
+b AS (SELECT *, lag(status) OVER (PARTITION BY host ORDER BY "at") AS before FROM c)
+SELECT CAST(host AS VARCHAR) AS host, "at" AS captured_at, status, before FROM b WHERE status IS DISTINCT FROM before
+""")
+def collector_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of a host, in which loadavg is absent, bad or right, and what changed from one to the next."""
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).cast("string").alias("host"), F.when(F.col("p_size") % 3 == 0, "uptime").otherwise("loadavg").alias("file"), F.col("p_partkey").alias("captured_at_unix_nano"), F.when(F.col("p_size") % 3 == 1, "1 2").otherwise("1 2 3").alias("content"))
+    return hosts.transitions(hosts.collector_status(p, "load")).select("host", F.col("at").alias("captured_at"), "status", "before")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, s_suppkey % 4 AS k FROM supplier)
+SELECT CAST(s_suppkey AS VARCHAR) AS host, m.mountpoint, m.name, CAST(m.v AS BIGINT) AS int_value FROM s, LATERAL (VALUES
+  ('/', 'node_filesystem_size_bytes', s_suppkey * 4096), ('/', 'node_filesystem_free_bytes', 8192), ('/', 'node_filesystem_avail_bytes', 4096), ('/', 'node_filesystem_files', 9), ('/', 'node_filesystem_files_free', 8),
+  ('/', 'node_filesystem_readonly', 0), ('/', 'node_filesystem_device_error', 0), ('/tmp', 'node_filesystem_device_error', 1), ('/over', 'node_filesystem_device_error', 1)) AS m(mountpoint, name, v)
+WHERE k <> 0 OR m.mountpoint <> '/'
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), '/', 'node_filesystem_device_error', 1 FROM s WHERE k = 0
+""")
+def filesystem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tmpfs and overlay are local, ramfs, lustre and fuse.x are not; a block count that passes 2^63-1 bytes is an error, and so are no sizes."""
+    host, one = F.col("s_suppkey").cast("string").alias("host"), F.lit(1).cast("bigint").alias("captured_at_unix_nano")
+    text = "1 0 8:1 / / rw - ext4 /dev/a rw\n2 1 0:1 / /tmp rw - tmpfs t rw\n3 1 0:2 / /over ro - overlay o rw\n4 1 0:3 / /r rw - ramfs r rw\n5 1 0:4 / /l rw - lustre l rw\n6 1 0:5 / /f rw - fuse.x f rw"
+    s = table(spark, sf_dir, "supplier")
+    blocks = F.when(F.col("s_suppkey") % 4 == 0, F.lit(1 << 60)).otherwise(F.col("s_suppkey"))
+    sizes = s.select(host, one, F.lit("/").alias("mountpoint"), F.lit(4096).alias("block_size"), blocks.alias("blocks"), F.lit(2).alias("blocks_free"), F.lit(1).alias("blocks_available"), F.lit(9).cast("bigint").alias("files"), F.lit(8).cast("bigint").alias("files_free"), F.lit(False).alias("read_only"))
+    points, _ = hosts.filesystem(s.select(host, F.lit("mountinfo").alias("file"), one, F.lit(text).alias("content")), sizes)
+    return points.select("host", F.col("attrs")["mountpoint"].alias("mountpoint"), "name", "int_value")
+
+
 # functions -------------------------------------------------------------------------------------------------------
 
 

@@ -507,19 +507,20 @@ def payload_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.payload_digest(d).select("doc_id", "digest")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS service, CASE WHEN doc_id % 3 <> 0 THEN 1 END AS n FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS service, CASE WHEN doc_id % 3 <> 0 THEN 3 END AS n FROM documents")
 def resource_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    r = _map("service.name", F.when(F.col("doc_id") % 3 == 0, "a\tb").otherwise(F.col("source")), "other", "x")
+    r = _map("service.name", F.when(F.col("doc_id") % 3 == 0, "a\tb").otherwise(F.col("source")), "process.pid", "7", "process.runtime.name", "r", "cloud.region", "c", "host.arch", "a", "os.type", "o", "deployment.environment", "d", "container.image.name", "i", "other", "x")
     i = envelopes.resource_identity(r)
     return d.select("doc_id", i["service.name"].alias("service"), F.when(i.isNotNull(), F.cardinality(i)).alias("n"))
 
 
-@query("SELECT doc_id % 40 AS batch, CASE WHEN min(lang) = max(lang) THEN min(lang) END AS region FROM documents WHERE doc_id % 40 < 20 OR lang = 'en' GROUP BY batch")
+@query("SELECT doc_id % 40 AS batch, CASE WHEN doc_id % 40 < 20 THEN 'any' WHEN count(lang) = count(*) AND min(lang) = max(lang) THEN min(lang) END AS region FROM documents GROUP BY batch")
 def common_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where((F.col("doc_id") % 40 < 20) | (F.col("lang") == "en"))
-    rows = d.select((F.col("doc_id") % 40).alias("batch"), F.array(F.struct(F.lit("cloud.region").alias("key"), F.col("lang").alias("value"))).alias("resource_attrs"))
-    return envelopes.common_identity(rows, "batch").select("batch", F.col("identity")["cloud.region"].alias("region"))
+    """Half of the batches agree in what counts; what does not count differs in all of them."""
+    batch = F.col("doc_id") % 40
+    rows = table(spark, sf_dir, "documents").select(batch.alias("batch"), F.array(F.struct(F.lit("k8s.cluster.name").alias("key"), F.when(batch < 20, "any").otherwise(F.col("lang")).alias("value")), F.struct(F.lit("cloud.region").alias("key"), F.col("source").alias("value"))).alias("resource_attrs"))
+    return envelopes.common_identity(rows, "batch").select("batch", F.col("identity")["k8s.cluster.name"].alias("region"))
 
 
 @query("""
@@ -530,9 +531,9 @@ def common_identity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: for some sources a batch holds one language, for the others several."""
     d = table(spark, sf_dir, "documents")
     head = F.when(F.ascii(F.right("source", F.lit(1))) % 2 == 0, F.col("lang")).otherwise("any")
-    rows = d.select(F.concat_ws("-", head, F.expr("doc_id div 40").cast("string")).alias("batch"), F.array(F.struct(F.lit("cloud.region").alias("key"), F.col("lang").alias("value"))).alias("resource_attrs"))
+    rows = d.select(F.concat_ws("-", head, F.expr("doc_id div 40").cast("string")).alias("batch"), F.array(F.struct(F.lit("process.executable.name").alias("key"), F.col("lang").alias("value")), F.struct(F.lit("host.arch").alias("key"), F.col("source").alias("value"))).alias("resource_attrs"))
     sizes = rows.groupBy("batch").agg(F.count("*").alias("n"))
-    return envelopes.common_identity(rows, "batch").join(sizes, "batch").select("batch", "n", F.col("identity")["cloud.region"].alias("region"))
+    return envelopes.common_identity(rows, "batch").join(sizes, "batch").select("batch", "n", F.col("identity")["process.executable.name"].alias("region"))
 
 
 @query("""
@@ -675,7 +676,7 @@ def proc_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(p_partkey AS VARCHAR) AS host, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS current_limit, CASE WHEN p_partkey % 2 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS unlimited FROM part")
 def proc_cgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = hosts.cgroup(_snapshots(spark, sf_dir, "memory.max", F.concat(F.when(F.col("p_partkey") % 2 == 0, _s("p_size")).otherwise("max"), F.lit("\n"))))
-    return points.groupBy("host").agg(F.max(F.when(F.col("name") == "node_cgroup_memory_max", F.col("value"))).alias("current_limit"), F.max(F.when(F.col("name") == "node_cgroup_memory_max_unlimited", F.col("value"))).alias("unlimited"))
+    return points.groupBy("host").agg(F.max(F.when(F.col("name") == "node_cgroup_memory_limit_bytes", F.col("value"))).alias("current_limit"), F.max(F.when(F.col("name") == "node_cgroup_memory_limit_unlimited", F.col("value"))).alias("unlimited"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS host, '/data disk' AS mountpoint, CAST(p_partkey + 50 AS BIGINT) AS mount_id, true AS read_only FROM part")

@@ -136,7 +136,25 @@ def read_raw_lines(spark: SparkSession, paths: str | list[str], closed: bool = F
 
 
 #: fixed values: journal fields that are exported
-JOURNAL_EXPORT = ("MESSAGE", "PRIORITY", "SYSLOG_IDENTIFIER", "SYSLOG_FACILITY", "_SYSTEMD_UNIT", "_PID", "_UID", "_GID", "_COMM", "_EXE", "_CMDLINE", "_HOSTNAME", "_BOOT_ID", "_MACHINE_ID", "_TRANSPORT", "__CURSOR", "__REALTIME_TIMESTAMP")
+JOURNAL_EXPORT = (
+    "__CURSOR",
+    "__REALTIME_TIMESTAMP",
+    "MESSAGE",
+    "PRIORITY",
+    "SYSLOG_FACILITY",
+    "SYSLOG_IDENTIFIER",
+    "SYSLOG_PID",
+    "_SYSTEMD_UNIT",
+    "_SYSTEMD_USER_UNIT",
+    "_PID",
+    "_UID",
+    "_GID",
+    "_HOSTNAME",
+    "_COMM",
+    "_EXE",
+    "_TRANSPORT",
+    "_BOOT_ID",
+)
 
 
 def parse_journal(entries: DataFrame, max_message: int = 256 << 10, max_field: int = 4096) -> DataFrame:

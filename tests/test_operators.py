@@ -379,24 +379,24 @@ def values(df):
 
 def test_host_files(spark):
     assert values(hosts.load(snapshot(spark, "loadavg", "1.25 2.50 3.75 1/1 1\n")))[("node_load1",)] == 1.25
-    assert values(hosts.memory(snapshot(spark, "meminfo", "MemTotal:  1024 kB\nX: 1 kB")))[("node_memory_total_bytes",)] == 1048576
+    assert values(hosts.memory(snapshot(spark, "meminfo", "MemTotal:  1024 kB\nX: 1 kB")))[("node_memory_MemTotal_bytes",)] == 1048576
     assert values(hosts.cpu(snapshot(spark, "stat", "cpu 1 1\ncpu0 100 2 30 400 5 6 7 8")))[("node_cpu_milliseconds_total", "0", "user")] == 1000
     net = values(hosts.network(snapshot(spark, "net/dev", " eth0: 123 1 0 0 0 0 0 0 456 1 0")))
     assert (net[("node_network_receive_bytes_total", "eth0")], net[("node_network_transmit_bytes_total", "eth0")]) == (123, 456)
     disk = hosts.disk(snapshot(spark, "diskstats", "8 0 sda 10 2 3 4 20 5 6 7 1 8 9 30 4 5 6 40 7\n7 0 loop0 1 2 3 4 5 6 7 8 9 10 11"))
     got = values(disk)
-    assert got[("node_disk_read_bytes_total", "0", "8", "sda")] == 3 * 512 and got[("node_disk_discarded_bytes_total", "0", "8", "sda")] == 5 * 512 and got[("node_disk_flush_requests_total", "0", "8", "sda")] == 40
+    assert got[("node_disk_read_bytes_total", "0", "8", "sda")] == 3 * 512 and got[("node_disk_discarded_bytes_total", "0", "8", "sda")] == 5 * 512 and got[("node_disk_flush_requests_completed_total", "0", "8", "sda")] == 40
     assert sum("loop0" in k for k in got) == 11
     text = "36 35 98:0 / / rw - ext4 /dev/a rw\n50 35 98:0 / / rw - ext4 /dev/b rw\n51 35 98:0 / /data\\040disk ro - ext4 /dev/c rw\n52 1 0:4 / /proc rw - proc proc rw"
     mounts = {r["mountpoint"]: (r["device"], r["read_only"]) for r in hosts.mounts(snapshot(spark, "mountinfo", text)).collect()}
     assert mounts == {"/": ("/dev/b", False), "/data disk": ("/dev/c", True)}
     tcp = values(hosts.netstat(snapshot(spark, "net/snmp", "Tcp: ActiveOpens CurrEstab\nTcp: 7 5\nUdp: InDatagrams\nUdp: 9")))
-    assert tcp == {("node_netstat_Tcp_ActiveOpens",): 7, ("node_netstat_Tcp_CurrEstab",): 5, ("node_netstat_Udp_InDatagrams",): 9}
+    assert tcp == {("node_netstat_tcp_active_opens_total", "visible_namespace"): 7, ("node_netstat_tcp_current_established", "visible_namespace"): 5, ("node_netstat_udp_datagrams_received_total", "visible_namespace"): 9}
     group = values(hosts.cgroup(snapshot(spark, "cpu.max", "20000 100000\n").union(snapshot(spark, "memory.swap.max", "max\n")).union(snapshot(spark, "io.stat", "8:0 rbytes=1 wbytes=2")).union(snapshot(spark, "cpu.stat", "usage_usec 5\nuser_usec 3"))))
-    assert group[("node_cgroup_cpu_quota_usec",)] == 20000 and group[("node_cgroup_memory_swap_max_unlimited",)] == 1 and group[("node_cgroup_cpu_stat_usage_usec_total",)] == 5 and group[("node_cgroup_io_rbytes_total", "0", "8")] == 1
+    assert group[("node_cgroup_cpu_quota_microseconds", "configured_root")] == 20000 and group[("node_cgroup_memory_swap_limit_unlimited", "configured_root")] == 1 and group[("node_cgroup_cpu_usage_microseconds_total", "configured_root")] == 5 and group[("node_cgroup_io_read_bytes_total", "8:0", "configured_root")] == 1
     os = hosts.os_release(snapshot(spark, "os-release", 'NAME="A \\"B\\""\nVERSION_ID=12\nPRETTY_NAME=\'A 12\'')).collect()[0]
     assert (os["os_name"], os["os_version"], os["os_description"]) == ('A "B"', "12", "A 12")
-    assert values(hosts.socket(snapshot(spark, "net/sockstat", "sockets: used 5\nTCP: inuse 2 mem 3")))[("node_sockstat_TCP_mem_bytes",)] == 12288
+    assert values(hosts.socket(snapshot(spark, "net/sockstat", "sockets: used 5\nTCP: inuse 2 mem 3")))[("node_socket_memory_bytes", "ipv4", "tcp", "visible_namespace")] == 12288
 
 
 def test_journal(spark):
