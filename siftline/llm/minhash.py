@@ -59,18 +59,23 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: int, ring: np.ndarray) -> np.n
     return out
 
 
+def _names(h: np.ndarray, doc: np.ndarray, n: int) -> list[pa.Array]:
+    """The sets' own names: two sums of their mixed hashes, whatever the order."""
+    sums = [np.zeros(n, np.uint64) for _ in range(2)]
+    for k, s in enumerate(sums):
+        np.add.at(s, doc, bytetext.mix(h + np.uint64((1 + k) * 0x20761D6478BD642F)))
+    return [pa.array(s.view(np.int64)) for s in sums]
+
+
 def _sketch(size: int, percent: int):
     def run(batches):
         ring, picks = _tables()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, fetch, texts = (batch.column(k) for k in range(3))
             for low, high, h, doc in _shingles(texts, size):
                 n = high - low
                 counts = np.bincount(doc, minlength=n)
-                # the set's own name: two sums of its mixed hashes, whatever the order
-                sums = [np.zeros(n, np.uint64) for _ in range(2)]
-                for k, s in enumerate(sums):
-                    np.add.at(s, doc, bytetext.mix(h + np.uint64((1 + k) * 0x20761D6478BD642F)))
+                sums = _names(h, doc, n)
                 values = signatures(h, doc, n, ring)
                 keys = np.empty((n, BANDS), np.uint64)
                 for b, pick in enumerate(picks):
@@ -84,7 +89,7 @@ def _sketch(size: int, percent: int):
                 first = counts - overlap + np.minimum(8 + counts // 16, overlap)
                 place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
                 least = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(first))).astype(np.int32)), pa.array(h[place < first[doc]].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(low, n), pa.array(counts), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands, least], names=["doc_id", "n_shingles", "d1", "d2", "bands", "least"])
+                yield pa.RecordBatch.from_arrays([ids.slice(low, n), fetch.slice(low, n), pa.array(counts), *sums, bands, least], names=["doc_id", "fetch", "n_shingles", "d1", "d2", "bands", "least"])
 
     return run
 
@@ -92,9 +97,10 @@ def _sketch(size: int, percent: int):
 def _sets(size: int):
     def run(batches):
         for batch in batches:
-            for low, high, h, doc in _shingles(batch.column(1), size):
-                ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=high - low)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["node", "shingles"])
+            for low, high, h, doc in _shingles(batch.column(0), size):
+                counts = np.bincount(doc, minlength=high - low)
+                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(counts), *_names(h, doc, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["n_shingles", "d1", "d2", "shingles"])
 
     return run
 
@@ -136,28 +142,31 @@ def _across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row of docs.
+_NAME = ["n_shingles", "d1", "d2"]
 
-    Linked are rows with 100 * shared shingles >= percent * all shingles. component_id is the least
-    doc_id reachable, kept says doc_id = component_id. Rows without words link with nothing and are
-    kept. A null doc_id takes no part in linking: its component_id is null and it is kept. Rows that
-    repeat a doc_id share that node's component. Other columns are ignored. An empty table gives none.
+
+def _grouped(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) -> facts: doc_id, fetch and the name of the row's set; groups: the name of a set, its group.
+
+    A set goes by its own 128-bit name and size, and has a number of its own while links are looked for, so rows that
+    share a doc_id don't meet. fetch is a hash of doc_id and text, by which a set's text is found again.
     """
-    sketch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch(shingle_words, percent), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, least array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("fetch", F.xxhash64("doc_id", "text")).select("doc_id", "fetch", "text")
+    sketch = rows.mapInArrow(_sketch(shingle_words, percent), "doc_id long, fetch long, n_shingles long, d1 long, d2 long, bands array<long>, least array<long>")
     sketch = written(sketch, "minhash")
-    linked = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = ["n_shingles", "d1", "d2"]
-    nodes = written(linked.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "minhash-nodes")
+    linked = sketch.where("n_shingles > 0")
+    # numbers are written once
+    nodes = linked.groupBy(*_NAME).agg(F.min("fetch").alias("fetch"), F.any_value("bands").alias("bands"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
 
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    met = rows.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("met")).where("met > 1").select("key", "head")
+    bands = nodes.select("node", F.explode("bands").alias("key"))
+    met = bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("met")).where("met > 1").select("key", "head")
     # only bands that hold two nodes or more go on
-    rows = written(rows.join(written(met, "minhash-heads"), "key"), "minhash-rows")
+    bands = written(bands.join(written(met, "minhash-heads"), "key"), "minhash-bands")
 
     # shingles that are among the first of two sets or more, and the nodes that have enough of them: no others can link
     # a set goes by one 64-bit name here: should two sets share it, both stay candidates
-    name = F.xxhash64("d1", "d2", "n_shingles").alias("s")
+    name = F.xxhash64(*reversed(_NAME)).alias("s")
     firsts = linked.select(name, F.explode("least").alias("h"))
 
     def shared(rows: DataFrame) -> DataFrame:
@@ -166,32 +175,31 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     # counted twice, since most shingles stand in one row only: over all rows, then over those left with copies taken as one
     several = written(shared(firsts).distinct(), "minhash-several")
     meet = written(shared(several).join(nodes.select(name, "node", "n_shingles"), "s").select("h", "node", "n_shingles"), "minhash-meet")
-    facts, named = written(sketch.select("doc_id", *same), "minhash-facts"), written(nodes.select("node", *same), "minhash-names")
+    facts, named = written(sketch.select("doc_id", "fetch", *_NAME), "minhash-facts"), written(nodes.select("node", "fetch", *_NAME), "minhash-names")
     discard(several, sketch, nodes)
     # a partner has at least o shingles, the overlap needed, so both have at least so many among the first
     o = f"(({percent} * n_shingles + 99) div 100)"
     wanted = meet.groupBy("node", "n_shingles").agg(F.count("*").alias("c")).where(f"c >= least(8 + {o} div 16, ({percent} * {o} + 99) div 100)").select("node")
     wanted = written(wanted, "minhash-wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted, "node", "left_semi").select("node", "text")
-    sets = written(texts.mapInArrow(_sets(shingle_words), "node long, shingles array<long>"), "minhash-sets")
-    if not sets.groupBy("node").count().where("count > 1").isEmpty():
-        # rows repeat a doc_id
-        sets = written(sets.dropDuplicates(["node"]), "minhash-sets")
+    wanted = wanted.join(named, "node")
+    # rows of other texts can come along; they have other names
+    texts = rows.join(wanted.select("fetch"), "fetch", "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(shingle_words), "n_shingles long, d1 long, d2 long, shingles array<long>").join(wanted.drop("fetch"), _NAME)
+    sets = written(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "minhash-sets")
 
     # a shingle that no other node has is in no intersection: it bounds every likeness of its node
     alone = sets.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
     sizes = sets.select("node", F.size("shingles").cast("long").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
     sizes = written(sizes.where(f"100 * most >= {percent} * n"), "minhash-sizes")
-    rows = rows.drop("head").join(sizes, "node")
-    met = rows.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("met")).where("met > 1").select("key", "head")
-    rows = written(rows.join(written(met, "minhash-heads"), "key"), "minhash-rows")
+    bands = bands.drop("head").join(sizes, "node")
+    met = bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("met")).where("met > 1").select("key", "head")
+    bands = written(bands.join(written(met, "minhash-heads"), "key"), "minhash-bands")
 
     def may_link(n: str, most: str, m: str, most2: str) -> str:
         return f"100 * least({most}, {most2}) >= {percent} * ({n} + {m} - least({most}, {most2}))"
 
-    heads = rows.where("node <> head").groupBy("node", "head", "n", "most").agg(F.count("*").alias("bands"))
+    heads = bands.where("node <> head").groupBy("node", "head", "n", "most").agg(F.count("*").alias("bands"))
     heads = heads.join(sizes.select(F.col("node").alias("head"), F.col("n").alias("n2"), F.col("most").alias("most2")), "head")
     heads = written(heads.where(may_link("n", "most", "n2", "most2")).select("node", "head", "bands"), "minhash-pairs")
 
@@ -215,26 +223,51 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     roots = extended(roots, written(_confirmed(_across(apart_nodes, sets, percent), sets, percent), "minhash-links"))
 
     discard(sets, meet)
+    groups = named.join(roots, "node", "left").select(*_NAME, F.coalesce("root", "node").alias("group"))
+    return facts, written(groups, "minhash-groups")
 
-    named = named.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("component_id"))
-    out = facts.join(written(named, "minhash-named"), same, "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row of docs.
+
+    Linked are rows with 100 * shared shingles >= percent * all shingles. component_id is the least
+    doc_id reachable, kept says doc_id = component_id. Rows without words link with nothing and are
+    kept. A null doc_id takes no part in linking: its component_id is null and it is kept. Rows that
+    repeat a doc_id are rows of their own, each in the component of its text. Other columns are ignored. An empty table gives none.
+    """
+    facts, groups = _grouped(docs.where("doc_id IS NOT NULL"), shingle_words, percent)
+    named = facts.drop("fetch").join(groups, _NAME, "left")
+    least = written(named.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least")), "minhash-least")
+    out = named.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    alone = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("fetch"), F.col("text").cast("string").alias("text"))
+    alone = alone.mapInArrow(_sketch(shingle_words, percent), "doc_id long, fetch long, n_shingles long, d1 long, d2 long, bands array<long>, least array<long>")
+    out = out.unionByName(alone.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80, stable: bool = False) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text, more) with one row of each group of near duplicates: the one with the least doc_id.
 
-    Rows are told apart by an id of their own, so of rows that repeat a doc_id and a text one stays, and rows
-    with a null doc_id take part; they stay only where no other row of the group has one. Of ties any one
-    row stays. Rows without words all stay. Columns of any name are left as they are. stable says that docs is a
-    table, whose rows come in the same partitions and order each time it is read; else it is copied first.
+    Rows are told apart by doc_id and text, so of rows that repeat both one stays, and rows with a null doc_id take
+    part; they stay only where no other row of the group has one. Of different texts that share the least doc_id the one with the least
+    hash stays. Rows without words all stay. Columns of any name are left as they are. docs may be read again, in any order.
     """
-    name = "row_" + uuid.uuid4().hex
-    # a row keeps its id in all that follows
-    rows = docs.withColumn(name, F.monotonically_increasing_id())
-    rows = rows if stable else written(rows, "minhash-docs")
-    found = near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"), shingle_words, percent).select(F.col("doc_id").alias("row"), "component_id")
-    ids = rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    least = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("x")).select(F.col("x.row").alias(name))
-    return rows.join(written(least, "minhash-least"), name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    facts, groups = _grouped(docs, shingle_words, percent)
+    own = facts.where("n_shingles > 0").groupBy("doc_id", "fetch", *_NAME).agg(F.count("*").alias("times")).join(groups, _NAME)
+    own = written(own.select("doc_id", "fetch", "times", "group"), "minhash-own")
+    best = own.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fetch")).alias("x"))
+    own = written(own.join(best, "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("fetch") == F.col("x.fetch"))), "minhash-stays")
+    tag = "_" + uuid.uuid4().hex
+    keyed = docs.withColumn(tag, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+    def found(rows: DataFrame, how: str) -> DataFrame:
+        keys = rows.select(F.col("doc_id").alias(f"{tag}d"), F.col("fetch").alias(f"{tag}f"))
+        return keyed.join(keys, (keyed[tag] == keys[f"{tag}f"]) & keyed["doc_id"].cast("long").eqNullSafe(keys[f"{tag}d"]), how)
+
+    again = own.where("stays AND times > 1")
+    if again.isEmpty():
+        out = found(own.where("NOT stays"), "left_anti")
+    else:
+        # of rows that repeat each other one stays
+        out = found(own.where("NOT stays OR times > 1"), "left_anti").unionByName(found(again, "left_semi").dropDuplicates(["doc_id", tag]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -84,7 +84,7 @@ def test_near_duplicates_without_a_band(spark):
     """Pairs of likeness 0.8 (40 of 50 words) that share none of the 40 bands are linked."""
     words = lambda s, kind, n: [f"w{s}{kind}{i}" for i in range(n)]
     docs = [(2 * k + j, " ".join(words(s, "c", 40) + words(s, kind, 5))) for k, s in enumerate((8771, 14251, 15095, 20259)) for j, kind in enumerate("ab")]
-    bands = [set(b) for batch in minhash._sketch(1, 80)([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in docs])]) for b in batch.column("bands").to_pylist()]
+    bands = [set(b) for batch in minhash._sketch(1, 80)([pa.RecordBatch.from_pylist([{"doc_id": i, "fetch": i, "text": t} for i, t in docs])]) for b in batch.column("bands").to_pylist()]
     assert not any(bands[i] & bands[i + 1] for i in range(0, 8, 2))
     out = minhash.near_duplicates(spark.createDataFrame(docs, DOC), shingle_words=1).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: i // 2 * 2 for i, _ in docs}
@@ -484,3 +484,26 @@ def test_repeated_records_and_odd_urls(spark):
     rows += [(3, "dns:alpha.example", 1, "response", '"1"', None, None), (4, "dns:beta.example", 5, "revisit", '"1"', None, None), (5, "dns:alpha.example", 5, "revisit", '"1"', None, None), (6, "x", 7, None, None, None, None)]
     out = sorted((r["record_id"], r["response_id"] or 0, r["verdict"], len(r["headers"])) for r in revisit.resolve(spark.createDataFrame(rows, schema)).collect())
     assert out == [(2, 1, "match", 1), (2, 1, "match", 1), (4, 0, "missing", 0), (5, 3, "match", 0)]
+
+
+def test_near_duplicates_with_clashing_ids_in_any_order(spark):
+    """Rows that share a doc_id are rows of their own: both links below are found, whichever row comes first."""
+    a, b = prose(901, 80), prose(902, 80)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "few"), (4, a), (5, None), (None, a), (2, a + " more")]
+    expected = sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 1), (5, 5), (None, None), (2, 1)], key=str)
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        for parts in (1, 4):
+            out = minhash.near_duplicates(spark.createDataFrame(order, DOC).repartition(parts), shingle_words=4, percent=80)
+            assert sorted(((r["doc_id"], r["component_id"]) for r in out.collect()), key=str) == expected
+
+
+def test_one_of_each_whatever_the_partitions(spark):
+    """The rows that stay depend on ids and texts only; docs is computed anew, in other partitions, each time it is read."""
+    a, b = prose(911, 90), prose(912, 90)
+    rows = [(1, a, "x"), (1, b, "y"), (2, edited(a, 1, 1), "x"), (3, b, "x"), (3, b, "x"), (7, "", "x"), (7, "", "x"), (None, a, "x"), (None, prose(913, 50), "x"), (None, prose(913, 50), "x"), (8, prose(914, 50), "z"), (9, prose(914, 50), "z")]
+    expected = sorted([(1, a, "x"), (1, b, "y"), (7, "", "x"), (7, "", "x"), (None, prose(913, 50), "x"), (8, prose(914, 50), "z")], key=str)
+    r = random.Random(3)
+    for parts in (1, 3, 8):
+        r.shuffle(rows)
+        docs = spark.createDataFrame(rows, DOC + ", fetch string").repartition(parts, F.rand())
+        assert sorted(map(tuple, minhash.one_of_each(docs).collect()), key=str) == expected
