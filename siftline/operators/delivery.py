@@ -115,14 +115,15 @@ def retain_newest(envelopes: DataFrame, max_bytes: int, per_kind: dict[str, int]
     return _newest(rows.withColumn("_all", F.lit(0)), F.lit(max_bytes), ["_all"], time, tie).drop("_all")
 
 
-def pressure_flag(depth: DataFrame, max_bytes: int, high: float = 0.8, low: float = 0.5, by: list[str] | None = None, time: str = "at", slots: int = SLOTS) -> DataFrame:
+def pressure_flag(depth: DataFrame, max_bytes: int, high: float = 0.8, low: float = 0.5, by: list[str] | None = None, time: str = "at", slots: int = SLOTS, tie: str | None = None) -> DataFrame:
     """Add pressure: on from bytes >= high, off from bytes <= low, else as before; off at first.
 
-    A low mark that is not below the high one is moved to half of it. Null bytes change nothing.
+    A low mark that is not below the high one is moved to half of it. Null bytes change nothing. tie
+    orders rows of one kind and time; without it they come in the order of their bytes, null first.
     """
     low = low if low < high else high / 2
     mark = F.when(F.col("bytes") >= high * max_bytes, True).when(F.col("bytes") <= low * max_bytes, False)
-    rows = _last_known(depth, mark, by or ["kind"], [time], slots)
+    rows = _last_known(depth, mark, by or ["kind"], [time, tie or "bytes"], slots)
     return rows.withColumn("pressure", F.coalesce("_now", F.lit(False))).drop("_now")
 
 
@@ -154,12 +155,15 @@ def fair_interleave(envelopes: DataFrame, failed: Column | None = None, time: st
     return rows.withColumn("position", F.col("_before") + F.col("_row")).drop("_block", "_row", "_before")
 
 
-def shed(points: DataFrame, pressure: DataFrame, time: str = "at", slots: int = SLOTS) -> DataFrame:
-    """Points (kind, at, ...) with shed: was the pressure (kind, at, pressure) on at the latest change not later than the point?"""
+def shed(points: DataFrame, pressure: DataFrame, time: str = "at", slots: int = SLOTS, tie: str | None = None) -> DataFrame:
+    """Points (kind, at, ...) with shed: was the pressure (kind, at, pressure) on at the latest change not later than the point?
+
+    Of changes at one time the last by tie, a whole number in pressure, counts; without it one that is on counts.
+    """
     names = points.columns
-    left = points.select("kind", F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_p"), F.lit(None).cast("boolean").alias("_on"))
-    right = pressure.select("kind", F.col(time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_p"].dataType).alias("_p"), F.col("pressure").alias("_on"))
-    rows = _last_known(left.union(right), F.col("_on"), ["kind"], ["_t", "_side"], slots)
+    left = points.select("kind", F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), F.struct(*names).alias("_p"), F.lit(None).cast("boolean").alias("_on"))
+    right = pressure.select("kind", F.col(time).alias("_t"), F.lit(0).alias("_side"), (F.col(tie) if tie else F.col("pressure").cast("int")).cast("bigint").alias("_tie"), F.lit(None).cast(left.schema["_p"].dataType).alias("_p"), F.col("pressure").alias("_on"))
+    rows = _last_known(left.union(right), F.col("_on"), ["kind"], ["_t", "_side", "_tie"], slots)
     return rows.where("_side = 1").select("_p.*", F.coalesce("_now", F.lit(False)).alias("shed"))
 
 

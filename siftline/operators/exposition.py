@@ -58,15 +58,26 @@ def types(exposition: DataFrame) -> DataFrame:
     return rows.select("scrape_id", "line_no", F.col("f")[2].alias("family"), F.col("f")[3].alias("type"))
 
 
+#: fixed values: ends of the names of a family's samples
+_ENDS = ("_bucket", "_count", "_sum")
+
+
 def _typed(samples: DataFrame, declared: DataFrame) -> DataFrame:
-    """own_type and family_type of each sample: as declared by the latest earlier line for its name, and for its name without suffix."""
-    rows = samples.withColumn("family", F.regexp_replace("name", r"_(bucket|count|sum)\z", "")).withColumn("_at", F.monotonically_increasing_id())
-    for column, out in (("name", "own_type"), ("family", "family_type")):
-        cut = declared.select("scrape_id", F.col("family").alias("_f"), F.col("line_no").alias("_l"), "type")
-        best = rows.select("scrape_id", "line_no", F.col(column).alias("_f")).join(cut, ["scrape_id", "_f"]).where("_l < line_no")
-        best = best.groupBy("scrape_id", "line_no").agg(F.max_by("type", "_l").alias(out))
-        rows = rows.join(best, ["scrape_id", "line_no"], "left")
-    return rows.drop("_at")
+    """family, own_type and family_type of each sample: as declared by the latest earlier line for its name, and for its name without suffix.
+
+    Samples and declarations are ordered together, by scrape and family; a declared name with a suffix stands in two families, its own
+    and the one without the suffix. One window finds the latest declaration for each suffix.
+    """
+    end = rf"({'|'.join(_ENDS)})\z"
+    kind = lambda name: F.regexp_extract(name, end, 1)
+    rows = samples.select("scrape_id", "line_no", F.regexp_replace("name", end, "").alias("_part"), kind("name").alias("_kind"), F.struct(*samples.columns).alias("_s"))
+    places = F.array(F.struct(F.regexp_replace("family", end, "").alias("_part"), kind("family").alias("_kind")), F.struct(F.col("family").alias("_part"), F.lit("").alias("_kind")))
+    cut = declared.select("scrape_id", "line_no", F.col("type").alias("_type"), F.explode(F.array_distinct(places)).alias("p")).select("scrape_id", "line_no", "_type", "p.*")
+    upto = Window.partitionBy("scrape_id", "_part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    latest = {k: F.last(F.when(F.col("_kind") == k, F.col("_type")), ignorenulls=True).over(upto) for k in ("", *_ENDS)}
+    rows = rows.unionByName(cut, allowMissingColumns=True).withColumns({f"_t{k}": v for k, v in latest.items()}).where("_s IS NOT NULL")
+    own = F.coalesce(*[F.when(F.col("_kind") == k, F.col(f"_t{k}")) for k in latest])
+    return rows.select("_s.*", F.col("_part").alias("family"), own.alias("own_type"), F.col("_t").alias("family_type"))
 
 
 def parse_exposition(exposition: DataFrame) -> DataFrame:

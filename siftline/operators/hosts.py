@@ -587,14 +587,56 @@ def uname_info(hosts: DataFrame) -> DataFrame:
     return points(hosts.select("host", "captured_at_unix_nano", F.array(_entry("node_uname_info", _labels(**{n: F.coalesce(n, F.lit("")) for n in names}), "gauge", F.lit(1))).alias("points")))
 
 
+#: fixed values: keys of os-release that are read, and the attributes that they become
+RELEASE = {"NAME": "os.name", "VERSION_ID": "os.version", "PRETTY_NAME": "os.description"}
+_HOSTNAME_BYTES, _VALUE_BYTES = 255, 4096
+
+
+def _release(content: Column) -> Column:
+    """key, value and detail of each line; a line without a key spoils its file, and so does a value with bad quotes."""
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda x, i: F.struct((i + 1).alias("no"), F.trim(x).alias("text"))), lambda x: (x["text"] != "") & ~x["text"].startswith("#"))
+
+    def line(x: Column) -> Column:
+        key, raw = F.regexp_extract(x["text"], r"\A([A-Z0-9_]+)=", 1), F.substr(x["text"], F.instr(x["text"], "=") + 1)
+        double, single, bare = r"(?s)\A\"((?:[^\\]|\\[\"$'\\`])*)\"\z", r"(?s)\A'(.*)'\z", r"\A[^ \t\"'\\]*\z"
+        good = (F.octet_length(raw) <= _VALUE_BYTES) & ~raw.contains("\x00") & F.when(raw.startswith('"'), raw.rlike(double)).when(raw.startswith("'"), raw.rlike(single)).otherwise(raw.rlike(bare))
+        value = F.when(raw.startswith('"'), F.regexp_replace(F.regexp_extract(raw, double, 1), r"\\(.)", "$1")).when(raw.startswith("'"), F.regexp_extract(raw, single, 1)).otherwise(raw)
+        wanted = key.isin(*RELEASE)
+        bad = F.when(key == "", "no key").when(wanted & ~good, F.concat(F.lit("bad value of "), key))
+        return F.struct(F.when(wanted & bad.isNull(), key).alias("key"), value.alias("value"), F.when(bad.isNotNull(), _no(x, bad)).alias("detail"))
+
+    return F.transform(lines, line)
+
+
+def host_identity(snapshots: DataFrame) -> DataFrame:
+    """Files os-release, hostname and machine-id -> host, file, captured_at_unix_nano, detected (map of attributes), detail.
+
+    detail says why a file gives nothing: a malformed line, a name with blanks or over 255 bytes, an id that is not 32 lower-case
+    hexadecimal digits. Of a key that repeats the last value counts.
+    """
+    files = _files(snapshots, "os-release", "hostname", "machine-id").withColumn("r", F.when(F.col("file") == "os-release", _release(F.col("content"))))
+    faults = F.filter("r", lambda x: x["detail"].isNotNull())
+    found = F.filter("r", lambda x: x["key"].isNotNull())
+    of = lambda k: F.get(F.filter(F.reverse(found), lambda x: x["key"] == k), F.lit(0))["value"]
+    entries = F.filter(F.array(*[F.struct(F.lit(name).alias("k"), of(k).alias("v")) for k, name in RELEASE.items()]), lambda e: e["v"].isNotNull())
+    text = F.regexp_replace("content", r"\A\s+|\s+\z", "")
+    is_name, is_id = F.col("file") == "hostname", F.col("file") == "machine-id"
+    good_name = (text != "") & (F.octet_length(text) <= _HOSTNAME_BYTES) & ~text.rlike(r"[\s\x00\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]")
+    detail = F.when(is_name, F.when(~good_name, "no host name")).when(is_id, F.when(~text.rlike(r"\A[0-9a-f]{32}\z"), "no machine id")).otherwise(F.coalesce(F.get(faults, F.lit(0))["detail"], F.when(F.size(found) == 0, "nothing that is supported")))
+    values = F.when(is_name, _labels(**{"host.name": text})).when(is_id, _labels(**{"host.id": text})).otherwise(F.map_from_entries(entries))
+    return files.select(*_FILE, values.alias("detected"), detail.alias("detail")).withColumn("detected", F.when(F.col("detail").isNull(), F.col("detected")))
+
+
 def os_release(snapshots: DataFrame) -> DataFrame:
-    """host -> os_name, os_version, os_description from NAME, VERSION_ID and PRETTY_NAME, with their quotes removed."""
-    rows = _files(snapshots, "os-release").select("host", F.posexplode(F.split("content", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).withColumns({"k": F.regexp_extract("line", r"\A([A-Z_]+)=", 1), "v": F.expr("substring(line, instr(line, '=') + 1)")}).where(F.col("k").isin("NAME", "VERSION_ID", "PRETTY_NAME"))
-    quoted = F.regexp_replace(F.regexp_extract("v", r'\A"((?:[^"\\]|\\.)*)"\z', 1), r"\\(.)", "$1")
-    value = F.when(F.col("v").startswith('"'), quoted).when(F.col("v").startswith("'"), F.regexp_extract("v", r"\A'([^']*)'\z", 1)).otherwise(F.col("v"))
-    rows = rows.withColumn("v", value)
-    of = lambda k: F.max_by(F.when(F.col("k") == k, F.col("v")), F.when(F.col("k") == k, F.col("line_no")))
-    return rows.groupBy("host").agg(of("NAME").alias("os_name"), of("VERSION_ID").alias("os_version"), of("PRETTY_NAME").alias("os_description"))
+    """host -> os_name, os_version, os_description from the latest readable os-release."""
+    rows = host_identity(snapshots.where("file = 'os-release'")).where("detail IS NULL").groupBy("host").agg(F.max_by("detected", "captured_at_unix_nano").alias("d"))
+    return rows.select("host", *[F.col("d")[name].alias(name.replace(".", "_")) for name in RELEASE.values()])
+
+
+def detected_attributes(identity: DataFrame) -> DataFrame:
+    """Rows of host_identity -> host, detected: one map of its files, the latest of each; what targets.fill_missing_attributes takes."""
+    latest = identity.where("detail IS NULL").groupBy("host", "file").agg(F.max_by("detected", "captured_at_unix_nano").alias("d"))
+    return latest.groupBy("host").agg(F.map_from_entries(F.flatten(F.collect_list(F.map_entries("d")))).alias("detected"))
 
 
 def transitions(results: DataFrame) -> DataFrame:

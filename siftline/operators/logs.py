@@ -300,18 +300,18 @@ def workload_identity(pods: DataFrame, owners: DataFrame, allowed_labels: list[s
     return rows.select("uid", F.col("_c.name").alias("container"), F.map_concat(own, F.transform_values(kept, lambda k, v: L.bounded_text(v, 4096))).alias("api"))
 
 
-def enrich_from_inventory(logs: DataFrame, inventory: DataFrame, ttl: int = 300, stale_after: int = 3600, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
+def enrich_from_inventory(logs: DataFrame, inventory: DataFrame, ttl: int = 300, stale_after: int = 3600, keys: tuple[str, ...] = ("uid",), hot_rows: int = HOT_ROWS) -> DataFrame:
     """As-of left join: each log (keys, observed_at seconds) gets the latest snapshot (keys, fetched_at, api) not later than it.
 
     age decides: up to ttl seconds fresh, up to stale_after stale, else as without snapshot (api null, freshness `none`).
-    One pass over both tables ordered by key and time; the snapshots' columns travel in a struct.
+    One pass over both tables ordered by key and time; the snapshots' columns travel in a struct. A key with more than hot_rows rows goes
+    by slots of time, into which the latest snapshot before them is carried.
     """
     names = logs.columns
     left = logs.select(*keys, F.col("observed_at").alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_log"), F.lit(None).cast(inventory.schema["api"].dataType).alias("_api"))
     right = inventory.select(*keys, F.col("fetched_at").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_log"].dataType).alias("_log"), F.col("api").alias("_api"))
-    upto = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     snapshot = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("at"), F.col("_api").alias("api")))
-    rows = left.union(right).withColumn("_found", F.last(snapshot, ignorenulls=True).over(upto)).where("_side = 1")
+    rows = slotted(left.union(right), list(keys), "_t", hot_rows=hot_rows).running(["_t", "_side"], lasts={"_found": snapshot}).rows.where("_side = 1")
     age = F.col("_t") - F.col("_found.at")
     known = F.lit(True)
     for k in keys:

@@ -52,8 +52,10 @@ def validate_span_fields(spans: DataFrame) -> DataFrame:
 
 def duplicate_span_ids(spans: DataFrame) -> DataFrame:
     """Column duplicate_span: the span's ids are valid and stand more than once in the request. copies: how often."""
-    ids = Window.partitionBy("request_id", "trace_id", "span_id")
     ok = valid_id(F.col("trace_id"), 16) & valid_id(F.col("span_id"), 8)
+    # spans without valid ids don't meet: they are told apart by their number
+    alone = [F.when(~ok, F.col("span_idx"))] if "span_idx" in spans.columns else []
+    ids = Window.partitionBy("request_id", "trace_id", "span_id", *alone)
     return spans.withColumn("copies", F.when(ok, F.count("*").over(ids)).otherwise(1)).withColumn("duplicate_span", F.col("copies") > 1)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,89 @@ def _request(outer: str, scopes: str, items: str, resource, item) -> F.Column:
     return F.to_json(F.struct(F.array(scope).alias(outer)))
 
 
+# files -----------------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; a local session without it gets a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-siftline-", dir="/tmp")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _document_files(spark: SparkSession, sf_dir: str) -> str:
+    """documents as text files, 500 ids in each, one after the other."""
+    path = _scratch(spark, "raw-lines")
+    d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 500").alias("bucket"), "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\r", "").alias("text"))
+    d.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "text").write.partitionBy("bucket").text(path)
+    return path
+
+
+@query("""
+WITH l AS (SELECT doc_id, doc_id // 500 AS bucket, k, line FROM (
+  SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) AS k FROM (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS t FROM documents)))
+SELECT bucket, row_number() OVER f - 1 AS line_no, CAST(sum(strlen(line) + 1) OVER f - strlen(line) - 1 AS BIGINT) AS "offset", md5(line) AS line
+FROM l WINDOW f AS (PARTITION BY bucket ORDER BY doc_id, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of files written from documents, with its number and byte offset in its file."""
+    lines = readers.read_raw_lines(spark, _document_files(spark, sf_dir))
+    return lines.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("bigint").alias("bucket"), "line_no", "offset", F.md5("line").alias("line"))
+
+
+@query("SELECT DISTINCT doc_id // 500 AS bucket FROM documents WHERE doc_id // 500 % 2 = 0")
+def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the patterns include and do not exclude."""
+    path = _document_files(spark, sf_dir)
+    found = readers.discover_logs(spark, [f"{path}/bucket=*/*.txt"], [f"*/bucket=*{odd}/*" for odd in "13579"], "beginning")
+    return found.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("bigint").alias("bucket"))
+
+
+@query("""
+WITH c AS (SELECT n_name, 'balance{customer="' || CAST(c_custkey AS VARCHAR) || '"} ' || CAST(CAST(round(c_acctbal) AS BIGINT) AS VARCHAR) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT n_name AS instance, count(*) AS samples, CAST(sum(CAST(split_part(line, ' ', 2) AS BIGINT)) AS BIGINT) AS total, false AS truncated FROM c GROUP BY n_name
+""")
+def exposition_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scraped bodies in files, one for each nation's customers, read and parsed."""
+    path = _scratch(spark, "bodies")
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    line = F.concat(F.lit('balance{customer="'), _s("c_custkey"), F.lit('"} '), F.round("c_acctbal").cast("bigint").cast("string"))
+    c.select("n_name", line.alias("value")).repartition("n_name").sortWithinPartitions("n_name").write.partitionBy("n_name").text(path)
+    bodies = readers.read_exposition(spark, f"{path}/*/*.txt").select("*", F.lit("j").alias("job"), F.col("scrape_id").alias("instance"))
+    samples = exposition.lines(bodies)
+    instance = F.replace(F.regexp_extract("instance", "n_name=([^/]+)", 1), F.lit("%20"), F.lit(" "))
+    return samples.groupBy(instance.alias("instance")).agg(F.count("*").alias("samples"), F.sum("value").cast("bigint").alias("total"), F.bool_or("truncated").alias("truncated"))
+
+
+@query("""
+SELECT CAST(event_id AS VARCHAR) AS cursor, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS message, CASE WHEN event_id % 2 = 0 THEN 'unit' || CAST(user_id AS VARCHAR) END AS unit, CAST(user_id AS VARCHAR) AS pid,
+       CASE WHEN event_id >= 9223 THEN NULL ELSE (event_id + 1) * 1000000000000000 END AS time_unix_nano FROM events WHERE event_id % 5 <> 4
+""")
+def journal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal entries in text files: of a repeated field the first counts, other fields and entries without cursor are left out, a time beyond 2^63-1 ns is null."""
+    path, i = _scratch(spark, "journal"), F.col("event_id")
+    field = lambda name, v: F.concat(F.lit(name + "="), v, F.lit("\n"))
+    text = F.concat(
+        F.when(i % 5 == 4, "").otherwise(field("__CURSOR", i.cast("string"))), field("__REALTIME_TIMESTAMP", ((i + 1) * 1_000_000_000_000).cast("string")), F.when(i % 3 == 0, "").otherwise(field("MESSAGE", F.col("event_type"))), field("_PID", F.col("user_id").cast("string")),
+        field("_PID", F.lit("again")), field("_CMDLINE", F.lit("x")), F.when(i % 2 == 0, field("_SYSTEMD_UNIT", F.concat(F.lit("unit"), F.col("user_id").cast("string")))).otherwise(""),
+    )
+    table(spark, sf_dir, "events").select(text.alias("value")).write.text(path)
+    out = logs.journal_to_records(readers.read_journal_entries(spark, path))
+    return out.select("cursor", F.when(~F.col("message_missing"), F.col("body")).alias("message"), F.col("attributes")["systemd.unit"].alias("unit"), F.col("attributes")["process.pid"].alias("pid"), "time_unix_nano")
+
+
+@query("SELECT doc_id AS id, source AS kind, source IN ('src0', 'src1') AS known FROM documents")
+def kinds_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of known kinds, and the quarantine, as read back."""
+    path, quarantine = _scratch(spark, "kinds"), _scratch(spark, "quarantine")
+    readers.write_by_kind(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("kind")), path, quarantine, ("src0", "src1"))
+    known = spark.read.schema("id bigint, kind string").parquet(path).select("id", "kind", F.lit(True).alias("known"))
+    return known.unionByName(spark.read.schema("id bigint, kind string").parquet(quarantine).select("id", "kind", F.lit(None).cast("boolean").isNotNull().alias("known")))
+
+
 # telemetry JSON --------------------------------------------------------------------------------------------------
 
 
@@ -348,6 +435,15 @@ def bounded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", (F.octet_length("b") <= 50).alias("fits"), F.col("clean").startswith(F.col("b")).alias("is_head"), ((F.octet_length("clean") <= 50) | (F.octet_length("b") > 46)).alias("is_long"))
 
 
+@query("""
+WITH c AS (SELECT doc_id, regexp_replace(text, '[\\x00-\\x1F\\x7F-\\x{9F}]', chr(65533), 'g') AS t FROM documents)
+SELECT doc_id, md5(left(t, list_max(list_filter(range(0, 51), lambda n: strlen(left(t, n)) <= 50)))) AS text FROM c
+""")
+def bounded_text_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control characters replaced, then as many whole characters as 50 bytes hold."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(L.bounded_text(F.col("text"), 50)).alias("text"))
+
+
 @query("SELECT p_partkey, 'reg:5000/' || lower(replace(p_brand, '#', '-')) AS image, CASE WHEN p_size % 2 = 0 THEN 'sha256:' || md5(p_name) ELSE '' END AS digest, CASE WHEN p_size % 5 = 0 THEN '' ELSE '***' END AS secret FROM part")
 def image_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")

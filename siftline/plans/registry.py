@@ -558,6 +558,29 @@ def log_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.pack_logs(d, max_bytes=16000).select(F.col("record_idx").alias("doc_id"), "chunk")
 
 
+@query("""
+WITH RECURSIVE o AS (SELECT *, CASE WHEN grp = lag(grp) OVER (PARTITION BY request_id ORDER BY doc_id) THEN 0 ELSE head END AS extra, row_number() OVER (PARTITION BY request_id ORDER BY doc_id) AS rn
+  FROM (SELECT doc_id % 20 AS request_id, doc_id, doc_id // 100 AS grp, 300 + doc_id // 100 % 5 * 50 AS head, n_chars AS size FROM documents)),
+f AS (SELECT request_id, 0 AS rn, CAST(-1 AS BIGINT) AS doc_id, CAST(-1 AS BIGINT) AS chunk, CAST(99999999 AS BIGINT) AS used, false AS dead FROM (SELECT DISTINCT request_id FROM o)
+  UNION ALL SELECT o.request_id, o.rn, o.doc_id, CASE WHEN dead OR size + head > 16000 THEN chunk WHEN used + size + extra > 16000 THEN chunk + 1 ELSE chunk END, CASE WHEN used + size + extra > 16000 THEN size + head ELSE used + size + extra END, dead OR size + head > 16000 FROM f JOIN o ON f.request_id = o.request_id AND o.rn = f.rn + 1)
+SELECT doc_id, CAST(CASE WHEN dead THEN -1 ELSE chunk END AS INTEGER) AS chunk FROM f WHERE rn > 0
+""")
+def log_packing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a request in groups, whose header every chunk repeats that a group goes on in."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select((i % 20).alias("request_id"), i.alias("record_idx"), F.expr("doc_id div 100").alias("grp"), (F.expr("doc_id div 100") % 5 * 50 + 300).alias("head"), F.col("n_chars").alias("size_bytes"))
+    return envelopes.pack_logs(d, max_bytes=16000, group="grp", header="head").select(F.col("record_idx").alias("doc_id"), "chunk")
+
+
+@query("SELECT doc_id, doc_id % 4 = 0 OR text IS NULL AS corrupt FROM documents")
+def corrupt_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that no longer have their stored digest, a null payload among them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
+    stored = envelopes.payload_digest(d).withColumn("payload", F.when(F.col("doc_id") % 4 == 0, F.concat("payload", F.lit("x").cast("binary"))).otherwise(F.col("payload")))
+    good, bad = envelopes.split_corrupt(stored)
+    return good.select("doc_id", F.lit(False).alias("corrupt")).unionByName(bad.select("doc_id", F.lit(True).alias("corrupt")))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5(CAST(doc_id AS VARCHAR)) ELSE substr(sha256(md5(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id % 3 AS VARCHAR)), 1, 32) END AS chunk_id FROM documents")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("doc_id") % 3

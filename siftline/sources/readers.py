@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +59,32 @@ def read_otlp_metrics(df: DataFrame) -> DataFrame:
 
     A point without a value is skipped; explicit histograms and summaries are left to unsupported_points.
     """
-    rows = _flat(df, METRICS_SCHEMA, "resourceMetrics", "scopeMetrics", "metrics").withColumn("resource", attributes_map(F.col("resource_attrs")))
-    base = ["request_id", "resource_idx", "scope_idx", "idx", "resource", F.col("item.name").alias("name"), F.col("item.unit").alias("unit")]
-    parts = []
-    for kind, monotonic in (("gauge", F.lit(False)), ("sum", F.coalesce("item.sum.isMonotonic", F.lit(False)))):
-        p = rows.select(*base, F.lit(kind).alias("metric_type"), monotonic.alias("monotonic"), F.posexplode(f"item.{kind}.dataPoints").alias("point_idx", "p"))
-        value = F.coalesce(F.col("p.asInt").try_cast("bigint").cast("double"), F.col("p.asDouble"))
-        p = p.where(L.finite(value)).select("*", attributes_map(F.col("p.attributes")).alias("attrs"), F.col("p.timeUnixNano").try_cast("bigint").alias("time_unix_nano"), F.col("p.asInt").try_cast("bigint").alias("int_value"), F.when(F.col("p.asInt").isNull(), F.col("p.asDouble")).alias("float_value"), F.col("p.asInt").isNull().alias("is_float"))
-        parts.append(p.withColumn("hist", F.expr("cast(null AS struct<scale:int,zero_count:bigint,positive_offset:int,positive_counts:array<bigint>,sum:double,count:bigint>)")).drop("p"))
-    h = rows.select(*base, F.lit("exponential_histogram").alias("metric_type"), F.lit(False).alias("monotonic"), F.posexplode("item.exponentialHistogram.dataPoints").alias("point_idx", "p"))
-    hist = F.struct(
-        F.coalesce("p.scale", F.lit(0)).alias("scale"), F.coalesce(F.col("p.zeroCount").try_cast("bigint"), F.lit(0)).alias("zero_count"), F.coalesce("p.positive.offset", F.lit(0)).alias("positive_offset"),
-        F.coalesce(F.transform("p.positive.bucketCounts", lambda x: x.try_cast("bigint")), F.expr("cast(array() AS array<bigint>)")).alias("positive_counts"), F.col("p.sum").alias("sum"), F.col("p.count").try_cast("bigint").alias("count"),
+    rows = _flat(df, METRICS_SCHEMA, "resourceMetrics", "scopeMetrics", "metrics")
+    hist_type = "struct<scale:int,zero_count:bigint,positive_offset:int,positive_counts:array<bigint>,sum:double,count:bigint>"
+    point = "struct<attributes:" + _ATTRS + ",timeUnixNano:string,asInt:string,asDouble:double>"
+    some = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() AS array<{kind}>)"))
+
+    def tagged(kind: str, monotonic: Column, p: Column, i: Column, whole: Column, broken: Column, hist: Column) -> Column:
+        return F.struct(F.lit(kind).alias("metric_type"), monotonic.alias("monotonic"), i.alias("point_idx"), p["attributes"].alias("attributes"), p["timeUnixNano"].alias("t"), whole.cast("string").alias("asInt"), broken.cast("double").alias("asDouble"), hist.cast(hist_type).alias("hist"))
+
+    def held(p: Column) -> Column:
+        return F.struct(
+            F.coalesce(p["scale"], F.lit(0)).alias("scale"), F.coalesce(p["zeroCount"].try_cast("bigint"), F.lit(0)).alias("zero_count"), F.coalesce(p["positive"]["offset"], F.lit(0)).alias("positive_offset"),
+            F.coalesce(F.transform(p["positive"]["bucketCounts"], lambda x: x.try_cast("bigint")), F.expr("cast(array() AS array<bigint>)")).alias("positive_counts"), p["sum"].alias("sum"), p["count"].try_cast("bigint").alias("count"),
+        )
+
+    none = F.lit(None)
+    scalar = lambda kind, monotonic: F.transform(some(f"item.{kind}.dataPoints", point), lambda p, i: tagged(kind, monotonic, p, i, p["asInt"], p["asDouble"], none))
+    exp = F.transform(some("item.exponentialHistogram.dataPoints", _EXP[len("array<") : -1]), lambda p, i: tagged("exponential_histogram", F.lit(False), p, i, none, none, held(p)))
+    points = F.concat(scalar("gauge", F.lit(False)), scalar("sum", F.coalesce("item.sum.isMonotonic", F.lit(False))), exp)
+    # one pass over the parsed bodies: points of all kinds in one array
+    rows = rows.select("request_id", "resource_idx", "scope_idx", "idx", attributes_map(F.col("resource_attrs")).alias("resource"), F.col("item.name").alias("name"), F.col("item.unit").alias("unit"), F.explode(points).alias("p"))
+    rows = rows.where(F.col("p.hist").isNotNull() | L.finite(F.coalesce(F.col("p.asInt").try_cast("bigint").cast("double"), F.col("p.asDouble"))))
+    whole = F.col("p.asInt").try_cast("bigint")
+    return rows.select(
+        "request_id", "resource_idx", "scope_idx", "idx", "resource", "name", "unit", "p.metric_type", "p.monotonic", "p.point_idx", attributes_map(F.col("p.attributes")).alias("attrs"), F.col("p.t").try_cast("bigint").alias("time_unix_nano"),
+        whole.alias("int_value"), F.when(F.col("p.asInt").isNull(), F.col("p.asDouble")).alias("float_value"), F.col("p.asInt").isNull().alias("is_float"), "p.hist",
     )
-    parts.append(h.select("*", attributes_map(F.col("p.attributes")).alias("attrs"), F.col("p.timeUnixNano").try_cast("bigint").alias("time_unix_nano"), F.lit(None).cast("bigint").alias("int_value"), F.lit(None).cast("double").alias("float_value"), F.lit(True).alias("is_float"), hist.alias("hist")).drop("p"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def unsupported_points(df: DataFrame) -> DataFrame:
@@ -92,13 +105,18 @@ def read_otlp_logs(df: DataFrame) -> DataFrame:
 
 
 def read_otlp_spans(df: DataFrame) -> DataFrame:
-    """(request_id, body: JSON) -> spans with binary ids; a null span stays, and is invalid."""
-    rows = _flat(df, SPANS_SCHEMA, "resourceSpans", "scopeSpans", "spans")
+    """(request_id, body: JSON) -> spans with binary ids; a null span stays, and is invalid. span_idx numbers a request's spans in wire order."""
+    some = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() AS array<{kind}>)"))
+    scope, outer = f"struct<spans:array<{_SPAN}>>", f"struct<resource:struct<attributes:{_ATTRS}>,scopeSpans:array<struct<spans:array<{_SPAN}>>>>"
+    item = lambda r, i, j, x: F.struct(i.alias("resource_idx"), j.alias("scope_idx"), r["resource"]["attributes"].alias("resource_attrs"), x.alias("item"))
+    spans = lambda r, i: F.flatten(F.transform(some(r["scopeSpans"], scope), lambda s, j: F.transform(some(s["spans"], _SPAN), lambda x: item(r, i, j, x))))
+    rows = df.select("request_id", F.from_json("body", SPANS_SCHEMA).alias("r"))
+    rows = rows.select("request_id", F.posexplode(F.flatten(F.transform(some(F.col("r.resourceSpans"), outer), spans))).alias("span_idx", "x")).select("request_id", "span_idx", "x.*")
     binary = lambda c: F.when(c.rlike(r"\A([0-9a-fA-F]{2})*\z"), F.unhex(c))
     links = F.transform("item.links", lambda x: F.struct(binary(x["traceId"]).alias("trace_id"), binary(x["spanId"]).alias("span_id"), x["traceState"].alias("trace_state")))
     attrs = F.transform("resource_attrs", lambda a: F.struct(a["key"].alias("key"), L.any_value_to_string(a["value"]).alias("value")))
     return rows.select(
-        "request_id", "resource_idx", "scope_idx", (F.col("resource_idx") * 1_000_000_000_000 + F.col("scope_idx") * 1_000_000 + F.col("idx")).cast("bigint").alias("span_idx"), attrs.alias("resource_attrs"), binary(F.col("item.traceId")).alias("trace_id"),
+        "request_id", "resource_idx", "scope_idx", F.col("span_idx").cast("bigint").alias("span_idx"), attrs.alias("resource_attrs"), binary(F.col("item.traceId")).alias("trace_id"),
         binary(F.col("item.spanId")).alias("span_id"), binary(F.col("item.parentSpanId")).alias("parent_span_id"), F.col("item.traceState").alias("trace_state"), F.col("item.name").alias("name"), F.col("item.startTimeUnixNano").try_cast("bigint").alias("start_unix_nano"),
         F.col("item.endTimeUnixNano").try_cast("bigint").alias("end_unix_nano"), links.alias("links"), (F.octet_length(F.coalesce(F.to_json("item"), F.lit("{}"))) + 32).alias("size_bytes"),
     )
@@ -120,19 +138,43 @@ def discover_logs(spark: SparkSession, include: list[str], exclude: list[str] =
     return files.distinct().orderBy("path")
 
 
+def _in_block(batches):
+    """Lines of blocks, each block's in order -> k and at: how many lines and bytes of its block come before a line."""
+    block, n, size = None, 0, 0
+    for x in batches:
+        paths, starts, sizes = x["path"].dictionary_encode(), x["block"].to_numpy(), x["bytes"].to_numpy()
+        if not len(sizes):
+            continue
+        codes = paths.indices.to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1]))))
+        runs = np.diff(np.append(first, len(sizes)))
+        before = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        k, at = np.arange(len(sizes)) - np.repeat(first, runs), before - np.repeat(before[first], runs)
+        if (x["path"][0].as_py(), int(starts[0])) == block:
+            k[: runs[0]] += n
+            at[: runs[0]] += size
+        block, n, size = (x["path"][len(sizes) - 1].as_py(), int(starts[-1])), int(k[-1]) + 1, int(at[-1] + sizes[-1])
+        yield pa.RecordBatch.from_arrays([*x.columns, pa.array(k), pa.array(at)], names=[*x.schema.names, "k", "at"])
+
+
 def read_raw_lines(spark: SparkSession, paths: str | list[str], closed: bool = False) -> DataFrame:
     """path, line_no, offset (byte of the line's start), end_offset, line. One `\\n` and then one `\\r` are cut off.
 
-    A last line without end counts only if the file is closed. A file is read whole by one task.
+    A last line without end counts only if the file is closed; compressed files count as closed. Malformed bytes read as U+FFFD. Files are read in
+    blocks of spark.sql.files.maxPartitionBytes, by as many tasks; a line belongs to the block that it begins in. Inside of a block
+    lines are numbered as they are read; the lines and bytes of a file's earlier blocks are added.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", F.expr("decode(content, 'ISO-8859-1')").alias("content"))
-    rows = files.select("path", F.posexplode(F.split("content", "\n")).alias("line_no", "raw"), F.size(F.split("content", "\n")).alias("n"))
-    size = F.length("raw") + 1
-    w = Window.partitionBy("path").orderBy("line_no")
-    rows = rows.withColumn("end_offset", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("offset", F.col("end_offset") - size)
-    rows = rows.where((F.col("line_no") < F.col("n") - 1) | (F.lit(closed) & (F.col("raw") != "")))
-    line = F.decode(F.encode(F.regexp_replace("raw", r"\r\z", ""), "ISO-8859-1"), "UTF-8")
-    return rows.select("path", F.col("line_no").cast("bigint").alias("line_no"), F.col("offset").cast("bigint").alias("offset"), F.col("end_offset").cast("bigint").alias("end_offset"), line.alias("line"))
+    meta = F.col("_metadata")
+    raw = spark.read.text(paths, lineSep="\n").select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), meta["file_size"].alias("file_size"), (F.octet_length("value") + 1).cast("bigint").alias("bytes"), F.make_valid_utf8("value").alias("line"))
+    rows = raw.mapInArrow(_in_block, "path string, block bigint, file_size bigint, bytes bigint, line string, k bigint, at bigint")
+    blocks = raw.groupBy("path", "block").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_size"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_size"))
+    rows = rows.join(blocks, ["path", "block"]).withColumns({"line_no": F.col("_n") + F.col("k"), "offset": F.col("_size") + F.col("at")})
+    rows = rows.withColumn("end_offset", F.col("offset") + F.col("bytes"))
+    # without its end the last line seems to pass the file's
+    rows = rows.where(F.lit(closed) | (F.col("end_offset") <= F.col("file_size")) | F.col("path").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)\z"))
+    return rows.select("path", "line_no", "offset", F.when(F.col("end_offset") == F.col("file_size") + 1, F.col("file_size")).otherwise(F.col("end_offset")).alias("end_offset"), F.regexp_replace("line", r"\r\z", "").alias("line"))
 
 
 #: fixed values: journal fields that are exported

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siftline.functions import patterns as P
 from siftline.operators.logs import _RECORD, CRI_HEAD, MAX_LINE, cri_fold
 
 
@@ -68,10 +69,11 @@ def limit_cardinality(points: DataFrame, target: str, series: str, max_per_targe
 def assemble_multiline(lines: DataFrame, start_pattern: str, max_lines: int = 256, max_bytes: int = MAX_LINE, flush_after_ms: int | None = None) -> DataFrame:
     """Streaming form of logs.assemble_multiline, per path. A pending record is held, or given after flush_after_ms without lines.
 
-    The pattern is used by Python here; it must mean the same there.
+    The pattern is used by Python here; one that the batch form refuses is refused too.
     """
     import re
 
+    P.java_pattern(start_pattern, 1024)
     starts = re.compile(start_pattern)
     columns = ["line_no", "offset", "body", "lines", "flush_reason"]
     timeout = GroupStateTimeout.ProcessingTimeTimeout if flush_after_ms else GroupStateTimeout.NoTimeout

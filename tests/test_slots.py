@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import patterns as P
 from siftline.functions import scans
-from siftline.operators import envelopes, hosts, logs, metrics, packing, traces
+from siftline.operators import delivery, envelopes, hosts, logs, metrics, packing, traces
 
 HOT = [1 << 20, 20]
 
@@ -250,3 +250,76 @@ def test_states_of_captures(spark):
     changes = [(x["host"], x["at"], x["status"], x["before"]) for x in hosts.transitions(status.where("collector = 'load'")).orderBy("host", "at").collect()]
     assert changes == [("g", 1, "unsupported", None), ("h", 1, "ok", None), ("h", 2, "error", "ok"), ("h", 3, "unsupported", "error"), ("h", 4, "ok", "unsupported")]
     assert {x["status"] for x in status.where("collector = 'uptime' AND at = 1").collect()} == {"unsupported", "error"}
+
+
+def test_host_identity(spark):
+    rows = [
+        ("a", "os-release", 1, 'NAME="A \\"B\\" \\$x"\nNAME=last\nID=x\n# c\nVERSION_ID=12\nPRETTY_NAME=\'A 12\''), ("a", "hostname", 1, "old\n"), ("a", "hostname", 2, " web-1 \n"), ("a", "machine-id", 1, "0123456789abcdef" * 2 + "\n"),
+        ("b", "os-release", 1, "NAME=x\nodd line"), ("b", "hostname", 1, "two words"), ("b", "machine-id", 1, "0123456789ABCDEF" * 2), ("c", "os-release", 1, 'NAME="bad \\n escape"'), ("c", "hostname", 1, None), ("d", "os-release", 1, "ID=x"), ("e", "os-release", 1, "NAME=two words"), ("e", "hostname", 1, "x" * 256),
+    ]
+    identity = hosts.host_identity(spark.createDataFrame(rows, "host string, file string, captured_at_unix_nano long, content string"))
+    assert {(r["host"], r["file"]): r["detail"] for r in identity.where("detail IS NOT NULL").collect()} == {
+        ("b", "os-release"): "line 2: no key", ("b", "hostname"): "no host name", ("b", "machine-id"): "no machine id", ("c", "os-release"): "line 1: bad value of NAME", ("c", "hostname"): "no host name",
+        ("d", "os-release"): "nothing that is supported", ("e", "os-release"): "line 1: bad value of NAME", ("e", "hostname"): "no host name",
+    }
+    found = {r["host"]: r["detected"] for r in hosts.detected_attributes(identity).collect()}
+    assert found == {"a": {"os.name": "last", "os.version": "12", "os.description": "A 12", "host.name": "web-1", "host.id": "0123456789abcdef" * 2}}
+
+
+@pytest.mark.parametrize("slots", [1, 9])
+def test_changes_at_one_time(spark, slots):
+    depth = [("a", 1, 90, 1), ("a", 1, 10, 2), ("a", 2, 60, 3), ("a", 3, 10, 5), ("a", 3, 90, 4)]
+    points = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1)], "kind string, at long")
+    for order in (depth, depth[::-1]):
+        flags = delivery.pressure_flag(spark.createDataFrame(order, "kind string, at long, bytes long, seq long"), 100, slots=slots, tie="seq")
+        assert {r["seq"]: r["pressure"] for r in flags.collect()} == {1: True, 2: False, 3: False, 4: True, 5: False}
+        shed = delivery.shed(points, flags.select("kind", "at", "pressure", "seq"), slots=slots, tie="seq")
+        assert {(r["kind"], r["at"]): r["shed"] for r in shed.collect()} == {("a", 1): False, ("a", 2): False, ("a", 3): False, ("b", 1): False}
+
+
+def test_lines_of_blocks(spark, tmp_path):
+    """Files in blocks of some bytes, lines over several of them, ends of all kinds."""
+    from siftline.sources import readers
+
+    r = random.Random(8)
+    files = {"a": b"".join(b"x" * r.choice([0, 1, 5, 40, 300]) + r.choice([b"\n", b"\r\n"]) for _ in range(200)), "b": b"one\r\nt\xc3\xa4o\nrest", "c": b"", "d": b"\n\n", "e": b"bad \xff byte\n"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "512")
+    spark.conf.set(names[1], "0")
+    try:
+        for closed in (False, True):
+            expected = []
+            for name, data in files.items():
+                at = 0
+                parts = data.split(b"\n")
+                for k, part in enumerate(parts):
+                    last = k == len(parts) - 1
+                    end = at + len(part) + (not last)
+                    if not last or (closed and part):
+                        expected.append((name, k, at, end, (part[:-1] if part.endswith(b"\r") else part).decode(errors="replace")))
+                    at = end
+            out = readers.read_raw_lines(spark, str(tmp_path), closed=closed)
+            got = [(x["path"].rsplit("/", 1)[1], x["line_no"], x["offset"], x["end_offset"], x["line"]) for x in out.collect()]
+            assert sorted(got) == sorted(expected)
+        assert spark.read.text(str(tmp_path / "a"), lineSep="\n").rdd.getNumPartitions() > 8
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("hot_rows", HOT)
+def test_inventory_over_slots(spark, hot_rows):
+    r = random.Random(9)
+    seen = [(r.choice(["u", "u", "u", "v", None]), r.randint(0, 3000), i) for i in range(150)]
+    pods = [(r.choice(["u", "v", "w", None]), t * 40, {"v": str(t)}) for t in range(60)]
+    expected = []
+    for uid, at, i in seen:
+        best = max(((t, api) for u, t, api in pods if u == uid and t <= at and uid is not None), key=lambda x: x[0], default=None)
+        age = at - best[0] if best else None
+        fresh = "none" if age is None or age > 200 else "fresh" if age <= 60 else "stale"
+        expected.append((uid, at, i, best[1] if fresh != "none" else None, fresh))
+    got = logs.enrich_from_inventory(spark.createDataFrame(seen, "uid string, observed_at long, i int"), spark.createDataFrame(pods, "uid string, fetched_at long, api map<string,string>"), ttl=60, stale_after=200, hot_rows=hot_rows)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == sorted(expected, key=str)
