@@ -49,13 +49,13 @@ def _document_files(spark: SparkSession, sf_dir: str) -> str:
 @query("""
 WITH l AS (SELECT doc_id, doc_id // 500 AS bucket, k, line FROM (
   SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) AS k FROM (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS t FROM documents)))
-SELECT bucket, row_number() OVER f - 1 AS line_no, CAST(sum(strlen(line) + 1) OVER f - strlen(line) - 1 AS BIGINT) AS "offset", md5(line) AS line
+SELECT bucket, row_number() OVER f - 1 AS line_no, CAST(sum(strlen(line) + 1) OVER f - strlen(line) - 1 AS BIGINT) AS first_byte, md5(line) AS line
 FROM l WINDOW f AS (PARTITION BY bucket ORDER BY doc_id, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of files written from documents, with its number and byte offset in its file."""
     lines = readers.read_raw_lines(spark, _document_files(spark, sf_dir))
-    return lines.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("bigint").alias("bucket"), "line_no", "offset", F.md5("line").alias("line"))
+    return lines.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("bigint").alias("bucket"), "line_no", F.col("offset").alias("first_byte"), F.md5("line").alias("line"))
 
 
 @query("SELECT DISTINCT doc_id // 500 AS bucket FROM documents WHERE doc_id // 500 % 2 = 0")
