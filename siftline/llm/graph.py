@@ -40,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """The roots (node, root) of components after further links (a, b): only their roots are contracted."""
+    """The roots (node, root) of components after further links (a, b), a written table: only their roots are contracted."""
+    if links.isEmpty():
+        return roots
     named = links
     for end in "ab":
         named = named.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")

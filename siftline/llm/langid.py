@@ -97,9 +97,11 @@ def fit(docs: DataFrame, max_rows: int = 1200, centroids: int = 4, slack: float
         raise ValueError("more languages than max_rows: each one needs a row to learn from")
     if not sizes:
         return None
-    found = rows.select("text").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    df = {x["cell"]: x["n"] for x in found}
-    idf = (np.log((1 + df[-1]) / (1 + np.array([df.get(c, 0) for c in range(_CELLS)]))) + 1).astype(np.float32)
+    found = rows.select("text").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    # the last cell counts the texts
+    df = np.zeros(_CELLS + 1, np.int64)
+    df[found["cell"].to_numpy()] = found["n"].to_numpy()
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
     def embed(batches):
         for batch in batches:

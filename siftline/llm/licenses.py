@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from siftline.llm.containment import words
 
-#: indexed words of a phrase; looked-up words of a file
-RAREST, LOOKED_UP = 2, 32
+#: indexed words of a phrase
+RAREST = 2
 
 
 @dataclass(frozen=True)
@@ -75,16 +75,20 @@ TEMPLATES = BASE + (
     Template("public-domain", ("public domain",)),
     Template("unlicense", ("free and unencumbered software released into the public domain",), "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
 )
+#: as many words as can be indexed
+LOOKED_UP = RAREST * sum(len(t.phrases) for t in TEMPLATES)
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, looked_up: int = LOOKED_UP) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, looked_up: int | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, places (array of phrase, at), n_base, first_word, last_word, base_labels, labels, score.
 
     Words are counted from 0; phrase is the number of a phrase in the templates' order. score is the largest share of a
     template's words that stand at their relative places, 1 for a whole template and 0 without a posting that stands. One
     row per row of docs, also of rows that repeat a doc_id or have a null one; null and empty texts have 0
-    words and no labels (an empty string). Other columns are ignored.
+    words and no labels (an empty string). Other columns are ignored. All indexed words that a file has are looked up; looked_up
+    sets fewer, those of the highest IDF, at the risk of missing labels beyond base.
     """
+    looked_up = looked_up or RAREST * sum(len(t.phrases) for t in templates)
     phrases = [(t, k, p) for t in range(len(templates)) for k, p in enumerate(templates[t].phrases)]
     vocabulary = sorted({w for _, _, p in phrases for w in p.split()})
     counted = docs.select(F.explode(F.array_intersect(words(F.col("text")), F.lit(vocabulary))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))

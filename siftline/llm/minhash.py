@@ -106,14 +106,16 @@ def _sets(size: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are alike enough. Only sets of the pairs' ends are moved."""
+    """Those of the pairs (a, b) whose full sets are alike enough, a written table. Only sets of the pairs' ends are moved."""
     pairs = written(pairs.select("a", "b"), "minhash-pairs")
+    if pairs.isEmpty():
+        return pairs
     ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "minhash-ends")
     sets = sets.join(ends, "node", "left_semi")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
+    return written(both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b"), "minhash-links")
 
 
 def _across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,8 +206,7 @@ def _grouped(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFra
     heads = written(heads.where(may_link("n", "most", "n2", "most2")).select("node", "head", "bands"), "minhash-pairs")
 
     best = heads.groupBy("node").agg(F.max(F.struct("bands", (-F.col("head")).alias("least"))).alias("x")).select(F.col("node").alias("b"), (-F.col("x.least")).alias("a"))
-    links = written(_confirmed(best, sets, percent), "minhash-links")
-    roots = components(links)
+    roots = components(_confirmed(best, sets, percent))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose ends have different roots so far."""
@@ -214,13 +215,14 @@ def _grouped(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFra
         return pairs.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
     rest = heads.select(F.col("head").alias("a"), F.col("node").alias("b")).join(best, ["a", "b"], "left_anti")
-    roots = extended(roots, written(_confirmed(apart(rest), sets, percent), "minhash-links"))
+    roots = extended(roots, _confirmed(apart(rest), sets, percent))
 
     # nodes that meet in one of their first shingles and are still apart
     placed = meet.join(sizes.select("node"), "node").join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
     open_keys = placed.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
     apart_nodes = written(placed.join(open_keys, "h", "left_semi").select("node", "root").distinct(), "minhash-apart")
-    roots = extended(roots, written(_confirmed(_across(apart_nodes, sets, percent), sets, percent), "minhash-links"))
+    if not apart_nodes.isEmpty():
+        roots = extended(roots, _confirmed(_across(apart_nodes, sets, percent), sets, percent))
 
     discard(sets, meet)
     groups = named.join(roots, "node", "left").select(*_NAME, F.coalesce("root", "node").alias("group"))

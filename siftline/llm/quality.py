@@ -48,12 +48,17 @@ def follow_the_leader(features: list, y: np.ndarray, epochs: int = 3, alpha: flo
         w = (np.sign(z[i]) * l1 - z[i]) / ((beta + np.sqrt(n[i])) / alpha + l2)
         return np.where(np.abs(z[i]) > l1, w, 0.0)
 
-    rows = []
-    for f in features:
+    # features and their counts in two arrays of 32-bit integers, not in thousands of small ones
+    n_all = sum(map(len, features))
+    index, count, ends = np.empty(n_all, np.int32), np.empty(n_all, np.int32), np.zeros(len(features) + 1, np.int64)
+    for k, f in enumerate(features):
         i, c = np.unique(f, return_counts=True)
-        rows.append((np.append(i, 1 << BITS), np.append(c / np.sqrt(max(1, len(f))), 1.0)))
+        ends[k + 1] = ends[k] + len(i)
+        index[ends[k] : ends[k + 1]], count[ends[k] : ends[k + 1]] = i, c
     for _ in range(epochs):
-        for (i, x), t in zip(rows, y, strict=True):
+        for k, (f, t) in enumerate(zip(features, y, strict=True)):
+            i = np.append(index[ends[k] : ends[k + 1]], 1 << BITS)
+            x = np.append(count[ends[k] : ends[k + 1]] / np.sqrt(max(1, len(f))), 1.0)
             w = weight(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - t) * x
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w

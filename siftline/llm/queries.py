@@ -18,8 +18,8 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     path = f"{shared_dir(spark)}/token-file-{uuid.uuid4().hex}"
-    counts = rans.write_token_file(table(spark, sf_dir, "documents"), path, rans.word_bpe(tokenizer_path("word_bpe_49k.json")), end_id=1, vocabulary=49408)
-    back = rans.read_token_file(spark, path, counts)
+    rans.write_token_file(table(spark, sf_dir, "documents"), path, rans.word_bpe(tokenizer_path("word_bpe_49k.json")), end_id=1, vocabulary=49408)
+    back = rans.read_token_file(spark, path)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

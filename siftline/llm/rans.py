@@ -164,13 +164,33 @@ def _sum_counts(vocabulary: int):
     return run
 
 
+def _head_crc(part: int, before: int, docs: int, ids: int, doc_ids: pa.Array) -> int:
+    """Over all that stands beside a block."""
+    return zlib.crc32(struct.pack("<qqqq", part, before, docs, ids) + doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + doc_ids.is_null().to_numpy(zero_copy_only=False).tobytes())
+
+
+def _write_table(spark: SparkSession, path: str, counts: np.ndarray) -> None:
+    """The shared frequency table, one row: how often each id stands in the file, and a crc32 of that. Its size is the vocabulary's."""
+    raw = counts.astype("<i8").tobytes()
+    spark.createDataFrame([(len(counts), bytearray(zlib.compress(raw)), zlib.crc32(raw))], "vocabulary long, counts binary, crc long").coalesce(1).write.parquet(f"{path}/table")
+
+
+def _read_table(spark: SparkSession, path: str) -> np.ndarray:
+    row = spark.read.parquet(f"{path}/table").first()
+    raw = zlib.decompress(bytes(row["counts"]))
+    if zlib.crc32(raw) != row["crc"] or len(raw) != 8 * row["vocabulary"]:
+        raise ValueError("damaged frequency table")
+    return np.frombuffer(raw, "<i8").astype(np.int64)
+
+
 def write_token_file(docs: DataFrame, path: str, make: Callable[[], Callable[[list], list]], end_id: int, vocabulary: int, block_ids: int = 1 << 20) -> np.ndarray:
     """Encode every text of (doc_id, text), append end_id, write blocks in ascending doc_id order to path.
 
     make() gives, inside a task, a function from texts to arrays of ids. Null texts are empty. Rows with a
     null doc_id come first; rows of one doc_id follow each other by a hash of their text, so their order is
     always the same and a hot id is spread over partitions. A document longer than block_ids has a block of
-    its own. Other columns are ignored. Returns the counts of ids, which readers need. An empty table writes no block.
+    its own. Other columns are ignored. path/blocks has the blocks, path/table the frequency table, so the path is all that a
+    reader needs. Returns the counts of ids. An empty table writes no block.
     """
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -187,8 +207,9 @@ def write_token_file(docs: DataFrame, path: str, make: Callable[[], Callable[[li
 
         def block():
             lengths = np.array([len(i) for i in ids])
-            columns = {"part": first[0], "before": first[2], "docs": len(ids), "ids": int(lengths.sum()), "doc_ids": held, "block": encode(np.concatenate(ids), lengths, freq, start)}
-            return pa.RecordBatch.from_pylist([columns], schema=pa.schema([("part", pa.int32()), ("before", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("block", pa.binary())]))
+            columns = {"part": first[0], "before": first[2], "docs": len(ids), "ids": int(lengths.sum()), "doc_ids": held}
+            columns |= {"crc": _head_crc(*list(columns.values())[:4], pa.array(held, pa.int64())), "block": encode(np.concatenate(ids), lengths, freq, start)}
+            return pa.RecordBatch.from_pylist([columns], schema=pa.schema([("part", pa.int32()), ("before", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("crc", pa.int64()), ("block", pa.binary())]))
 
         for batch in batches:
             for part, seq, before, doc, x in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
@@ -206,19 +227,26 @@ def write_token_file(docs: DataFrame, path: str, make: Callable[[], Callable[[li
         if ids:
             yield block()
 
-    out = tokens.where("kind = 0").select("part", "seq", "before", "doc_id", "ids").mapInArrow(blocks, "part int, before long, docs long, ids long, doc_ids array<long>, block binary")
-    out.write.option("compression", "none").parquet(path)
+    out = tokens.where("kind = 0").select("part", "seq", "before", "doc_id", "ids").mapInArrow(blocks, "part int, before long, docs long, ids long, doc_ids array<long>, crc long, block binary")
+    out.write.option("compression", "none").parquet(f"{path}/blocks")
+    _write_table(docs.sparkSession, path, counts)
     return counts
 
 
-def read_token_file(spark: SparkSession, path: str, counts: np.ndarray) -> DataFrame:
-    """Blocks of path -> doc_id, start (ids of all documents before it in the file), ids (binary, u32 each), n_tokens."""
-    freq, start = frequency_table(counts)
+def read_token_file(spark: SparkSession, path: str, counts: np.ndarray | None = None) -> DataFrame:
+    """Blocks of path -> doc_id, start (ids of all documents before it in the file), ids (binary, u32 each), n_tokens.
+
+    counts, those that write_token_file gave, spare the look at path/table. A block, or what stands beside it, that has changed is an error.
+    """
+    freq, start = frequency_table(_read_table(spark, path) if counts is None else counts)
 
     def run(batches):
         symbol = symbols(freq)
         for batch in released(batches):
-            for first, doc_ids, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            heads = zip(*(batch.column(c).to_pylist() for c in ("part", "before", "docs", "ids", "crc")), strict=True)
+            for first, head, doc_ids, block in zip(batch["start"].to_pylist(), heads, batch["doc_ids"], batch["block"], strict=True):
+                if _head_crc(*head[:4], doc_ids.values) != head[4]:
+                    raise ValueError("damaged head of a block")
                 ids, lengths = decode(block.as_py(), freq, start, symbol)
                 ends = np.cumsum(lengths)
                 for low, high in _decoded_runs(ends):
@@ -227,11 +255,11 @@ def read_token_file(spark: SparkSession, path: str, counts: np.ndarray) -> DataF
                     raw = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids[begin : ends[high - 1]].astype("<u4"))])
                     yield pa.RecordBatch.from_arrays([doc_ids.values[low:high], pa.array(first + ends[low:high] - lengths[low:high]), pa.array(lengths[low:high]), raw], names=["doc_id", "start", "n_tokens", "ids"])
 
-    files = spark.read.parquet(path)
+    files = spark.read.parquet(f"{path}/blocks")
     # one row per partition that wrote, so both the window and the broadcast are bounded by the number of partitions
     sums = files.groupBy("part").agg(F.sum("ids").alias("n"))
     sums = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = files.join(F.broadcast(sums), "part").select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "block")
+    placed = files.join(F.broadcast(sums), "part").select((F.col("base") + F.col("before")).alias("start"), "part", "before", "docs", "ids", "crc", "doc_ids", "block")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 

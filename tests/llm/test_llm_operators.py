@@ -261,6 +261,17 @@ def test_token_file(spark, corpus):
         at += len(ids)
     empty = path + "-empty"
     assert rans.read_token_file(spark, empty, rans.write_token_file(spark.createDataFrame([], DOC), empty, rans.word_bpe(P.path("word_bpe_49k.json")), 1, 49408)).count() == 0
+    assert rans.read_token_file(spark, empty).count() == 0
+    # the path alone is enough, and what stands beside a block is guarded too
+    assert {r["doc_id"]: bytes(r["ids"]) for r in rans.read_token_file(spark, path).collect()} == {k: bytes(r["ids"]) for k, r in got.items()}
+    for change in ("before + 1 AS before", "transform(doc_ids, x -> x + 1) AS doc_ids"):
+        name = change.rsplit(" ", 1)[1]
+        bad = f"{path}-{name}"
+        blocks = spark.read.parquet(f"{path}/blocks")
+        blocks.selectExpr(*[c if c != name else change for c in blocks.columns]).write.parquet(f"{bad}/blocks")
+        spark.read.parquet(f"{path}/table").write.parquet(f"{bad}/table")
+        with pytest.raises(Exception, match="damaged head"):
+            rans.read_token_file(spark, bad).count()
 
 
 @pytest.mark.parametrize("chunk", [70, 400])
@@ -507,3 +518,48 @@ def test_one_of_each_whatever_the_partitions(spark):
         r.shuffle(rows)
         docs = spark.createDataFrame(rows, DOC + ", fetch string").repartition(parts, F.rand())
         assert sorted(map(tuple, minhash.one_of_each(docs).collect()), key=str) == expected
+
+
+def plain_ftrl(rows, y, epochs, alpha=0.3, beta=1.0, l1=0.02, l2=0.1):
+    """Follow the regularised leader, feature by feature in dictionaries."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else (np.sign(z[i]) * l1 - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    bias = 1 << quality.BITS
+    for _ in range(epochs):
+        for f, t in zip(rows, y):
+            x = {i: c / max(1, len(f)) ** 0.5 for i, c in Counter(f).items()} | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-max(-35, min(35, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - t) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in [*z]}
+
+
+def test_quality_training_against_plain_python():
+    r = random.Random(4)
+    rows = [[r.randrange(60) * 997 for _ in range(r.randint(0, 40))] for _ in range(80)]
+    y = np.array([float(sum(f) % 3 == 0) for f in rows])
+    got = quality.follow_the_leader([np.array(f, np.int32) for f in rows], y, epochs=2)
+    expected = plain_ftrl(rows, y, 2)
+    full = np.zeros(len(got))
+    for i, w in expected.items():
+        full[i] = w
+    assert np.allclose(got, full, atol=1e-5) and (got != 0).sum() > 20
+
+
+def test_quality_scores_against_plain_sums(spark):
+    weights = np.random.RandomState(5).normal(size=(1 << quality.BITS) + 1).astype(np.float32)
+    texts = ["", None, "one", "one one one two", prose(31, 400), "é ü words, and-more!", prose(32, 5000)]
+    expected = []
+    for t in texts:
+        f = np.concatenate([x for _, _, x, _ in quality._features(pa.array([t], pa.string()))] or [np.zeros(0, np.int32)])
+        dot = sum(float(weights[i]) for i in f) / max(1, len(f)) ** 0.5 + float(weights[-1])
+        expected.append(1 / (1 + np.exp(-max(-35, min(35, dot)))))
+    out = quality.classify(spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], DOC + ", score string"), weights).collect()
+    assert np.allclose([r["score"] for r in sorted(out, key=lambda r: r["doc_id"])], expected, atol=1e-4)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in out)
