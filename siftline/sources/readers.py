@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -123,7 +125,7 @@ def read_otlp_spans(df: DataFrame) -> DataFrame:
 
 
 def discover_logs(spark: SparkSession, include: list[str], exclude: list[str] = (), start_at: str = "end", seen_before: str | None = None) -> DataFrame:
-    """Paths that match an include glob and no exclude glob, sorted. start_at `end` leaves out files not changed after seen_before (a timestamp), which it needs."""
+    """Paths that match an include glob and no exclude glob, sorted; `*` and `?` stand for no `/`. A scheme in an exclude glob must be the path's. start_at `end` leaves out files not changed after seen_before (a timestamp), which it needs."""
     if start_at == "end" and not seen_before:
         raise ValueError("start_at end needs seen_before")
     if start_at not in ("end", "beginning"):
@@ -133,8 +135,13 @@ def discover_logs(spark: SparkSession, include: list[str], exclude: list[str] =
         reader = reader.option("modifiedAfter", seen_before)
     files = reader.load(include).select("path", "length", "modificationTime")
     for glob in exclude:
+        # file:/x, file:///x and /x are the same file
+        scheme = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", glob) and not glob.startswith("file:")
+        path = F.col("path") if scheme else F.regexp_replace("path", r"\A[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+        if glob.startswith("file:"):
+            path, glob = F.regexp_replace("path", r"\Afile:/*", "/"), re.sub(r"\Afile:/*", "/", glob)
         regex = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else f"\\Q{c}\\E" for c in glob)
-        files = files.where(~F.regexp_replace("path", r"\Afile:/*", "/").rlike(rf"\A{regex}\z"))
+        files = files.where(~path.rlike(rf"(?s)\A{regex}\z"))
     return files.distinct().orderBy("path")
 
 

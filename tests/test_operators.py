@@ -462,3 +462,19 @@ def test_readers_of_files(spark, tmp_path, monkeypatch):
     readers.write_by_kind(rows, str(tmp_path / "t"), str(tmp_path / "q"))
     assert [(r["id"], r["kind"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [(1, "logs")]
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "q")).collect()) == [2, 3]
+
+
+def test_excluded_files_of_folders(spark, tmp_path, monkeypatch):
+    """An exclude glob with or without a scheme; with more than one bucket of documents, the odd ones are left out."""
+    from siftline.plans import ingest
+    from siftline.sources import readers
+
+    for k in range(3):
+        (tmp_path / f"k={k}").mkdir()
+        (tmp_path / f"k={k}" / "x.txt").write_text("x")
+    for head in ("", "file:", "file://"):
+        found = readers.discover_logs(spark, [f"{head}{tmp_path}/k=*/*.txt"], [f"{head}{tmp_path}/k=1/*", "*/k=2/*"], "beginning")
+        assert [r["path"].rsplit("/", 2)[1] for r in found.collect()] == ["k=0", "k=2"]
+    documents = spark.range(0, 2000, 100).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    monkeypatch.setattr(ingest, "table", lambda *_: documents)
+    assert sorted(r["bucket"] for r in ingest.discovered_files(spark, "").collect()) == [0, 2]
