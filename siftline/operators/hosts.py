@@ -29,7 +29,7 @@ def count_of(text: Column) -> Column:
 
 def _scaled(n: Column, by: int) -> Column:
     """n times by, null beyond 2^63-1."""
-    return F.when(n <= F.lit(((1 << 63) - 1) // by), n) * by
+    return n if by == 1 else F.try_multiply(n, F.lit(by).cast("bigint"))
 
 
 def _amount(text: Column) -> Column:
@@ -104,9 +104,11 @@ MEMORY = {
 def _memory(files: DataFrame) -> DataFrame:
     """kB figures in bytes; a fraction, or bytes beyond 2^63-1, is a double."""
     files = _with_lines(files, lambda x: F.substring_index(x["text"], ":", 1).isin(*MEMORY) & x["text"].contains(":"))
+    after = lambda x: _words(F.substr(x["text"], F.instr(x["text"], ":") + 1))
+    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), F.substring_index(x["text"], ":", 1).alias("key"), after(x).alias("f"))))
 
     def entries(x: Column) -> list[Column]:
-        key, f = F.substring_index(x["text"], ":", 1), _words(F.substr(x["text"], F.instr(x["text"], ":") + 1))
+        key, f = x["key"], x["f"]
         name = F.create_map(*[F.lit(v) for kv in MEMORY.items() for v in kv])[key]
         by = F.when(F.get(f, F.lit(1)) == "kB", 1024).otherwise(1)
         n, v = count_of(F.get(f, F.lit(0))), _amount(F.get(f, F.lit(0)))
@@ -123,12 +125,14 @@ def _cpu(files: DataFrame) -> DataFrame:
     """Milliseconds per CPU and mode; the line of all CPUs is skipped."""
     files = _with_lines(files, lambda x: x["f"][0].startswith("cpu") & (x["f"][0] != "cpu") & (F.size(x["f"]) > 1))
 
+    values = lambda x: F.transform(F.slice(x["f"], 2, len(CPU_MODES)), lambda t: _scaled(count_of(t), 1000 // TICKS))
+    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), F.substr(x["f"][0], F.lit(4)).alias("cpu"), values(x).alias("v"))))
+
     def entries(x: Column) -> list[Column]:
         out = []
         for k, m in enumerate(CPU_MODES):
-            text = F.get(x["f"], F.lit(k + 1))
-            v = _scaled(count_of(text), 1000 // TICKS)
-            out.append(_entry("node_cpu_milliseconds_total", _labels(cpu=F.substr(x["f"][0], F.lit(4)), mode=F.lit(m)), "sum", v, detail=F.when(text.isNotNull() & v.isNull(), _no(x, f"{m} is no count"))))
+            v = F.get(x["v"], F.lit(k))
+            out.append(_entry("node_cpu_milliseconds_total", _labels(cpu=x["cpu"], mode=F.lit(m)), "sum", v, detail=F.when((F.size(x["v"]) > k) & v.isNull(), _no(x, f"{m} is no count"))))
         return out
 
     return _each(files, entries)
@@ -305,6 +309,8 @@ def _disk(files: DataFrame) -> DataFrame:
     values = lambda x: F.transform(F.slice(x["f"], F.lit(4), used(x)), count_of)
     files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), x["f"].alias("f"), F.when(n(x) >= 11, values(x)).alias("v"))))
 
+    labels = lambda x: _labels(device=F.get(x["f"], F.lit(2)), major=count_of(F.get(x["f"], F.lit(0))).cast("string"), minor=count_of(F.get(x["f"], F.lit(1))).cast("string"))
+
     def fault(x: Column) -> Column:
         f, v = x["f"], x["v"]
         bad = F.when(n(x) < 11, "fewer than 14 fields").when(F.octet_length(f[2]) > 255, "device name too long").when(count_of(f[0]).isNull() | count_of(f[1]).isNull(), "no device numbers")
@@ -314,14 +320,13 @@ def _disk(files: DataFrame) -> DataFrame:
                 bad = bad.when(F.get(v, F.lit(k)) > ((1 << 63) - 1) // by, "sectors are too many for bytes")
         return bad
 
-    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), x["f"].alias("f"), x["v"].alias("v"), fault(x).alias("bad"))))
+    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(x["no"].alias("no"), x["f"].alias("f"), x["v"].alias("v"), labels(x).alias("labels"), fault(x).alias("bad"))))
 
-    def entries(x: Column) -> list[Column]:
-        f, v, bad = x["f"], x["v"], x["bad"]
-        labels = _labels(device=F.get(f, F.lit(2)), major=count_of(F.get(f, F.lit(0))).cast("string"), minor=count_of(F.get(f, F.lit(1))).cast("string"))
-        return [_error(F.when(bad.isNotNull(), _no(x, bad))), *[_entry(f"node_disk_{name}", labels, kind, F.when(bad.isNull(), _scaled(F.get(v, F.lit(k)), by))) for k, (name, by, kind) in enumerate(DISK)]]
+    def entries(x: Column) -> Column:
+        points = [_entry(f"node_disk_{name}", x["labels"], kind, _scaled(F.get(x["v"], F.lit(k)), by)) for k, (name, by, kind) in enumerate(DISK)]
+        return F.when(x["bad"].isNotNull(), F.array(_error(_no(x, x["bad"])))).otherwise(F.array(*points))
 
-    return _each(files, entries)
+    return files.withColumn("entries", F.flatten(F.transform("lines", entries)))
 
 
 #: fixed values: keys of control group files, and their metrics
@@ -463,12 +468,13 @@ def _mount_lines(snapshots: DataFrame) -> DataFrame:
     path = lambda t: F.regexp_replace(F.regexp_replace(L.decode_octal_escapes(t), r"(/\.)*/+(\./+)*", "/"), r"(?<=.)/\.?$", "")
     shape = lambda x: F.when(x["f"].isNull(), "no separator").when((F.size(x["f"]) < 6) | (F.size(x["g"]) < 3), "too few fields").when(count_of(x["f"][0]).isNull(), "no mount id").when(~sound(x["f"][4]) | ~x["f"][4].startswith("/"), "no absolute path").when(~sound(x["g"][0]) | ~sound(x["g"][1]), "bad escape")
     record = lambda x: F.struct(count_of(x["f"][0]).alias("mount_id"), path(x["f"][4]).alias("mountpoint"), L.decode_octal_escapes(x["g"][0]).alias("fstype"), L.decode_octal_escapes(x["g"][1]).alias("device"), F.array_contains(F.split(x["f"][5], ","), "ro").alias("read_only"))
-    files = files.withColumn("lines", F.transform("lines", lambda x: F.struct(shape(x).isNull().alias("good"), F.when(shape(x).isNotNull(), _no(x, shape(x))).alias("detail"), F.when(shape(x).isNull(), record(x)).alias("m"))))
-    return files.select(*_FILE, F.transform(F.filter("lines", lambda x: x["good"]), lambda x: x["m"]).alias("mounts"), F.transform(F.filter("lines", lambda x: ~x["good"]), lambda x: x["detail"]).alias("details"))
+    files = files.withColumn("lines", F.transform("lines", lambda x: x.withField("bad", shape(x))))
+    good, bad = F.filter("lines", lambda x: x["bad"].isNull()), F.filter("lines", lambda x: x["bad"].isNotNull())
+    return files.select(*_FILE, F.transform(good, record).alias("mounts"), F.transform(bad, lambda x: _no(x, x["bad"])).alias("details"))
 
 
 def _local(mounts: DataFrame) -> DataFrame:
-    rows = mounts.select("host", "captured_at_unix_nano", F.explode("mounts").alias("m")).select("host", "captured_at_unix_nano", "m.*")
+    rows = mounts.select("host", "captured_at_unix_nano", F.explode_outer("mounts").alias("m")).where("m IS NOT NULL").select("host", "captured_at_unix_nano", "m.*")
     best = rows.groupBy("host", "captured_at_unix_nano", "mountpoint").agg(F.max_by(F.struct("mount_id", "device", "fstype", "read_only"), "mount_id").alias("m"))
     out = best.select("host", "captured_at_unix_nano", "mountpoint", "m.*")
     return out.where(~F.col("fstype").isin(*sorted(PSEUDO)) & ~F.col("fstype").startswith("fuse."))
@@ -551,21 +557,23 @@ def parse(snapshots: DataFrame, *jobs: str) -> DataFrame:
 
 
 def points(parsed: DataFrame) -> DataFrame:
-    out = parsed.select("host", F.col("captured_at_unix_nano").alias("time_unix_nano"), F.explode("points").alias("p")).select("host", "p.*", "time_unix_nano")
+    # outer, here and below: Spark would ask first whether an inner explode's array is empty, and parse each file again for that
+    out = parsed.select("host", F.col("captured_at_unix_nano").alias("time_unix_nano"), F.explode_outer("points").alias("p")).where("p IS NOT NULL").select("host", "p.*", "time_unix_nano")
     return out.withColumn("value", F.coalesce(F.col("int_value").cast("double"), "float_value")).select(*_POINT)
 
 
 def errors(parsed: DataFrame) -> DataFrame:
     """host, file, captured_at_unix_nano, job, n_errors, details: files of which something could not be read."""
-    return parsed.where("n_errors > 0").select(*_FILE, "job", "n_errors", "details")
+    rows = parsed.select(*_FILE, "job", F.explode_outer(F.array(F.struct("n_errors", "details"))).alias("e"))
+    return rows.where("e.n_errors > 0").select(*_FILE, "job", "e.n_errors", "e.details")
 
 
 def tagged(parsed: DataFrame) -> DataFrame:
     """Both outputs as rows, for one write by tag: `point` rows, and one `error` row for each file with errors."""
-    rows = parsed.select(*_FILE, "job", F.explode(F.concat(
+    rows = parsed.select(*_FILE, "job", F.explode_outer(F.concat(
         F.transform("points", lambda p: F.struct(F.lit("point").alias("tag"), p.alias("point"), F.lit(None).cast("int").alias("n_errors"), F.lit(None).cast("array<string>").alias("details"))),
         F.when(F.col("n_errors") > 0, F.array(F.struct(F.lit("error").alias("tag"), F.get("points", F.lit(-1)).alias("point"), F.col("n_errors"), F.col("details")))).otherwise(F.expr("array()")),
-    )).alias("x"))
+    )).alias("x")).where("x IS NOT NULL")
     return rows.select("x.tag", *_FILE, "job", "x.point.name", "x.point.attrs", "x.point.metric_type", "x.point.int_value", "x.point.float_value", "x.n_errors", "x.details")
 
 
@@ -627,15 +635,22 @@ def host_identity(snapshots: DataFrame) -> DataFrame:
     return files.select(*_FILE, values.alias("detected"), detail.alias("detail")).withColumn("detected", F.when(F.col("detail").isNull(), F.col("detected")))
 
 
+def _latest(identity: DataFrame, *keys: str) -> DataFrame:
+    """d: the attributes of the latest readable file. Files are not filtered before: each would be parsed once more for that."""
+    good = F.col("detail").isNull()
+    rows = identity.groupBy(*keys).agg(F.max_by("detected", F.when(good, F.col("captured_at_unix_nano"))).alias("d"), F.count(F.when(good, 1)).alias("n"))
+    return rows.where("n > 0").select(*keys, "d")
+
+
 def os_release(snapshots: DataFrame) -> DataFrame:
     """host -> os_name, os_version, os_description from the latest readable os-release."""
-    rows = host_identity(snapshots.where("file = 'os-release'")).where("detail IS NULL").groupBy("host").agg(F.max_by("detected", "captured_at_unix_nano").alias("d"))
+    rows = _latest(host_identity(snapshots.where("file = 'os-release'")), "host")
     return rows.select("host", *[F.col("d")[name].alias(name.replace(".", "_")) for name in RELEASE.values()])
 
 
 def detected_attributes(identity: DataFrame) -> DataFrame:
     """Rows of host_identity -> host, detected: one map of its files, the latest of each; what targets.fill_missing_attributes takes."""
-    latest = identity.where("detail IS NULL").groupBy("host", "file").agg(F.max_by("detected", "captured_at_unix_nano").alias("d"))
+    latest = _latest(identity, "host", "file")
     return latest.groupBy("host").agg(F.map_from_entries(F.flatten(F.collect_list(F.map_entries("d")))).alias("detected"))
 
 

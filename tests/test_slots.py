@@ -323,3 +323,12 @@ def test_inventory_over_slots(spark, hot_rows):
         expected.append((uid, at, i, best[1] if fresh != "none" else None, fresh))
     got = logs.enrich_from_inventory(spark.createDataFrame(seen, "uid string, observed_at long, i int"), spark.createDataFrame(pods, "uid string, fetched_at long, api map<string,string>"), ttl=60, stale_after=200, hot_rows=hot_rows)
     assert sorted((tuple(x) for x in got.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_a_file_is_parsed_once(spark):
+    """No filter on what a file gives goes below its parser, where it would be a second one."""
+    df = spark.createDataFrame([("h", "loadavg", 1, "1 2 3")], "host string, file string, captured_at_unix_nano long, content string")
+    parsed = hosts.parse(df, "load", "disk", "socket")
+    for out in (hosts.points(parsed), hosts.errors(parsed), hosts.tagged(parsed), hosts.mounts(df), hosts.os_release(df), hosts.detected_attributes(hosts.host_identity(df))):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and "split(" in line]
