@@ -332,3 +332,11 @@ def test_a_file_is_parsed_once(spark):
     for out in (hosts.points(parsed), hosts.errors(parsed), hosts.tagged(parsed), hosts.mounts(df), hosts.os_release(df), hosts.detected_attributes(hosts.host_identity(df))):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Filter" in line and "split(" in line]
+
+
+def test_small_streams_are_packed_in_batches(spark):
+    """Many small streams are not a call each."""
+    df = spark.range(900).select(F.expr("id div 3").alias("s"), "id", F.lit(4).alias("n"))
+    out = packing.numbered(df, "s", "id", "n", "n", 8)
+    assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x["s"], x["id"], x["chunk"]) for x in out.collect()) == [(i // 3, i, i % 3 // 2) for i in range(900)]
