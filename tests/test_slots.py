@@ -340,3 +340,23 @@ def test_small_streams_are_packed_in_batches(spark):
     out = packing.numbered(df, "s", "id", "n", "n", 8)
     assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((x["s"], x["id"], x["chunk"]) for x in out.collect()) == [(i // 3, i, i % 3 // 2) for i in range(900)]
+
+
+@pytest.mark.parametrize("walked", [0, 4, 10_000])
+def test_cycles_of_small_and_large_traces(spark, walked):
+    r = random.Random(5)
+    rows, expected = [], set()
+    for t in range(1, 60):
+        n = r.randint(1, 9)
+        parent = {i: r.choice([None, *range(1, n + 2)]) for i in range(1, n + 1)}
+        for i, p in parent.items():
+            rows.append((t % 3, len(rows), t.to_bytes(16), i.to_bytes(8), p and p.to_bytes(8)))
+            at, seen = p, set()
+            while at in parent and at not in seen:
+                seen.add(at)
+                if at == i:
+                    expected.add((t % 3, t, i))
+                at = parent[at]
+    df = spark.createDataFrame(rows, "request_id int, span_idx int, trace_id binary, span_id binary, parent_span_id binary")
+    got = [(x["request_id"], int.from_bytes(x["trace_id"]), int.from_bytes(x["span_id"])) for x in traces.parent_cycle_spans(df, walked=walked).collect()]
+    assert sorted(got) == sorted(expected) and expected
