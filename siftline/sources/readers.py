@@ -51,7 +51,8 @@ def attributes_map(attrs: Column) -> Column:
 def _flat(df: DataFrame, schema: str, outer: str, scopes: str, items: str) -> DataFrame:
     """request_id, resource_idx, scope_idx, idx, resource attributes and item, in wire order."""
     rows = df.select("request_id", F.from_json("body", schema).alias("r"))
-    rows = rows.select("request_id", F.posexplode(f"r.{outer}").alias("resource_idx", "r"))
+    # outer: for an inner explode Spark asks first whether its array is empty, and parses each body again for that
+    rows = rows.select("request_id", F.posexplode_outer(f"r.{outer}").alias("resource_idx", "r"))
     rows = rows.select("request_id", "resource_idx", F.col("r.resource.attributes").alias("resource_attrs"), F.posexplode(f"r.{scopes}").alias("scope_idx", "s"))
     return rows.select("request_id", "resource_idx", "scope_idx", "resource_attrs", F.posexplode(f"s.{items}").alias("idx", "item"))
 
@@ -80,7 +81,7 @@ def read_otlp_metrics(df: DataFrame) -> DataFrame:
     exp = F.transform(some("item.exponentialHistogram.dataPoints", _EXP[len("array<") : -1]), lambda p, i: tagged("exponential_histogram", F.lit(False), p, i, none, none, held(p)))
     points = F.concat(scalar("gauge", F.lit(False)), scalar("sum", F.coalesce("item.sum.isMonotonic", F.lit(False))), exp)
     # one pass over the parsed bodies: points of all kinds in one array
-    rows = rows.select("request_id", "resource_idx", "scope_idx", "idx", attributes_map(F.col("resource_attrs")).alias("resource"), F.col("item.name").alias("name"), F.col("item.unit").alias("unit"), F.explode(points).alias("p"))
+    rows = rows.select("request_id", "resource_idx", "scope_idx", "idx", attributes_map(F.col("resource_attrs")).alias("resource"), F.col("item.name").alias("name"), F.col("item.unit").alias("unit"), F.explode_outer(points).alias("p")).where("p IS NOT NULL")
     rows = rows.where(F.col("p.hist").isNotNull() | L.finite(F.coalesce(F.col("p.asInt").try_cast("bigint").cast("double"), F.col("p.asDouble"))))
     whole = F.col("p.asInt").try_cast("bigint")
     return rows.select(
